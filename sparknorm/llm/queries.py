@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
@@ -21,5 +22,21 @@ def op5_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.read_tokens(binary_tokens.write_tokens(documents(spark, sf_dir), Scratch(spark), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_binary_tokens)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    mixed = mixing.mix(documents(spark, sf_dir), Scratch(spark))
+    taken = mixing.copies(mixed)
+    source = F.when(F.col("pattern")[0] != mixing.NULL, F.col("pattern")[0])
+    table = mixing.source_table(mixed).withColumnRenamed("source", "s")
+    return taken.withColumn("s0", source).join(table, F.col("s0").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import matroska
+
+    return matroska.describe(matroska.store(documents(spark, sf_dir), Scratch(spark)))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op5_binary_tokens, op9_mixing, op10_matroska)}
 ORACLES: dict[str, str] = {}
