@@ -4,8 +4,8 @@ A document may belong to several sources. Documents are summed by membership
 pattern; a flow routes pattern capacity to source targets, where the k-th use
 of a pattern costs k - 1, so repetition is spread before it deepens. Within a
 pattern every document is used as often as the flow uses the whole pattern,
-and those before a cut in a seeded hash order once more, and one document behind
-the cut whose size best fills what is left. Only pattern sums and cuts reach
+and those before a cut in a seeded hash order once more; a few large ones behind
+the cut fill what is left. Only pattern sums and cuts reach
 the driver; documents are decided where they lie.
 """
 
@@ -21,6 +21,7 @@ from .common import WORD, Scratch
 
 MAX_REPEATS = 3
 MAX_PATTERNS = 20_000  # membership patterns that the flow accepts; more raise ValueError
+FILLS = 8  # documents behind the cut that a pattern may add
 NULL = "\0null"  # the null source
 
 
@@ -176,10 +177,17 @@ def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = Non
     cuts = _cuts(rows, spark.createDataFrame(marks, "pattern array<string>, mark int, upto double"), bits)
     more = spark.createDataFrame([(p, m, u) for p, m, u in marks if m == 0], "pattern array<string>, mark int, upto double").join(cuts, ["pattern", "mark"])
     left = rows.join(more, "pattern").groupBy("pattern", "cut").agg((F.max("upto") - F.sum(F.when(F.col("place") <= F.col("cut"), F.col("size")).otherwise(0))).alias("left"))
-    behind = rows.join(left, "pattern").where("place > cut and abs(size - left) < left")
-    extra = behind.groupBy("pattern").agg(F.min_by("place", F.struct(F.abs(F.col("size") - F.col("left")), "place")).alias("extra")).collect()
-    extra = spark.createDataFrame([tuple(r) for r in extra], "pattern array<string>, extra long")
-    plan = spark.createDataFrame(base, "pattern array<string>, base int").join(more.select("pattern", "cut"), "pattern", "left").join(extra, "pattern", "left").fillna({"cut": -1, "extra": -1})
+    state = [(r["pattern"], r["cut"], r["left"], []) for r in left.collect()]
+    for _ in range(FILLS):  # each pattern's largest document behind the cut that still fits
+        now = spark.createDataFrame(state, "pattern array<string>, cut long, left double, extra array<long>")
+        fits = rows.where("size > 0").join(now, "pattern").where("place > cut and size <= left and not array_contains(extra, place)")
+        best = {tuple(r["pattern"]): r["b"] for r in fits.groupBy("pattern").agg(F.max(F.struct("size", "place")).alias("b")).collect()}
+        if not best:
+            break
+        state = [(p, c, n - (b["size"] if (b := best.get(tuple(p))) else 0), e + ([b["place"]] if b else [])) for p, c, n, e in state]
+    extra = spark.createDataFrame([(p, e) for p, _, _, e in state], "pattern array<string>, extra array<long>")
+    plan = spark.createDataFrame(base, "pattern array<string>, base int").join(more.select("pattern", "cut"), "pattern", "left").join(extra, "pattern", "left").fillna({"cut": -1})
+    plan = plan.withColumn("extra", F.coalesce("extra", F.array().cast("array<long>")))
     routes = spark.createDataFrame(names, "pattern array<string>, mark int, source string").join(cuts, ["pattern", "mark"]).select("pattern", "source", F.col("cut").alias("until"))
     return Mix(rows, plan, routes, sizes, targets)
 
@@ -187,7 +195,7 @@ def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = Non
 def copies(mixed: Mix, rows: DataFrame | None = None) -> DataFrame:
     """``rows`` (by default the planned ones; they need pattern and place) with the number of copies to take."""
     rows = mixed.rows if rows is None else rows
-    return rows.join(mixed.plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + ((F.col("place") <= F.col("cut")) | (F.col("place") == F.col("extra"))).cast("int"), F.lit(0))).drop("base", "cut", "extra")
+    return rows.join(mixed.plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + ((F.col("place") <= F.col("cut")) | F.array_contains("extra", F.col("place"))).cast("int"), F.lit(0))).drop("base", "cut", "extra")
 
 
 def source_table(mixed: Mix) -> DataFrame:
