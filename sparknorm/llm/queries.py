@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.scan(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -38,5 +44,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.store(documents(spark, sf_dir), Scratch(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_binary_tokens, op9_mixing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op5_binary_tokens, op9_mixing, op10_matroska)}
 ORACLES: dict[str, str] = {}
