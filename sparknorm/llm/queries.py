@@ -22,12 +22,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(tokens, scratch, length=1024), tokens)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.fit(docs))
+
+
 def op5_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import binary_tokens
 
     return binary_tokens.read_tokens(binary_tokens.write_tokens(documents(spark, sf_dir), Scratch(spark), end_id=2))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -44,5 +57,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.store(documents(spark, sf_dir), Scratch(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op5_binary_tokens, op9_mixing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_language, op5_binary_tokens, op7_embedding_dedup, op9_mixing, op10_matroska)}
 ORACLES: dict[str, str] = {}
