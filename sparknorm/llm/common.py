@@ -39,6 +39,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         to = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", codec).parquet(to)
+        # Spark's cleaner drops the shuffle files of finished steps once the JVM has collected their plans
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(to)
 
     def free(self, df: DataFrame) -> None:
