@@ -1,8 +1,74 @@
-"""The corpus pipeline: language ID, near duplicates, PII, source mixing, packing."""
+"""The corpus pipeline: language ID, near duplicates, PII, source mixing, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes all that its predecessor kept and, but for the last, returns
+the columns it was given. The stages keep rows with null columns unless a
+stage's own rule says otherwise; an empty table stays empty.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparknorm.llm import jaccard_join, language, mixing, packing, pii
+from sparknorm.llm.common import Scratch, documents
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those with no n-gram of any learned language."""
+    name = _free(docs, "language")
+    found = docs.withColumn(name, language.predicted(docs, language.fit(docs), F.col("text")))
+    return found.where((F.col(f"{name}.lang_pred") != language.UNKNOWN) & (F.col(f"{name}.score") > 0)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each component: that of the smallest id. Rows equal in id and text count once."""
+    found = jaccard_join.near_duplicates(docs, Scratch(spark)).where("head")
+    top = F.lit(2**63 - 1)
+    heads = found.select(F.coalesce("doc_id", top).alias("k"), F.coalesce("key", top).alias("x")).distinct()
+    k, x = _free(docs, "k"), _free(docs, "x")
+    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), top)).withColumn(x, F.when(F.col("text").isNull(), top).otherwise(jaccard_join.text_key(F.col("text"))))
+    kept = keyed.join(heads.withColumnsRenamed({"k": k, "x": x}), [k, x], "left_semi")
+    return kept.dropDuplicates([k, x]).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in place of each span; n_chars, where there is one, follows the new text."""
+    masked = docs.withColumn("text", pii.masked(F.col("text")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources come to their targets."""
+    return mixing.repeat_rows(docs, mixing.mix(docs, Scratch(spark)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    tokens = packing.tokenise(docs, scratch)
+    return packing.with_checksums(packing.pack(tokens, scratch), tokens)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", mask_personal_data),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+ORACLE_SQL = None  # SQL expresses neither the language model nor the tokenizer; tests compare with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents, each saved and read again as the next one's input."""
+    scratch, docs = Scratch(spark), documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -421,7 +421,7 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, head) of every row.
+    """(doc_id, n_shingles, component_id, key, head) of every row; key is the hash of the text.
 
     ``head`` marks the text that stands for its component: the text of the
     component's smallest id, of several the one with the smallest hash; all
@@ -441,4 +441,4 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     out = rows.select("doc_id", F.when(F.col("t").isNotNull(), F.col("key")).alias("key")).join(info, "key", "left")
     alone = F.col("n").isNull()
     head = alone | ((F.col("key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), head.alias("head"))
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", head.alias("head"))

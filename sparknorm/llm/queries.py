@@ -25,7 +25,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join
 
-    return jaccard_join.near_duplicates(documents(spark, sf_dir), Scratch(spark)).drop("head")
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), Scratch(spark)).drop("key", "head")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,28 @@ def op5_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.read_tokens(binary_tokens.write_tokens(documents(spark, sf_dir), Scratch(spark), end_id=2))
 
 
+def op6_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sentence_dedup
+
+    cleaned = sentence_dedup.remove_repeats(documents(spark, sf_dir), Scratch(spark))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embedding_dedup
 
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source, the path its language there."""
+    from . import quality
+
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, Scratch(spark), F.col("source"), F.col("lang"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -63,5 +79,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.store(documents(spark, sf_dir), Scratch(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_language, op5_binary_tokens, op7_embedding_dedup, op9_mixing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_language, op5_binary_tokens, op6_sentence_dedup, op7_embedding_dedup, op8_quality, op9_mixing, op10_matroska)}
 ORACLES: dict[str, str] = {}
