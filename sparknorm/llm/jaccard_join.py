@@ -414,9 +414,9 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         return sizes, first
     # components of components
     root = first.select("node", "root")
-    bridged = more.join(root.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(root.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+    bridged = more.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     second = scratch.save(components(bridged.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch), "components")
-    known = first.join(second.withColumnsRenamed({"node": "root", "root": "top"}), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    known = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return sizes, known.union(second.join(first, "node", "left_anti").select("node", "root"))
 
 
