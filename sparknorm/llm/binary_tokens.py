@@ -112,16 +112,15 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary: str | None = Non
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         bits = width(max(enc.vocabulary_size(), end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
         part, segment = TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         keys: list[int | None] = []
         n = 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, keys, n, segment
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(b) // 4 for b in held])
+            ids = np.concatenate(held)
+            ends = np.cumsum([len(x) for x in held])
             nulls = sum(k is None for k in keys)  # they come first
             row = pa.RecordBatch.from_pydict(
                 {
@@ -140,10 +139,13 @@ def write_tokens(docs: DataFrame, scratch: Scratch, vocabulary: str | None = Non
         for batch in batches:
             for rows, texts in slices(batch, "t"):
                 keys_here = rows.column(0).to_pylist()
-                for key, b in zip(keys_here, enc.encode(texts), strict=True):
-                    held.append(b + end)
+                ids, ends = enc.encode(texts)
+                ids = np.insert(ids, ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+                for key, i, j in zip(keys_here, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    held.append(ids[i:j])
                     keys.append(key)
-                    n += len(b) // 4 + 1
+                    n += j - i
                     if n >= SEGMENT:
                         yield close()
         if held:

@@ -43,7 +43,9 @@ def tokenise(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, e
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part, texts in slices(batch, "t"):
-                ids = [np.append(np.frombuffer(b, "<u4"), np.uint32(end_id)) for b in enc.encode(texts)]
+                flat, ends = enc.encode(texts)
+                flat = np.insert(flat, ends, end_id).astype("<u2" if short else "<u4")
+                ids = np.split(flat, (ends + np.arange(1, len(ends) + 1))[:-1])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row": pa.array(range(row, row + len(ids)), pa.int64()),
@@ -51,7 +53,7 @@ def tokenise(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, e
                         "source": part.column(1),
                         "n": pa.array([len(x) for x in ids], pa.int64()),
                         "wide": pa.array([not short] * len(ids), pa.bool_()),
-                        "ids": pa.array([x.astype("<u2" if short else "<u4").tobytes() for x in ids], pa.binary()),
+                        "ids": pa.array([x.tobytes() for x in ids], pa.binary()),
                     }
                 )
                 row += len(ids)

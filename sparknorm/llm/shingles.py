@@ -23,17 +23,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _tables
+    if len(_tables[0]) < n:
         size = max(n, 1 << 21)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
-        _powers = (np.cumprod(up), np.cumprod(down))
-    return _powers[0][:n], _powers[1][:n]
+        _tables = (np.cumprod(up), np.cumprod(down))
+    return _tables[0][:n], _tables[1][:n]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate([[0], edge])
     first, last = edge[::2], edge[1::2]
-    up, down = _power_tables(len(data))
+    up, down = powers(len(data))
     total = np.cumsum(_BYTE[data] * up)
     before = np.where(first > 0, total[first - 1], np.uint64(0))
     count = np.diff(np.searchsorted(first, ends), prepend=0)

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from functools import lru_cache
 
-#: a space that does not simply begin the next word
-_ODD_SPACE = re.compile(r" (?:\s|$)")
+import numpy as np
+
+from .shingles import mix, powers
+
+_rng = np.random.Generator(np.random.PCG64(7))
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: what may follow a space or a line end that is a cut: no white space in any encoding of it
+_SOLID = np.ones(256, bool)
+_SOLID[:33] = False
+_SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # white space beyond ASCII begins with one of these
+_MARK = np.zeros(256, bool)
+_MARK[[ord("."), ord(",")]] = True
 
 
 def default_vocabulary() -> str:
@@ -17,93 +27,142 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Memo(dict):
-    """Piece to ids. A missing piece is encoded by the library and kept."""
-
-    def __init__(self, of: ChunkEncoder, lead: str):
-        self.of, self.lead, self.old = of, lead, {}
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where a pre-token surely begins, the texts' starts among them.
 
-    def __missing__(self, w: str) -> bytes:
-        a, cut, b = w.partition("\n")
-        if cut and a and b and not a[-1].isspace() and not b[0].isspace():  # such a line end is a pre-token
-            return self[a] + self.of.line_end + self.of.first[b]
-        if (ids := self.old.get(w)) is None:
-            ids = self.of.word(w, self.lead)
-        self[w] = ids
-        self.of.held += len(w) + len(ids) + 180
-        return ids
+    They are: a space before a character that is no white space; a single
+    line end between such characters, and what follows it; a full stop or
+    comma between an ASCII letter or digit and a space or line end.
+    """
+    if not len(data):
+        return starts
+    solid = _SOLID[data]
+    after = np.append(solid[1:], False)
+    before = np.append(False, data[:-1] > 32) & np.append(False, data[:-1] < 128)
+    cut = (data == 32) & after
+    line = (data == 10) & after & before
+    cut |= line
+    cut[1:] |= line[:-1]
+    gap = np.append((data[1:] == 32) | (data[1:] == 10), False)
+    cut[1:] |= (_MARK[data] & gap)[1:] & _ALNUM[data][:-1]
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
 class ChunkEncoder:
     """Ids of whole texts, equal to the tokenizers library's for the whole text.
 
-    Byte-level BPE never merges across its pre-tokens, and a space followed by
-    a character that is no white space always begins a pre-token. So the text
-    is cut there, every distinct piece is encoded once by the library, and a
-    text's ids are the concatenation. The memo is of two halves of
-    ``memo_bytes``; the older one goes when the newer is full.
+    Byte-level BPE never merges across its pre-tokens. So texts are cut at
+    places where a pre-token surely begins, each distinct piece is encoded once
+    by the library, and a text's ids are the concatenation. Pieces are found
+    again by a 64-bit hash in a table of fixed size, for all pieces of many
+    texts at once; a full table starts anew.
     """
 
-    def __init__(self, path: str, memo_bytes: int = 64 << 20):
+    def __init__(self, path: str, slot_bits: int = 21):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo_bytes, self.held = memo_bytes, 0
         self.tokenize = self.tok.model.tokenize
-        self.packed = [array("I", [i]).tobytes() for i in range(self.vocabulary_size())]
-        self.first, self.rest = _Memo(self, ""), _Memo(self, " ")
-        self.marks = {m: self.whole(m) for m in ".,"}
-        self.line_end = self.whole("\n")
+        self.bits = slot_bits
+        self.most = (1 << slot_bits) // 2
         # the printable stand-ins of bytes in a byte-level vocabulary
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.place = np.zeros(1 << self.bits, np.int64)
+        self.count = np.zeros(1 << self.bits, np.int32)
+        self.pool = np.zeros(1 << 20, np.uint32)
+        self.used = self.entries = 0
 
     def vocabulary_size(self) -> int:
         return self.tok.get_vocab_size(with_added_tokens=True)
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def word(self, w: str, lead: str) -> bytes:
-        """Latin letters with at most one full stop or comma behind are known pre-tokens, which go straight to the model."""
-        core, tail = (w[:-1], self.marks[w[-1]]) if w and w[-1] in self.marks else (w, b"")
-        if core.isascii():
-            if not core.isalpha():
-                return self.whole(lead + w)
-        elif core.isalpha() and max(core) <= "ɏ":
-            core = core.encode().decode("latin-1").translate(self.shown)
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def piece(self, raw: bytes) -> list[int]:
+        """Latin letters after at most one space are one pre-token, which goes straight to the model."""
+        text = raw.decode("utf-8", "surrogatepass")
+        core = text[1:] if text[:1] == " " else text
+        if core.isalpha() and max(core) <= "ɏ":
+            if not core.isascii():
+                core = core.encode().decode("latin-1").translate(self.shown)
+            return [t.id for t in self.tokenize("Ġ" + core if text[0] == " " else core)]
+        return self.whole(text)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 where it is unknown."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = np.where(self.keys[slot] == h, slot, -1)
+        for step in (1, 2, 3):
+            open_ = np.flatnonzero(found < 0)
+            if not len(open_):
+                break
+            s = (slot[open_] + step) & ((1 << self.bits) - 1)
+            found[open_] = np.where(self.keys[s] == h[open_], s, -1)
+        return found
+
+    def _add(self, h: int, ids: list[int]) -> None:
+        slot = first = h >> (64 - self.bits)
+        for _ in range(4):
+            if not self.count[slot]:
+                break
+            slot = (slot + 1) & ((1 << self.bits) - 1)
         else:
-            return self.whole(lead + w)
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.tokenize("Ġ" + core if lead else core)]) + tail
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces whose join by single spaces is the text."""
-        pieces = text.split(" ")
-        if _ODD_SPACE.search(text):
-            whole = pieces[:1]
-            for p in pieces[1:]:
-                if not p or p[0].isspace():
-                    whole[-1] += " " + p
-                else:
-                    whole.append(p)
-            return whole
-        return pieces
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out, get = [], self.rest.__getitem__
-        for t in texts:
-            if self.held > self.memo_bytes:
-                for memo in (self.first, self.rest):
-                    memo.old = dict(memo)
-                    memo.clear()
-                self.held = 0
-            head, *rest = self.cut(t)
-            out.append(self.first[head] + b"".join(map(get, rest)))
-        return out
+            slot = first
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.keys[slot], self.place[slot], self.count[slot] = h, self.used, len(ids)
+        self.used += len(ids)
+        self.entries += 1
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as unsigned 32-bit integers, and where each text's end."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        start = cuts(data, np.append(0, ends[:-1]))
+        stop = np.append(start[1:], len(data))
+        up, down = powers(len(data))
+        total = np.cumsum(_BYTE[data] * up)
+        before = np.where(start > 0, total[start - 1], np.uint64(0))
+        h = mix((total[stop - 1] - before) * down[start]) | np.uint64(1)  # 0 is an empty slot
+        if self.entries > self.most:
+            self._clear()
+        slot = self._find(h)
+        lost = np.flatnonzero(slot < 0)
+        own: dict[int, list[int]] = {}
+        if len(lost):
+            new, first = np.unique(h[lost], return_index=True)
+            for key, i in zip(new.tolist(), lost[first].tolist(), strict=True):
+                own[key] = ids = self.piece(joined[start[i] : stop[i]])
+                if len(ids) < 64:
+                    self._add(key, ids)
+            slot = self._find(h)
+        place, count = self.place[slot], self.count[slot].astype(np.int64)
+        rest = np.flatnonzero(slot < 0)  # long pieces and those that the table had no room for
+        pool = self.pool
+        if len(rest):
+            more, at = [], self.used
+            for i in rest.tolist():
+                ids = own[k] if (k := int(h[i])) in own else self.piece(joined[start[i] : stop[i]])
+                place[i], count[i] = at, len(ids)
+                more += ids
+                at += len(ids)
+            pool = np.append(pool[: self.used], np.array(more, np.uint32))
+        last = np.cumsum(count)
+        ids = pool[np.repeat(place - (last - count), count) + np.arange(last[-1])]
+        upto = np.searchsorted(start, ends)  # pieces before each text's end
+        return ids, np.append(0, last)[upto]
 
 
 @lru_cache(maxsize=2)
