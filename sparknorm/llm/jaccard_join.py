@@ -13,9 +13,10 @@ loses no pair. Below 32 shingles every shingle is its own part.
 Documents that share such a signature are candidates. Parity bit sketches,
 whose Hamming distance is at most the symmetric difference, reject most of
 them, and the rest is verified on whole shingle sets. First each signature's
-members meet their smallest one; then only members whose components still
-differ meet each other, in blocks. So all links between different texts count,
-but a group of copies is not multiplied out.
+members meet their smallest one, the hub; then only members whose components
+still differ meet each other, in blocks of a hub's members. A block yields
+links between its components only, so all links between different texts count,
+but neither pairs nor copies are multiplied out.
 
 Signatures travel packed: one row for each pair of tasks, not one a signature.
 Nodes are texts: rows with equal text share the 64-bit hash of it. Shingles are
@@ -36,7 +37,7 @@ from .shingles import mix, shingle_sets
 
 SMALL = 32  # shingles from which sets are cut into parts
 FLUSH = 4_000_000  # signatures that a task holds before it sends them
-BLOCK = 1024  # members of a signature compared at once
+BLOCK = 256  # members of a hub compared at once
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -289,60 +290,100 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in fresh], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array([sketch(s).tobytes() for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
-def _near(n: np.ndarray, bits: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs sizes and sketches allow."""
+def _near(n: np.ndarray, bits: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of texts i and j that sizes and sketches allow."""
     ok = 3 * np.maximum(n[i], n[j]) <= 4 * np.minimum(n[i], n[j])
     i, j = i[ok], j[ok]
-    words = min((len(bits[k]) for k in np.unique(np.concatenate([i, j])).tolist()), default=0)
-    if words:
-        folded = {k: fold(bits[k], words) for k in np.unique(np.concatenate([i, j])).tolist()}
-        table = np.zeros((len(n), words), np.uint64)
-        for k, v in folded.items():
-            table[k] = v
-        far = np.zeros(len(i), np.int64)
-        for w in range(words):
-            far += np.bitwise_count(table[i, w] ^ table[j, w])
-        ok[ok] = far <= (n[i] + n[j]) // 7
-    return ok
-
-
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of one signature's blocks, sorted together: pairs of different components that sizes and sketches allow."""
-    found: set[tuple[int, int]] = set()
-
-    def pairs(rows: list[tuple]) -> None:
-        key, comp, block = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-        first, last = rows[0][5:7]
-        n = np.array([r[3] for r in rows], np.int64)
-        bits = [np.frombuffer(r[4], "<u8") for r in rows]
-        left = np.flatnonzero(block == first)
-        right = np.flatnonzero(block == last)
-        for a in left.tolist():
-            b = right[(key[right] > key[a]) | (first != last)]
-            b = b[comp[b] != comp[a]]
-            if len(b):
-                b = b[_near(n, bits, np.full(len(b), a), b)]
-                found.update((min(int(key[a]), int(k)), max(int(key[a]), int(k))) for k in key[b])
-
-    def out() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-        found.clear()
-        return rows
-
+    size = np.array([len(b) for b in bits])
+    least = np.minimum(size[i], size[j])
+    keep = np.zeros(len(i), bool)
+    for words in np.unique(least).tolist():
+        own = np.flatnonzero(least == words)
+        used, where = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+        table = np.stack([fold(bits[k], words) for k in used.tolist()])
+        step = max(1, (1 << 21) // words)
+        for at in range(0, len(own), step):
+            x, y = where[at : min(at + step, len(own))], where[len(own) + at : len(own) + min(at + step, len(own))]
+            far = np.bitwise_count(table[x] ^ table[y]).sum(axis=1, dtype=np.int64)
+            part = own[at : at + step]
+            keep[part] = far <= (n[i[part]] + n[j[part]]) // 7
+    return i[keep], j[keep]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the left texts share a signature with which of the right ones."""
+    out = np.zeros((len(left), len(right)), bool)
+    sig = np.concatenate([*left, *right])
+    who = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(sig, kind="stable")
+    sig, who = sig[order], who[order]
+    for g in np.split(who, np.flatnonzero(np.diff(sig)) + 1):
+        at = int(np.searchsorted(g, len(left)))  # a stable sort keeps them ascending
+        out[np.ix_(g[:at], g[at:] - len(left))] = True
+    return out
+
+
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[tuple]]]:
+    """Rows sorted by (hub, i, j), a cell at a time."""
     now, rows = None, []
     for batch in batches:
-        for sig, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (sig, *row[5:7]) != now:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != now:
                 if len(rows) > 1:
-                    pairs(rows)
-                    if len(found) > 1 << 18:
-                        yield out()
-                now, rows = (sig, *row[5:7]), []
-            rows.append(row)
+                    yield now, rows
+                now, rows = row[:3], []
+            rows.append(row[3:])
     if len(rows) > 1:
-        pairs(rows)
-    if found:
-        yield out()
+        yield now, rows
+
+
+def _sides(cell: tuple[int, int, int], rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of a cell's (key, comp, block, n, bits, …): left and right members, sizes, sketches and components."""
+    block = np.array([r[2] for r in rows])
+    return np.flatnonzero(block == cell[1]), np.flatnonzero(block == cell[2]), np.array([r[3] for r in rows], np.int64), [np.frombuffer(r[4], "<u8") for r in rows], np.array([r[1] for r in rows], np.int64)
+
+
+MEMBER = "hub long, i int, j int, key long, comp long, block int, n long, bits binary"
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a cell that may be linked with one of another component: they share a signature, and sizes and sketches allow it."""
+    for cell, rows in _cells(batches):
+        left, right, n, bits, comp = _sides(cell, rows)
+        if not len(left) or not len(right):
+            continue
+        sigs = [np.array(r[5], np.int64) for r in rows]
+        both = _common([sigs[k] for k in left], [sigs[k] for k in right]) & (comp[left][:, None] != comp[right][None])
+        x, y = np.nonzero(np.triu(both, 1) if cell[1] == cell[2] else both)
+        x, y = _near(n, bits, left[x], right[y])
+        chosen = [rows[k] for k in np.unique(np.concatenate([x, y])).tolist()]
+        if chosen:
+            columns = [[v] * len(chosen) for v in cell] + [[r[c] for r in chosen] for c in range(5)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hub", "i", "j", "key", "comp", "block", "n", "bits"])
+
+
+def _bridge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a cell that join components, verified on whole sets: fewer than it has components."""
+    for cell, rows in _cells(batches):
+        left, right, n, bits, comp = _sides(cell, rows)
+        both = comp[left][:, None] != comp[right][None]
+        x, y = np.nonzero(np.triu(both, 1) if cell[1] == cell[2] else both)
+        top: dict[int, int] = {}
+
+        def root(c: int, top: dict[int, int] = top) -> int:
+            while c in top:
+                c = top[c]
+            return c
+
+        found = []
+        for a, b in zip(*(k.tolist() for k in _near(n, bits, left[x], right[y])), strict=True):
+            ra, rb = root(int(comp[a])), root(int(comp[b]))
+            if ra != rb and similar(np.frombuffer(rows[a][5], "<u8"), np.frombuffer(rows[b][5], "<u8")):
+                top[max(ra, rb)] = min(ra, rb)
+                found.append((rows[a][0], rows[b][0]))
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def _allow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,15 +442,19 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     near = _with(star, sets, "n", "bits").mapInArrow(_allow, "a long, b long")
     first = components(verified(near), scratch)
     first = scratch.save(first, "components")
-    # members but the hub, where more than one component is left
-    rest = member.where("key <> hub and members > 2").join(first.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("comp"))
-    mixed = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rest = rest.select("sig", "key", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.join(sets.select("key", "n", "bits"), "key").select("sig", "key", "comp", "block", "n", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = rest.repartition(lanes, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    pairs = rest.mapInArrow(_meet, "a long, b long").distinct()
-    more = scratch.save(verified(pairs), "links")
+    # members but the hub, where more than one component is left; a hub's signatures are met together, as they mostly have the same members
+    rest = member.where("key <> hub and members > 2").join(first.withColumnRenamed("node", "key"), "key", "left").select("sig", "hub", "key", F.coalesce("root", "key").alias("comp"))
+    mixed = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    rest = rest.join(mixed, "sig", "left_semi").groupBy("hub", "key", "comp").agg(F.collect_list("sig").alias("sigs"))
+    rest = scratch.save(rest.join(sets.select("key", "n", "bits"), "key"), "rest")
+    blocks = rest.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "comp", "block", "n", "bits", "sigs")
+    by_cell = lambda df: df.repartition(lanes, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    open_ = scratch.save(by_cell(rest).mapInArrow(_meet, MEMBER), "open")
+    open_ = open_.join(sets.select("key", "shingles"), "key").select("hub", "i", "j", "key", "comp", "block", "n", "bits", "shingles")
+    more = scratch.save(by_cell(open_).mapInArrow(_bridge, "a long, b long").distinct(), "links")
     if not more.limit(1).count():
         return sizes, first
     # components of components

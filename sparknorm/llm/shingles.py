@@ -70,7 +70,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
             keep[1:] = s[1:] != s[:-1]
             out.append(s[keep])
         elif n:
-            out.append(mix(np.array([(words[at : at + n] * _MIX[:n]).sum(dtype=np.uint64) + np.uint64(n) * _MIX[WIDTH]], np.uint64)))
+            out.append(mix((words[at : at + n] * _MIX[:n]).sum(dtype=np.uint64, keepdims=True) + n * _MIX[WIDTH:]))
         else:
             out.append(np.empty(0, np.uint64))
         at += n
