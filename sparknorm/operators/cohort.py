@@ -50,7 +50,7 @@ def meets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many keys both have, only the first, only the second."""
     sides = a.select(F.col(key).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(F.col(key), F.lit(0), F.lit(1)))
     each = sides.groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return each.agg(F.count_if("a = 1 and b = 1").alias("both"), F.count_if("b = 0").alias("only_first"), F.count_if("a = 0").alias("only_second"))
+    return each.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both"), F.count_if(F.col("b") == 0).alias("only_first"), F.count_if(F.col("a") == 0).alias("only_second"))
 
 
 def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -44,7 +44,7 @@ def run_features(x: np.ndarray, sfreq: float, notch: float | None = 60.0, window
         y = S.band_pass(x, *BANDS[band], sfreq)  # the whole run is filtered before it is cut
         w = S.phase_locking(y)
         edge = w[np.triu_indices(len(w), 1)]
-        row = {"plv_mean": float(edge.mean()), "plv_median": float(np.median(edge))} | S.graph_metrics(w)
+        row = {"plv_mean": float(edge.mean()) if len(edge) else math.nan, "plv_median": float(np.median(edge)) if len(edge) else math.nan} | S.graph_metrics(w)
         series = [S.phase_locking(y[:, a:b]) for a, b in S.windows(y.shape[1], sfreq, window_s, step_s)]
         d = S.transition_summary(S.transitions(series))
         each = [S.graph_metrics(m)["degree_cv"] for m in series]

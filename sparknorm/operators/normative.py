@@ -5,19 +5,21 @@ the covariate and x the features, both taken from a fixed offset: the residual
 covariance is (S_xx - S_xa S_ax / S_aa) / (n - 1). Moments are summed by task
 and then cell by cell, so fitting moves p squared numbers a task, and
 shrinkage grids, leave-one-out (a rank-one downdate) and transfers need no
-further pass. Scoring is a projection with the model's numbers as literals.
+further pass. Scoring is a projection: one matrix product a block and Arrow batch.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparknorm.functions import columns as C
 from sparknorm.functions.contract import BLOCKS, EPS, require
@@ -131,14 +133,24 @@ class Block:
     def residuals(self, age: Column) -> list[Column]:
         return [F.col(f).cast("double") - (float(b0) + float(b1) * age) for f, b0, b1 in zip(self.features, self.intercept, self.slope, strict=True)]
 
-    def distance(self, residuals: Sequence[Column]) -> Column:
-        w = whitening(self.cov)
-        terms = []
-        for i in range(len(w)):
-            parts = [residuals[j] * float(w[i, j]) for j in range(len(w)) if w[i, j] != 0.0]
-            y = sum(parts[1:], parts[0])
-            terms.append(y * y)
-        return F.sqrt(sum(terms[1:], terms[0]))
+
+def distances(blocks: Mapping[str, Block]) -> Callable[[Column, Column], Column]:
+    """A function of (age, struct of all features) that gives a struct of D_<block>.
+
+    One matrix product a block and batch. As column expressions, a block of p
+    features takes p squared terms, which outgrow code generation and, once a
+    filter on a distance is pushed down, the optimiser. A missing input gives null.
+    """
+    names = list(dict.fromkeys(f for b in blocks.values() for f in b.features))
+    parts = {f"D_{k}": ([names.index(f) for f in b.features], b.intercept, b.slope, whitening(b.cov).T) for k, b in blocks.items()}
+
+    @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in parts]))
+    def run(age: pd.Series, x: pd.DataFrame) -> pd.DataFrame:
+        a, v = age.to_numpy(float)[:, None], x.to_numpy(float)
+        return pd.DataFrame({k: np.linalg.norm((v[:, at] - b0 - a * b1) @ w, axis=1) for k, (at, b0, b1, w) in parts.items()})
+
+    once = run.asNondeterministic()  # else a filter on a distance would compute it twice
+    return lambda age, x: once(age, x)
 
 
 @dataclass(frozen=True)
@@ -150,11 +162,11 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, df: DataFrame, age: str = "age") -> DataFrame:
-        """The rows with D_<block> and their composite. A null or non-finite input gives a null or NaN distance."""
+        """The rows with D_<block> and their composite. A missing input gives a null distance."""
         require(df.columns, [age, *(f for b in self.blocks.values() for f in b.features)])
-        res = {name: [f"_{name}_{i}" for i in range(len(b.features))] for name, b in self.blocks.items()}
-        staged = df.select("*", *[c.alias(n) for name, b in self.blocks.items() for c, n in zip(b.residuals(F.col(age).cast("double")), res[name], strict=True)])
-        staged = staged.select(*[F.col(f"`{c}`") for c in df.columns], *[b.distance([F.col(c) for c in res[name]]).alias(f"D_{name}") for name, b in self.blocks.items()])
+        names = dict.fromkeys(f for b in self.blocks.values() for f in b.features)
+        found = distances(self.blocks)(F.col(age).cast("double"), F.struct(*[F.col(f).cast("double").alias(f) for f in names]))
+        staged = df.select("*", found.alias("_d")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_d.D_{name}") for name in self.blocks])
         return staged.withColumn("composite", C.weighted({name: F.col(f"D_{name}") for name in self.blocks}, self.weights or None))
 
     def profile(self, df: DataFrame, ids: Sequence[str], age: str = "age", unshrunk: bool = False) -> DataFrame:
