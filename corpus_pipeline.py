@@ -23,9 +23,7 @@ def _free(docs: DataFrame, name: str) -> str:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those with no n-gram of any learned language."""
-    name = _free(docs, "language")
-    found = docs.withColumn(name, language.predicted(docs, language.fit(docs), F.col("text")))
-    return found.where((F.col(f"{name}.lang_pred") != language.UNKNOWN) & (F.col(f"{name}.score") > 0)).select(*docs.columns)
+    return language.known(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

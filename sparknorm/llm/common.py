@@ -18,6 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from here on: whole texts and shingle sets may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -32,6 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
         self.path = f"{base.rstrip('/')}/sparknorm-{uuid.uuid4().hex}"
         atexit.register(self._drop, self.path)
@@ -57,7 +65,7 @@ class Scratch:
             pass
 
 
-def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of about ``chars`` characters, with their texts (null: empty)."""
     texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
     start = held = 0
@@ -70,12 +78,12 @@ def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 20) -> Iterat
         yield batch.slice(start), texts[start:]
 
 
-def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], text_col: str) -> Callable:
+def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], text_col: str, chars: int = 1 << 19) -> Callable:
     """A mapInArrow function that calls ``fn`` on slices of bounded text size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, text_col):
+            for part, texts in slices(batch, text_col, chars):
                 out = fn(part, texts)
                 if out is not None and out.num_rows:
                     yield out

@@ -36,7 +36,7 @@ from .common import Scratch, components, shuffle_partitions, slices
 from .shingles import mix, shingle_sets
 
 SMALL = 32  # shingles from which sets are cut into parts
-FLUSH = 4_000_000  # signatures that a task holds before it sends them
+FLUSH = 1_000_000  # signatures that a task holds before it sends them
 BLOCK = 256  # members of a hub compared at once
 _LOW40 = np.uint64((1 << 40) - 1)
 

@@ -15,26 +15,25 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import per_slice
+from .common import bound_batches, per_slice, slices
 
 UNKNOWN = "und"
 SIZES = (2, 4)  # characters of the n-grams
 SAMPLE = 3000  # labelled rows a language, about
 GRAMS = 100_000  # n-grams kept a language
 PROBES = 3
+CHARS = 1 << 18  # of texts looked at together
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class Model(NamedTuple):
     languages: list[str]
     bits: int  # of a slot number
-    slots: np.ndarray  # (2 ** bits, words) unsigned 64 bit: bit l of word l // 64 is language l
+    slots: np.ndarray  # (2 ** bits, words) of the least unsigned type: bit l % width of word l // width is language l
     chance: np.ndarray  # by language: the share of unknown n-grams that hit
 
 
@@ -86,14 +85,15 @@ def build(languages: list[str], found: dict[str, np.ndarray]) -> Model:
     """The filter over each language's n-gram hashes; 16 slots an n-gram or more."""
     total = sum(len(x) for x in found.values())
     bits = max(10, int(np.ceil(np.log2(max(1, total) * 16))))
-    words = -(-max(1, len(languages)) // 64)
-    slots = np.zeros((1 << bits, words), np.uint64)
+    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(k).itemsize), np.uint64)
+    width = 8 * np.dtype(kind).itemsize
+    slots = np.zeros((1 << bits, -(-max(1, len(languages)) // width)), kind)
     chance = np.zeros(len(languages))
     for i, name in enumerate(languages):
-        flag = np.uint64(1 << i % 64)
+        flag = kind(1 << i % width)
         for at in _probes(found[name], bits):
-            slots[at, i // 64] |= flag
-        chance[i] = np.mean((slots[:, i // 64] & flag) != 0) ** PROBES
+            slots[at, i // width] |= flag
+        chance[i] = np.mean((slots[:, i // width] & flag) != 0) ** PROBES
     return Model(languages, bits, slots, chance)
 
 
@@ -108,12 +108,13 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     if len(model.languages):
         slot = list(_probes(h, model.bits))
         n = np.bincount(doc, minlength=len(texts))
+        kind, width = model.slots.dtype.type, 8 * model.slots.dtype.itemsize
         for w in range(model.slots.shape[1]):
             masks = model.slots[slot[0], w]
             for at in slot[1:]:
                 masks &= model.slots[at, w]
-            for i in range(w * 64, min(len(model.languages), w * 64 + 64)):
-                hit = (masks & np.uint64(1 << i % 64)) != 0
+            for i in range(w * width, min(len(model.languages), w * width + width)):
+                hit = (masks & kind(1 << i % width)) != 0
                 count[:, i] = np.bincount(doc[hit], minlength=len(texts))
         count = np.maximum(0.0, (count - n[:, None] * model.chance) / (1 - model.chance))
     total = count.sum(axis=1)
@@ -141,6 +142,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: s
     rate is no less than half the highest rate of any language. Only kept
     n-grams, at most ``max_grams`` a language, reach the driver.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.where(~held_out(id_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -151,12 +153,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: s
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         for batch in batches:
-            texts, langs = batch.column(2).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            h, doc, _ = grams(texts)
-            for name in set(langs):
-                mine = (langs == name)[doc]
-                pairs = np.unique(np.stack([doc[mine].astype(np.uint64), h[mine]]), axis=1)[1] if mine.any() else np.empty(0, np.uint64)
-                held.setdefault(name, []).append(pairs)
+            for part, texts in slices(batch, "t", CHARS):
+                langs = np.array(part.column(1).to_pylist(), object)
+                h, doc, _ = grams(texts)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                for name in set(langs):
+                    held.setdefault(name, []).append(h[new & (langs == name)[doc]])
         for name, parts in held.items():
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(keys)), "h": pa.array(keys.view(np.int64)), "n": pa.array(n, pa.int64())})
@@ -181,20 +186,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_pydict({"doc_id": part.column(0), "held_out": part.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(per_slice(run, "t"), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(per_slice(run, "t", CHARS), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def predicted(docs: DataFrame, model: Model, text: Column) -> Column:
-    """A struct column (lang_pred, score) beside a frame's own columns."""
+def known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Whole rows whose text has a letter and an n-gram of a learned language; a null text has none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
-        for i in range(0, len(texts), 256):
-            a, b = predict(shared.value, [t or "" for t in texts.iloc[i : i + 256]])
-            names += a
-            scores += b
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        names, scores = predict(shared.value, texts)
+        return part.filter(pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return run(text)
+    return docs.mapInArrow(per_slice(run, text_col, CHARS), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_slice
+from .common import bound_batches, per_slice
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "account", "url")
@@ -160,6 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         counts = {f"n_{k}": pa.array([sum(s.kind == k for s in b) for b in base], pa.int64()) for k in BASE}
         return pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | counts | {"base": pa.array([joined(b) for b in base], pa.string()), "spans": pa.array([joined(f) for f in found], pa.string())})
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(per_slice(run, "t"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 

@@ -29,7 +29,7 @@ _tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _tables
     if len(_tables[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         _tables = (np.cumprod(up), np.cumprod(down))
