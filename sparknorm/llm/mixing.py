@@ -195,7 +195,8 @@ def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = Non
 def copies(mixed: Mix, rows: DataFrame | None = None) -> DataFrame:
     """``rows`` (by default the planned ones; they need pattern and place) with the number of copies to take."""
     rows = mixed.rows if rows is None else rows
-    return rows.join(mixed.plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + ((F.col("place") <= F.col("cut")) | F.array_contains("extra", F.col("place"))).cast("int"), F.lit(0))).drop("base", "cut", "extra")
+    plan = F.broadcast(mixed.plan)  # a row a pattern, at most max_patterns, with at most FILLS numbers each
+    return rows.join(plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + ((F.col("place") <= F.col("cut")) | F.array_contains("extra", F.col("place"))).cast("int"), F.lit(0))).drop("base", "cut", "extra")
 
 
 def source_table(mixed: Mix) -> DataFrame:
