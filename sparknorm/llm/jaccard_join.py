@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shuffle_partitions, slices
+from .common import Scratch, components, shuffle_partitions, slices, trimmed
 from .shingles import mix, shingle_sets
 
 SMALL = 32  # shingles from which sets are cut into parts
@@ -421,8 +421,8 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     spark = texts.sparkSession
     lanes = shuffle_partitions(spark)
     arrange = lambda df: df.repartition(lanes, "lane").sortWithinPartitions("lane", "kind")
-    signed = texts.select("key", "t").mapInArrow(_sign(lanes), PACKED)
-    counted = scratch.save(arrange(signed).mapInArrow(_count(lanes), PACKED), "counted")
+    signed = texts.select("key", "t").mapInArrow(trimmed(_sign(lanes)), PACKED)
+    counted = scratch.save(arrange(signed).mapInArrow(trimmed(_count(lanes)), PACKED), "counted")
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,15 +431,15 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(b, "<i8", n)), "n": pa.array(np.frombuffer(b, "<u4", n, 8 * n).astype(np.int64))})
 
     sizes = counted.where(F.col("kind") == SIZES).select("blob").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.first("n").alias("n"))
-    member = arrange(counted.where(F.col("kind") == SIGS)).mapInArrow(_choose, "sig long, key long")
+    member = arrange(counted.where(F.col("kind") == SIGS)).mapInArrow(trimmed(_choose), "sig long, key long")
     member = scratch.save(member, "member")
     hubs = member.groupBy("sig").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     member = scratch.save(member.join(hubs, "sig").select("sig", "key", "hub", "members"), "member")
-    sets = texts.join(member.select("key").distinct(), "key", "left_semi").select("key", "t").mapInArrow(_sets, "key long, n long, bits binary, shingles binary")
+    sets = texts.join(member.select("key").distinct(), "key", "left_semi").select("key", "t").mapInArrow(trimmed(_sets), "key long, n long, bits binary, shingles binary")
     sets = scratch.save(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles")), "sets")
-    verified = lambda pairs: _with(pairs, sets, "shingles").mapInArrow(_verify, "a long, b long")
+    verified = lambda pairs: _with(pairs, sets, "shingles").mapInArrow(trimmed(_verify), "a long, b long")
     star = member.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    near = _with(star, sets, "n", "bits").mapInArrow(_allow, "a long, b long")
+    near = _with(star, sets, "n", "bits").mapInArrow(trimmed(_allow), "a long, b long")
     first = components(verified(near), scratch)
     first = scratch.save(first, "components")
     # members but the hub, where more than one component is left; a hub's signatures are met together, as they mostly have the same members
@@ -452,9 +452,9 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "comp", "block", "n", "bits", "sigs")
     by_cell = lambda df: df.repartition(lanes, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    open_ = scratch.save(by_cell(rest).mapInArrow(_meet, MEMBER), "open")
+    open_ = scratch.save(by_cell(rest).mapInArrow(trimmed(_meet), MEMBER), "open")
     open_ = open_.join(sets.select("key", "shingles"), "key").select("hub", "i", "j", "key", "comp", "block", "n", "bits", "shingles")
-    more = scratch.save(by_cell(open_).mapInArrow(_bridge, "a long, b long").distinct(), "links")
+    more = scratch.save(by_cell(open_).mapInArrow(trimmed(_bridge), "a long, b long").distinct(), "links")
     if not more.limit(1).count():
         return sizes, first
     # components of components

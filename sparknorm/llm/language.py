@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, per_slice, slices
+from .common import bound_batches, per_slice, slices, trimmed
 
 UNKNOWN = "und"
 SIZES = (2, 4)  # characters of the n-grams
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: s
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(keys)), "h": pa.array(keys.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    seen = chosen.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    seen = chosen.mapInArrow(trimmed(count), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     learned = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     rate = seen.where("n >= 3").join(learned, "lang").withColumn("rate", F.col("n") / F.col("docs")).where("rate >= 0.002")
     best = rate.groupBy("h").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("all"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, slices
+from .common import Scratch, slices, trimmed
 from .tokens import default_vocabulary, encoder
 
 SALTS = 64  # parts of a source's queue whose lengths are summed apart
@@ -59,7 +59,7 @@ def tokenise(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, e
                 row += len(ids)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"))
-    return scratch.save(rows.mapInArrow(encode, "row long, doc_id long, source string, n long, wide boolean, ids binary"), "ids")
+    return scratch.save(rows.mapInArrow(trimmed(encode), "row long, doc_id long, source string, n long, wide boolean, ids binary"), "ids")
 
 
 def schedule(queues: dict[str, list[tuple[int, int]]], shares: dict[str, float], deficits: dict[str, float], position: int, length: int) -> list[tuple[int, int, int, int, int]]:
