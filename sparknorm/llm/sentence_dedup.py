@@ -1,12 +1,20 @@
 """Removal of repeated passages by sliding sentence spans.
 
 A text is cut into sentences: words up to one that ends in . ! ? ; : or a
-comma, or up to a line end. Clauses count as sentences, so that a long one does
-not hide the start of a passage. Every run of ``RUN`` consecutive sentences is
-hashed; runs that several documents have are first in the document of smallest
+comma, or up to a line end; the marks of other scripts count, too. Clauses count
+as sentences, and one of more than ``LONGEST`` words is cut further, behind the
+word of least hash of every ``LONGEST`` - 1 neighbours, so that neither a long
+one nor a lack of marks hides a passage. In scripts without spaces each character
+is cut like a word. Every run of ``RUN`` consecutive sentences is hashed; runs that several documents have are first in the document of smallest
 id, and in all others their sentences are covered. A later occurrence in the
 same document is covered as well. Covered sentences go where they form a
 stretch of at least ``MIN_WORDS`` words, so short common phrases stay.
+
+Of a repeated passage of n words with the same line ends, at most ``LONGEST``
+words at each end fuse with what surrounds it; sentences of n - 2 * ``LONGEST``
+words or more inside are cut alike everywhere. So every one of
+``MIN_WORDS`` + 2 * ``LONGEST`` words (49) is found, but for stretches of one
+word ``LONGEST`` times over, which are not cut.
 """
 
 from __future__ import annotations
@@ -20,19 +28,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, per_slice, slices
-from .shingles import _SPACE, mix, word_hashes
+from .shingles import _BYTE, _SPACE, mix, powers
 
 RUN = 3
 MIN_WORDS = 25
+LONGEST = 12  # words of a sentence
+PART = 4  # a word's weight; characters of scripts without spaces weigh less
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?;:,"]] = True
 _LINE = np.zeros(256, bool)
 _LINE[[10, 13]] = True
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
+_IDEOGRAPH, _LETTER, _MARK = 1, 2, 3  # about two characters a word, about four, and the end of a sentence
+_KIND = np.zeros(0x40000, np.uint8)
+for _a, _b in ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+    _KIND[_a : _b + 1] = _IDEOGRAPH
+for _a, _b in ((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF)):  # Thai, Lao, Burmese, Khmer
+    _KIND[_a : _b + 1] = _LETTER
+_KIND[[ord(c) for c in "\u3000、。！，．：；？｡､…‼⁇⁈⁉।॥၊။។៕،؛؟۔։፣።፤፥፦፧፨"]] = _MARK
+_WEIGHT = np.array([PART, PART // 2, PART // 4, PART])
 
 
 class Cut(NamedTuple):
-    """Sentences of several texts, in order: the text of each, its byte range there, its words and its hash."""
+    """Sentences of several texts, in order: the text of each, its byte range there, its words in parts of ``PART`` and its hash."""
 
     text: np.ndarray
     start: np.ndarray
@@ -41,29 +59,83 @@ class Cut(NamedTuple):
     hash: np.ndarray
 
 
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, byte lengths and kinds of UTF-8 characters that are no ordinary part of a word; ASCII aside."""
+    at = np.flatnonzero(data >= 0xCD)
+    lead = data[at]
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    code = (lead & (0xFF >> (size + 1))).astype(np.int64)
+    for k in (1, 2, 3):
+        inside = size > k
+        code[inside] = code[inside] << 6 | data[at[inside] + k] & 63
+    kind = np.where(code < len(_KIND), _KIND[np.minimum(code, len(_KIND) - 1)], 0)
+    odd = kind > 0
+    return at[odd], size[odd], kind[odd]
+
+
+def _split(word: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words behind which long sentences are cut: of each ``LONGEST`` - 1 neighbours the last of least hash, with the word before it."""
+    count = ends - begins + 1
+    long = count > LONGEST
+    if not long.any():
+        return np.empty(0, np.int64)
+    count, begins = count[long], begins[long]
+    owner = np.repeat(np.arange(len(count)), count)
+    first = np.cumsum(count) - count
+    at = np.arange(len(owner)) + np.repeat(begins - first, count)
+    value = word[at]
+    value[1:] += value[:-1] * _ODD[1]
+    value[first] = word[begins]
+    value = mix(value)
+    width = LONGEST - 1
+    n = len(value) - width + 1
+    low, high, place = value[:n].copy(), value[:n].copy(), np.arange(n)
+    for j in range(1, width):
+        v = value[j : n + j]
+        less = v <= low
+        low[less] = v[less]
+        place[less] = np.flatnonzero(less) + j
+        np.maximum(high, v, out=high)
+    return at[np.unique(place[(owner[:n] == owner[width - 1 :]) & (low < high)])]
+
+
 def cut(texts: list[str]) -> Cut:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    word, count = word_hashes(texts)
-    if not len(word):
+    space = _SPACE[data]
+    if space.all():
         none = np.empty(0, np.int64)
         return Cut(none, none, none, none, np.empty(0, np.uint64))
-    space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     edge = np.concatenate([[0], edge]) if not space[0] else edge
     first, last = edge[::2], edge[1::2]
+    weight = np.full(len(first), PART)
+    at, size, kind = _kinds(data)
+    marked = at[kind == _MARK] + size[kind == _MARK]
+    if len(at):
+        stay = space | _END[data]
+        stay[at[kind == _MARK]] = True
+        own = kind != _MARK
+        first = np.unique(np.concatenate([first, at[own], (at + size)[~stay[at + size]]]))
+        last = np.minimum(np.append(first[1:], len(data)), last[np.searchsorted(last, first, "right")])
+        weight = np.full(len(first), PART)
+        weight[np.searchsorted(first, at[own])] = _WEIGHT[kind[own]]
+    up, down = powers(len(data))
+    total = np.cumsum(_BYTE[data] * up)
+    word = mix((total[last - 1] - np.where(first > 0, total[first - 1], np.uint64(0))) * down[first])
     lines = np.cumsum(_LINE[data])  # the separator of texts is a line end, too
-    close = _END[data[last - 1]] | (np.append(lines[first[1:]], lines[-1] + 1) != lines[last - 1])
+    close = _END[data[last - 1]] | np.isin(last, marked) | (np.append(lines[first[1:]], lines[-1] + 1) != lines[last - 1])
+    ends = np.flatnonzero(close)
+    close[_split(word, np.concatenate([[0], ends[:-1] + 1]), ends)] = True
     ends = np.flatnonzero(close)
     begins = np.concatenate([[0], ends[:-1] + 1])
     # words of a sentence in order: a sum over powers of the word's place
     place = np.arange(len(word)) - np.repeat(begins, ends - begins + 1)
     mixed = mix(word + place.astype(np.uint64) * _ODD[0])
     total = np.add.reduceat(mixed, begins)
-    owner = np.repeat(np.arange(len(texts)), count)
     offset = np.cumsum([0, *[len(r) + 1 for r in raw]])
-    text = owner[begins]
-    return Cut(text, first[begins] - offset[text], last[ends] - offset[text], ends - begins + 1, mix(total + (ends - begins + 1).astype(np.uint64)))
+    text = np.searchsorted(offset, first[begins], "right") - 1
+    return Cut(text, first[begins] - offset[text], last[ends] - offset[text], np.add.reduceat(weight, begins), mix(total + (ends - begins + 1).astype(np.uint64)))
 
 
 def runs(c: Cut) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +165,7 @@ def _drop(c: Cut, i: int, j: int, repeated: list[int], min_words: int) -> tuple[
     gone, ranges = 0, []
     edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if c.words[i + a : i + b].sum() >= min_words:
+        if c.words[i + a : i + b].sum() >= min_words * PART:
             gone += b - a
             ranges.append((int(c.start[i + a]), int(c.stop[i + b - 1])))
     return gone, ranges

@@ -65,3 +65,55 @@ def test_edges(spark):
     got = sd.remove_repeats(frame, Scratch(spark), 1).collect()
     assert len(got) == 3 and all(r["n_removed"] == 0 for r in got)
     assert sd.remove_repeats(frame.limit(0), Scratch(spark)).count() == 0
+
+
+def _plant(rng, words, passage, sep=" "):
+    return sep.join([*(rng.choice(words) for _ in range(rng.randint(1, 60))), *passage, *(rng.choice(words) for _ in range(rng.randint(1, 60)))])
+
+
+def test_finds_passages_without_marks(spark):
+    """51 to 60 words that also stand in a smaller id: at most LONGEST stay at each end, whatever surrounds them."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    few = [*vocabulary[:400], *["of", "the"] * 60]
+    docs, planted = {}, {}
+    for i in range(300):
+        passage = [rng.choice(few) + rng.choice(["", ","] if i % 3 == 0 and rng.random() < 0.1 else [""]) for _ in range(rng.randint(51, 60))]
+        docs[2 * i], docs[2 * i + 1] = (_plant(rng, vocabulary, passage) for _ in range(2))
+        planted[2 * i + 1] = " ".join(passage)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in sd.remove_repeats(frame, Scratch(spark)).collect():
+        if r["doc_id"] % 2 == 0:
+            assert r["n_removed"] == 0 and r["text"] == docs[r["doc_id"]]
+            continue
+        gone = " ".join(docs[r["doc_id"]][int(a) : int(b)] for a, b in (x.split(":") for x in r["removed"].split(",")))
+        passage = planted[r["doc_id"]]
+        assert gone in passage and len(gone.split()) >= len(passage.split()) - 2 * sd.LONGEST
+
+
+def test_finds_passages_of_other_scripts(spark):
+    rng = random.Random(10)
+    han = [chr(c) for c in range(0x4E00, 0x5200)] + ["。", "，"] * 40
+    thai = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    hindi = ["".join(rng.choices("कखगघचछजझ", k=5)) + rng.choice(["", "", "।"]) for _ in range(3000)]
+    for words, n, sep in ((han, 102, ""), (thai, 204, ""), (hindi, 51, " ")):
+        docs = {}
+        for i in range(0, 60, 2):
+            passage = rng.choices(words, k=n)
+            docs[i], docs[i + 1] = (_plant(rng, words, passage, sep) for _ in range(2))
+        frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+        got = {r["doc_id"]: r for r in sd.remove_repeats(frame, Scratch(spark)).collect()}
+        assert all((got[i]["n_removed"] > 0) == (i % 2 == 1) for i in docs)
+        assert all(len(got[i]["text"]) < len(docs[i]) - (n - 2 * sd.LONGEST) // 2 for i in docs if i % 2)
+
+
+def test_cuts_do_not_depend_on_neighbours():
+    texts = ["", "a b。c d 你好，world x", "  ", "z " * 20 + "q", "é…"]
+    whole = sd.cut(texts)
+    for i, t in enumerate(texts):
+        alone = sd.cut([t])
+        at = whole.text == i
+        assert all((getattr(alone, f) == getattr(whole, f)[at]).all() for f in ("start", "stop", "words", "hash"))
+    raw = texts[1].encode()
+    one = sd.cut([texts[1]])
+    assert [raw[a:b].decode() for a, b in zip(one.start, one.stop)] == ["a b。", "c d 你好，", "world x"]
