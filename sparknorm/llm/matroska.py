@@ -28,6 +28,9 @@ TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+SEEK_HEAD, ATTACHMENTS, CHAPTERS, TAGS = 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367
+TOPS = {EBML, SEGMENT}
+LEVEL_1 = {SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, ATTACHMENTS, CHAPTERS, TAGS}
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0, 2, 4, 6
 
 RATE, FRAME, LACE, BLOCKS = 8000, 512, 4, 16  # samples a second, samples a frame, frames a block, blocks a cluster
@@ -139,12 +142,26 @@ def _number(data: bytes, at: int, end: int, keep_marker: bool) -> tuple[int, int
     return (n if keep_marker else n & ones), at + width, n & ones == ones
 
 
+def _unknown_end(data: bytes, key: int, at: int, end: int) -> int:
+    """Where an element of unknown size ends: at the next id that cannot stand in it, or with its parent."""
+    behind = TOPS if key == SEGMENT else TOPS | LEVEL_1
+    while at < end:
+        inner, body, _ = _number(data, at, end, True)
+        if inner in behind:
+            return at
+        size, body, unknown = _number(data, body, end, False)
+        at = body if unknown else body + size  # what stands in one of unknown size is looked at alike
+    if at > end:
+        raise ValueError(f"element {inner:X} ends behind its parent, at byte {at}")
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, start, stop) of each element's body in a range. An unknown size reaches to the end of its parent."""
+    """(id, start, stop) of each element's body in a range. An unknown size reaches to the next element of a level above."""
     while at < end:
         key, at, _ = _number(data, at, end, True)
         size, at, unknown = _number(data, at, end, False)
-        stop = end if unknown else at + size
+        stop = _unknown_end(data, key, at, end) if unknown else at + size
         if stop > end:
             raise ValueError(f"element {key:X} ends behind its parent, at byte {stop}")
         yield key, at, stop

@@ -67,3 +67,27 @@ def test_query_form(spark, tmp_path):
     assert got[1][2:] == got[2][2:] and got[3] == got[4]
     assert m.packet_table(stored).where("id = 4").count() == 2 * 196
     assert m.describe(m.store(docs.limit(0), Scratch(spark))).count() == 0
+
+
+UNKNOWN = b"\x01" + b"\xff" * 7
+
+
+@pytest.mark.parametrize("segment_unknown", [True, False])
+def test_clusters_of_unknown_size(segment_unknown):
+    """As live streams have them: each cluster ends where the next level-1 element begins, the segment at the next header."""
+    cluster = lambda t, *parts: m.CLUSTER.to_bytes(4, "big") + UNKNOWN + m.uint(m.TIMESTAMP, t) + b"".join(m.element(m.SIMPLE_BLOCK, b"\x81" + i.to_bytes(2, "big") + b"\x80" + p) for i, p in enumerate(parts))
+    one, two, three = cluster(0, b"ab", b"c"), cluster(40, b"def"), cluster(90, b"g", m.CLUSTER.to_bytes(4, "big"))
+    tags = m.element(0x1254C367, b"")  # Tags
+    cues = m.element(m.CUES, m.element(m.CUE_POINT, m.uint(m.CUE_TIME, 40) + m.element(m.CUE_TRACK_POSITIONS, m.uint(m.CUE_TRACK, 1) + m.uint(m.CUE_CLUSTER_POSITION, len(m._TRACKS + one)))))
+    body = m._TRACKS + one + two + tags + three + cues
+    data = m._HEADER + (m.SEGMENT.to_bytes(4, "big") + UNKNOWN + body if segment_unknown else m.element(m.SEGMENT, body))
+    for times in (1, 2):
+        media = m.parse(data * times)
+        found = [(p.cluster, p.time_ns // m.TICK_NS, (data * times)[p.start : p.start + p.size]) for p in media.packets]
+        want = [(0, 0, b"ab"), (0, 1, b"c"), (1, 40, b"def"), (2, 90, b"g"), (2, 91, m.CLUSTER.to_bytes(4, "big"))]
+        assert found == [(c + 3 * k, t, b) for k in range(times) for c, t, b in want]
+        assert media.clusters == 3 * times and len(media.cues) == times
+        for time, track, at in media.cues:
+            assert (time, track) == (40 * m.TICK_NS, 1) and (data * times)[at:].startswith(two)
+    with pytest.raises(ValueError):
+        m.parse(data[:-1])
