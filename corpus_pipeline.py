@@ -22,7 +22,7 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those with no n-gram of any learned language."""
+    """Drops texts without a letter and those with no n-gram of any learned language, unless a labelled language, or all, taught nothing."""
     return language.known(docs, language.fit(docs))
 
 

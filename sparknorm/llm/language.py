@@ -35,6 +35,7 @@ class Model(NamedTuple):
     bits: int  # of a slot number
     slots: np.ndarray  # (2 ** bits, words) of the least unsigned type: bit l % width of word l // width is language l
     chance: np.ndarray  # by language: the share of unknown n-grams that hit
+    blind: bool = False  # a labelled language, or all of them, taught nothing: a text without hits may be in it
 
 
 def _letters() -> np.ndarray:
@@ -138,15 +139,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows that are not held out and whose text and language are not null.
 
-    A language keeps n-grams that at least 3 texts and 2 in 1000 have and whose
-    rate is no less than half the highest rate of any language. Only kept
-    n-grams, at most ``max_grams`` a language, reach the driver.
+    A language keeps n-grams that at least 3 texts (all, where it has fewer) and
+    2 in 1000 have and whose rate is no less than half the highest rate that any
+    language reaches with 3 texts or more. Only kept n-grams, at most
+    ``max_grams`` a language, reach the driver.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.where(~held_out(id_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), held_out(id_col).alias("held"))
+    letter = F.col("t").rlike(r"\p{L}")
+    found = labelled.groupBy("lang").agg(F.count_if(~F.col("held")).alias("n"), F.max(letter).alias("letter")).collect()
+    written = {r["lang"] for r in found if r["letter"]}
+    rows, sizes = labelled.where("not held").drop("held"), {r["lang"]: r["n"] for r in found if r["n"]}
     if not sizes:
-        return build([], {})
+        return build([], {})._replace(blind=True)
     part = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < part * (1 << 20))
 
@@ -167,14 +172,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: s
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(keys)), "h": pa.array(keys.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     seen = chosen.mapInArrow(trimmed(count), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    learned = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    rate = seen.where("n >= 3").join(learned, "lang").withColumn("rate", F.col("n") / F.col("docs")).where("rate >= 0.002")
-    best = rate.groupBy("h").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("all"))
+    learned = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(letter).alias("written"))
+    rate = seen.join(F.broadcast(learned), "lang").where("n >= least(3, written)").withColumn("rate", F.col("n") / F.col("docs")).where("rate >= 0.002")
+    best = rate.groupBy("h").agg(F.coalesce(F.max(F.when(F.col("n") >= 3, F.col("rate"))), F.lit(0.0)).alias("best"), F.collect_list(F.struct("lang", "rate")).alias("all"))
     kept = best.select("h", "best", F.explode("all").alias("x")).where("x.rate >= 0.5 * best").select("h", "x.lang", "x.rate")
     kept = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "h"))).where(F.col("k") <= max_grams)
     table = kept.select("lang", "h").toPandas()
     languages = sorted(sizes)
-    return build(languages, {name: table.loc[table["lang"] == name, "h"].to_numpy(np.int64).view(np.uint64) for name in languages})
+    model = build(languages, {name: table.loc[table["lang"] == name, "h"].to_numpy(np.int64).view(np.uint64) for name in languages})
+    return model._replace(blind=not written or bool(written - set(table["lang"])))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,10 +196,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Whole rows whose text has a letter and an n-gram of a learned language; a null text has none."""
+    """Whole rows whose text has a letter and an n-gram of a learned language; a null text has none.
+
+    Where the model is blind to a labelled language, or no row is labelled, a letter is enough.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        if shared.value.blind:
+            return part.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
         names, scores = predict(shared.value, texts)
         return part.filter(pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

@@ -47,3 +47,25 @@ def test_filter_holds_every_gram_and_corrects_chance():
         for at in lg._probes(found[name], model.bits):
             assert (model.slots[at, i // 64] >> np.uint64(i % 64) & np.uint64(1)).all()
     assert model.chance.max() < 0.01
+
+
+def test_languages_of_few_rows(spark):
+    schema = "doc_id long, text string, lang string"
+    free = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5]
+    held = [i for i in range(1000, 1100) if not zlib.crc32(str(i).encode()) % 5]
+    rare = [(free[0], "привет добрый мир", "ru"), (free[1], "καλημέρα κόσμε ωραία", "el"), (free[2], "καλημέρα κόσμε καλά", "el"), (free[3], "123", "el")]
+    docs = spark.createDataFrame([*rows(300), *rare], schema)
+    model = lg.fit(docs)
+    assert not model.blind
+    more = spark.createDataFrame([(1, "добрый привет", None), (2, "κόσμε καλημέρα", None), (3, "99", None), (4, None, None), (5, "漢字漢字", None), *rows(300)[6:66]], schema)
+    got = {r["doc_id"]: r["lang_pred"] for r in lg.identify(more, model).collect()}
+    assert (got[1], got[2]) == ("ru", "el") and all(got[i] == name for i, _, name in rows(300)[6:66])
+    assert {r["doc_id"] for r in lg.known(more, model).collect()} == {1, 2, *range(6, 66)}
+    # one rare row takes no n-gram from a language of many
+    plain, odd = lg.fit(docs.where("lang = 'cc'")), lg.fit(docs.where("lang = 'cc'").union(spark.createDataFrame([(free[4], "the of land every quick", "zz")], schema)))
+    assert lg.predict(plain, ["every quick land"])[0] == lg.predict(odd, ["every quick land"])[0] == ["cc"]
+    # a language with held-out rows alone, no labelled row: a letter is enough
+    for blind in (docs.union(spark.createDataFrame([(held[0], "漢字", "zh")], schema)), docs.select("doc_id", "text", "lang").where("false"), docs.selectExpr("doc_id", "text", "cast(null as string) as lang")):
+        model = lg.fit(blind)
+        assert model.blind
+        assert {r["doc_id"] for r in lg.known(more, model).collect()} == {1, 2, 5, *range(6, 66)}
