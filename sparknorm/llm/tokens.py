@@ -63,7 +63,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.tokenize = self.tok.model.tokenize
         self.bits = slot_bits
         self.most = (1 << slot_bits) // 2
@@ -124,6 +124,17 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as unsigned 32-bit integers, and where each text's end."""
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if odd:
+            left = set(odd)
+            ids, ends = self._encode([t for i, t in enumerate(texts) if i not in left])
+            parts = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+            whole = {i: np.array(self.whole(texts[i]), np.uint32) for i in odd}
+            found = [whole[i] if i in whole else next(parts) for i in range(len(texts))]
+            return np.concatenate(found), np.cumsum([len(x) for x in found], dtype=np.int64)
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
         joined = b"".join(raw)
