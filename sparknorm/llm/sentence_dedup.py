@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, per_slice, slices
-from .shingles import _BYTE, _SPACE, mix, powers
+from .shingles import _SPACE, LOWER, PAD, mix, range_hashes
 
 RUN = 3
 MIN_WORDS = 25
@@ -101,7 +101,8 @@ def _split(word: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def cut(texts: list[str]) -> Cut:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    joined = b"\n".join([*raw, b""])
+    data = np.frombuffer(joined, np.uint8)
     space = _SPACE[data]
     if space.all():
         none = np.empty(0, np.int64)
@@ -120,9 +121,7 @@ def cut(texts: list[str]) -> Cut:
         last = np.minimum(np.append(first[1:], len(data)), last[np.searchsorted(last, first, "right")])
         weight = np.full(len(first), PART)
         weight[np.searchsorted(first, at[own])] = _WEIGHT[kind[own]]
-    up, down = powers(len(data))
-    total = np.cumsum(_BYTE[data] * up)
-    word = mix((total[last - 1] - np.where(first > 0, total[first - 1], np.uint64(0))) * down[first])
+    word = range_hashes(joined.translate(LOWER) + PAD, first, last)
     lines = np.cumsum(_LINE[data])  # the separator of texts is a line end, too
     close = _END[data[last - 1]] | np.isin(last, marked) | (np.append(lines[first[1:]], lines[-1] + 1) != lines[last - 1])
     ends = np.flatnonzero(close)

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WIDTH = 5
+LONG = 64  # bytes from which a word is hashed by itself
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 _MIX = _rng.integers(1, 2**63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]  # A-Z count as a-z
+_SIZE = _rng.integers(1, 2**63, LONG + 1, dtype=np.uint64)
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_TAKE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+PAD = bytes(8)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -23,36 +24,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+def chunks(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 0 to 8 bytes of each range as one little-endian integer; 8 bytes of padding stand behind the last range."""
+    view = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    return view[at] & _TAKE[np.clip(size, 0, 8)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _tables
-    if len(_tables[0]) < n:
-        size = max(n, 1 << 19)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        _tables = (np.cumprod(up), np.cumprod(down))
-    return _tables[0][:n], _tables[1][:n]
+def range_hashes(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of ``data``, which ends in ``PAD``.
+
+    Eight bytes at a time go through ``mix``, which is no polynomial: for those,
+    strings that clash whatever the base are known (Thue and Morse). A range of
+    more than ``LONG`` bytes goes to the xxhash library.
+    """
+    size = last - first
+    if not len(size):
+        return np.empty(0, np.uint64)
+    h = mix(chunks(data, first, size) ^ _SIZE[np.minimum(size, LONG)])
+    for k in range(8, LONG, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = mix(h[more] * _MIX[0] ^ chunks(data, first[more] + k, size[more] - k))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[first[i] : last[i]])
+    return h
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word and the number of words of each text; words are runs of anything but ASCII white space."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    joined = b"\n".join([*raw, b""]).translate(LOWER) + PAD
+    data = np.frombuffer(joined, np.uint8)[: -len(PAD)]
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    ends = np.cumsum(np.array([len(r) + 1 for r in raw]))
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     first, last = edge[::2], edge[1::2]
-    up, down = powers(len(data))
-    total = np.cumsum(_BYTE[data] * up)
-    before = np.where(first > 0, total[first - 1], np.uint64(0))
-    count = np.diff(np.searchsorted(first, ends), prepend=0)
-    return mix((total[last - 1] - before) * down[first]), count
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return range_hashes(joined, first, last), np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:

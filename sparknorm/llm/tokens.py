@@ -7,10 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from .shingles import mix, powers
+from .shingles import PAD, chunks, mix
 
-_rng = np.random.Generator(np.random.PCG64(7))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: what may follow a space or a line end that is a cut: no white space in any encoding of it
@@ -19,6 +17,8 @@ _SOLID[:33] = False
 _SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # white space beyond ASCII begins with one of these
 _MARK = np.zeros(256, bool)
 _MARK[[ord("."), ord(",")]] = True
+KEY = 24  # bytes of a piece that the table holds; as many ids at most
+PROBES = 4
 
 
 def default_vocabulary() -> str:
@@ -54,12 +54,13 @@ class ChunkEncoder:
 
     Byte-level BPE never merges across its pre-tokens. So texts are cut at
     places where a pre-token surely begins, each distinct piece is encoded once
-    by the library, and a text's ids are the concatenation. Pieces are found
-    again by a 64-bit hash in a table of fixed size, for all pieces of many
-    texts at once; a full table starts anew.
+    by the library, and a text's ids are the concatenation. A piece of up to
+    ``KEY`` bytes is found again by all its bytes in a table of fixed size, for
+    all pieces of many texts at once; a full table starts anew. Longer pieces
+    are looked up one by one. Texts with an added token go to the library whole.
     """
 
-    def __init__(self, path: str, slot_bits: int = 21):
+    def __init__(self, path: str, slot_bits: int = 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -73,9 +74,10 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.place = np.zeros(1 << self.bits, np.int64)
-        self.count = np.zeros(1 << self.bits, np.int32)
+        self.keys = [np.zeros(1 << self.bits, np.uint64) for _ in range(0, KEY, 8)]
+        self.size = np.zeros(1 << self.bits, np.uint8)  # bytes; 0: empty
+        self.place = np.zeros(1 << self.bits, np.int32)
+        self.count = np.zeros(1 << self.bits, np.uint8)
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = self.entries = 0
 
@@ -95,30 +97,31 @@ class ChunkEncoder:
             return [t.id for t in self.tokenize("Ġ" + core if text[0] == " " else core)]
         return self.whole(text)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, -1 where it is unknown."""
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = np.where(self.keys[slot] == h, slot, -1)
-        for step in (1, 2, 3):
-            open_ = np.flatnonzero(found < 0)
+    def _find(self, first: np.ndarray, key: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 where it is unknown."""
+        found = np.full(len(first), -1)
+        open_ = np.flatnonzero(size <= KEY)
+        for step in range(PROBES):
+            slot = (first[open_] + step) & ((1 << self.bits) - 1)
+            same = (self.keys[0][slot] == key[0][open_]) & (self.size[slot] == size[open_])
+            wide = np.flatnonzero(same & (size[open_] > 8))  # of short pieces, the other words are 0
+            for k in range(1, len(key)):
+                same[wide] &= self.keys[k][slot[wide]] == key[k][open_[wide]]
+            found[open_[same]] = slot[same]
+            open_ = open_[~same]
             if not len(open_):
                 break
-            s = (slot[open_] + step) & ((1 << self.bits) - 1)
-            found[open_] = np.where(self.keys[s] == h[open_], s, -1)
         return found
 
-    def _add(self, h: int, ids: list[int]) -> None:
-        slot = first = h >> (64 - self.bits)
-        for _ in range(4):
-            if not self.count[slot]:
-                break
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-        else:
-            slot = first
+    def _add(self, first: int, key: list[int], size: int, ids: list[int]) -> None:
+        slots = [(first + step) & ((1 << self.bits) - 1) for step in range(PROBES)]
+        slot = next((s for s in slots if not self.size[s]), first)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.keys[slot], self.place[slot], self.count[slot] = h, self.used, len(ids)
+        for mine, k in zip(self.keys, key, strict=True):
+            mine[slot] = k
+        self.size[slot], self.place[slot], self.count[slot] = size, self.used, len(ids)
         self.used += len(ids)
         self.entries += 1
 
@@ -143,29 +146,37 @@ class ChunkEncoder:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         start = cuts(data, np.append(0, ends[:-1]))
         stop = np.append(start[1:], len(data))
-        up, down = powers(len(data))
-        total = np.cumsum(_BYTE[data] * up)
-        before = np.where(start > 0, total[start - 1], np.uint64(0))
-        h = mix((total[stop - 1] - before) * down[start]) | np.uint64(1)  # 0 is an empty slot
+        size = stop - start
+        padded = joined + PAD * (KEY // 8)
+        key = [chunks(padded, start, size)]
+        h = mix(key[0] ^ size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for k in range(8, KEY, 8):
+            more = np.flatnonzero(size > k)
+            key.append(np.zeros(len(size), np.uint64))
+            key[-1][more] = chunks(padded, start[more] + k, size[more] - k)
+            h[more] = mix(h[more] ^ key[-1][more])
+        slot0 = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         if self.entries > self.most:
             self._clear()
-        slot = self._find(h)
+        slot = self._find(slot0, key, size)
+        own: dict[bytes, list[int]] = {}
         lost = np.flatnonzero(slot < 0)
-        own: dict[int, list[int]] = {}
         if len(lost):
-            new, first = np.unique(h[lost], return_index=True)
-            for key, i in zip(new.tolist(), lost[first].tolist(), strict=True):
-                own[key] = ids = self.piece(joined[start[i] : stop[i]])
-                if len(ids) < 64:
-                    self._add(key, ids)
-            slot = self._find(h)
-        place, count = self.place[slot], self.count[slot].astype(np.int64)
+            lost = lost[np.unique(h[lost], return_index=True)[1]]
+            for a, b, first, *ks in zip(*(x.tolist() for x in (start[lost], stop[lost], slot0[lost], *(k[lost] for k in key))), strict=True):
+                own[joined[a:b]] = ids = self.piece(joined[a:b])
+                if b - a <= KEY:
+                    self._add(first, ks, b - a, ids)
+            slot = self._find(slot0, key, size)
+        place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
         rest = np.flatnonzero(slot < 0)  # long pieces and those that the table had no room for
         pool = self.pool
         if len(rest):
             more, at = [], self.used
             for i in rest.tolist():
-                ids = own[k] if (k := int(h[i])) in own else self.piece(joined[start[i] : stop[i]])
+                if (b := joined[start[i] : stop[i]]) not in own:
+                    own[b] = self.piece(b)
+                ids = own[b]
                 place[i], count[i] = at, len(ids)
                 more += ids
                 at += len(ids)
