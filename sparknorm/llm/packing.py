@@ -2,8 +2,11 @@
 
 Every window of ``length`` tokens credits each source its target share. The
 source with the largest deficit is served next, from its queue's head, until
-the document or the window ends; what a source got beyond its credit stays as a
-negative deficit for the windows behind. The token stream is dealt to blocks:
+its deficit is used up, or the document or the window ends, but with ``least``
+tokens where they are there, so that documents are not cut to crumbs. So a
+window's tokens of a source differ from the target by that much at most, for
+each source still open; the difference stays as a deficit for the windows
+behind. The token stream is dealt to blocks:
 each source's queue is cut at the same fractions, so a block holds nearly the
 target mixture. A block starts with the deficits that all blocks before it
 leave, known from sums of tokens by block and source, and in the middle of
@@ -12,20 +15,22 @@ the window where the block before it ends, so only the last window is short.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, slices, trimmed
 from .tokens import default_vocabulary, encoder
 
+LEAST = 256  # tokens of a piece, unless its document or window ends
 SALTS = 64  # parts of a source's queue whose lengths are summed apart
 PIECES = "row long, start long, length long, sequence_id long, offset long"
 
@@ -62,22 +67,26 @@ def tokenise(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, e
     return scratch.save(rows.mapInArrow(trimmed(encode), "row long, doc_id long, source string, n long, wide boolean, ids binary"), "ids")
 
 
-def schedule(queues: dict[str, list[tuple[int, int]]], shares: dict[str, float], deficits: dict[str, float], position: int, length: int) -> list[tuple[int, int, int, int, int]]:
-    """Deficit round-robin over queues of (row, tokens), from a position in the stream: (row, start, length, window, offset)."""
+def schedule(queues: dict[str, list[tuple[int, int]]], given: Callable[[list[str], float], np.ndarray], had: dict[str, float], position: int, length: int, least: int = LEAST) -> list[tuple[int, int, int, int, int]]:
+    """Deficit round-robin over queues of (row, tokens), from a position in the stream: (row, start, length, window, offset).
+
+    ``given`` says what sources are due up to a position, ``had`` what they had before this one.
+    """
     names = sorted(queues)
-    share = np.array([shares[s] for s in names])
-    deficit = np.array([deficits[s] for s in names], float)
+    due = given(names, position)
+    deficit = due - np.array([had[s] for s in names], float)
     heads, used = [0] * len(names), [0] * len(names)
     live = np.array([0.0 if queues[s] else -np.inf for s in names])
     left = sum(n for q in queues.values() for _, n in q)
     out = []
     while left:
         room = min(length - position % length, left)
-        deficit += share * room
+        due, before = given(names, position + room), due
+        deficit += due - before
         while room:
             k = int(np.argmax(deficit + live))
             row, n = queues[names[k]][heads[k]]
-            take = min(room, n - used[k])
+            take = min(room, n - used[k], max(least, math.ceil(deficit[k])))
             out.append((row, used[k], take, position // length, position % length))
             deficit[k] -= take
             position, room, left, used[k] = position + take, room - take, left - take, used[k] + take
@@ -88,16 +97,56 @@ def schedule(queues: dict[str, list[tuple[int, int]]], shares: dict[str, float],
     return out
 
 
-def pack(tokens: DataFrame, scratch: Scratch, length: int = 1024, targets: dict[str, float] | None = None, block_tokens: int = 1 << 20) -> DataFrame:
+class Fluid:
+    """Where the stream stands if all sources flow at once, at their weights until they are used up.
+
+    ``sizes`` are the tokens of the weighted sources, few as their weights are
+    given; the others follow at their own shares, known by their sizes.
+    """
+
+    def __init__(self, sizes: dict[str, int], weight: dict[str, float], total: int):
+        self.sizes, self.weight = sizes, {s: weight[s] for s in sizes}
+        self.lead, self.total = sum(sizes.values()), total
+        self.bends = []  # position, time, and weight of what flows until then
+        at = time = 0.0
+        for s in sorted(sizes, key=lambda s: (sizes[s] / weight[s], s)):
+            live = sum(w for q, w in self.weight.items() if sizes[q] / w > time)
+            if live and sizes[s] / weight[s] > time:
+                self.bends.append((at, time, live))
+                at, time = at + live * (sizes[s] / weight[s] - time), sizes[s] / weight[s]
+
+    def position(self, s: str, at: str, size: str) -> Column:
+        """Stream position of a place in a source's queue."""
+        behind = self.lead + F.col(at) / F.col(size) * float(self.total - self.lead)
+        if not self.weight:
+            return behind
+        time = F.col(at) / F.create_map(*[F.lit(x) for pair in self.weight.items() for x in pair])[F.col(s)]
+        flowed = sum([F.least(F.lit(float(n)), self.weight[q] * time) for q, n in self.sizes.items()], F.lit(0.0))
+        return F.when(F.col(s).isin(list(self.weight)), flowed).otherwise(behind)
+
+    def given(self, names: list[str], sizes: np.ndarray, position: float) -> np.ndarray:
+        """Tokens that each source has given when the stream stands at a position."""
+        out = sizes * max(0.0, position - self.lead) / max(1, self.total - self.lead)
+        bend = next((b for b in reversed(self.bends) if position >= b[0]), (0.0, 0.0, 1.0))
+        time = bend[1] + (position - bend[0]) / bend[2]
+        for i, s in enumerate(names):
+            if s in self.weight:
+                out[i] = min(float(sizes[i]), self.weight[s] * time)
+        return out
+
+
+def pack(tokens: DataFrame, scratch: Scratch, length: int = 1024, targets: dict[str | None, float] | None = None, block_tokens: int = 1 << 20, least: int = LEAST) -> DataFrame:
     """Pieces of ``tokenise``'s rows: (row, start, length, sequence_id, offset).
 
-    ``targets`` are weights by source (null: the empty name); by default the
-    sources' own shares, so that all queues end together. With other targets a
-    source that runs out early leaves its part of the windows to the rest.
-    Every token lies in exactly one piece. No rows: no pieces.
+    ``targets`` are weights by source, None for the null one. Their sources are
+    used up at these proportions; one that runs out leaves its part to the
+    others, and sources without a weight come behind them. By default all
+    sources count as such, so that each has its own share of all tokens
+    throughout and all end together. Every token lies in exactly one piece.
+    Repeated rows are documents of their own. No rows: no pieces.
     """
     spark = tokens.sparkSession
-    meta = tokens.select("row", F.coalesce("source", F.lit("")).alias("s"), "n")
+    meta = tokens.select("row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), "n")
     total = meta.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, round(total / block_tokens))
     salts = max(SALTS, blocks)
@@ -108,30 +157,28 @@ def pack(tokens: DataFrame, scratch: Scratch, length: int = 1024, targets: dict[
     parts = parts.select("s", "salt", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("part_at"), F.sum("part_n").over(Window.partitionBy("s")).alias("source_n"))
     inside = Window.partitionBy("s", "salt").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = meta.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, ["s", "salt"]).select("row", "s", "n", (F.col("part_at") + F.col("inner")).alias("at"), "source_n")
-    placed = placed.withColumn("block", F.least(F.floor(F.col("at") / F.col("source_n") * blocks), F.lit(blocks - 1)).cast("long"))
+    weight = {"" if k is None else f"={k}": float(v) for k, v in (targets or {}).items() if v > 0}
+    sized = {r["s"]: r["n"] for r in meta.where(F.col("s").isin(list(weight))).groupBy("s").agg(F.sum("n").alias("n")).collect()} if weight else {}
+    fluid = Fluid(sized, weight, total)
+    placed = placed.withColumn("block", F.least(F.floor(fluid.position("s", "at", "source_n") / max(total, 1) * blocks), F.lit(blocks - 1)).cast("long"))
     placed = scratch.save(placed, "placed")
     # what stands before each block, over all sources and of each source
-    cells = placed.groupBy("block", "s").agg(F.sum("n").alias("cell_n"), F.first("source_n").alias("source_n"))
+    cells = placed.groupBy("block", "s").agg(F.sum("n").alias("cell_n"))
     sizes = cells.groupBy("block").agg(F.sum("cell_n").alias("block_n"))
     starts = sizes.select("block", F.coalesce(F.sum("block_n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("block_at"))
     own = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    if targets is None:
-        share = F.col("source_n") / F.lit(max(total, 1))
-    else:
-        weights = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "s string, weight double")
-        cells = cells.join(weights, "s", "left").fillna({"weight": 0.0})
-        share = F.col("weight") / F.lit(sum(targets.values()))
     cells = cells.withColumn("had", F.coalesce(F.sum("cell_n").over(own), F.lit(0))).join(starts, "block")
-    cells = cells.select("block", "s", "block_at", share.alias("share"), (share * F.col("block_at") - F.col("had")).alias("deficit"))
+    cells = cells.select("block", "s", "block_at", "had")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "at", "row"])
         first = pdf.drop_duplicates("s").set_index("s")
         queues = {s: list(zip(g["row"].tolist(), g["n"].tolist(), strict=True)) for s, g in pdf.groupby("s")}
-        found = schedule(queues, first["share"].to_dict(), first["deficit"].to_dict(), int(pdf["block_at"].iloc[0]), length)
+        given = lambda names, at: fluid.given(names, first.loc[names, "source_n"].to_numpy(float), at)
+        found = schedule(queues, given, first["had"].to_dict(), int(pdf["block_at"].iloc[0]), length, least)
         return pd.DataFrame(found, columns=["row", "start", "length", "sequence_id", "offset"])
 
-    return placed.join(cells, ["block", "s"]).select("block", "s", "row", "n", "at", "share", "deficit", "block_at").groupBy("block").applyInPandas(run, PIECES)
+    return placed.join(cells, ["block", "s"]).select("block", "s", "row", "n", "at", "source_n", "had", "block_at").groupBy("block").applyInPandas(run, PIECES)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
