@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/sparknorm-checkpoints"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,23 +34,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
 class Scratch:
     """Named tables below the shared folder of spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a folder of its own is
-    used. A saved table cuts the lineage and survives the loss of executors.
+    Where that setting is absent, a local session (tests, a laptop) gets a folder
+    of its own; on a cluster, where executors do not see each other's folders,
+    it is an error. A saved table cuts the lineage and survives the loss of executors.
     Folders go when the driver ends, or earlier by ``free``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         bound_batches(spark)
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="sparknorm-")
         self.path = f"{base.rstrip('/')}/sparknorm-{uuid.uuid4().hex}"
+        self.collected = time.monotonic()
         atexit.register(self._drop, self.path)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         to = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", codec).parquet(to)
-        # Spark's cleaner drops the shuffle files of finished steps once the JVM has collected their plans
-        self.spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - self.collected > 5:
+            # Spark's cleaner drops the shuffle files of finished steps once the JVM has collected their plans
+            self.spark.sparkContext._jvm.System.gc()
+            self.collected = time.monotonic()
         return self.spark.read.schema(df.schema).parquet(to)
 
     def free(self, df: DataFrame) -> None:
@@ -104,6 +113,26 @@ def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None],
     return trimmed(run)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", parts: int = 4096) -> DataFrame:
+    """Joins ``rows`` with a table of one row a key, whose column ``weight`` counts the key's rows there.
+
+    A key with more than 1 / ``parts`` of all rows would fill a task. There are
+    fewer than ``parts`` of them, whatever the data, so they are broadcast;
+    all others are shuffled. Rows with a null key only stay in a left join, and
+    are not shuffled. ``rows`` is read twice and should be saved.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(1000, total // parts)
+    few = F.broadcast(table.where(hot).drop(weight))
+    near = rows.join(few, keys, "left_semi" if how == "left_semi" else "inner")
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    far = rows.where(~null).join(few.select(*keys), keys, "left_anti").join(table.where(~hot).drop(weight), keys, how)
+    both = near.unionByName(far)
+    return both.unionByName(rows.where(null), allowMissingColumns=True) if how == "left" else both
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``.
 

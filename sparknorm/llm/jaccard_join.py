@@ -19,25 +19,33 @@ links between its components only, so all links between different texts count,
 but neither pairs nor copies are multiplied out.
 
 Signatures travel packed: one row for each pair of tasks, not one a signature.
-Nodes are texts: rows with equal text share the 64-bit hash of it. Shingles are
-compared by 64-bit hashes; two that differ agree by chance once in 2**64.
+The frequencies of very common ones are estimated beforehand on a sample of
+texts, only so that their counting does not fill one task: both sides of a pair
+rank them alike, and any ranking finds all pairs. Nodes are texts: rows with
+equal text share the 64-bit hash of it; texts whose hashes clash are told apart
+by a second hash. Shingles are compared by 64-bit hashes; two that differ agree
+by chance once in 2**64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shuffle_partitions, slices, trimmed
+from .common import Scratch, components, shuffle_partitions, slices, spread_join, trimmed
 from .shingles import mix, shingle_sets
 
 SMALL = 32  # shingles from which sets are cut into parts
 FLUSH = 1_000_000  # signatures that a task holds before it sends them
 BLOCK = 256  # members of a hub compared at once
+SAMPLE = 32  # one in so many texts is sampled for common signatures
+COMMON = 64  # sampled texts with a signature that make it common; no more than MOST_COMMON are
+MOST_COMMON = 8192
+MOST_CLASHES = 1_000_000  # hashes shared by different texts: about (texts / 2**32)**2 / 2
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -130,8 +138,23 @@ def _rows(lanes: list[int], kinds: list[int], blobs: list[bytes]) -> pa.RecordBa
     return pa.RecordBatch.from_pydict({"lane": pa.array(lanes, pa.int32()), "kind": pa.array(kinds, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
+def _many(found: list[tuple[int, bytes]], kind: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(found), 64):
+        part = found[i : i + 64]
+        yield _rows([x for x, _ in part], [kind] * len(part), [x for _, x in part])
+
+
+def _to_lanes(keys: np.ndarray, lanes: int) -> list[tuple[int, np.ndarray]]:
+    """Places of the keys by the lane of their text."""
+    to = (keys % np.uint64(lanes)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return [(int(to[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(g)]
+
+
 PACKED = "lane int, kind int, blob binary"
-SIGS, SIZES = 0, 1
+SIGS, SIZES, READY = 0, 1, 2
+TOP = 2**63 - 1  # stands for a null id
+FULL = 1 << 63  # in place of a lane: names of 64 bits follow
 
 
 def _send(keys: np.ndarray, slack: np.ndarray, record: np.ndarray, sig: np.ndarray, lanes: int) -> Iterator[tuple[int, bytes]]:
@@ -159,19 +182,61 @@ def _receive(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(slacks), np.concatenate(sigs)
 
 
-def _sign(lanes: int):
+def _names(sig: np.ndarray, lanes: int) -> np.ndarray:
+    """What tells signatures apart: the lane where they are counted, and 40 bits."""
+    return (sig >> np.uint64(40)) % np.uint64(lanes) << np.uint64(40) | sig & _LOW40
+
+
+def _common_signatures(texts: DataFrame, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names of signatures that many sampled texts have, and how many texts have them, about."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sig, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+        for batch in batches:
+            for part, texts in slices(batch, "t"):
+                fresh = []
+                for i, k in enumerate(part.column(0).to_pylist()):
+                    if k not in seen:
+                        seen.add(k)
+                        fresh.append(texts[i])
+                held += [_names(sig, lanes) for _, _, _, sig in signatures(shingle_sets(fresh))]
+                if sum(map(len, held)) >= FLUSH:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    chosen = texts.where(F.pmod("key", F.lit(SAMPLE)) == 0).select("key", "t").mapInArrow(trimmed(run), "sig long, n long")
+    found = chosen.groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "sig").limit(MOST_COMMON).collect()
+    sig, n = np.array([r["sig"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(sig)
+    return sig[order], np.minimum(n[order] * SAMPLE, 2**32 - 1).astype("<u4")
+
+
+def _sign(lanes: int, shared):
+    """Signatures to their lanes, and set sizes to their texts' lanes. Common signatures go to their texts' lanes at once, with their frequency."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
+        common: list[tuple[np.ndarray, ...]] = []
         n = records = 0
+        known, often = shared.value
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n, records
+            nonlocal held, common, n, records
             if held:
-                found = list(_send(*(np.concatenate(x) for x in zip(*held, strict=True)), lanes))
-                held, n, records = [], 0, 0
-                for i in range(0, len(found), 64):
-                    yield _rows([x for x, _ in found[i : i + 64]], [SIGS] * len(found[i : i + 64]), [x for _, x in found[i : i + 64]])
+                yield from _many(list(_send(*(np.concatenate(x) for x in zip(*held, strict=True)), lanes)), SIGS)
+            if common:
+                key, slack, freq, name = (np.concatenate(x) for x in zip(*common, strict=True))
+                yield from _many([(lane, np.array([len(g), FULL], "<u8").tobytes() + key[g].tobytes() + slack[g].tobytes() + freq[g].tobytes() + name[g].tobytes()) for lane, g in _to_lanes(key, lanes)], READY)
+            held, common, n, records = [], [], 0, 0
 
         for batch in batches:
             for part, texts in slices(batch, "t"):
@@ -185,13 +250,16 @@ def _sign(lanes: int):
                 keys = np.array([k for k, _ in fresh], np.int64).view(np.uint64)
                 sets = shingle_sets([t for _, t in fresh])
                 size = np.array([len(s) for s in sets], "<u4")
-                at = (keys % np.uint64(lanes)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                cut = np.flatnonzero(np.diff(at[order])) + 1
-                groups = np.split(order, cut)
-                yield _rows([int(at[g[0]]) for g in groups], [SIZES] * len(groups), [keys[g].tobytes() + size[g].tobytes() for g in groups])
+                yield from _many([(lane, keys[g].tobytes() + size[g].tobytes()) for lane, g in _to_lanes(keys, lanes)], SIZES)
                 for second, (which, slack, record, sig) in enumerate(signatures(sets)):
-                    held.append((keys[which], slack.astype(np.uint32) | np.uint32(second << 31), record + records, sig))
+                    slack = slack.astype("<u4") | np.uint32(second << 31)
+                    if len(known):
+                        name = _names(sig, lanes)
+                        at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+                        hit = known[at] == name
+                        common.append((keys[which][record[hit]], slack[record[hit]], often[at[hit]], name[hit]))
+                        record, sig = record[~hit], sig[~hit]
+                    held.append((keys[which], slack, record + records, sig))
                     records += len(which)
                     n += len(sig)
                 if n >= FLUSH:
@@ -220,9 +288,8 @@ def _count(lanes: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lane, kind, blobs in _by_lane(batches):
-            if kind == SIZES:
-                for i in range(0, len(blobs), 64):
-                    yield _rows([lane] * len(blobs[i : i + 64]), [SIZES] * len(blobs[i : i + 64]), blobs[i : i + 64])
+            if kind != SIGS:
+                yield from _many([(lane, b) for b in blobs], SIGS if kind == READY else SIZES)
                 continue
             key, slack, sig = _receive(blobs)
             order = np.argsort(sig)
@@ -242,14 +309,7 @@ def _count(lanes: int):
             freq = freq[where]
             many = freq > 1
             key, slack, sig, freq = key[many], slack[many], sig[many], freq[many]
-            to = (key % np.uint64(lanes)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            found = []
-            for g in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                if len(g):
-                    found.append((int(to[g[0]]), np.array([len(g), lane], "<u8").tobytes() + key[g].tobytes() + slack[g].tobytes() + freq[g].astype("<u4").tobytes() + _u40(sig[g])))
-            for i in range(0, len(found), 64):
-                yield _rows([x for x, _ in found[i : i + 64]], [SIGS] * len(found[i : i + 64]), [x for _, x in found[i : i + 64]])
+            yield from _many([(to, np.array([len(g), lane], "<u8").tobytes() + key[g].tobytes() + slack[g].tobytes() + freq[g].astype("<u4").tobytes() + _u40(sig[g])) for to, g in _to_lanes(key, lanes)], SIGS)
 
     return run
 
@@ -263,11 +323,14 @@ def _choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(np.frombuffer(b, "<u8", n, 16))
             slacks.append(np.frombuffer(b, "<u4", n, 16 + 8 * n))
             freqs.append(np.frombuffer(b, "<u4", n, 16 + 12 * n))
-            sigs.append(_from_u40(b, 16 + 16 * n, n) | np.uint64(lane << 40))
+            sigs.append(np.frombuffer(b, "<u8", n, 16 + 16 * n) if lane == FULL else _from_u40(b, 16 + 16 * n, n) | np.uint64(lane << 40))
         key, slack, freq, sig = (np.concatenate(x) for x in (keys, slacks, freqs, sigs))
         second = slack >> np.uint32(31)
         order = np.lexsort((sig, freq, second, key))
         key, second, sig, slack = key[order], second[order], sig[order], slack[order] & np.uint32((1 << 31) - 1)
+        new = np.ones(len(key), bool)  # tasks may have signed equal texts
+        new[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1]) | (sig[1:] != sig[:-1])
+        key, second, sig, slack = key[new], second[new], sig[new], slack[new]
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])]))
         size = np.diff(np.append(start, len(key)))
         rank = np.arange(len(key)) - np.repeat(start, size)
@@ -386,42 +449,54 @@ def _bridge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _allow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and sketches allow a link."""
-    for batch in batches:
-        na, nb = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-        keep = 3 * np.maximum(na, nb) <= 4 * np.minimum(na, nb)
-        for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            if keep[i]:
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                words = min(len(x), len(y))
-                keep[i] = int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= (na[i] + nb[i]) // 7
-        got = pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
-        if got.num_rows:
-            yield got
-
-
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        got = pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        if got.num_rows:
-            yield got
+def _hub_meets(fine: Callable[[tuple, tuple], bool]) -> Callable:
+    """Rows sorted by (a, block, member) with a block's hub first: pairs (a, b, block) of it with members that pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, ()
+        for batch in batches:
+            found = []
+            for a, block, b, *of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b is None:
+                    now, hub = (a, block), of
+                elif now == (a, block) and fine(hub, of):
+                    found.append((a, b, block))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "block"])
+
+    return trimmed(run)
+
+
+def _allowed(hub: tuple, member: tuple) -> bool:
+    """Sizes and sketches allow a link."""
+    if 3 * max(hub[0], member[0]) > 4 * min(hub[0], member[0]):
+        return False
+    x, y = np.frombuffer(hub[1], "<u8"), np.frombuffer(member[1], "<u8")
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= (hub[0] + member[0]) // 7
 
 
-def _with(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
-    """Pairs (a, b) with columns of both texts."""
-    for side in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names]), side)
-    return pairs.select("a", "b", *[f"{c}_{side}" for c in names for side in ("a", "b")])
+def _verified(hub: tuple, member: tuple) -> bool:
+    return similar(np.frombuffer(hub[0], "<u8"), np.frombuffer(member[0], "<u8"))
 
 
-def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of (key, t), with non-null texts: (key, n) of every text, and (node, root), the components of those with a link."""
+def _meet_hubs(pairs: DataFrame, table: DataFrame, names: list[str], fine: Callable, lanes: int) -> DataFrame:
+    """The pairs (a hub, b member, block) that pass. A hub's columns travel once a block, a member's once a pair."""
+    members = pairs.join(table.select(F.col("key").alias("b"), *names), "b").select("a", "block", "b", *names)
+    hubs = pairs.select("a", "block").distinct().join(table.select(F.col("key").alias("a"), *names), "a").select("a", "block", F.lit(None).cast("long").alias("b"), *names)
+    return hubs.union(members).repartition(lanes, "a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(_hub_meets(fine), "a long, b long, block int")
+
+
+def links(texts: DataFrame, copies: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of (key, t), with non-null texts: (key, n) of every text, and (node, root), the components of those with a link.
+
+    ``copies`` counts the rows of each key in ``texts``: (key, copies).
+    """
     spark = texts.sparkSession
     lanes = shuffle_partitions(spark)
+    common = spark.sparkContext.broadcast(_common_signatures(texts, lanes))  # MOST_COMMON numbers
     arrange = lambda df: df.repartition(lanes, "lane").sortWithinPartitions("lane", "kind")
-    signed = texts.select("key", "t").mapInArrow(trimmed(_sign(lanes)), PACKED)
+    signed = texts.select("key", "t").mapInArrow(trimmed(_sign(lanes, common)), PACKED)
     counted = scratch.save(arrange(signed).mapInArrow(trimmed(_count(lanes)), PACKED), "counted")
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,24 +506,30 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(b, "<i8", n)), "n": pa.array(np.frombuffer(b, "<u4", n, 8 * n).astype(np.int64))})
 
     sizes = counted.where(F.col("kind") == SIZES).select("blob").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.first("n").alias("n"))
-    member = arrange(counted.where(F.col("kind") == SIGS)).mapInArrow(trimmed(_choose), "sig long, key long")
-    member = scratch.save(member, "member")
-    hubs = member.groupBy("sig").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = scratch.save(member.join(hubs, "sig").select("sig", "key", "hub", "members"), "member")
-    sets = texts.join(member.select("key").distinct(), "key", "left_semi").select("key", "t").mapInArrow(trimmed(_sets), "key long, n long, bits binary, shingles binary")
+    chosen = arrange(counted.where(F.col("kind") == SIGS)).mapInArrow(trimmed(_choose), "sig long, key long")
+    chosen = scratch.save(chosen, "chosen")
+    hubs = scratch.save(chosen.groupBy("sig").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("w", F.col("members")), "hubs")
+    member = scratch.save(spread_join(chosen, hubs, ["sig"], "w").select("sig", "key", "hub", "members"), "member")
+    wanted = member.select("key").distinct().join(copies, "key")
+    sets = spread_join(texts, wanted, ["key"], "copies", "left_semi").select("key", "t").mapInArrow(trimmed(_sets), "key long, n long, bits binary, shingles binary")
     sets = scratch.save(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles")), "sets")
-    verified = lambda pairs: _with(pairs, sets, "shingles").mapInArrow(trimmed(_verify), "a long, b long")
-    star = member.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    near = _with(star, sets, "n", "bits").mapInArrow(trimmed(_allow), "a long, b long")
-    first = components(verified(near), scratch)
+
+    # each signature's members meet its hub, in blocks
+    star = scratch.save(member.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "star")
+    stars = star.groupBy("a").agg(F.count(F.lit(1)).alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK))
+    star = spread_join(star, stars, ["a"], "w").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    near = scratch.save(_meet_hubs(star, sets, ["n", "bits"], _allowed, lanes), "near")
+    first = components(_meet_hubs(near, sets, ["shingles"], _verified, lanes).select("a", "b"), scratch)
     first = scratch.save(first, "components")
+
     # members but the hub, where more than one component is left; a hub's signatures are met together, as they mostly have the same members
     rest = member.where("key <> hub and members > 2").join(first.withColumnRenamed("node", "key"), "key", "left").select("sig", "hub", "key", F.coalesce("root", "key").alias("comp"))
-    mixed = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rest = rest.join(mixed, "sig", "left_semi").groupBy("hub", "key", "comp").agg(F.collect_list("sig").alias("sigs"))
+    rest = scratch.save(rest, "rest")
+    mixed = rest.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("w")).where("x <> y").select("sig", "w")
+    rest = spread_join(rest, mixed, ["sig"], "w", "left_semi").groupBy("hub", "key", "comp").agg(F.collect_list("sig").alias("sigs"))
     rest = scratch.save(rest.join(sets.select("key", "n", "bits"), "key"), "rest")
-    blocks = rest.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    blocks = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("w")).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
+    rest = spread_join(rest, blocks, ["hub"], "w").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "comp", "block", "n", "bits", "sigs")
     by_cell = lambda df: df.repartition(lanes, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
@@ -465,8 +546,41 @@ def links(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return sizes, known.union(second.join(first, "node", "left_anti").select("node", "root"))
 
 
+def _keyed(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(d, doc_id, t, key) of the rows, d the whole row and key that of its text, and (key, copies, low) of the texts' keys.
+
+    Texts whose keys clash, a handful in a corpus of billions, get others made of two hashes.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    rows = rows.withColumn("key", F.when(F.col("t").isNotNull(), text_key(F.col("t"))))
+    second = F.xxhash64(F.lit(1), "t")
+    counts = (F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
+    seen = scratch.save(rows.where("t is not null").groupBy("key").agg(*counts, F.min(second).alias("x"), F.max(second).alias("y")), "copies")
+    clash = [r["key"] for r in seen.where("x <> y").select("key").limit(MOST_CLASHES + 1).collect()]
+    if not clash:
+        return rows, seen.select("key", "copies", "low")
+    if len(clash) > MOST_CLASHES:
+        raise ValueError(f"more than {MOST_CLASHES} hashes clash")
+    bad = F.broadcast(docs.sparkSession.createDataFrame([(k, True) for k in clash], "key long, clash boolean"))  # MOST_CLASHES at most
+    rows = rows.join(bad, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64(F.lit(2), "t", second)).otherwise(F.col("key"))).select("d", "doc_id", "t", "key")
+    return rows, scratch.save(rows.where("t is not null").groupBy("key").agg(*counts), "copies")
+
+
+def _classes(rows: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    sizes, comp = links(rows.where("t is not null").select("key", "t"), copies.select("key", "copies"), scratch)
+    nodes = sizes.join(copies, "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "low", "copies", F.coalesce("root", "key").alias("root"))
+    nodes = scratch.save(nodes, "nodes")
+    heads = nodes.groupBy("root").agg(F.min(F.struct(F.coalesce("low", F.lit(TOP)).alias("low"), "key")).alias("h"), F.count(F.lit(1)).alias("w")).select("root", F.col("h.key").alias("head_key"), "w")
+    heads = scratch.save(heads.join(nodes.select(F.col("key").alias("head_key"), F.col("low").alias("component_id")), "head_key"), "heads")
+    info = scratch.save(spread_join(nodes, heads, ["root"], "w").select("key", "n", "component_id", "head_key", "copies"), "info")
+    out = spread_join(scratch.save(rows.select("doc_id", "key"), "ids"), info, ["key"], "copies", "left")
+    alone = F.coalesce(F.col("n") == 0, F.lit(True))
+    head = alone | ((F.col("key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", head.alias("head"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, key, head) of every row; key is the hash of the text.
+    """(doc_id, n_shingles, component_id, key, head) of every row; key is the hash of the text, null for a null one.
 
     ``head`` marks the text that stands for its component: the text of the
     component's smallest id, of several the one with the smallest hash; all
@@ -474,16 +588,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     shingles, links with nothing, and is a component by itself, and so is a
     text whose rows have null ids only (component_id is null then).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), text_key(F.col(text_col)).alias("key"))
-    sizes, comp = links(rows.where(F.col("t").isNotNull()), scratch)
-    ids = rows.where(F.col("t").isNotNull()).select("doc_id", "key")
-    lows = ids.groupBy("key").agg(F.min("doc_id").alias("low"))
-    nodes = sizes.where("n > 0").join(lows, "key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "low", F.coalesce("root", "key").alias("root"))
-    nodes = scratch.save(nodes, "nodes")
-    heads = nodes.groupBy("root").agg(F.min(F.struct(F.coalesce("low", F.lit(2**63 - 1)).alias("low"), "key")).alias("h")).select("root", F.col("h.key").alias("head_key"))
-    heads = heads.join(nodes.select(F.col("key").alias("head_key"), F.col("low").alias("component_id")), "head_key")
-    info = nodes.join(heads, "root").select("key", "n", "component_id", "head_key")
-    out = rows.select("doc_id", F.when(F.col("t").isNotNull(), F.col("key")).alias("key")).join(info, "key", "left")
-    alone = F.col("n").isNull()
-    head = alone | ((F.col("key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", head.alias("head"))
+    return _classes(*_keyed(docs, scratch, id_col, text_col), scratch)
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of each component, that of its smallest id. Rows equal in id and text count once."""
+    rows, copies = _keyed(docs, scratch, id_col, text_col)
+    name = (F.coalesce("doc_id", F.lit(TOP)).alias("k"), F.coalesce("key", F.lit(TOP)).alias("x"))
+    heads = _classes(rows, copies, scratch).where("head").select(*name).distinct()
+    return rows.select("d", *name).dropDuplicates(["k", "x"]).join(heads, ["k", "x"], "left_semi").select("d.*")

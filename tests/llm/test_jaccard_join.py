@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparknorm.llm import jaccard_join as jj
 from sparknorm.llm.common import Scratch
@@ -97,3 +98,24 @@ def test_sets():
 def test_long_text(spark):
     docs = spark.createDataFrame([(1, "ab cd " * 300_000), (2, "z")], "doc_id long, text string")
     assert sorted(tuple(r)[:3] for r in jj.near_duplicates(docs, Scratch(spark)).collect()) == [(1, 2, 1), (2, 1, 2)]
+
+
+def test_clashing_keys_common_signatures_and_hot_groups(spark, monkeypatch):
+    rows = corpus(5, 40, 40)
+    rows += [(5000 + i, rows[0][1]) for i in range(1500)] + [(9000 + i, ["", None, " "][i % 3]) for i in range(60)]
+    monkeypatch.setattr(jj, "text_key", lambda t: F.pmod(F.xxhash64(t), F.lit(97)))  # most keys clash
+    monkeypatch.setattr(jj, "SAMPLE", 1)
+    monkeypatch.setattr(jj, "COMMON", 3)  # most signatures that two texts have are counted beforehand
+    docs = spark.createDataFrame([(*r, 0, "d", 1) for r in rows], "doc_id long, text string, key int, d string, x int").repartition(7)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.near_duplicates(docs, Scratch(spark)).collect())
+    assert got == brute(rows)
+    kept = jj.one_of_each(docs, Scratch(spark))
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got})
+
+
+def test_words_that_clash_under_polynomial_hashes(spark):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"x y z {a} w"), (4, f"x y z {b} w")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jj.near_duplicates(docs, Scratch(spark)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
