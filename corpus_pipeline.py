@@ -14,13 +14,6 @@ from sparknorm.llm import jaccard_join, language, mixing, packing, pii
 from sparknorm.llm.common import Scratch, documents
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that the table does not have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those with no n-gram of any learned language, unless a labelled language, or all, taught nothing."""
     return language.known(docs, language.fit(docs))
@@ -28,13 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component: that of the smallest id. Rows equal in id and text count once."""
-    found = jaccard_join.near_duplicates(docs, Scratch(spark)).where("head")
-    top = F.lit(2**63 - 1)
-    heads = found.select(F.coalesce("doc_id", top).alias("k"), F.coalesce("key", top).alias("x")).distinct()
-    k, x = _free(docs, "k"), _free(docs, "x")
-    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), top)).withColumn(x, F.when(F.col("text").isNull(), top).otherwise(jaccard_join.text_key(F.col("text"))))
-    kept = keyed.join(heads.withColumnsRenamed({"k": k, "x": x}), [k, x], "left_semi")
-    return kept.dropDuplicates([k, x]).select(*docs.columns)
+    return jaccard_join.one_of_each(docs, Scratch(spark))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
