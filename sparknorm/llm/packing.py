@@ -15,6 +15,7 @@ the window where the block before it ends, so only the last window is short.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -74,26 +75,34 @@ def schedule(queues: dict[str, list[tuple[int, int]]], given: Callable[[list[str
     """
     names = sorted(queues)
     due = given(names, position)
-    deficit = due - np.array([had[s] for s in names], float)
-    heads, used = [0] * len(names), [0] * len(names)
-    live = np.array([0.0 if queues[s] else -np.inf for s in names])
+    deficit = (due - np.array([had[s] for s in names], float)).tolist()
+    own, head, used = [queues[s] for s in names], [0] * len(names), [0] * len(names)
+    live = [k for k in range(len(names)) if own[k]]
     left = sum(n for q in queues.values() for _, n in q)
     out = []
     while left:
         room = min(length - position % length, left)
         due, before = given(names, position + room), due
-        deficit += due - before
+        deficit = [d + c for d, c in zip(deficit, (due - before).tolist(), strict=True)]
+        window, offset, ahead = position // length, position % length, room
+        order = [(-deficit[k], k) for k in live]
+        heapq.heapify(order)
         while room:
-            k = int(np.argmax(deficit + live))
-            row, n = queues[names[k]][heads[k]]
-            take = min(room, n - used[k], max(least, math.ceil(deficit[k])))
-            out.append((row, used[k], take, position // length, position % length))
+            d, k = order[0]
+            row, n = own[k][head[k]]
+            take = min(room, n - used[k], max(least, math.ceil(-d)))
+            out.append((row, used[k], take, window, offset))
+            room, offset = room - take, offset + take
             deficit[k] -= take
-            position, room, left, used[k] = position + take, room - take, left - take, used[k] + take
+            used[k] += take
             if used[k] == n:
-                heads[k], used[k] = heads[k] + 1, 0
-                if heads[k] == len(queues[names[k]]):
-                    live[k] = -np.inf
+                head[k], used[k] = head[k] + 1, 0
+            if head[k] == len(own[k]):
+                heapq.heappop(order)
+                live.remove(k)
+            else:
+                heapq.heapreplace(order, (-deficit[k], k))
+        position, left = position + ahead, left - ahead
     return out
 
 
