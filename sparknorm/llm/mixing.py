@@ -4,9 +4,11 @@ A document may belong to several sources. Documents are summed by membership
 pattern; a flow routes pattern capacity to source targets, where the k-th use
 of a pattern costs k - 1, so repetition is spread before it deepens. Within a
 pattern every document is used as often as the flow uses the whole pattern,
-and those before a cut in a seeded hash order once more; a few large ones behind
-the cut fill what is left. Only pattern sums and cuts reach
-the driver; documents are decided where they lie.
+and those before a cut in a seeded hash order once more. Where the cut stops at a
+long document, shorter ones behind it follow up to a second cut, and so on; in
+the end the largest of each octave of sizes fills what is left, where it fits. Only pattern
+sums and cuts reach the driver; documents are decided where they lie, next to a
+broadcast of rows a pattern, so that a hot pattern is never gathered.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 MAX_REPEATS = 3
-MAX_PATTERNS = 20_000  # membership patterns that the flow accepts; more raise ValueError
-FILLS = 8  # documents behind the cut that a pattern may add
+ROUNDS = 4  # cuts of a pattern, each with shorter documents
+MAX_PATTERNS = 200_000  # membership patterns that the flow accepts; more raise ValueError
 NULL = "\0null"  # the null source
 
 
 class Mix(NamedTuple):
-    rows: DataFrame  # doc_id, pattern, size, place
-    plan: DataFrame  # pattern, base, cut, extra
+    rows: DataFrame  # doc_id, pattern, size, chars, place
+    plan: DataFrame  # pattern, base, cuts (of documents of at most so many characters), extra
     routes: DataFrame  # pattern, source, until: a document before the first cut it does not exceed counts for that source
     sizes: dict[str, int]
     targets: dict[str, float]
@@ -69,7 +71,7 @@ def flow(capacity: dict[tuple[str, ...], int], targets: dict[str, float], most:
     got: dict[tuple[str, ...], dict[str, float]] = {p: {} for p in capacity}
     need = dict(targets)
     tiny = 1e-9 * max(1.0, sum(targets.values()))
-    users: dict[str, set[tuple[str, ...]]] = {}
+    users: dict[str, dict[tuple[str, ...], None]] = {}  # in order, so that reruns agree
     for level in range(1, most + 1):
         for p in sorted(capacity, key=lambda p: (len(p), p)):
             spare = float(level * capacity[p]) - sum(got[p].values())
@@ -100,7 +102,7 @@ def flow(capacity: dict[tuple[str, ...], int], targets: dict[str, float], most:
                 while s is not None:
                     prev, q = back[s]
                     got[q][s] = got[q].get(s, 0) + amount
-                    users.setdefault(s, set()).add(q)
+                    users.setdefault(s, {})[q] = None
                     if prev is not None:
                         got[q][prev] -= amount
                     s = prev
@@ -112,6 +114,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def characters(text: Column) -> Column:
+    return F.coalesce(F.length(text), F.lit(0)).cast("long")
+
+
 def place(id_col: str, text_col: str, seed: int) -> Column:
     """A row's place in the seeded order, in 0 .. 2**63 - 1."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1)
@@ -134,7 +140,7 @@ def _cuts(rows: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
     held = sums.join(marks, "pattern").where("at <= upto")
     last = held.groupBy("pattern", "mark", "upto").agg(F.max(F.struct("bucket", "at")).alias("b")).select("pattern", "mark", "upto", "b.bucket", "b.at")
     inside = Window.partitionBy("pattern", "mark").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = rows.withColumn("bucket", bucket).join(last, ["pattern", "bucket"])
+    near = rows.withColumn("bucket", bucket).join(F.broadcast(last), ["pattern", "bucket"])  # a row a mark; about 2000 documents a bucket
     near = near.withColumn("end", F.col("at") + F.sum("size").over(inside))
     cuts = near.groupBy("pattern", "mark").agg(F.max(F.when(F.col("end") <= F.col("upto"), F.col("place"))).alias("cut"), (F.shiftleft(F.max("bucket"), 63 - bits) - 1).alias("low"))
     found = cuts.select("pattern", "mark", F.coalesce("cut", "low").alias("cut")).collect()  # a row for each mark, at most patterns times sources
@@ -144,12 +150,15 @@ def _cuts(rows: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
 def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = None, seed: int = 17, most: int = MAX_REPEATS, max_patterns: int = MAX_PATTERNS, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> Mix:
     """Plans the mix. ``sources`` is an array column, by default the column ``source`` alone.
 
-    A null text has size 0. A null source is a source of its own. Rows equal in
-    id and text are decided alike. No rows: no plan rows.
+    A null text has size 0, and so has one without words; such documents are
+    taken or not like others, at no cost. A null source is a source of its own.
+    Rows equal in id and text have one place in the order and are decided
+    alike, ties of other rows by chance of the hash. No rows: no plan rows. More
+    than ``max_patterns`` patterns raise ValueError.
     """
     spark = docs.sparkSession
     member = pattern(F.array(F.col("source")) if sources is None else sources)
-    rows = scratch.save(docs.select(F.col(id_col).alias("doc_id"), member.alias("pattern"), word_count(F.col(text_col)).alias("size"), place(id_col, text_col, seed).alias("place")), "sizes")
+    rows = scratch.save(docs.select(F.col(id_col).alias("doc_id"), member.alias("pattern"), word_count(F.col(text_col)).alias("size"), characters(F.col(text_col)).alias("chars"), place(id_col, text_col, seed).alias("place")), "sizes")
     found = rows.groupBy("pattern").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -175,28 +184,49 @@ def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = Non
                 names.append((list(p), i, s))
                 marks.append((list(p), i, at))
     cuts = _cuts(rows, spark.createDataFrame(marks, "pattern array<string>, mark int, upto double"), bits)
-    more = spark.createDataFrame([(p, m, u) for p, m, u in marks if m == 0], "pattern array<string>, mark int, upto double").join(cuts, ["pattern", "mark"])
-    left = rows.join(more, "pattern").groupBy("pattern", "cut").agg((F.max("upto") - F.sum(F.when(F.col("place") <= F.col("cut"), F.col("size")).otherwise(0))).alias("left"))
-    state = [(r["pattern"], r["cut"], r["left"], []) for r in left.collect()]
-    for _ in range(FILLS):  # each pattern's largest document behind the cut that still fits
-        now = spark.createDataFrame(state, "pattern array<string>, cut long, left double, extra array<long>")
-        fits = rows.where("size > 0").join(now, "pattern").where("place > cut and size <= left and not array_contains(extra, place)")
-        best = {tuple(r["pattern"]): r["b"] for r in fits.groupBy("pattern").agg(F.max(F.struct("size", "place")).alias("b")).collect()}
-        if not best:
-            break
-        state = [(p, c, n - (b["size"] if (b := best.get(tuple(p))) else 0), e + ([b["place"]] if b else [])) for p, c, n, e in state]
-    extra = spark.createDataFrame([(p, e) for p, _, _, e in state], "pattern array<string>, extra array<long>")
-    plan = spark.createDataFrame(base, "pattern array<string>, base int").join(more.select("pattern", "cut"), "pattern", "left").join(extra, "pattern", "left").fillna({"cut": -1})
+    state = {tuple(p): (-1, u) for p, m, u in marks if m == 0}  # the last cut, and words left
+    chosen: dict[tuple[str, ...], list[tuple[int, int]]] = {p: [] for p in capacity}
+    now = "pattern array<string>, cut long, left double"
+    for turn in range(ROUNDS):
+        if turn:  # so many characters hold no more words than are left
+            at = spark.createDataFrame([(list(p), c, u) for p, (c, u) in state.items()], now)
+            behind = rows.join(F.broadcast(at), "pattern").where("place > cut and chars < 2 * left").drop("cut", "left")
+            found = _cuts(behind, spark.createDataFrame([(list(p), 0, u) for p, (_, u) in state.items()], "pattern array<string>, mark int, upto double"), bits)
+        else:
+            behind, found = rows, cuts.where("mark = 0")
+        used = {tuple(r["pattern"]): (r["cut"], r["n"]) for r in behind.join(F.broadcast(found), "pattern").groupBy("pattern", "cut").agg(F.sum(F.when(F.col("place") <= F.col("cut"), F.col("size")).otherwise(0)).alias("n")).collect()}
+        for p, (cut, n) in used.items():
+            last, left = state[p]
+            if cut > last:
+                chosen[p].append((cut, math.ceil(2 * left) - 1 if turn else 2**62))
+                state[p] = cut, left - n
+    at = spark.createDataFrame([(list(p), c, u) for p, (c, u) in state.items()], now)
+    fits = rows.where("size > 0").join(F.broadcast(at), "pattern").where("place > cut and size <= left")
+    best: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for r in fits.groupBy("pattern", F.floor(F.log2("size")).alias("octave")).agg(F.max(F.struct("size", "place")).alias("b")).collect():  # under 64 rows a pattern
+        best.setdefault(tuple(r["pattern"]), []).append((r["b"]["size"], r["b"]["place"]))
+    filled = []
+    for p, (_, n) in state.items():
+        taken = []
+        for size, at in sorted(best.get(p, []), reverse=True):
+            if size <= n:
+                n -= size
+                taken.append(at)
+        filled.append((list(p), taken))
+    extra = spark.createDataFrame(filled, "pattern array<string>, extra array<long>")
+    taken_cuts = spark.createDataFrame([(list(p), c) for p, c in chosen.items()], "pattern array<string>, cuts array<struct<cut: long, chars: long>>")
+    plan = spark.createDataFrame(base, "pattern array<string>, base int").join(taken_cuts, "pattern", "left").join(extra, "pattern", "left")
     plan = plan.withColumn("extra", F.coalesce("extra", F.array().cast("array<long>")))
     routes = spark.createDataFrame(names, "pattern array<string>, mark int, source string").join(cuts, ["pattern", "mark"]).select("pattern", "source", F.col("cut").alias("until"))
     return Mix(rows, plan, routes, sizes, targets)
 
 
 def copies(mixed: Mix, rows: DataFrame | None = None) -> DataFrame:
-    """``rows`` (by default the planned ones; they need pattern and place) with the number of copies to take."""
+    """``rows`` (by default the planned ones; they need pattern, chars and place) with the number of copies to take."""
     rows = mixed.rows if rows is None else rows
-    plan = F.broadcast(mixed.plan)  # a row a pattern, at most max_patterns, with at most FILLS numbers each
-    return rows.join(plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + ((F.col("place") <= F.col("cut")) | F.array_contains("extra", F.col("place"))).cast("int"), F.lit(0))).drop("base", "cut", "extra")
+    plan = F.broadcast(mixed.plan)  # a row a pattern, at most max_patterns, with ROUNDS cuts and under 64 numbers each
+    more = F.exists("cuts", lambda c: (F.col("place") <= c["cut"]) & (F.col("chars") <= c["chars"])) | F.array_contains("extra", F.col("place"))
+    return rows.join(plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + more.cast("int"), F.lit(0))).drop("base", "cuts", "extra")
 
 
 def source_table(mixed: Mix) -> DataFrame:
@@ -208,6 +238,6 @@ def repeat_rows(docs: DataFrame, mixed: Mix, seed: int = 17, id_col: str = "doc_
     """The documents themselves, each as often as the mix takes it, with their own columns."""
     names = docs.columns
     member = pattern(F.array(F.col("source")) if sources is None else sources)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), member.alias("pattern"), place(id_col, text_col, seed).alias("place"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), member.alias("pattern"), characters(F.col(text_col)).alias("chars"), place(id_col, text_col, seed).alias("place"))
     taken = copies(mixed, whole).where("copies > 0")
     return taken.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")
