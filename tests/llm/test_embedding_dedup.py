@@ -54,3 +54,18 @@ def test_bounds_hold():
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     gap = np.abs(ed.products(q, q) * s[:, None] * s - unit @ unit.T)
     assert (gap <= r[:, None] * e + e[:, None] * r + e[:, None] * e + 1e-9).all()
+
+
+def test_extremes_ties_and_hot_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(64)
+    rows = [(i, (base + rng.standard_normal(64) * 0.02 * (i % 9)).tolist(), 1) for i in range(300)]  # many pairs near the threshold
+    rows += [(1000 + i, rows[0][1], 1) for i in range(1200)] + [(3000, (base * 1e200).tolist(), 1), (3001, (base * 1e-200).tolist(), 1), (3002, [2.0], 1), (3003, [-2.0], 1), (3004, [5.0], 1), (3005, (base * 1e200).tolist(), None)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, label int, slab string, code int")
+    got = {r["vec_id"]: tuple(r)[1:] for r in ed.near_duplicates(docs, Scratch(spark), tile=64).collect()}
+    one = [(k, (np.array(v) / np.abs(v).max()).tolist(), label) for k, v, label in rows if not 1000 < k < 3000]
+    for k, links, low, kept in brute(one):
+        x = np.array(dict((r[0], r[1]) for r in one)[k])
+        copies = 1199 if len(x) == 64 and dict((r[0], r[2]) for r in one)[k] == 1 and x @ np.array(one[0][1]) / np.linalg.norm(x) / np.linalg.norm(one[0][1]) >= 0.98 else 0
+        assert got[k] == (links + copies, low, kept), k
+    assert all(got[1000 + i] == got[1000] for i in range(1200)) and got[1000][1] == 0
