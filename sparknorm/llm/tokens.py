@@ -17,7 +17,7 @@ _SOLID[:33] = False
 _SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # white space beyond ASCII begins with one of these
 _MARK = np.zeros(256, bool)
 _MARK[[ord("."), ord(",")]] = True
-KEY = 24  # bytes of a piece that the table holds; as many ids at most
+KEY = 16  # bytes of a piece that the table holds; as many ids at most
 PROBES = 4
 
 
@@ -60,14 +60,14 @@ class ChunkEncoder:
     are looked up one by one. Texts with an added token go to the library whole.
     """
 
-    def __init__(self, path: str, slot_bits: int = 20):
+    def __init__(self, path: str, slot_bits: int = 21):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.tokenize = self.tok.model.tokenize
         self.bits = slot_bits
-        self.most = (1 << slot_bits) // 2
+        self.most = 3 << slot_bits - 2
         # the printable stand-ins of bytes in a byte-level vocabulary
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
