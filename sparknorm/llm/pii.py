@@ -1,13 +1,16 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, ``://``, digits,
-a plus before a digit, and account cues. A parser for each kind grows a span
-from its anchor by local rules and validates it. Parsers skip anchors inside
-what they have read, so a text is read in linear time.
+a plus before a digit, and cues of accounts and secrets. A parser for each kind
+grows a span from its anchor by local rules and validates it. Parsers skip
+anchors inside what they have read, and what they read without success ends
+before the next anchor of their kind or after a bounded length, so a text is
+read in linear time.
 
 Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches
-of the patterns below with their checks; iban, account and url are added and
-never take a base span away.
+of the patterns below with their checks; iban, account, url and secret are added
+and never take a base span away. Of two spans of one kind that could overlap the
+leftmost counts.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 from .common import bound_batches, per_slice
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "account", "url")
+KINDS = (*BASE, "iban", "account", "url", "secret")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,10 +38,17 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"[\x20:#.]{0,3}(?:(?:no|nr|num|number|id)\b[\x20:#.]{0,3})?([0-9](?:[\x20-]?[0-9]){5,19})(?![A-Za-z0-9])", re.IGNORECASE)
-_SCHEMES = ("https", "http", "ftps", "ftp", "sftp", "ssh", "ws", "wss")
-_URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
+# an account cue may be part of a compound word: Kontonummer, accounts, Girokonto
+_ACCOUNT = re.compile(r"[A-Za-z\u00c0-\u024f]{0,12}[\x20:#.=]{0,3}(?:(?:no|nr|num|number|numero|id)\b[\x20:#.=]{0,3})?([0-9](?:[\x20-]?[0-9]){5,19})(?![A-Za-z0-9])", re.IGNORECASE)
+_SECRET = re.compile(r"[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9_+/=-]{16,})")
+_SCHEMES = frozenset(("http", "https", "ftp", "ftps", "sftp", "ssh", "ws", "wss"))
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_AUTHORITY = re.compile(r"[^\s<>\"'`{}|\\^\[\]/?#]*")
+_HOST = re.compile(r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\.?|localhost)(?::[0-9]+)?")
+_TAIL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]*")
+_TRAIL = frozenset(".,;:!?)*_~")
 _CUES = ("account", "acct", "konto", "compte", "cuenta", "iban")
+_KEYS = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
 
 
 class Span(NamedTuple):
@@ -72,6 +82,9 @@ def _anchors():
     for cue in _CUES:
         for form in (cue, cue.capitalize(), cue.upper()):
             found.add_word(form, ("c", len(cue)))
+    for cue in _KEYS:
+        for form in (cue, cue.capitalize(), cue.upper()):
+            found.add_word(form, ("k", len(cue)))
     found.make_automaton()
     return found
 
@@ -80,7 +93,7 @@ def find(text: str) -> list[Span]:
     """All spans, by start and then kind. No text: none."""
     out: list[Span] = []
     add = lambda kind, start, end: out.append(Span(kind, start, end))
-    mail = ip = card = phone = account = url = iban = 0  # where each parser may go on
+    mail = ip = card = phone = account = url = iban = secret = 0  # where each parser may go on
     for last, (tag, width) in _anchors().iter(text):
         at = last + 1 - width
         if tag == "d":
@@ -116,15 +129,27 @@ def find(text: str) -> list[Span]:
                     add("phone", at, m.end())
                 phone = m.end()
         elif tag == "u":
-            if at >= url and (scheme := next((s for s in _SCHEMES if text.endswith(s, max(0, at - len(s)), at) or text.endswith(s.upper(), max(0, at - len(s)), at)), None)) and (m := _URL.match(text, last + 1)):
-                start, end = at - len(scheme), m.end()
-                while end > last + 1 and text[end - 1] in ".,;:!?)*_~":
+            start = at
+            while at - start < 6 and start and text[start - 1] in _LETTERS:
+                start -= 1
+            if at >= url and text[start:at].lower() in _SCHEMES and not text[start - 1 : start].isalnum():
+                end = stop = _AUTHORITY.match(text, last + 1).end()  # it ends at the slash of the next scheme at the latest
+                whole = text[stop : stop + 1] not in ("/", "?", "#")
+                while whole and end > last + 1 and text[end - 1] in _TRAIL:
                     end -= 1
-                host = re.split(r"[/?#]", text[last + 1 : end], maxsplit=1)[0].rpartition("@")[2]
-                if not text[start - 1 : start].isalnum() and (re.fullmatch(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+\.?(:[0-9]+)?", host) or host.partition(":")[0] == "localhost"):
+                if _HOST.fullmatch(text[last + 1 : end].rpartition("@")[2]):
+                    if not whole:
+                        end = _TAIL.match(text, stop).end()
+                        while end > stop and text[end - 1] in _TRAIL:
+                            end -= 1
                     add("url", start, end)
                     url = end
-        elif at >= account and not text[max(0, at - 1) : at].isalnum() and (m := _ACCOUNT.match(text, last + 1)):
+        elif tag == "k":
+            if at >= secret and (m := _SECRET.match(text, last + 1)):
+                if any(c.isdigit() for c in m[1]):
+                    add("secret", m.start(1), m.end(1))
+                secret = m.end()
+        elif at >= account and not text[max(0, at - 1) : at].isdigit() and (m := _ACCOUNT.match(text, last + 1)):
             add("account", m.start(1), m.end(1))
             account = m.end()
     return sorted(set(out), key=lambda s: (s.start, _RANK[s.kind]))
@@ -149,7 +174,7 @@ def mask(text: str | None) -> str | None:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of every row; offsets in code points, ends exclusive.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_spans) of every row; offsets in code points, ends exclusive.
 
     A null or empty text has no spans. Rows are kept as they are, repeated ones too.
     """
@@ -158,11 +183,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         found = [find(t) for t in texts]
         base = [[s for s in f if s.kind in BASE] for f in found]
         counts = {f"n_{k}": pa.array([sum(s.kind == k for s in b) for b in base], pa.int64()) for k in BASE}
-        return pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | counts | {"base": pa.array([joined(b) for b in base], pa.string()), "spans": pa.array([joined(f) for f in found], pa.string())})
+        return pa.RecordBatch.from_pydict({"doc_id": part.column(0)} | counts | {"base": pa.array([joined(b) for b in base], pa.string()), "spans": pa.array([joined(f) for f in found], pa.string()), "n_spans": pa.array([len(f) for f in found], pa.int64())})
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(per_slice(run, "t"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return rows.mapInArrow(per_slice(run, "t"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long")
 
 
 def masked(text: Column) -> Column:

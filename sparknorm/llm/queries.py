@@ -11,7 +11,7 @@ from .common import Scratch, documents
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    return pii.scan(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return pii.scan(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

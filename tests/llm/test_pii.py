@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,28 @@ def test_added_kinds():
     assert pii.mask(None) is None and pii.mask("") == ""
 
 
+def test_schemes_cues_and_secrets():
+    found = lambda t, k: [t[s.start : s.end] for s in pii.find(t) if s.kind == k]
+    for url in ("sftp://a.b/c", "ftp://a.b", "WSS://a.b:80?x", "http://u@b:c@host.example/p_(1", "ssh://localhost:22"):
+        assert found(f"({url}).", "url") == [url]
+    assert found("xhttp://a.b 1http://a.b http://a_b.c/d http:// https://a", "url") == []
+    assert found("http://http://a.b/c", "url") == ["http://a.b/c"] and found("http://a.b/http://c.d", "url") == ["http://a.b/http://c.d"]
+    for text in ("Kontonummer: 12345678", "accounts 12345678", "Girokonto 12345678", "Kontonr. 12345678", "account id=12345678", "Cuenta numero 12345678"):
+        assert found(text, "account") == ["12345678"], text
+    assert found("1konto 12345678 konto 12345", "account") == []
+    assert found('token = "9dd3c80004c73dc9e548fee51b23b527780d4f20" password: short secret=abcdefghijklmnopqrst', "secret") == ["9dd3c80004c73dc9e548fee51b23b527780d4f20"]
+
+
+def test_time_is_linear():
+    for part in ("http://", "://", "a@", "token=", "konto", "http://a.b@", "account 12345", "+1", "1.", "secret=a1"):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            pii.find(part * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 0.5 or took[1] < 12 * took[0], (part, took)
+
+
 def test_long_texts():
     for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 200_000, "+1" * 100_000, "A1" * 100_000):
         pii.find(text)
