@@ -1,20 +1,21 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A text is cut into sentences: words up to one that ends in . ! ? ; : or a
-comma, or up to a line end; the marks of other scripts count, too. Clauses count
-as sentences, and one of more than ``LONGEST`` words is cut further, behind the
-word of least hash of every ``LONGEST`` - 1 neighbours, so that neither a long
-one nor a lack of marks hides a passage. In scripts without spaces each character
-is cut like a word. Every run of ``RUN`` consecutive sentences is hashed; runs that several documents have are first in the document of smallest
-id, and in all others their sentences are covered. A later occurrence in the
-same document is covered as well. Covered sentences go where they form a
-stretch of at least ``MIN_WORDS`` words, so short common phrases stay.
+A text is cut into sentences: words up to one that ends in . ! or ?, or in such
+a mark of another script, or up to a line end. One of more than ``LONGEST``
+words is cut further, behind the word of least hash of every ``LONGEST`` - 1
+neighbours, so that neither a long one nor a lack of marks hides a passage. In
+scripts without spaces each character is cut like a word. A span is a run of
+consecutive sentences, at least ``RUN`` of them and at least ``SPAN_WORDS``
+words; the shortest ones from every sentence on, and up to every sentence, are
+hashed. Spans that several documents have are first in the document of smallest
+id, and in all others their sentences are removed. A later occurrence in the
+same document is removed as well.
 
 Of a repeated passage of n words with the same line ends, at most ``LONGEST``
-words at each end fuse with what surrounds it; sentences of n - 2 * ``LONGEST``
-words or more inside are cut alike everywhere. So every one of
-``MIN_WORDS`` + 2 * ``LONGEST`` words (49) is found, but for stretches of one
-word ``LONGEST`` times over, which are not cut.
+words at each end fuse with what surrounds it; all n - 2 * ``LONGEST`` words or
+more inside are cut alike everywhere, and are covered if they are ``SPAN_WORDS``
+(which take ``RUN`` sentences). So every passage of 49 words loses all but its
+ends, but for stretches of one word ``LONGEST`` times over, which are not cut.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, per_slice, slices
+from .common import Scratch, per_slice, slices, spread_join
 from .shingles import _SPACE, LOWER, PAD, mix, range_hashes
 
 RUN = 3
-MIN_WORDS = 25
+SPAN_WORDS = 25
 LONGEST = 12  # words of a sentence
 PART = 4  # a word's weight; characters of scripts without spaces weigh less
 _END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?;:,"]] = True
+_END[[ord(c) for c in ".!?"]] = True
 _LINE = np.zeros(256, bool)
 _LINE[[10, 13]] = True
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -45,7 +46,7 @@ for _a, _b in ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x
     _KIND[_a : _b + 1] = _IDEOGRAPH
 for _a, _b in ((0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF)):  # Thai, Lao, Burmese, Khmer
     _KIND[_a : _b + 1] = _LETTER
-_KIND[[ord(c) for c in "\u3000、。！，．：；？｡､…‼⁇⁈⁉।॥၊။។៕،؛؟۔։፣።፤፥፦፧፨"]] = _MARK
+_KIND[[ord(c) for c in "。！．？｡…‼⁇⁈⁉।॥။។៕؟۔։።፧፨"]] = _MARK
 _WEIGHT = np.array([PART, PART // 2, PART // 4, PART])
 
 
@@ -137,40 +138,35 @@ def cut(texts: list[str]) -> Cut:
     return Cut(text, first[begins] - offset[text], last[ends] - offset[text], np.add.reduceat(weight, begins), mix(total + (ends - begins + 1).astype(np.uint64)))
 
 
-def runs(c: Cut) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first sentence and hash of every run."""
-    n = len(c.hash) - RUN + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(RUN):
-        h += c.hash[j : n + j] * _ODD[j % 4]
-    at = np.flatnonzero(c.text[:n] == c.text[RUN - 1 :])
-    return at, mix(h[at])
-
-
-def _drop(c: Cut, i: int, j: int, repeated: list[int], min_words: int) -> tuple[int, list[tuple[int, int]]]:
-    """Of one text's sentences i .. j: how many go, and the byte ranges that go. ``repeated`` are places of repeated runs."""
-    covered = np.zeros(j - i, bool)
-    hashes = c.hash[i:j]
-    if j - i >= RUN:
-        h = np.zeros(j - i - RUN + 1, np.uint64)
-        for k in range(RUN):
-            h += hashes[k : len(h) + k] * _ODD[k % 4]
-        again = np.ones(len(h), bool)
-        again[np.unique(h, return_index=True)[1]] = False
-        for at in [*np.flatnonzero(again).tolist(), *repeated]:
-            covered[at : at + RUN] = True
-    gone, ranges = 0, []
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if c.words[i + a : i + b].sum() >= min_words * PART:
-            gone += b - a
-            ranges.append((int(c.start[i + a]), int(c.stop[i + b - 1])))
-    return gone, ranges
-
-
-def remove_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(c: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, sentence behind the last, and hash of every span."""
+    n, least = len(c.hash), SPAN_WORDS * PART
+    total = np.concatenate([[0], np.cumsum(c.words)])
+    at = np.arange(n)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + least), at + RUN)
+    fits = stop <= n
+    ahead = np.stack([at[fits], stop[fits]])
+    start = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, at + 1 - RUN)
+    fits = start >= 0
+    behind = np.stack([start[fits], at[fits] + 1])
+    start, stop = np.divmod(np.unique(np.concatenate([ahead[0] * (n + 1) + ahead[1], behind[0] * (n + 1) + behind[1]])), n + 1)
+    whole = c.text[start] == c.text[stop - 1]
+    start, stop = start[whole], stop[whole]
+    h, open_ = np.zeros(len(start), np.uint64), np.arange(len(start))
+    for k in range(int((stop - start).max(initial=0))):
+        open_ = open_[stop[open_] - start[open_] > k]
+        h[open_] = mix(h[open_] * _ODD[1] ^ c.hash[start[open_] + k])
+    return start, stop, h
+
+
+def _again(h: np.ndarray) -> np.ndarray:
+    """Which values stand further ahead already."""
+    out = np.ones(len(h), bool)
+    out[np.unique(h, return_index=True)[1]] = False
+    return out
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, text) of every row.
 
     ``removed`` lists start:end of what went, in code points of the given text;
@@ -183,50 +179,61 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
 
     def emit(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch | None:
         c = cut(texts)
-        at, h = runs(c)
-        if not len(at):
+        start, stop, h = spans(c)
+        if not len(h):
             return None
         first = np.searchsorted(c.text, np.arange(len(texts)))
         key, x = (np.array(part.column(n).to_pylist(), np.int64) for n in (0, 1))
-        t = c.text[at]
-        order = np.lexsort((at, h, t))  # one of a text's equal runs
-        keep = np.ones(len(at), bool)
+        t = c.text[start]
+        order = np.lexsort((start, h, t))  # one of a text's equal spans
+        keep = np.ones(len(h), bool)
         keep[order[1:]] = (h[order][1:] != h[order][:-1]) | (t[order][1:] != t[order][:-1])
-        at, h, t = at[keep], h[keep], t[keep]
-        return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "k": pa.array(key[t]), "x": pa.array(x[t]), "at": pa.array((at - first[t]).astype(np.int32))})
+        start, stop, h, t = start[keep], stop[keep], h[keep], t[keep]
+        place = (start - first[t]) << 8 | np.minimum(stop - start, 255)  # a span has at most SPAN_WORDS * PART sentences
+        return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "k": pa.array(key[t]), "x": pa.array(x[t]), "at": pa.array(place)})
 
     texts = rows.where("t is not null").select("k", "x", "t")
-    seen = scratch.save(texts.mapInArrow(per_slice(emit, "t"), "h long, k long, x long, at int"), "runs")
-    several = seen.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("other")).where("first < other").select("h", "first")
-    later = seen.join(several, "h").where("k <> first").groupBy("k", "x").agg(F.collect_set("at").alias("ats"))
+    seen = scratch.save(texts.mapInArrow(per_slice(emit, "t"), "h long, k long, x long, at long"), "spans")
+    several = seen.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("other"), F.count(F.lit(1)).alias("w")).where("first < other").select("h", "first", "w")
+    several = scratch.save(several, "several")
+    later = spread_join(seen, several, ["h"], "w").where("k <> first").groupBy("k", "x").agg(F.collect_set("at").alias("ats"))
     later = scratch.save(later, "later")
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "t"):
                 c = cut(texts)
+                start, stop, h = spans(c)
+                own = np.searchsorted(start, np.searchsorted(c.text, np.arange(len(texts) + 1))).tolist()
                 bound = np.searchsorted(c.text, np.arange(len(texts) + 1)).tolist()
                 null = part.column(1).is_null().to_pylist()
                 out = []
                 for n, (t, ats) in enumerate(zip(texts, part.column(2).to_pylist(), strict=True)):
                     i, j = bound[n], bound[n + 1]
-                    gone, ranges = _drop(c, i, j, ats or [], min_words)
+                    covered = np.zeros(j - i, bool)
+                    for at in ats or []:
+                        covered[at >> 8 : (at >> 8) + (at & 255)] = True
+                    mine = slice(own[n], own[n + 1])
+                    for a, b in zip((start[mine] - i)[again := _again(h[mine])].tolist(), (stop[mine] - i)[again].tolist(), strict=True):
+                        covered[a:b] = True
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+                    gone, ranges = int(covered.sum()), [(int(c.start[i + a]), int(c.stop[i + b - 1])) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
                     if not ranges:
                         out.append((j - i, 0, "", None if null[n] else t))
                         continue
                     raw = t.encode("utf-8", "surrogatepass")
-                    kept, spans, at, chars = [], [], 0, 0
+                    kept, gaps, at, chars = [], [], 0, 0
                     for a, b in ranges:
                         kept.append(raw[at:a])
-                        start = chars + len(raw[at:a].decode("utf-8", "surrogatepass"))
-                        chars = start + len(raw[a:b].decode("utf-8", "surrogatepass"))
-                        spans.append(f"{start}:{chars}")
+                        begin = chars + len(raw[at:a].decode("utf-8", "surrogatepass"))
+                        chars = begin + len(raw[a:b].decode("utf-8", "surrogatepass"))
+                        gaps.append(f"{begin}:{chars}")
                         while b < len(raw) and raw[b] in b" \t":
                             b += 1
                             chars += 1
                         at = b
                     kept.append(raw[at:])
-                    out.append((j - i, gone, ",".join(spans), b"".join(kept).decode("utf-8", "surrogatepass")))
+                    out.append((j - i, gone, ",".join(gaps), b"".join(kept).decode("utf-8", "surrogatepass")))
                 if out:
                     a, b, d, e = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.string()), pa.array(e, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
