@@ -138,7 +138,7 @@ class Fluid:
         out = sizes * max(0.0, position - self.lead) / max(1, self.total - self.lead)
         bend = next((b for b in reversed(self.bends) if position >= b[0]), (0.0, 0.0, 1.0))
         time = bend[1] + (position - bend[0]) / bend[2]
-        for i, s in enumerate(names):
+        for i, s in enumerate(names if self.weight else ()):
             if s in self.weight:
                 out[i] = min(float(sizes[i]), self.weight[s] * time)
         return out
@@ -183,7 +183,8 @@ def pack(tokens: DataFrame, scratch: Scratch, length: int = 1024, targets: dict[
         pdf = pdf.sort_values(["s", "at", "row"])
         first = pdf.drop_duplicates("s").set_index("s")
         queues = {s: list(zip(g["row"].tolist(), g["n"].tolist(), strict=True)) for s, g in pdf.groupby("s")}
-        given = lambda names, at: fluid.given(names, first.loc[names, "source_n"].to_numpy(float), at)
+        sizes = first["source_n"].sort_index().to_numpy(float)  # in the order of the schedule's names
+        given = lambda names, at: fluid.given(names, sizes, at)
         found = schedule(queues, given, first["had"].to_dict(), int(pdf["block_at"].iloc[0]), length, least)
         return pd.DataFrame(found, columns=["row", "start", "length", "sequence_id", "offset"])
 
