@@ -11,7 +11,7 @@ import hashlib
 import math
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -205,8 +205,11 @@ def _frames(data: bytes, at: int, stop: int, lacing: int) -> list[tuple[int, int
     return list(zip(starts, sizes, strict=True))
 
 
-def parse(data: bytes) -> Media:
-    """Tracks, packets in file order, and cues. A file that is not Matroska or is cut off raises ValueError."""
+def parse(data: bytes, wanted: Callable[[int], bool] = lambda at: True) -> Media:
+    """Tracks, packets in file order, and cues. A file that is not Matroska or is cut off raises ValueError.
+
+    ``wanted`` tells by its position whether a cluster is read; all are counted.
+    """
     tops = list(elements(data, 0, len(data)))
     if not tops or tops[0][0] != EBML:
         raise ValueError("no EBML header")
@@ -219,7 +222,9 @@ def parse(data: bytes) -> Media:
     for key, start, stop in tops:
         if key != SEGMENT:
             continue
+        head = start
         for kid, a, b in elements(data, start, stop):
+            here, head = head, b
             if kid == INFO:
                 for k, x, y in elements(data, a, b):
                     if k == TIMESTAMP_SCALE:
@@ -250,6 +255,8 @@ def parse(data: bytes) -> Media:
                                     v["bits"] = number(r, s)
                     tracks.append(Track(*v.values()))
                     frame_ns[v["n"]] = v["ns"]
+            elif kid == CLUSTER and not wanted(here):
+                clusters += 1
             elif kid == CLUSTER:
                 base = 0
                 for k, x, y in elements(data, a, b):
@@ -293,6 +300,14 @@ def samples(data: bytes, media: Media, track: int = 1) -> bytes:
     return b"".join([data[p.start : p.start + p.size] for p in media.packets if p.track == track])
 
 
+def in_range(data: bytes, start_ns: int, stop_ns: int, track: int = 1) -> list[Packet]:
+    """One track's packets of a time range; of the clusters only those between the cues around it are read, without cues all."""
+    cues = sorted((time, at) for time, n, at in parse(data, lambda at: False).cues if n == track)
+    begin = max((at for time, at in cues if time <= start_ns), default=0)
+    end = min((at for time, at in cues if time >= stop_ns and at > begin), default=len(data))
+    return [p for p in parse(data, lambda at: begin <= at < end).packets if p.track == track and start_ns <= p.time_ns < stop_ns]
+
+
 def payload(text: str) -> tuple[int, bytes]:
     raw = text.encode()
     return len(raw), raw + bytes(-len(raw) % 64 if raw else 64)
@@ -300,7 +315,7 @@ def payload(text: str) -> tuple[int, bytes]:
 
 def features(sound: bytes, media: Media) -> str:
     """Level statistics of the samples, with the shape of the packet table."""
-    x = np.frombuffer(sound, np.uint8).astype(np.int64) - 128
+    x = np.frombuffer(sound or b"\x80", np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     energy = int(np.dot(x, x))
     return f"packets={len(media.packets)};clusters={media.clusters};cues={len(media.cues)};duration_us={media.duration_ns // 1000};mean={x.sum() / len(x):.6f};rms={math.sqrt(energy / len(x)):.6f};peak={int(np.abs(x).max())};crossings={crossings}"
@@ -339,13 +354,21 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests and features of ``store``'s rows, all from the stored bytes."""
+    """Digests and features of ``store``'s rows, all from the stored bytes and their packets.
+
+    Null media, and a file that is broken, have null digests and features.
+    Repeated rows are described alike.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for data in batch.column(2).to_pylist():
-                m = parse(data)
+                try:
+                    m = parse(data or b"")
+                except (ValueError, IndexError):
+                    out.append((None,) * 6)
+                    continue
                 sound = samples(data, m)
                 out.append((len(sound), hashlib.sha256(sound).hexdigest(), zlib.crc32(sound[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(sound, m)))
             if out:

@@ -1,8 +1,11 @@
+import hashlib
 import random
+import zlib
 
 import pytest
 
 from sparknorm.llm import matroska as m
+from sparknorm.llm.common import Scratch
 
 
 @pytest.mark.parametrize("n", [64, 128, 512, 576, 2048, 2112, 40000, 32768 * 3 + 64])
@@ -91,3 +94,31 @@ def test_clusters_of_unknown_size(segment_unknown):
             assert (time, track) == (40 * m.TICK_NS, 1) and (data * times)[at:].startswith(two)
     with pytest.raises(ValueError):
         m.parse(data[:-1])
+
+
+def test_range_read_by_cues():
+    data = m.mux(random.Random(1).randbytes(m.FRAME * m.LACE * m.BLOCKS * 3 + 640))
+    every = m.parse(data).packets
+    for a, b in ((0, 10**18), (5 * 10**9, 6 * 10**9), (4 * 10**9, 4 * 10**9 + 1), (10**15, 10**16), (10**9, 13 * 10**9)):
+        assert m.in_range(data, a, b) == [p for p in every if a <= p.time_ns < b]
+    assert m.in_range(block(0x80, b"xyz"), 0, 10**10)[0].size == 3  # without cues
+
+
+def test_digests_equal_plain_python(spark):
+    rng = random.Random(8)
+    texts = ["", None, "é", "a" * 64, "a" * 63, "漢" * 50_000, *("".join(rng.choices("abé \n", k=rng.randint(0, 5000))) for _ in range(20))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in m.describe(m.store(docs, Scratch(spark))).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw + bytes((64 - len(raw) % 64) % 64 or (0 if raw else 64))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        stored = m.mux(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        x = [b - 128 for b in padded]
+        fields = dict(f.split("=") for f in r["feature"].split(";"))
+        assert int(fields["peak"]) == max(map(abs, x)) and abs(float(fields["mean"]) - sum(x) / len(x)) < 1e-5
+        assert int(fields["packets"]) == -(-len(padded) // m.FRAME) == len(m.parse(stored).packets)
+    odd = spark.createDataFrame([(1, 5, None), (2, 5, b"junk")], "doc_id long, n_bytes long, media binary")
+    assert [r["payload_sha256"] for r in m.describe(odd).collect()] == [None, None]
