@@ -16,8 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, per_slice, slices, trimmed
 
@@ -26,6 +28,7 @@ SIZES = (2, 4)  # characters of the n-grams
 SAMPLE = 3000  # labelled rows a language, about
 GRAMS = 100_000  # n-grams kept a language
 PROBES = 3
+LEAST_HITS = 0.25  # of a text's n-grams that its language has; random letters reach about 0.2, prose of the language 0.65 or more
 CHARS = 1 << 18  # of texts looked at together
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -98,17 +101,17 @@ def build(languages: list[str], found: dict[str, np.ndarray]) -> Model:
     return Model(languages, bits, slots, chance)
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    """Language and score of each text: the decided language's part of all corrected hits, 0 to 1.
+def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """Of each text: language, score (the decided language's part of all corrected hits) and the part of its n-grams that hit, 0 to 1.
 
     No letter, or nothing learned: ``und`` and 0. No hit at all: the first
     language and 0. Equal counts: the first language by name.
     """
     h, doc, has = grams(texts)
     count = np.zeros((len(texts), len(model.languages)))
+    n = np.bincount(doc, minlength=len(texts))
     if len(model.languages):
         slot = list(_probes(h, model.bits))
-        n = np.bincount(doc, minlength=len(texts))
         kind, width = model.slots.dtype.type, 8 * model.slots.dtype.itemsize
         for w in range(model.slots.shape[1]):
             masks = model.slots[slot[0], w]
@@ -119,16 +122,13 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
                 count[:, i] = np.bincount(doc[hit], minlength=len(texts))
         count = np.maximum(0.0, (count - n[:, None] * model.chance) / (1 - model.chance))
     total = count.sum(axis=1)
-    names, scores = [], []
+    names, scores, hits = [], [], []
     for i in range(len(texts)):
-        if not has[i] or not model.languages:
-            names.append(UNKNOWN)
-            scores.append(0.0)
-        else:
-            k = int(np.argmax(count[i]))
-            names.append(model.languages[k])
-            scores.append(float(count[i, k] / total[i]) if total[i] else 0.0)
-    return names, scores
+        k = int(np.argmax(count[i])) if has[i] and model.languages else None
+        names.append(UNKNOWN if k is None else model.languages[k])
+        scores.append(float(count[i, k] / total[i]) if k is not None and total[i] else 0.0)
+        hits.append(float(count[i, k] / n[i]) if k is not None and n[i] else 0.0)
+    return names, scores, hits
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -184,28 +184,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: s
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row."""
+    """(doc_id, held_out, lang_pred, score) of every row, repeated ones too. A null or empty text, and one without a letter, is ``und`` with score 0; of equal counts the first language by name counts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by languages and max_grams
 
     def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        names, scores = predict(shared.value, texts)
+        names, scores, _ = predict(shared.value, texts)
         return pa.RecordBatch.from_pydict({"doc_id": part.column(0), "held_out": part.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(per_slice(run, "t", CHARS), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Whole rows whose text has a letter and an n-gram of a learned language; a null text has none.
+def known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_HITS) -> DataFrame:
+    """Whole rows in a learned language: with a letter, and at least ``least`` of whose n-grams the decided one has. A null text has none.
 
-    Where the model is blind to a labelled language, or no row is labelled, a letter is enough.
+    Where the model is blind to a labelled language, or no row is labelled, a
+    letter is enough. A null language becomes the decided one; given languages
+    stay. Repeated rows are decided alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(lang_col) if lang_col in docs.columns and docs.schema[lang_col].dataType == T.StringType() else None
 
     def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        names, _, hits = predict(shared.value, texts)
         if shared.value.blind:
-            return part.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
-        names, scores = predict(shared.value, texts)
-        return part.filter(pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            keep = [any(map(str.isalpha, t)) for t in texts]
+        else:
+            keep = [n != UNKNOWN and h >= least for n, h in zip(names, hits, strict=True)]
+        if at is not None and part.column(at).null_count and not shared.value.blind:
+            given = part.column(at)
+            part = part.set_column(at, part.schema.field(at), pc.coalesce(given, pa.array(names, given.type)))
+        return part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(per_slice(run, text_col, CHARS), docs.schema)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparknorm.llm import language as lg
 
@@ -69,3 +70,33 @@ def test_languages_of_few_rows(spark):
         model = lg.fit(blind)
         assert model.blind
         assert {r["doc_id"] for r in lg.known(more, model).collect()} == {1, 2, 5, *range(6, 66)}
+
+
+def test_held_out_accuracy_and_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lg.fit(docs)
+    got = lg.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert len(got) > 100 and (got["lang"] == got["lang_pred"]).mean() > 0.98
+    rng = np.random.default_rng(0)
+    junk = [(90_000_000 + i, "".join(rng.choice(list("bcdfghjkmnpqrtvwxz"), 300)), None) for i in range(20)] + [(91_000_000, "漢字漢字漢字", "en"), (91_000_001, "2 + 2", "en"), (91_000_002, None, "en")]
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("lang")).union(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"]: r["lang"] for r in lg.known(rows, model).collect()}
+    lettered = {r["doc_id"]: r["lang"] for r in docs.where("text rlike '[A-Za-z]'").collect()}
+    assert set(kept) == set(lettered)
+    assert sum(kept[i] == lettered[i] for i in kept) > 0.98 * len(kept)  # null ones got the prediction
+
+
+def test_filter_equals_plain_sets(spark):
+    """Counts of the bitmask filter are those of one set of n-grams a language, but for the corrected chance."""
+    found = {}
+    for name, text in WORDS.items():
+        found[name] = np.unique(lg.grams([text])[0])
+    model = lg.build(sorted(found), found)
+    texts = [" ".join(WORDS[a].split()[:3] + WORDS[b].split()[:2]) for a in WORDS for b in WORDS] + ["quick " * 5]
+    names, scores, hits = lg.predict(model, texts)
+    for t, name, score, hit in zip(texts, names, scores, hits, strict=True):
+        h = lg.grams([t])[0].tolist()
+        count = {k: sum(x in set(v.tolist()) for x in h) for k, v in found.items()}
+        best = max(sorted(count), key=lambda k: count[k])
+        assert count[name] >= count[best] - 1
+        assert abs(score - count[name] / sum(count.values())) < 0.1 and abs(hit - count[name] / len(h)) < 0.1
