@@ -39,7 +39,7 @@ def two_digits(run: Column) -> Column:
 
 
 def participant_number(stem: Column) -> Column:
-    return F.expr("cast(null as int)") if stem is None else F.regexp_extract(stem, r"(?i)part([0-9]+)_resteo", 1).try_cast("int")
+    return F.regexp_extract(stem, r"(?i)part([0-9]+)_resteo", 1).try_cast("int")
 
 
 def age_from_comment(comment: Column, missing: int = 99) -> Column:
@@ -131,6 +131,40 @@ def amplitude_flag(p99: Column, extreme: Column) -> Column:
     return F.when((p99 > 500) | (extreme > 1000), "extreme").when((p99 > 150) | (extreme > 0), "borderline").otherwise("clean")
 
 
+def stem_of(path: Column) -> Column:
+    """A file name without its folders and last suffix."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+def group_of(path: Column, prefixes: Mapping[str, str], default: str) -> Column:
+    """A group by how a file's name begins, the first prefix that fits."""
+    out = F.lit(default)
+    for prefix, group in reversed(prefixes.items()):
+        out = F.when(F.startswith(stem_of(path), F.lit(prefix)), F.lit(group)).otherwise(out)
+    return out
+
+
+def vector(features: Sequence[str]) -> Column:
+    """Columns as one array, in order."""
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
+def named_vector(values: Column, features: Sequence[str]) -> Column:
+    """An array as a map by name; raises where the lengths differ."""
+    fits = F.size(values) == len(features)
+    return F.when(fits, F.map_from_arrays(F.array(*map(F.lit, features)), values)).otherwise(F.raise_error(F.lit(f"a vector does not have {len(features)} values")).cast("map<string,double>"))
+
+
+def interval(point: Column, low: Column, high: Column, mean: Column) -> Column:
+    """Struct of an interval's relative width, the mean's bias, and whether it holds the point."""
+    return F.struct(((high - low) / F.greatest(F.abs(point), F.lit(1e-8))).alias("relative_width"), (mean - point).alias("bias"), within(low, high, point).alias("inside"))
+
+
+def number_text(c: Column, digits: int = 10) -> Column:
+    """A number with so many significant digits, as text."""
+    return F.format_string(f"%.{digits}g", c.cast("double"))
+
+
 def within(low: Column, high: Column, point: Column) -> Column:
     return (point >= low) & (point <= high)
 

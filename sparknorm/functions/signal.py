@@ -126,19 +126,25 @@ def coherence(x: np.ndarray, sfreq: float, low: float, high: float, size: int =
     return cleaned(c[:, :, (hz >= low) & (hz <= high)].mean(axis=2))
 
 
+def band_integrals(hz: np.ndarray, psd: np.ndarray) -> np.ndarray:
+    """Channels times bands: trapezoids over the points of each half-open band, all bands by one product."""
+    edges = np.array(list(BANDS.values()))
+    inside = (hz >= edges[:, :1]) & (hz < edges[:, 1:])
+    both = inside[:, 1:] & inside[:, :-1]  # a step counts for a band that holds its two ends
+    weight = np.zeros(inside.shape)
+    half = both * np.diff(hz) / 2
+    weight[:, 1:] += half
+    weight[:, :-1] += half
+    return psd @ weight.T
+
+
 def band_powers(hz: np.ndarray, psd: np.ndarray) -> dict[str, float]:
-    """Trapezoid of the mean density over each half-open band, shares and log ratios."""
-    mean = psd.mean(axis=0)
-    out = {}
-    for name, (low, high) in BANDS.items():
-        at = (hz >= low) & (hz < high)
-        out[f"{name}_abs"] = float(np.trapezoid(mean[at], hz[at]))
-    total = sum(out.values()) + EPS
-    rel = {name: out[f"{name}_abs"] / total for name in BANDS}
-    out |= {f"{k}_rel": v for k, v in rel.items()}
-    for a, b in (("theta", "alpha"), ("theta", "beta"), ("alpha", "beta")):
-        out[f"log_{a}_{b}"] = math.log((out[f"{a}_abs"] + EPS) / (out[f"{b}_abs"] + EPS))
-    return out
+    """Mean power of each band over channels, its share of all bands, and log ratios."""
+    power = dict(zip(BANDS, band_integrals(hz, psd).mean(axis=0).tolist(), strict=True))
+    whole = math.fsum(power.values()) + EPS
+    log_ratio = lambda a, b: math.log(power[a] + EPS) - math.log(power[b] + EPS)
+    pairs = (("theta", "alpha"), ("theta", "beta"), ("alpha", "beta"))
+    return {f"{b}_abs": p for b, p in power.items()} | {f"{b}_rel": p / whole for b, p in power.items()} | {f"log_{a}_{b}": log_ratio(a, b) for a, b in pairs}
 
 
 def spectral_entropy(psd: np.ndarray) -> np.ndarray:
@@ -149,6 +155,7 @@ def spectral_entropy(psd: np.ndarray) -> np.ndarray:
 
 
 def permutation_entropy(x: np.ndarray, order: int = 3, delay: int = 1) -> float:
+    """Of the patterns of ``order`` samples, in shares of the most that it can be; NaN for a series without ``order`` * ``delay`` samples."""
     if len(x) < order * delay:
         return math.nan
     parts = np.lib.stride_tricks.sliding_window_view(x, (order - 1) * delay + 1)[:, ::delay]
@@ -158,9 +165,11 @@ def permutation_entropy(x: np.ndarray, order: int = 3, delay: int = 1) -> float:
     return float(-(p * np.log2(p)).sum() / math.log2(math.factorial(order)))
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, chunk: int = 512) -> float:
-    """Templates closer than r deviations (Chebyshev), without self matches; NaN without matches."""
-    tol = r * x.std()
+def sample_entropy(x: np.ndarray, m: int = 2, r: float | None = None, chunk: int = 512) -> float:
+    """Templates within a tolerance r (Chebyshev; 0.2 deviations by default), without self matches; NaN without matches or for m + 1 samples or fewer."""
+    if len(x) <= m + 1:
+        return math.nan
+    tol = 0.2 * x.std() if r is None else r
 
     def matches(k: int) -> int:
         t = np.lib.stride_tricks.sliding_window_view(x, k)[: len(x) - k]
@@ -170,6 +179,43 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, chunk: int = 512)
     return -math.log(a / b) if a > 0 and b > 0 else math.nan
 
 
+def complexity(x: np.ndarray) -> dict[str, float]:
+    """Permutation and sample entropy, means over channels that have one."""
+    each = {"permutation_entropy": [permutation_entropy(c) for c in x], "sample_entropy": [sample_entropy(c) for c in x]}
+    return {k: float(np.nanmean(v)) if np.isfinite(v).any() else math.nan for k, v in each.items()}
+
+
+def peaks(hz: np.ndarray, density: np.ndarray, low: float, high: float, k: int = 3) -> list[tuple[float, float]]:
+    """The k largest points of a spectrum in a closed band, as (frequency, density); the lower frequency first on ties."""
+    at = np.flatnonzero((hz >= low) & (hz <= high))
+    return [(float(hz[i]), float(density[i])) for i in at[np.lexsort((hz[at], -density[at]))][:k]]
+
+
+def recording_quality(x: np.ndarray, sfreq: float) -> dict[str, float]:
+    """Amplitude, spread and mains noise of a recording; one below 0.01 throughout is taken for volts and counted in microvolts."""
+    if np.abs(x).max(initial=0) < 1e-2:
+        x = x * 1e6
+    hz, psd = welch(x, sfreq)
+    mean = psd.mean(axis=0)
+    power = lambda a, b: float(np.trapezoid(mean[(hz >= a) & (hz <= b)], hz[(hz >= a) & (hz <= b)]))
+    around = power(55.0, 65.0)
+    return {
+        "n_channels": float(len(x)),
+        "duration_s": (x.shape[1] - 1) / sfreq,
+        "mean_abs_uv": float(np.abs(x).mean()),
+        "std_mean_uv": float(x.std(axis=1).mean()),
+        "line_ratio": power(58.0, 62.0) / around if around > 0 else math.nan,
+    }
+
+
+def pick(x: np.ndarray, names: list[str], wanted: list[str]) -> np.ndarray:
+    """Channels in a fixed order; KeyError names those that are missing."""
+    at = {n.strip().upper(): i for i, n in enumerate(names)}
+    if missing := [w for w in wanted if w.upper() not in at]:
+        raise KeyError(f"missing channels: {missing}")
+    return x[[at[w.upper()] for w in wanted]]
+
+
 def resample(x: np.ndarray, n: int) -> np.ndarray:
     """Fourier resampling to n samples."""
     old = x.shape[1]
@@ -237,15 +283,34 @@ def transitions(series: list[np.ndarray]) -> np.ndarray:
 
 
 def transition_summary(delta: np.ndarray) -> dict[str, float]:
-    if not len(delta):
-        return {"n_transitions": 0.0} | dict.fromkeys(("mean_delta", "std_delta", "cv_delta", "max_delta", "temporal_entropy"), math.nan)
-    count, _ = np.histogram(delta, bins=min(8, max(3, len(delta) // 2)))
-    p = count[count > 0] / count.sum()
-    return {
-        "n_transitions": float(len(delta)),
-        "mean_delta": float(delta.mean()),
-        "std_delta": float(delta.std()),
-        "cv_delta": float(delta.std() / (delta.mean() + EPS)),
-        "max_delta": float(delta.max()),
-        "temporal_entropy": float(-(p * np.log(p + EPS)).sum()),
-    }
+    """Moments of a series of changes, and the entropy of their histogram."""
+    names = ("mean_delta", "std_delta", "cv_delta", "max_delta", "temporal_entropy")
+    n = len(delta)
+    if not n:
+        return {"n_transitions": 0.0, **dict.fromkeys(names, math.nan)}
+    center, spread = float(delta.mean()), float(delta.std())
+    share = np.histogram(delta, bins=min(8, max(3, n // 2)))[0] / n
+    entropy = float(np.where(share > 0, -share * np.log(share + EPS), 0.0).sum())
+    return {"n_transitions": float(n), **dict(zip(names, (center, spread, spread / (center + EPS), float(delta.max()), entropy), strict=True))}
+
+
+def trajectories(series: list[np.ndarray]) -> dict[str, float]:
+    """Each graph metric over a series of matrices: mean, deviation and their ratio, without windows where it is not defined."""
+    rows = [graph_metrics(w) for w in series]
+    out = {}
+    for name in rows[0] if rows else graph_metrics(np.zeros((3, 3))):
+        v = np.array([r[name] for r in rows], float)
+        v = v[np.isfinite(v)]
+        mean, spread = (float(v.mean()), float(v.std())) if len(v) else (math.nan, math.nan)
+        out |= {f"{name}_mean": mean, f"{name}_std": spread, f"{name}_cv": spread / (abs(mean) + EPS)}
+    return out
+
+
+def density_regimes(w: np.ndarray, densities: tuple[float, ...] = (1.0, 0.1, 0.2, 0.3)) -> list[dict[str, float]]:
+    """Metrics of a graph at several densities, with the edges that are left and their share."""
+    out = []
+    for d in densities:
+        kept = threshold(w, d)
+        edges = int((kept[np.triu_indices(len(kept), 1)] > 0).sum())
+        out.append({"density": d, "edges": float(edges), "share": edges / max(1, len(kept) * (len(kept) - 1) // 2)} | graph_metrics(kept))
+    return out

@@ -5,13 +5,20 @@ An edge table has the graph's keys and a, b, w with a < b.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparknorm.functions.contract import EPS
 
+from . import stats
+
 
 def both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "w"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "w"))).alias("e")).select(*keys, "e.*")
@@ -22,6 +29,41 @@ def cleaned(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.where("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.least(F.greatest(F.avg("w"), F.lit(0.0)), F.lit(1.0)).alias("w"))
 
 
+def correlation_edges(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """A graph for each group: the absolute correlations of an array's components over its rows, (group, a, b, w), components from 1.
+
+    A task sends one row of second moments a group; vectors are never gathered. Rows with nulls or other lengths than the group's first raise.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), object)
+            x = np.array(batch.column(1).to_pylist(), float)
+            z = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 1))
+            for k in dict.fromkeys(keys.tolist()):
+                own = z[np.array([g == k for g in keys])]
+                sums[k] = sums.get(k, 0) + own.T @ own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["g", "m"])
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.sum([np.frombuffer(b) for b in pdf["m"]], axis=0)
+        m = m.reshape(math.isqrt(len(m)), -1)
+        mean = m[0, 1:] / m[0, 0]
+        cov = m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
+        dev = np.sqrt(np.maximum(np.diag(cov), 0))
+        i, j = np.triu_indices(len(dev), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = np.abs(cov[i, j] / (dev[i] * dev[j]))
+        return pd.DataFrame({group: pdf["g"].iloc[0], "a": i + 1, "b": j + 1, "w": w})
+
+    kind = to_arrow_type(rows.schema[group].dataType)
+    name = rows.schema[group].dataType.simpleString()
+    summed = rows.select(F.col(group).alias("g"), F.col(vector).cast("array<double>")).mapInArrow(run, f"g {name}, m binary")
+    return summed.groupBy("g").applyInPandas(edges, f"{group} {name}, a int, b int, w double")
+
+
 def strength(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """By graph: mean strength and its variation over nodes."""
     nodes = both_ways(edges, keys).groupBy(*keys, "u").agg(F.sum("w").alias("s"))
@@ -67,13 +109,37 @@ def average_reference(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def robust_outliers(channels: DataFrame, keys: Sequence[str], value: str, limit: float = 5.0) -> DataFrame:
-    """Channels with their robust z of a spread; an outlier lies above the limit."""
-    w = Window.partitionBy(*keys)
-    out = channels.withColumn("_m", F.median(value).over(w))
-    out = out.withColumn("_mad", F.median(F.abs(F.col(value) - F.col("_m"))).over(w) + EPS)
-    return out.withColumn("robust_z", 0.6745 * (F.col(value) - F.col("_m")) / F.col("_mad")).withColumn("bad", F.col("robust_z") > limit).drop("_m", "_mad")
+    """Channels with their robust z of a spread; an outlier lies above the limit.
+
+    Medians come from counts of distinct values and are joined back, so a large group is sorted in no single task.
+    """
+
+    def with_median(df: DataFrame, column: str, name: str) -> DataFrame:
+        found = stats.quantiles(df, column, [0.5], keys).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("q")[0].alias(name))
+        match = F.lit(True)
+        for i, k in enumerate(keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return df.join(found, match, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+    out = with_median(channels, value, "_m").withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    out = with_median(out, "_d", "_mad").withColumn("robust_z", 0.6745 * (F.col(value) - F.col("_m")) / (F.col("_mad") + EPS))
+    return out.withColumn("bad", F.col("robust_z") > limit).drop("_m", "_d", "_mad")
 
 
 def window_means(events: DataFrame, time: str, value: str, length: str, step: str, keys: Sequence[str] = ()) -> DataFrame:
     """Means over sliding event-time windows."""
     return events.groupBy(*keys, F.window(time, length, step).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(*keys, F.col("w.start").alias("start"), "n", "mean")
+
+
+def change_summary(steps: DataFrame, keys: Sequence[str], delta: str = "delta") -> DataFrame:
+    """By graph: number, mean, population deviation, their ratio, and greatest of its changes."""
+    return steps.groupBy(*keys).agg(F.count(delta).alias("n_transitions"), F.avg(delta).alias("mean_delta"), F.stddev_pop(delta).alias("std_delta"), (F.stddev_pop(delta) / (F.avg(delta) + EPS)).alias("cv_delta"), F.max(delta).alias("max_delta"))
+
+
+def subset(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether all keys of the first table are in the second."""
+    return not a.select(key).join(b.select(key), key, "left_anti").limit(1).count()
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> bool:
+    return not a.select(key).join(b.select(key), key, "left_semi").limit(1).count()

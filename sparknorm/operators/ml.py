@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats
@@ -51,23 +52,30 @@ def _scores(kind: str, value: float, train: DataFrame, test: DataFrame, features
     return model.transform(both.where("_part = 1")).withColumn("score", vector_to_array("rawPrediction")[1]).select("_id", "_y", "score")
 
 
-def nested_cv(df: DataFrame, features: Sequence[str], label: str, key: str, kind: str = "logistic", outer: int = 3, inner: int = 2, grid: Sequence[float] | None = None) -> DataFrame:
-    """Out-of-fold scores: id, y, fold, value (chosen inside), score."""
+def nested_cv(df: DataFrame, features: Sequence[str], label: str, key: str, kind: str = "logistic", outer: int = 5, inner: int = 5, grid: Sequence[float] | None = None, threads: int = 4) -> DataFrame:
+    """Out-of-fold scores: id, y, fold, value (chosen inside), score. Fits of a fold run side by side."""
     rows = df.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_y"), *features).dropna()
-    rows = stratified_folds(rows, "_y", "_id", outer, name="_fold").persist()
+    rows = stratified_folds(rows, "_y", "_id", outer, name="_fold")
+    for k in range(outer):  # the inner folds of each outer one
+        rows = stratified_folds(rows, "_y", "_id", inner, seed=43 + k, name=f"_in{k}")
+    rows = rows.persist()
+    plain = [f"_in{k}" for k in range(outer)]
+
+    def one(task: tuple[int, float, int]) -> float:
+        k, value, j = task
+        train = rows.where(F.col("_fold") != k)
+        inside = F.col(f"_in{k}") == j
+        s = _scores(kind, value, train.where(~inside).drop("_fold", *plain), train.where(inside).drop("_fold", *plain), features)
+        return stats.rank_sum(s, "score", F.col("_y") == 1).first()["auc"] or 0.0
+
+    values = list(grid or GRIDS[kind])
+    tasks = [(k, v, j) for k in range(outer) for v in values for j in range(inner)]
+    with ThreadPoolExecutor(threads) as pool:
+        auc = dict(zip(tasks, pool.map(one, tasks), strict=True))
     out = None
     for k in range(outer):
-        train, test = rows.where(F.col("_fold") != k).drop("_fold"), rows.where(F.col("_fold") == k).drop("_fold")
-        split = stratified_folds(train, "_y", "_id", inner, seed=43 + k, name="_in").persist()
-        best, chosen = -1.0, None
-        for value in grid or GRIDS[kind]:
-            auc = 0.0
-            for j in range(inner):
-                s = _scores(kind, value, split.where(F.col("_in") != j).drop("_in"), split.where(F.col("_in") == j).drop("_in"), features)
-                auc += stats.rank_sum(s, "score", F.col("_y") == 1).first()["auc"] or 0.0
-            if auc > best:
-                best, chosen = auc, value
-        split.unpersist()
+        chosen = max(values, key=lambda v: sum(auc[k, v, j] for j in range(inner)))  # noqa: B023
+        train, test = rows.where(F.col("_fold") != k).drop("_fold", *plain), rows.where(F.col("_fold") == k).drop("_fold", *plain)
         part = _scores(kind, chosen, train, test, features).select(F.col("_id").alias("id"), F.col("_y").alias("y"), F.lit(k).alias("fold"), F.lit(float(chosen)).alias("value"), "score")
         out = part if out is None else out.unionByName(part)
     return out
@@ -90,21 +98,36 @@ def average_precision(scored: DataFrame, score: str, positive) -> DataFrame:
     return c.agg((F.sum(F.col("n_pos") * hits / seen) / max(total, 1)).alias("average_precision"))
 
 
-def resampled_auc(df: DataFrame, value: str, positive, key: str, draws: int = 100, seed: int = 42, permute: bool = False) -> DataFrame:
+def uniform(key: Column, draw: Column, seed: int) -> Column:
+    """A number in 0 .. 1 by the md5 of key, draw and seed, which other engines have as well."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", key.cast("string"), draw.cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+#: distribution function of Poisson(1), up to 8
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
+def resampled_auc(df: DataFrame, value: str, positive, key: str, draws: int = 5000, seed: int = 42, permute: bool = False) -> DataFrame:
     """AUC of each draw: Poisson bootstrap weights, or labels drawn anew with the same rate, both by hash of the id.
 
-    Values are counted by draw first, so a draw's sort has its distinct values only.
+    A draw without one of the classes has a null AUC. Values are counted by
+    draw first, so a draw's sort has its distinct values only.
     """
     rows = df.where(positive.isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), positive.cast("int").alias("y"))
     rate = rows.agg(F.avg("y")).first()[0] or 0.0
-    u = (F.pmod(F.xxhash64("k", "b", F.lit(seed)), F.lit(2**53 - 1)) / (2**53 - 1)).alias("u")
-    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", u)
+    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", uniform(F.col("k"), F.col("b"), seed))
     if permute:
         rows = rows.select("b", "v", F.lit(1).alias("w"), (F.col("u") < rate).cast("int").alias("y"))
     else:
-        levels = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-        rows = rows.select("b", "v", sum([(F.col("u") >= x).cast("int") for x in levels], F.lit(0)).alias("w"), "y")
+        rows = rows.select("b", "v", sum([(F.col("u") >= x).cast("int") for x in POISSON], F.lit(0)).alias("w"), "y")
     c = rows.groupBy("b", "v").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     c = c.withColumn("u", F.col("p") * (below + F.col("n") / 2))
     return c.groupBy("b").agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("n")).alias("auc"))
+
+
+def permutation_p(df: DataFrame, value: str, positive, key: str, draws: int = 5000, seed: int = 42) -> DataFrame:
+    """One row: the AUC, and the share of label draws that reach it."""
+    seen = stats.rank_sum(df, value, positive).first()["auc"]
+    null = resampled_auc(df, value, positive, key, draws, seed, permute=True)
+    return null.agg(F.lit(seen).cast("double").alias("auc"), F.avg((F.col("auc") >= F.lit(seen)).cast("double")).alias("p"))

@@ -11,6 +11,7 @@ further pass. Scoring is a projection: one matrix product a block and Arrow batc
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -40,17 +41,11 @@ class Moments:
     def n(self) -> float:
         return float(self.total[0, 0])
 
-    def without(self, z: np.ndarray) -> Moments:
-        return Moments(self.features, self.offset, self.total - np.outer(z, z))
-
     def of(self, names: Sequence[str]) -> Moments:
         at = [self.features.index(f) for f in names]
         keep = [0, 1, *(i + 2 for i in at)]
         return Moments(tuple(names), self.offset[[0, *(i + 1 for i in at)]], self.total[np.ix_(keep, keep)])
 
-    def row(self, age: float, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([[1.0], np.concatenate([[age], x]) - self.offset])
-
     def fit(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Intercepts, slopes, and the sample covariance of the residuals."""
         if self.n < 2:
@@ -80,7 +75,7 @@ def moments(df: DataFrame, features: Sequence[str], age: str = "age", weight: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            v = np.column_stack([c.to_numpy() for c in batch.columns])
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             z = np.column_stack([np.ones(len(v)), v[:, :-1] - offset])
             total += z.T @ (z * v[:, -1:])
         at = np.triu_indices(width)
@@ -224,17 +219,46 @@ def score_cohort(df: DataFrame, reference: Column, lam: float = LAMBDA, blocks:
 
 
 def lambda_grid(df: DataFrame, reference: Column, grid: Sequence[float], blocks: Blocks = BLOCKS, age: str = "age") -> DataFrame:
-    """Rows times shrinkages, scored; the moments are taken once."""
-    m = moments(df.where(reference), [f for b in blocks.values() for f in b], age)
-    scored = [model_of(m, lam, blocks).score(df, age).withColumn("lambda", F.lit(float(lam))) for lam in grid]
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return out
+    """Rows times shrinkages, scored: the moments are taken once, and all shrinkages are scored in one pass."""
+    names = list(dict.fromkeys(f for b in blocks.values() for f in b))
+    m = moments(df.where(reference), names, age)
+    models = [model_of(m, lam, blocks) for lam in grid]
+    every = {f"{k}_{i}": b for i, model in enumerate(models) for k, b in model.blocks.items()}
+    d = distances(every)(F.col(age).cast("double"), F.struct(*[F.col(f).cast("double").alias(f) for f in names]))
+    staged = df.select("*", d.alias("_d"))
+    cells = [F.struct(F.lit(float(lam)).alias("lambda"), *[F.col(f"_d.D_{k}_{i}").alias(f"D_{k}") for k in blocks]) for i, lam in enumerate(grid)]
+    out = staged.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(*cells)))
+    return out.withColumn("composite", C.weighted({k: F.col(f"D_{k}") for k in blocks}))
+
+
+def left_out(m: Moments, z: np.ndarray, lam: float) -> np.ndarray:
+    """Distance of each row of z = [1, age, x] from the model of all rows of ``m`` but itself, all by rank-one downdates. NaN where that cannot be fitted."""
+    n = m.n
+    if n < 3:
+        return np.full(len(z), np.nan)
+    mean = m.total[0, 1:] / n
+    s = m.total[1:, 1:] - n * np.outer(mean, mean)
+    d, c = z[:, 1:] - mean, n / (n - 1)
+    da, dx = d[:, 0], d[:, 1:]
+    saa = s[0, 0] - c * da**2
+    sxa = s[1:, 0] - c * dx * da[:, None]
+    slope = np.divide(sxa, saa[:, None], out=np.zeros_like(sxa), where=saa[:, None] > 1e-12 * max(s[0, 0], 1e-300))
+    cov = (s[1:, 1:] - c * dx[:, :, None] * dx[:, None, :] - sxa[:, :, None] * slope[:, None, :]) / (n - 2)
+    cov = (cov + cov.transpose(0, 2, 1)) / 2
+    p = cov.shape[1]
+    cov = (1 - lam) * cov + (lam * np.trace(cov, axis1=1, axis2=2) / p)[:, None, None] * np.eye(p)
+    r = c * (dx - slope * da[:, None])
+    try:
+        return np.linalg.norm(np.linalg.solve(np.linalg.cholesky(cov), r[:, :, None])[:, :, 0], axis=1)
+    except np.linalg.LinAlgError:  # some of them have no factor
+        return np.array([np.linalg.norm(whitening(v) @ x) for v, x in zip(cov, r, strict=True)])
 
 
 def leave_one_out(df: DataFrame, reference: Column, ids: Sequence[str], lam: float = LAMBDA, blocks: Blocks = BLOCKS, age: str = "age") -> DataFrame:
-    """Each reference row scored by the model of all others: its outer product is taken from the moments."""
+    """Each reference row scored by the model of all others: its outer product is taken from the moments, for a batch at a time.
+
+    A row that is not complete is no part of any model and has null distances.
+    """
     names = [f for b in blocks.values() for f in b]
     m = moments(df.where(reference), names, age)
     spark = df.sparkSession
@@ -246,14 +270,15 @@ def leave_one_out(df: DataFrame, reference: Column, ids: Sequence[str], lam: flo
         parts = {k: m.of(v) for k, v in block_names.items()}
         at = {k: [m.features.index(f) for f in v] for k, v in block_names.items()}
         for batch in batches:
-            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(ids) :]])
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[len(ids) :]])
             out = {k: np.full(len(v), np.nan) for k in parts}
-            for i, row in enumerate(v):
-                for k, p in parts.items():
-                    x = row[1:][at[k]]
-                    if np.isfinite(x).all() and np.isfinite(row[0]) and m.n > 2:
-                        b0, b1, raw = p.without(p.row(row[0], x)).fit()
-                        out[k][i] = np.linalg.norm(whitening(shrink(raw, lam)) @ (x - b0 - b1 * row[0]))
+            inside = np.isfinite(v).all(axis=1)  # only complete rows are in the moments
+            for k, p in parts.items():
+                for i in range(0, len(v), 512):
+                    own = np.flatnonzero(inside[i : i + 512]) + i
+                    if len(own):
+                        z = np.column_stack([np.ones(len(own)), v[own][:, [0, *(j + 1 for j in at[k])]] - p.offset])
+                        out[k][own] = left_out(p, z, lam)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], *(pa.array(x) for x in out.values())], [*ids, *(f"D_{k}_loo" for k in out)])
 
     rows = df.where(reference).select(*ids, F.col(age).cast("double").alias("_age"), *[F.col(f).cast("double") for f in names])
@@ -267,9 +292,9 @@ def leave_one_out(df: DataFrame, reference: Column, ids: Sequence[str], lam: flo
 
 
 def exact_mixed(df: DataFrame, reference: Column, ids: Sequence[str], lam: float = LAMBDA, blocks: Blocks = BLOCKS, age: str = "age") -> DataFrame:
-    """Controls by leave-one-out, all others by the full model."""
+    """Controls by leave-one-out, all others, also those of no known group, by the full model."""
     inside = leave_one_out(df, reference, ids, lam, blocks, age).select(*ids, F.col("composite_loo").alias("score"))
-    outside = fit(df, reference, lam, blocks, age).score(df.where(~reference), age).select(*ids, F.col("composite").alias("score"))
+    outside = fit(df, reference, lam, blocks, age).score(df.where(~F.coalesce(reference, F.lit(False))), age).select(*ids, F.col("composite").alias("score"))
     return inside.unionByName(outside)
 
 
@@ -301,57 +326,97 @@ def quadratic(df: DataFrame, features: Sequence[str], age: str = "age") -> DataF
     return df.sparkSession.createDataFrame(out, "feature string, b0 double, b1 double, b2 double")
 
 
-def bootstrap(df: DataFrame, reference: Column, ids: Sequence[str], draws: int = 200, seed: int = 42, lam: float = LAMBDA, blocks: Blocks = BLOCKS, age: str = "age") -> DataFrame:
-    """Rows times resampled models: id, boot, composite.
+def poisson_weights(h: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Rows times draws of Poisson(1) weights, each from a 64-bit mix of the row's hash and the draw."""
+    x = h.astype(np.uint64)[:, None] + (np.arange(draws, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(18)], float)), u, side="right").astype(float)
 
-    Each reference row has an independent Poisson(1) weight in each draw, by a
-    hash of its id, so a resample needs neither a shuffle nor the rows in one
-    place. The draws' moments are summed as those of one fit.
+
+def bootstrap_models(df: DataFrame, reference: Column, ids: Sequence[str], draws: int = 1000, seed: int = 42, lam: float = LAMBDA, blocks: Blocks = BLOCKS, age: str = "age") -> list[Model]:
+    """A model a draw of resampled reference rows.
+
+    Each complete reference row has an independent Poisson(1) weight in each
+    draw, by a hash of its id, so a resample needs neither a shuffle nor the
+    rows in one place. A task sends one row a draw, its weighted moments.
     """
     names = [f for b in blocks.values() for f in b]
-    rows = df.where(reference).select(*ids, F.col(age).cast("double").alias("_age"), *[F.col(f).cast("double").alias(f) for f in names])
-    offset = np.array([x or 0.0 for x in rows.agg(F.avg("_age"), *[F.avg(f) for f in names]).first()])
+    rows = df.where(reference).select(*ids, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate([age, *names])])
+    for i in range(len(names) + 1):
+        rows = rows.where(C.finite(F.col(f"_v{i}")))
+    values = [f"_v{i}" for i in range(len(names) + 1)]
+    offset = np.array([x or 0.0 for x in rows.agg(*[F.avg(v) for v in values]).first()])
     width = len(names) + 2
     at = np.triu_indices(width)
-    cells = len(at[0])
-    rows = rows.select(F.pmod(F.xxhash64(*ids), F.lit(2**62)).alias("_h"), "_age", *names)
+    rows = rows.select(F.xxhash64(*ids).alias("_h"), *values)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((draws, cells))
+        total = np.zeros((draws, len(at[0])))
         for batch in batches:
-            v = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
             z = np.column_stack([np.ones(len(v)), v - offset])
-            w = np.stack([np.random.default_rng([seed, h]).poisson(1.0, draws) for h in batch.column(0).to_pylist()])
-            total += w.T @ (z[:, at[0]] * z[:, at[1]])
-        for b in range(draws):
-            yield pa.RecordBatch.from_pydict({"boot": pa.array([b] * cells, pa.int32()), "k": pa.array(range(cells), pa.int32()), "v": pa.array(total[b])})
-
-    sums = rows.mapInArrow(run, "boot int, k int, v double").groupBy("boot", "k").agg(F.sum("v").alias("v"))
-    by_draw = sums.groupBy("boot").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("cells"))  # draws times cells, whatever the rows
-    fitted = []
-    for r in by_draw.toLocalIterator():
+            for i in range(0, len(z), 256):
+                part = z[i : i + 256]
+                total += poisson_weights(batch.column(0).to_numpy()[i : i + 256], draws, seed).T @ (part[:, at[0]] * part[:, at[1]])
+        yield pa.RecordBatch.from_pydict({"boot": pa.array(range(draws), pa.int32()), "cells": pa.array([t.tobytes() for t in total], pa.binary())})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"boot": pdf["boot"].iloc[:1], "cells": [np.sum([np.frombuffer(c) for c in pdf["cells"]], axis=0).tobytes()]})
+
+    out = []
+    for r in sorted(rows.mapInArrow(run, "boot int, cells binary").groupBy("boot").applyInPandas(add, "boot int, cells binary").collect()):  # draws times cells, whatever the rows
         total = np.zeros((width, width))
-        total[at] = [c["v"] for c in r["cells"]]
+        total[at] = np.frombuffer(r["cells"])
         total = np.triu(total) + np.triu(total, 1).T
-        fitted.append((r["boot"], model_of(Moments(tuple(names), offset, total), lam, blocks)))
-    shared = df.sparkSession.sparkContext.broadcast([(b, [(blk.features, blk.intercept, blk.slope, whitening(blk.cov)) for blk in m.blocks.values()]) for b, m in fitted])
+        out.append(model_of(Moments(tuple(names), offset, total), lam, blocks))
+    return out
+
+
+def _drawn(df: DataFrame, ids: Sequence[str], models: list[Model], age: str, columns: str, emit: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """Rows' ids with what ``emit`` makes of their composites, rows times draws. A row with a missing input has NaN there."""
+    names = list(dict.fromkeys(f for b in models[0].blocks.values() for f in b.features)) if models else []
+    shared = df.sparkSession.sparkContext.broadcast([[([1 + names.index(f) for f in b.features], b.intercept, b.slope, whitening(b.cov).T) for b in m.blocks.values()] for m in models])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.column_stack([c.to_numpy() for c in batch.columns[len(ids) :]])
-            for b, parts in shared.value:
-                d = np.zeros(len(v))
-                for features, b0, b1, w in parts:
-                    x = v[:, [1 + names.index(f) for f in features]]
-                    d += np.linalg.norm((x - b0 - v[:, :1] * b1) @ w.T, axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], pa.array([b] * len(v), pa.int32()), pa.array(d / len(parts))], [*ids, "boot", "composite"])
-
-    every = df.select(*ids, F.col(age).cast("double").alias("_age"), *[F.col(f).cast("double").alias(f) for f in names])
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[len(ids) :]])
+            d = np.stack([sum(np.linalg.norm((v[:, at] - b0 - v[:, :1] * b1) @ w, axis=1) for at, b0, b1, w in parts) / len(parts) for parts in shared.value], axis=1)
+            made = emit(d)
+            times = np.repeat(np.arange(len(v)), len(next(iter(made.values()))) // max(1, len(v)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(times)) for c in batch.columns[: len(ids)]), *(pa.array(x, from_pandas=True) for x in made.values())], [*ids, *made])
+
+    every = df.select(*ids, F.col(age).cast("double").alias("_age"), *[F.col(f).cast("double").alias(f"_{f}") for f in names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.schema.fields[: len(ids)])
-    return every.mapInArrow(score, f"{kinds}, boot int, composite double")
+    return every.mapInArrow(score, f"{kinds}, {columns}")
+
+
+def bootstrap(df: DataFrame, reference: Column, ids: Sequence[str], draws: int = 1000, seed: int = 42, lam: float = LAMBDA, blocks: Blocks = BLOCKS, age: str = "age") -> DataFrame:
+    """Rows times resampled models: id, boot, composite (null for a row with a missing input)."""
+    models = bootstrap_models(df, reference, ids, draws, seed, lam, blocks, age)
+    return _drawn(df, ids, models, age, "boot int, composite double", lambda d: {"boot": np.tile(np.arange(d.shape[1], dtype=np.int32), len(d)), "composite": d.reshape(-1)})
+
+
+def bootstrap_intervals(df: DataFrame, reference: Column, ids: Sequence[str], draws: int = 1000, seed: int = 42, lam: float = LAMBDA, blocks: Blocks = BLOCKS, age: str = "age") -> DataFrame:
+    """Each row's spread over the resampled models, without a row a draw: mean, sample deviation, and the 2.5, 50 and 97.5 % quantiles."""
 
+    def emit(d: np.ndarray) -> dict[str, np.ndarray]:
+        low, mid, high = np.quantile(d, [0.025, 0.5, 0.975], axis=1)
+        return {"boot_mean": d.mean(axis=1), "boot_std": d.std(axis=1, ddof=1), "q025": low, "q50": mid, "q975": high, "ci_width": high - low}
 
-def bootstrap_summary(samples: DataFrame, ids: Sequence[str]) -> DataFrame:
-    q = F.percentile("composite", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    out = samples.groupBy(*ids).agg(F.avg("composite").alias("boot_mean"), F.stddev("composite").alias("boot_std"), q.alias("q"))
-    return out.select(*ids, "boot_mean", "boot_std", F.col("q")[0].alias("q025"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q975"), (F.col("q")[2] - F.col("q")[0]).alias("ci_width"))
+    models = bootstrap_models(df, reference, ids, draws, seed, lam, blocks, age)
+    return _drawn(df, ids, models, age, "boot_mean double, boot_std double, q025 double, q50 double, q975 double, ci_width double", emit)
+
+
+def is_symmetric(m: np.ndarray, tolerance: float = 1e-10) -> bool:
+    return m.ndim == 2 and m.shape[0] == m.shape[1] and bool(np.allclose(m, m.T, atol=tolerance))
+
+
+def is_positive_definite(m: np.ndarray, tolerance: float = 1e-12) -> bool:
+    """Symmetric, with a Cholesky factor after ``tolerance`` is taken from the diagonal."""
+    try:
+        np.linalg.cholesky(m - tolerance * np.eye(len(m)))
+    except np.linalg.LinAlgError:
+        return False
+    return is_symmetric(m)

@@ -8,40 +8,101 @@ each range, and the ranges' totals (a row for each range) are added.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparknorm.functions.columns import finite
+from sparknorm.functions.contract import EPS
+
+from .joins import spread_join
+from .normative import moments
+
 RANGES = 64
 
 
-def value_counts(df: DataFrame, value: str, flags: dict[str, Column] | None = None) -> DataFrame:
-    """Each distinct value with its count and the counts before it; the same for rows with each flag.
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
 
-    Columns: value, n, below, and n_<flag>, below_<flag>. Null values are left out.
+def value_counts(df: DataFrame, value: str, flags: dict[str, Column] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Each distinct value, of each group where there are keys, with its count and the counts before it; the same for rows with each flag.
+
+    Columns: the keys, value, n, below, and n_<flag>, below_<flag>. Null values are left out.
     """
     flags = flags or {}
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()])
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    own = [f"_k{i}" for i in range(len(keys))]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*named, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()])
     cuts = sorted(set(counted.approxQuantile("value", [i / RANGES for i in range(1, RANGES)], 0.002)))
     span = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda x: x <= F.col("value")))
     counted = counted.withColumn("span", span)
     names = ["n", *[f"n_{k}" for k in flags]]
-    inside = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counted.groupBy("span").agg(*[F.sum(c).alias(f"t_{c}") for c in names])
-    totals = totals.select("span", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"t_{c}") for c in names])
+    inside = Window.partitionBy(*own, "span").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*own).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    totals = counted.groupBy(*own, "span").agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    totals = totals.select(*[F.col(k).alias(f"t{k}") for k in own], F.col("span").alias("t_span"), *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"t_{c}") for c in names])
     below = {c: c.replace("n", "below", 1) for c in names}
-    return counted.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"i_{c}") for c in names]).join(totals, "span").select("value", *names, *[(F.col(f"i_{c}") + F.col(f"t_{c}")).alias(b) for c, b in below.items()])
+    match = F.col("span") == F.col("t_span")
+    for k in own:
+        match = match & F.col(k).eqNullSafe(F.col(f"t{k}"))
+    joined = counted.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"i_{c}") for c in names]).join(totals, match)
+    return joined.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "value", *names, *[(F.col(f"i_{c}") + F.col(f"t_{c}")).alias(b) for c, b in below.items()])
+
+
+def quantiles(df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """By group: the keys, and column q, the exact quantiles by linear interpolation, from counts of distinct values; no group is gathered."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    counts = value_counts(df, value, keys=keys).withColumnsRenamed(dict(zip(keys, own, strict=True)))
+    sizes = counts.groupBy(*[F.col(k).alias(f"s{k}") for k in own]).agg(F.sum("n").alias("_all"))
+    match = F.lit(True)
+    for k in own:
+        match = match & F.col(k).eqNullSafe(F.col(f"s{k}"))
+    sized = counts.join(sizes, match) if own else counts.crossJoin(F.broadcast(sizes))  # one row
+    at = [(F.col("_all") - 1) * float(x) for x in q]
+    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+    ends = [f(F.when(holds(g(p)), F.col("value"))).alias(f"{n}{i}") for i, p in enumerate(at) for n, f, g in (("low", F.max, F.floor), ("high", F.max, F.ceil))]
+    found = sized.groupBy(*own).agg(F.max("_all").alias("_all"), *ends)
+    part = lambda i, p: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (p - F.floor(p))
+    return found.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.array(*[part(i, p) for i, p in enumerate(at)]).alias("q"))
 
 
 def average_rank(df: DataFrame, value: str, descending: bool = False, name: str = "rank") -> DataFrame:
     """Rows with their rank, equal values sharing the mean of theirs; null where the value is."""
     counts = value_counts(df, value)
     if descending:
-        total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-        counts = counts.withColumn("below", total - F.col("below") - F.col("n"))
-    ranks = counts.select("value", (F.col("below") + (F.col("n") + 1) / 2).alias(name))
-    return df.withColumn("value", F.col(value).cast("double")).join(ranks, "value", "left").drop("value")
+        total = df.where(F.col(value).isNotNull()).count()
+        counts = counts.withColumn("below", F.lit(total) - F.col("below") - F.col("n"))
+    key = _free(df, "_v")
+    ranks = counts.select(F.col("value").alias(key), (F.col("below") + (F.col("n") + 1) / 2).alias(name), F.col("n").alias("_n"))
+    return spread_join(df.withColumn(key, F.col(value).cast("double")), ranks, [key], "_n", "left").select(*df.columns, name)
+
+
+def rank_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The average ranks of several columns, one row a row, all found in one pass over the long form. Other columns are left out."""
+    rows = df.select(F.monotonically_increasing_id().alias("_id"), *[F.col(c).cast("double").alias(c) for c in names]).persist()
+    long = rows.select("_id", F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(names)])))
+    counts = value_counts(long, "v", keys=["f"]).select("f", F.col("value").alias("v"), (F.col("below") + (F.col("n") + 1) / 2).alias("r"), F.col("n").alias("_n"))
+    ranked = spread_join(long, counts, ["f", "v"], "_n")
+    return ranked.groupBy("_id").agg(*[F.max(F.when(F.col("f") == i, F.col("r"))).alias(c) for i, c in enumerate(names)]).drop("_id")
+
+
+def rank_shift(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows with both columns' descending ranks and the distance between them."""
+    out = average_rank(average_rank(df, first, True, "rank_first"), second, True, "rank_second")
+    return out.withColumn("shift", F.abs(F.col("rank_first") - F.col("rank_second")))
+
+
+def top_share(df: DataFrame, value: str, q: float = 0.75) -> DataFrame:
+    """Rows whose value reaches the quantile, with the limit."""
+    (row,) = quantiles(df, value, [q]).collect() or [None]
+    limit = row["q"][0] if row else None
+    return df.withColumn("limit", F.lit(limit).cast("double")).where(F.col(value) >= F.col("limit"))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
@@ -55,8 +116,9 @@ def percentile_of(df: DataFrame, value: str, reference: Column) -> DataFrame:
     counts = value_counts(df, value, {"ref": reference})
     n = df.where(reference & F.col(value).isNotNull()).count()
     left, same = F.col("below_ref"), F.col("n_ref")
-    scores = counts.select("value", ((2 * left + same + (same > 0).cast("int")) * 50.0 / max(n, 1)).alias("percentile_rank"), (100.0 * left / max(n, 1)).alias("percentile_strict"))
-    return df.withColumn("value", F.col(value).cast("double")).join(scores, "value", "left").drop("value")
+    key = _free(df, "_v")
+    scores = counts.select(F.col("value").alias(key), ((2 * left + same + (same > 0).cast("int")) * 50.0 / max(n, 1)).alias("percentile_rank"), (100.0 * left / max(n, 1)).alias("percentile_strict"), F.col("n").alias("_n"))
+    return spread_join(df.withColumn(key, F.col(value).cast("double")), scores, [key], "_n", "left").select(*df.columns, "percentile_rank", "percentile_strict")
 
 
 def rank_sum(df: DataFrame, value: str, positive: Column) -> DataFrame:
@@ -80,14 +142,17 @@ def mann_whitney(df: DataFrame, value: str, positive: Column) -> DataFrame:
 
 
 def two_groups(df: DataFrame, value: str, positive: Column) -> DataFrame:
-    """One row: Welch's t with its degrees of freedom, and Cohen's d with population variances pooled by n - 1."""
+    """One row: Welch's t with its degrees of freedom and two-sided p, and Cohen's d with population variances pooled by n - 1."""
     x = F.col(value)
     a = df.agg(*[f(F.when(c, x)).alias(f"{k}{g}") for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("q", F.var_pop)) for g, c in ((1, positive), (2, ~positive))])
     e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     gap = F.col("m1") - F.col("m2")
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("q1") + (F.col("n2") - 1) * F.col("q2")) / (F.col("n1") + F.col("n2") - 2))
     df_ = F.pow(e1 + e2, 2) / (e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1))
-    return a.select("n1", "n2", "m1", "m2", F.try_divide(gap, F.sqrt(e1 + e2)).alias("t"), df_.alias("dof"), F.try_divide(gap, pooled).alias("cohen_d"))
+    found = a.select("n1", "n2", "m1", "m2", F.try_divide(gap, F.sqrt(e1 + e2)).alias("t"), df_.alias("dof"), F.try_divide(gap, pooled).alias("cohen_d"))
+    row = found.first()
+    p = t_tail(row["t"], row["dof"]) if row["t"] is not None and row["dof"] else None
+    return found.withColumn("p", F.lit(p).cast("double"))
 
 
 def t_tail(t: float, dof: float) -> float:
@@ -132,27 +197,75 @@ def chi_square_quantile(p: float, dof: int) -> float:
     return (low + high) / 2
 
 
-def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson correlations of all pairs of columns, one pass: a, b, r with a before b in order."""
-    row = df.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}_{j}").alias("r")) for i, a in enumerate(names) for j, b in enumerate(names) if i < j])
-    return row.select(F.inline(cells))
+def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pearson correlations of all pairs of columns over complete rows: a, b, r with a before b in order, their n, t, and two-sided p.
 
-
-def spearman(df: DataFrame, names: list[str]) -> DataFrame:
+    From one pass of second moments, so the pairs cost no aggregates of their own. r is null where a column does not vary.
+    """
+    zero = _free(df, "_zero")
+    m = moments(df.select(*names).withColumn(zero, F.lit(0.0)), list(names), zero)
+    n = m.n
+    mean = m.total[0, 2:] / max(n, 1)
+    cov = m.total[2:, 2:] - n * np.outer(mean, mean)
+    dev = np.sqrt(np.maximum(np.diag(cov), 0))
+    out = []
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            r = float(np.clip(cov[i, j] / (dev[i] * dev[j]), -1, 1)) if dev[i] > 0 and dev[j] > 0 else None
+            t = r * math.sqrt((n - 2) / (1 - r * r)) if r is not None and n > 2 and abs(r) < 1 else None
+            out.append((a, names[j], r, int(n), t, t_tail(t, n - 2) if t is not None else None))
+    return df.sparkSession.createDataFrame(out, "a string, b string, r double, n long, t double, p double")
+
+
+def strong_pairs(df: DataFrame, names: Sequence[str], least: float = 0.85) -> DataFrame:
+    """Pairs of columns whose absolute correlation exceeds a limit."""
+    return correlations(df, names).where(F.abs("r") > least)
+
+
+def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rank correlations of all pairs of columns without nulls."""
-    for i, c in enumerate(names):
-        df = average_rank(df, c, name=f"_r{i}")
-    found = correlations(df, [f"_r{i}" for i in range(len(names))])
-    back = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(f"_r{i}"), F.lit(c))])
-    return found.select(back[F.col("a")].alias("a"), back[F.col("b")].alias("b"), "r")
+    return correlations(rank_columns(df, names), names)
+
+
+def collinearity(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """Rank and condition of the standardised columns, from their correlation matrix."""
+    c = np.eye(len(names))
+    at = {f: i for i, f in enumerate(names)}
+    for row in correlations(df, names).collect():  # columns squared
+        c[at[row["a"]], at[row["b"]]] = c[at[row["b"]], at[row["a"]]] = row["r"] or 0.0
+    value = np.linalg.eigvalsh(c)
+    return {"rank": int((value > 1e-10 * value.max()).sum()), "cond": float(math.sqrt(value.max() / max(value.min(), 1e-300)))}
+
+
+def zscore(df: DataFrame, names: Sequence[str], eps: float = EPS) -> DataFrame:
+    """Columns less their mean, by their population deviation; NaN counts as null and stays null."""
+    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    s = df.agg(*[f(clean(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return df.withColumns({c: (clean(c) - F.lit(s[f"m{i}"])) / (F.lit(s[f"s{i}"]) + eps) for i, c in enumerate(names)})
+
+
+def adjusted(df: DataFrame, value: str, age: str, controls: Column, name: str = "adjusted") -> DataFrame:
+    """Rows with what a line through the controls' ages leaves of a value."""
+    r = df.where(controls).agg(F.regr_intercept(value, age).alias("a"), F.regr_slope(value, age).alias("b")).first()
+    return df.withColumn(name, F.col(value) - (F.lit(r["a"]) + F.lit(r["b"]) * F.col(age)))
+
+
+def median_cut(df: DataFrame, value: str, positive: Column) -> DataFrame:
+    """One row: the median, the confusion counts of values above it, and the balanced accuracy."""
+    (row,) = quantiles(df.where(positive.isNotNull()), value, [0.5]).collect() or [None]
+    cut = F.lit(row["q"][0] if row else None).cast("double")
+    p = F.col(value) > cut
+    c = df.where(positive.isNotNull() & F.col(value).isNotNull()).agg(F.count_if(p & positive).alias("tp"), F.count_if(p & ~positive).alias("fp"), F.count_if(~p & positive).alias("fn"), F.count_if(~p & ~positive).alias("tn"))
+    return c.select(cut.alias("median"), "*", ((F.try_divide("tp", F.col("tp") + F.col("fn")) + F.try_divide("tn", F.col("tn") + F.col("fp"))) / 2).alias("balanced_accuracy"))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal bins from the least to the greatest value, the last one closed: bin, n, density."""
-    low, high, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    """Equal bins from the least to the greatest value, the last one closed: bin, n, density. Values that are no finite numbers are left out."""
+    x = F.col(value).cast("double")
+    df = df.where(finite(x))
+    low, high, n = df.agg(F.min(x), F.max(x), F.count(x)).first()
     if not n:
         return df.sparkSession.createDataFrame([], "bin int, n long, density double")
     width = (high - low) / bins or 1.0
-    k = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(value).isNotNull()).groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("density", F.col("n") / (n * width))
+    k = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int")
+    return df.groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("density", F.col("n") / (n * width))

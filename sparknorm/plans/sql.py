@@ -63,3 +63,35 @@ def scored(names: Sequence[str] = tuple(BLOCKS)) -> str:
 
 def r(expr: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0"
+
+
+def listed(columns: dict[str, list[str]], source: str) -> str:
+    """One SELECT that gives a row for each place of the lists of expressions, so that a wide result takes one scan."""
+    return "SELECT " + ", ".join(f"unnest([{', '.join(v)}]) AS {k}" for k, v in columns.items()) + f" FROM {source}"
+
+
+def quoted(names: Sequence[str]) -> list[str]:
+    return [f"'{n}'" for n in names]
+
+
+def leave_one_out(lam: str = "0.1") -> str:
+    """WITH … up to CTEs d_<block> of the distances of reference rows from the models of all others."""
+    parts = [SUBJECTS, "refs AS (SELECT * FROM subjects WHERE grp = 0)"]
+    for name, features in BLOCKS.items():
+        cols = [AT[f] for f in features]
+        p = range(1, len(cols) + 1)
+        coef = ", ".join(f"regr_slope(j.x{c}, j.age) AS b{i}, regr_intercept(j.x{c}, j.age) AS a{i}" for i, c in enumerate(cols, 1))
+        res = ", ".join(f"j.x{c} - (c.a{i} + c.b{i} * j.age) AS r{i}" for i, c in enumerate(cols, 1))
+        raw = ", ".join(f"covar_samp(r{i}, r{j}) AS v_{i}_{j}" for i in p for j in range(1, i + 1))
+        trace = " + ".join(f"v_{i}_{i}" for i in p)
+        reg = ", ".join(f"(1 - {lam}) * v_{i}_{j}" + (f" + {lam} * ({trace}) / {len(cols)}" if i == j else "") + f" AS s_{i}_{j}" for i in p for j in range(1, i + 1))
+        parts += [
+            f"c_{name} AS (SELECT i.participant_id AS fold, {coef} FROM refs i JOIN refs j ON i.participant_id <> j.participant_id GROUP BY 1)",
+            f"rr_{name} AS (SELECT c.fold, j.participant_id, {res} FROM c_{name} c CROSS JOIN refs j)",
+            f"vv_{name} AS (SELECT fold, {raw} FROM rr_{name} WHERE participant_id <> fold GROUP BY fold)",
+            f"ss_{name} AS (SELECT fold, {reg} FROM vv_{name})",
+            *cholesky(name, len(cols), f"ss_{name}", "fold, "),
+            f"jj_{name} AS (SELECT * FROM rr_{name} JOIN k_{name} USING (fold) WHERE participant_id = fold)",
+            *distance(name, len(cols), f"jj_{name}"),
+        ]
+    return "WITH " + ", ".join(parts)

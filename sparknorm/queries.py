@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparknorm.functions import columns as C
+from sparknorm.functions import registry
 from sparknorm.functions import signal as S
 from sparknorm.functions.contract import BLOCKS, FEATURES
 from sparknorm.operators import aggregate, cohort, extract, graph, ml, normative, stats, validate
@@ -53,12 +54,11 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normative.score_cohort(subjects(spark, sf_dir), reference())
 
 
-def _se(spark: SparkSession, sf_dir: str) -> normative.Model:
-    return normative.fit(subjects(spark, sf_dir), reference(), blocks=SE)
+def _model(spark: SparkSession, sf_dir: str) -> normative.Model:
+    return normative.fit(subjects(spark, sf_dir), reference())
 
 
 WITH = sql.scored()
-P_SE = len(BLOCKS["SE"])
 D = [f"D_{b}" for b in BLOCKS]
 ROUNDED = ", ".join(f"{sql.r(d)} AS {d}" for d in (*D, "composite"))
 
@@ -77,64 +77,81 @@ def age_models(spark, sf_dir):
     return coef.select("feature", r("intercept").alias("intercept"), r("slope").alias("slope"))
 
 
-_V = ["WITH " + sql.SUBJECTS, *sql.residuals("SE", range(1, P_SE + 1)), *sql.covariance("SE", P_SE, "0.1")]
-_CELL = [(i, j, max(i, j), min(i, j)) for i in range(1, P_SE + 1) for j in range(1, P_SE + 1)]
+def _fitted_sql(lam: str = "0.1") -> str:
+    """WITH … up to v_<block> and s_<block>, the residual covariances, and r_<block>, the residuals."""
+    parts = [sql.SUBJECTS]
+    for name, features in BLOCKS.items():
+        parts += [*sql.residuals(name, [AT[f] for f in features]), *sql.covariance(name, len(features), lam)]
+    return "WITH " + ", ".join(parts) + " "
 
 
-@query(", ".join(_V) + " " + " UNION ALL ".join(f"SELECT {i - 1} AS i, {j - 1} AS j, {sql.r(f'v_{a}_{b}')} AS raw, {sql.r(f's_{a}_{b}')} AS cov FROM v_SE, s_SE" for i, j, a, b in _CELL))
+def _cells_sql() -> str:
+    out = []
+    for name, features in BLOCKS.items():
+        cells = [(i, j, max(i, j), min(i, j)) for i in range(1, len(features) + 1) for j in range(1, len(features) + 1)]
+        lists = {"i": [str(i - 1) for i, *_ in cells], "j": [str(j - 1) for _, j, *_ in cells], "raw": [sql.r(f"v_{a}_{b}") for *_, a, b in cells], "cov": [sql.r(f"s_{a}_{b}") for *_, a, b in cells]}
+        out.append(f"SELECT '{name}' AS block, * FROM ({sql.listed(lists, f'v_{name}, s_{name}')})")
+    return _fitted_sql() + " UNION ALL ".join(out)
+
+
+@query(_cells_sql())
 def residual_covariance(spark, sf_dir):
-    _, cov = _se(spark, sf_dir).tables(spark)
-    return cov.select("i", "j", r("raw").alias("raw"), r("cov").alias("cov"))
+    _, cov = _model(spark, sf_dir).tables(spark)
+    return cov.select("block", "i", "j", r("raw").alias("raw"), r("cov").alias("cov"))
+
+
+GRID = (0.01, 0.05, 0.2, 0.5)
 
 
 def _grid_sql(grid: tuple[float, ...]) -> str:
-    parts = ["WITH " + sql.SUBJECTS, *sql.residuals("SE", range(1, P_SE + 1))]
+    parts = [sql.SUBJECTS]
     out = []
+    for name, features in BLOCKS.items():
+        parts += sql.residuals(name, [AT[f] for f in features])
     for n, lam in enumerate(grid):
-        parts += [c.replace(f"r_g{n}", "r_SE") for c in sql.covariance(f"g{n}", P_SE, str(lam))]
-        parts += [*sql.cholesky(f"g{n}", P_SE, f"s_g{n}"), f"j_g{n} AS (SELECT * FROM r_SE, k_g{n})", *sql.distance(f"g{n}", P_SE, f"j_g{n}")]
-        out.append(f"SELECT participant_id, CAST({lam} AS DOUBLE) AS lambda, {sql.r('d')} AS D_SE FROM d_g{n}")
-    return ", ".join(parts) + " " + " UNION ALL ".join(out)
-
-
-GRID = (0.01, 0.05, 0.2, 0.5)
+        for name, features in BLOCKS.items():
+            g, p = f"{name}{n}", len(features)
+            parts += [c.replace(f"FROM r_{g}", f"FROM r_{name}") for c in sql.covariance(g, p, str(lam))]
+            parts += [*sql.cholesky(g, p, f"s_{g}"), f"j_{g} AS (SELECT * FROM r_{name}, k_{g})", *sql.distance(g, p, f"j_{g}")]
+        joins = " ".join(f"JOIN d_{b}{n} USING (participant_id)" for b in list(BLOCKS)[1:])
+        mean = " + ".join(f"d_{b}{n}.d" for b in BLOCKS)
+        out.append(f"SELECT participant_id, CAST({lam} AS DOUBLE) AS lambda, " + ", ".join(f"{sql.r(f'd_{b}{n}.d')} AS D_{b}" for b in BLOCKS) + f", {sql.r(f'({mean}) / {len(BLOCKS)}')} AS composite FROM d_{list(BLOCKS)[0]}{n} {joins}")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(out)
 
 
 @query(_grid_sql(GRID))
 def lambda_grid(spark, sf_dir):
-    return normative.lambda_grid(subjects(spark, sf_dir), reference(), GRID, SE).select("participant_id", "lambda", r("D_SE").alias("D_SE"))
-
-
-def _loo_sql() -> str:
-    p = range(1, P_SE + 1)
-    coef = ", ".join(f"regr_slope(j.x{i}, j.age) AS b{i}, regr_intercept(j.x{i}, j.age) AS a{i}" for i in p)
-    res = ", ".join(f"j.x{i} - (c.a{i} + c.b{i} * j.age) AS r{i}" for i in p)
-    raw = ", ".join(f"covar_samp(r{i}, r{j}) AS v_{i}_{j}" for i in p for j in range(1, i + 1))
-    trace = " + ".join(f"v_{i}_{i}" for i in p)
-    reg = ", ".join(f"0.9 * v_{i}_{j}" + (f" + 0.1 * ({trace}) / {P_SE}" if i == j else "") + f" AS s_{i}_{j}" for i in p for j in range(1, i + 1))
-    return ", ".join(
-        [
-            "WITH " + sql.SUBJECTS,
-            "refs AS (SELECT * FROM subjects WHERE grp = 0)",
-            f"c AS (SELECT i.participant_id AS fold, {coef} FROM refs i JOIN refs j ON i.participant_id <> j.participant_id GROUP BY 1)",
-            f"rr AS (SELECT c.fold, j.participant_id, {res} FROM c CROSS JOIN refs j)",
-            f"v AS (SELECT fold, {raw} FROM rr WHERE participant_id <> fold GROUP BY fold)",
-            f"s AS (SELECT fold, {reg} FROM v)",
-            *sql.cholesky("loo", P_SE, "s", "fold, "),
-            "jj AS (SELECT * FROM rr JOIN k_loo USING (fold) WHERE participant_id = fold)",
-            *sql.distance("loo", P_SE, "jj"),
-        ]
-    ) + f" SELECT participant_id, {sql.r('d')} AS D_SE_loo FROM d_loo"
-
-
-@query(_loo_sql())
+    out = normative.lambda_grid(subjects(spark, sf_dir), reference(), GRID)
+    return out.select("participant_id", "lambda", *[r(d).alias(d) for d in (*D, "composite")])
+
+
+_LOO = [f"d_{b}.d" for b in BLOCKS]
+
+
+@query(sql.leave_one_out() + f" SELECT participant_id, {', '.join(f'{sql.r(c)} AS D_{b}_loo' for b, c in zip(BLOCKS, _LOO, strict=True))}, {sql.r('(' + ' + '.join(_LOO) + f') / {len(_LOO)}')} AS composite_loo FROM d_SE " + " ".join(f"JOIN d_{b} USING (participant_id)" for b in list(BLOCKS)[1:]))
 def leave_one_out(spark, sf_dir):
-    return normative.leave_one_out(subjects(spark, sf_dir), reference(), ["participant_id"], blocks=SE).select("participant_id", r("D_SE_loo").alias("D_SE_loo"))
+    out = normative.leave_one_out(subjects(spark, sf_dir), reference(), ["participant_id"])
+    return out.select("participant_id", *[r(f"{d}_loo").alias(f"{d}_loo") for d in (*D, "composite")])
 
 
-@query(", ".join(_V) + " " + " UNION ALL ".join(f"SELECT participant_id, '{f}' AS feature, {sql.r(f'r{i}')} AS residual, {sql.r(f'r{i} / (sqrt(s_{i}_{i}) + 1e-12)')} AS z FROM r_SE, s_SE" for i, f in enumerate(BLOCKS["SE"], 1)))
+def _profile_sql() -> str:
+    out = []
+    for name, features in BLOCKS.items():
+        p = range(1, len(features) + 1)
+        lists = {"feature": sql.quoted(features), "residual": [f"r{i}" for i in p], "z": [f"r{i} / (sqrt(s_{i}_{i}) + 1e-12)" for i in p]}
+        out.append("SELECT participant_id, '" + name + "' AS block, " + ", ".join(f"unnest([{', '.join(v)}]) AS {k}" for k, v in lists.items()) + f" FROM r_{name}, s_{name}")
+    return _fitted_sql().rstrip() + ", profile AS (" + " UNION ALL ".join(out) + ")"
+
+
+@query(_profile_sql() + f" SELECT participant_id, block, feature, {sql.r('residual')} AS residual, {sql.r('z')} AS z FROM profile")
 def residual_profile(spark, sf_dir):
-    return _se(spark, sf_dir).profile(subjects(spark, sf_dir), ["participant_id"]).select("participant_id", "feature", r("residual").alias("residual"), r("z").alias("z"))
+    return _model(spark, sf_dir).profile(subjects(spark, sf_dir), ["participant_id"]).select("participant_id", "block", "feature", r("residual").alias("residual"), r("z").alias("z"))
+
+
+@query(_profile_sql() + f" SELECT participant_id, block, {sql.r('sqrt(avg(z * z))')} AS rms, {sql.r('avg(abs(z))')} AS mean_abs, {sql.r('max(abs(z))')} AS max_abs FROM profile GROUP BY 1, 2")
+def z_by_block(spark, sf_dir):
+    out = aggregate.z_by_block(_model(spark, sf_dir).profile(subjects(spark, sf_dir), ["participant_id"]), ["participant_id", "block"])
+    return out.select("participant_id", "block", *[r(c).alias(c) for c in ("rms", "mean_abs", "max_abs")])
 
 
 _SHARE = ", ".join(f"D_{b} / (D_SE + D_C + D_G + D_D) AS c_{b}" for b in BLOCKS)
@@ -153,35 +170,106 @@ def contributions(spark, sf_dir):
 
 @query(f"{WITH}, ref AS (SELECT composite AS c FROM scored WHERE grp = 0) SELECT participant_id, {sql.r('100.0 * (SELECT count(*) FROM ref WHERE c < composite) / (SELECT count(*) FROM ref)')} AS percentile_strict, {sql.r('50.0 * ((SELECT count(*) FROM ref WHERE c < composite) + (SELECT count(*) FROM ref WHERE c <= composite) + (CASE WHEN (SELECT count(*) FROM ref WHERE c = composite) > 0 THEN 1 ELSE 0 END)) / (SELECT count(*) FROM ref)')} AS percentile_rank FROM scored")
 def reference_percentiles(spark, sf_dir):
-    return stats.percentile_of(_scored(spark, sf_dir), "composite", reference()).select("participant_id", r("percentile_strict").alias("percentile_strict"), r("percentile_rank").alias("percentile_rank"))
+    rows = _scored(spark, sf_dir).select("participant_id", "group", "composite").persist()  # several passes over the scores
+    return stats.percentile_of(rows, "composite", reference()).select("participant_id", r("percentile_strict").alias("percentile_strict"), r("percentile_rank").alias("percentile_rank"))
 
 
 @query(f"{WITH}, cut AS (SELECT quantile_cont(composite, 0.95) AS p95 FROM scored WHERE grp = 0) SELECT grp AS \"group\", count(*) AS n, count(*) FILTER (composite > p95) AS n_above, {sql.r('avg(CASE WHEN composite > p95 THEN 1.0 ELSE 0.0 END)')} AS share_above FROM scored, cut GROUP BY grp")
 def exceedance(spark, sf_dir):
-    rows = _scored(spark, sf_dir)
-    p95 = rows.where(reference()).agg(F.percentile("composite", 0.95)).first()[0]
+    rows = _scored(spark, sf_dir).select("group", "composite").persist()
+    p95 = stats.quantiles(rows.where(reference()), "composite", [0.95]).first()["q"][0]
     return aggregate.above(rows, "composite", F.lit(p95), ["group"]).withColumn("share_above", r("share_above"))
 
 
-@query()
-def bootstrap_intervals(spark, sf_dir):
-    """Draws come from a seeded generator, so no SQL."""
-    samples = normative.bootstrap(subjects(spark, sf_dir), reference(), ["participant_id"], draws=50)
-    return normative.bootstrap_summary(samples, ["participant_id"])
+@query(f"{WITH}, q AS (SELECT quantile_cont(composite, 0.75) AS l FROM scored) SELECT participant_id, {sql.r('composite')} AS composite, {sql.r('l')} AS \"limit\" FROM scored, q WHERE composite >= l")
+def top_quartile(spark, sf_dir):
+    rows = _scored(spark, sf_dir).select("participant_id", "composite").persist()
+    return stats.top_share(rows, "composite").select("participant_id", r("composite").alias("composite"), r("limit").alias("limit"))
 
 
-@query()
-def ledoit_wolf_shrinkage(spark, sf_dir):
-    m = _se(spark, sf_dir).blocks["SE"]
-    rows = subjects(spark, sf_dir).where(reference())
-    res = rows.select(*[c.alias(f) for c, f in zip(m.residuals(F.col("age")), m.features, strict=True)])
-    cov, s = normative.ledoit_wolf(res, list(m.features))
-    return spark.createDataFrame([(m.features[i], m.features[j], float(cov[i, j]), s) for i in range(len(cov)) for j in range(len(cov))], "a string, b string, cov double, shrinkage double")
+@query(f"{WITH}, k AS (SELECT participant_id, rank() OVER (ORDER BY D_SE DESC) AS a, rank() OVER (ORDER BY composite DESC) AS b FROM scored) SELECT participant_id, CAST(a AS DOUBLE) AS rank_first, CAST(b AS DOUBLE) AS rank_second, CAST(abs(a - b) AS DOUBLE) AS shift FROM k")
+def rank_shift(spark, sf_dir):
+    rows = _scored(spark, sf_dir).select("participant_id", "D_SE", "composite").persist()
+    return stats.rank_shift(rows, "D_SE", "composite").select("participant_id", "rank_first", "rank_second", "shift")
 
 
 @query()
+def bootstrap_intervals(spark, sf_dir):
+    """1000 draws of all blocks. Draws come from a 64-bit mix of ids, so no SQL; tests compare with plain NumPy."""
+    return normative.bootstrap_intervals(subjects(spark, sf_dir), reference(), ["participant_id"], draws=1000)
+
+
+def _ledoit_wolf_sql() -> str:
+    """Of each block's residuals r1 .. rp of the reference: E = R'R / n, its distance to mu I, and the part that is noise."""
+    parts, out = [], []
+    for name, features in BLOCKS.items():
+        p = range(1, len(features) + 1)
+        e = lambda i, j: f"e_{max(i, j)}_{min(i, j)}"
+        length = " + ".join(f"r{i} * r{i}" for i in p)
+        parts.append(f"e_{name} AS (SELECT count(*) AS n, avg(({length}) * ({length})) AS fourth, " + ", ".join(f"avg(r{i} * r{j}) AS e_{i}_{j}" for i in p for j in range(1, i + 1)) + f" FROM r_{name} WHERE grp = 0)")
+        mu = "(" + " + ".join(e(i, i) for i in p) + f") / {len(features)}"
+        parts.append(f"m_{name} AS (SELECT *, {mu} AS mu FROM e_{name})")
+        square = " + ".join(f"{e(i, j)} * {e(i, j)}" for i in p for j in p)
+        gap = " + ".join(f"pow({e(i, j)} - mu, 2)" if i == j else f"{e(i, j)} * {e(i, j)}" for i in p for j in p)
+        parts.append(f"w_{name} AS (SELECT *, ({gap}) / {len(features)} AS delta, (fourth - ({square})) / (n * {len(features)}) AS noise FROM m_{name})")
+        parts.append(f"l_{name} AS (SELECT *, least(noise, delta) / delta AS s FROM w_{name})")
+        cells = [(i, j) for i in p for j in p]
+        lists = {"a": sql.quoted([features[i - 1] for i, _ in cells]), "b": sql.quoted([features[j - 1] for _, j in cells]), "cov": [sql.r(f"(1 - s) * {e(i, j)}" + (" + s * mu" if i == j else "")) for i, j in cells], "shrinkage": [sql.r("s")] * len(cells)}
+        out.append(f"SELECT '{name}' AS block, * FROM ({sql.listed(lists, f'l_{name}')})")
+    fits = [sql.SUBJECTS]
+    for name, features in BLOCKS.items():
+        fits += sql.residuals(name, [AT[f] for f in features])
+    return "WITH " + ", ".join([*fits, *parts]) + " " + " UNION ALL ".join(out)
+
+
+@query(_ledoit_wolf_sql())
+def ledoit_wolf_shrinkage(spark, sf_dir):
+    model, rows, out = _model(spark, sf_dir), subjects(spark, sf_dir).where(reference()), []
+    for name, b in model.blocks.items():
+        res = rows.select(*[c.alias(f) for c, f in zip(b.residuals(F.col("age")), b.features, strict=True)])
+        cov, s = normative.ledoit_wolf(res, list(b.features))
+        out += [(name, b.features[i], b.features[j], float(cov[i, j]), s) for i in range(len(cov)) for j in range(len(cov))]
+    return spark.createDataFrame(out, "block string, a string, b string, cov double, shrinkage double").withColumns({c: r(c) for c in ("cov", "shrinkage")})
+
+
+def _quadratic_sql() -> str:
+    """The age is centred; a² is freed of its linear part, whose slope then is that of the square."""
+    x = list(AT.values())
+    parts = [
+        sql.SUBJECTS,
+        "c AS (SELECT avg(age) AS c FROM subjects WHERE grp = 0)",
+        "a AS (SELECT subjects.*, c, age - c AS a1, (age - c) * (age - c) AS a2 FROM subjects, c WHERE grp = 0)",
+        "l AS (SELECT regr_slope(a2, a1) AS ls, regr_intercept(a2, a1) AS li FROM a)",
+        "q AS (SELECT a.*, ls, a2 - li - ls * a1 AS q FROM a, l)",
+        "s AS (SELECT max(c) AS c, max(ls) AS ls, avg(a1) AS m1, avg(a2) AS m2, " + ", ".join(f"regr_slope(x{i}, q) AS s{i}, regr_slope(x{i}, a1) AS t{i}, avg(x{i}) AS u{i}" for i in x) + " FROM q)",
+    ]
+    b1 = lambda i: f"(t{i} - s{i} * ls)"
+    lists = {"feature": sql.quoted(list(AT)), "b0": [sql.r(f"u{i} - {b1(i)} * m1 - s{i} * m2 - {b1(i)} * c + s{i} * c * c", 5) for i in x], "b1": [sql.r(f"{b1(i)} - 2 * s{i} * c", 5) for i in x], "b2": [sql.r(f"s{i}", 5) for i in x]}
+    return "WITH " + ", ".join(parts) + " " + sql.listed(lists, "s")
+
+
+@query(_quadratic_sql())
 def quadratic_age(spark, sf_dir):
-    return normative.quadratic(subjects(spark, sf_dir).where(reference()), BLOCKS["SE"])
+    return normative.quadratic(subjects(spark, sf_dir).where(reference()), FEATURES).select("feature", *[r(c, 5).alias(c) for c in ("b0", "b1", "b2")])
+
+
+@query(f"{WITH}, f AS (SELECT regr_intercept(composite, age) AS a, regr_slope(composite, age) AS b FROM scored WHERE grp = 0), j AS (SELECT composite - (a + b * age) AS v, grp FROM scored, f WHERE grp IN (0, 1)), k AS (SELECT grp, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM j), s AS (SELECT count(*) FILTER (grp = 1) AS n_pos, count(*) FILTER (grp = 0) AS n_neg, sum(k) FILTER (grp = 1) AS rs FROM k) SELECT n_pos, n_neg, {sql.r('(rs - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)')} AS auc FROM s")
+def age_adjusted_auc(spark, sf_dir):
+    rows = _scored(spark, sf_dir).where("group in (0, 1)").select("group", "age", "composite").persist()
+    out = stats.rank_sum(stats.adjusted(rows, "composite", "age", reference()), "adjusted", F.col("group") == 1)
+    return out.select("n_pos", "n_neg", r("auc").alias("auc"))
+
+
+@query(f"{WITH}, j AS (SELECT composite AS v, grp FROM scored WHERE grp IN (0, 1)), m AS (SELECT quantile_cont(v, 0.5) AS m FROM j), c AS (SELECT max(m) AS m, count(*) FILTER (v > m AND grp = 1) AS tp, count(*) FILTER (v > m AND grp = 0) AS fp, count(*) FILTER (v <= m AND grp = 1) AS fn, count(*) FILTER (v <= m AND grp = 0) AS tn FROM j, m) SELECT {sql.r('m')} AS median, tp, fp, fn, tn, {sql.r('(tp / (tp + fn) + tn / (tn + fp)) / 2')} AS balanced_accuracy FROM c")
+def median_cut(spark, sf_dir):
+    rows = _scored(spark, sf_dir).where("group in (0, 1)").select("group", "composite").persist()
+    return stats.median_cut(rows, "composite", F.col("group") == 1).withColumns({c: r(c) for c in ("median", "balanced_accuracy")})
+
+
+@query(f"{WITH}, g AS (SELECT *, grp = 0 AS ref, age > 0 AS old, composite > 6 AS extreme FROM scored) " + " UNION ALL ".join(f"SELECT '{k}' AS stratum, count(composite) AS n, {sql.r('avg(composite)')} AS mean, {sql.r('stddev_samp(composite)')} AS std, {sql.r('min(composite)')} AS low, {sql.r('max(composite)')} AS high FROM g WHERE {w}" for k, w in {"all": "true", "reference": "ref", "older": "old", "without_extremes": "NOT extreme"}.items()))
+def sensitivity_strata(spark, sf_dir):
+    groups = {"all": F.lit(True), "reference": reference(), "older": F.col("age") > 0, "without_extremes": F.col("composite") <= 6}
+    return aggregate.strata(_scored(spark, sf_dir), "composite", groups).withColumns({c: r(c) for c in ("mean", "std", "low", "high")})
 
 
 @query(f"{WITH} SELECT participant_id, {sql.r('0.5 * D_SE + 0.25 * D_C + 0.25 * D_G')} AS composite FROM scored")
@@ -210,6 +298,21 @@ def band_pivot(spark, sf_dir):
     return wide.select("o_custkey", *[r(f"o_totalprice_{s}").alias(f"o_totalprice_{s}") for s in "FOP"])
 
 
+@query("SELECT o_custkey, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = '{x}') AS o_totalprice_{x}" for x in "FOP") + " FROM orders GROUP BY 1")
+def last_pivot(spark, sf_dir):
+    return aggregate.last_pivot(readers.table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["F", "O", "P"], ["o_totalprice"], "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i = 1")
+def keep_first(spark, sf_dir):
+    return writers.keep_first(readers.table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query(f"SELECT c_custkey, {sql.r('(c_acctbal - avg(c_acctbal) OVER ()) / (stddev_pop(c_acctbal) OVER () + 1e-12)')} AS z FROM customer")
+def zscore(spark, sf_dir):
+    return stats.zscore(readers.table(spark, sf_dir, "customer"), ["c_acctbal"]).select("c_custkey", r("c_acctbal").alias("z"))
+
+
 @query("SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s}" for s in "FOP") + " FROM orders GROUP BY 1")
 def group_counts(spark, sf_dir):
     return aggregate.counts_table(readers.table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
@@ -314,18 +417,29 @@ def cumulative_shares(spark, sf_dir):
     return stats.ecdf(readers.table(spark, sf_dir, "part"), "p_size").select("value", r("share").alias("share"))
 
 
-_SE_COLS = list(BLOCKS["SE"])
-_PAIRS = [(a, b) for i, a in enumerate(_SE_COLS) for b in _SE_COLS[i + 1 :]]
+_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+
 
+def _pairs_sql(prefix: str, source: str) -> str:
+    return sql.listed({"a": sql.quoted([a for a, _ in _PAIRS]), "b": sql.quoted([b for _, b in _PAIRS]), "r": [sql.r(f"corr({prefix}{AT[a]}, {prefix}{AT[b]})") for a, b in _PAIRS]}, source)
 
-@query("WITH " + sql.SUBJECTS + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {sql.r(f'corr(x{AT[a]}, x{AT[b]})')} AS r FROM subjects" for a, b in _PAIRS))
+
+@query(f"WITH {sql.SUBJECTS} {_pairs_sql('x', 'subjects')}")
 def pearson(spark, sf_dir):
-    return stats.correlations(subjects(spark, sf_dir), _SE_COLS).withColumn("r", r("r"))
+    return stats.correlations(subjects(spark, sf_dir), FEATURES).select("a", "b", r("r").alias("r"))
+
+
+@query(f"WITH {sql.SUBJECTS} SELECT * FROM ({_pairs_sql('x', 'subjects')}) WHERE abs(r) > 0.12")
+def strong_pairs(spark, sf_dir):
+    return stats.correlations(subjects(spark, sf_dir), FEATURES).select("a", "b", r("r").alias("r")).where("abs(r) > 0.12")
+
 
+_RANKS = ", ".join(f"rank() OVER (ORDER BY x{i}) + (count(*) OVER (PARTITION BY x{i}) - 1) / 2.0 AS k{i}" for i in AT.values())
 
-@query("WITH " + sql.SUBJECTS + ", k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY x{AT[c]}) + (count(*) OVER (PARTITION BY x{AT[c]}) - 1) / 2.0 AS k{AT[c]}" for c in _SE_COLS[:3]) + " FROM subjects) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {sql.r(f'corr(k{AT[a]}, k{AT[b]})')} AS r FROM k" for a, b in _PAIRS if a in _SE_COLS[:3] and b in _SE_COLS[:3]))
+
+@query(f"WITH {sql.SUBJECTS}, k AS (SELECT {_RANKS} FROM subjects) {_pairs_sql('k', 'k')}")
 def spearman(spark, sf_dir):
-    return stats.spearman(subjects(spark, sf_dir), _SE_COLS[:3]).withColumn("r", r("r"))
+    return stats.spearman(subjects(spark, sf_dir), FEATURES).select("a", "b", r("r").alias("r"))
 
 
 _LABELLED = "SELECT quality, CAST(n_chars AS DOUBLE) AS v FROM labels JOIN documents USING (doc_id)"
@@ -353,15 +467,30 @@ def two_group_tests(spark, sf_dir):
     return out.select("n1", "n2", r("t").alias("t"), r("cohen_d").alias("cohen_d"))
 
 
-@query()
+_DRAWS = 1000
+_U = "('0x' || substr(md5(doc_id || '-' || b || '-42'), 1, 12))::BIGINT / 281474976710656.0"
+_DRAWN = f"WITH l AS (SELECT doc_id, quality, CAST(n_chars AS DOUBLE) AS v FROM labels JOIN documents USING (doc_id)), d AS (SELECT *, {_U} AS u FROM l, (SELECT CAST(unnest(range({_DRAWS})) AS INTEGER) AS b)), "
+_DRAWN_AUC = "c AS (SELECT b, v, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM e GROUP BY b, v), f AS (SELECT b, p, n, p * (coalesce(sum(n) OVER (PARTITION BY b ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0) AS u FROM c), g AS (SELECT b, sum(u) / nullif(sum(p) * sum(n), 0) AS auc FROM f GROUP BY b)"
+_WEIGHT = " + ".join(f"(u >= {x})::INTEGER" for x in ml.POISSON)
+
+
+@query(f"{_DRAWN} e AS (SELECT b, v, {_WEIGHT} AS w, quality AS y FROM d), {_DRAWN_AUC} SELECT b, {sql.r('auc')} AS auc FROM g")
 def resampled_auc(spark, sf_dir):
-    return ml.resampled_auc(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 1, "doc_id", draws=50)
+    """1000 draws."""
+    return ml.resampled_auc(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 1, "doc_id", draws=_DRAWS).select("b", r("auc").alias("auc"))
+
+
+@query(f"{_DRAWN} r AS (SELECT avg(quality) AS rate FROM l), e AS (SELECT b, v, 1 AS w, (u < rate)::INTEGER AS y FROM d, r), {_DRAWN_AUC}, k AS (SELECT quality, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM l), s AS (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n, sum(k) FILTER (quality = 1) AS rs FROM k), o AS (SELECT (rs - p * (p + 1) / 2.0) / (p * n) AS seen FROM s) SELECT {sql.r('max(seen)')} AS auc, {sql.r('avg((auc >= seen)::INTEGER)')} AS p FROM g, o")
+def permutation_p(spark, sf_dir):
+    """1000 draws of labels."""
+    return ml.permutation_p(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 1, "doc_id", draws=_DRAWS).select(r("auc").alias("auc"), r("p").alias("p"))
 
 
 @query()
 def nested_cross_validation(spark, sf_dir):
+    """5 outer and 3 inner folds, 3 penalties. The solver's result has no SQL."""
     rows = subjects(spark, sf_dir).withColumn("label", (F.col("group") < 5).cast("int"))
-    return ml.fold_metrics(ml.nested_cv(rows, _SE_COLS, "label", "participant_id", outer=2, grid=(0.01, 0.1)))
+    return ml.fold_metrics(ml.nested_cv(rows, BLOCKS["SE"], "label", "participant_id", inner=3))
 
 
 @query(f"WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 8 AS w, count(value) AS n FROM events), k AS (SELECT CAST(least(floor((value - lo) / w), 7) AS INTEGER) AS bin, n AS total, w FROM events, b) SELECT bin, count(*) AS n, {sql.r('count(*) / (max(total) * max(w))')} AS density FROM k GROUP BY bin")
@@ -371,16 +500,14 @@ def histogram(spark, sf_dir):
 
 # graphs, windows and signals
 
-_NODES = 8
-_EDGE = " UNION ALL ".join(f"SELECT label AS g, {a} AS a, {b} AS b, abs(corr(CAST(embedding[{a}] AS DOUBLE), CAST(embedding[{b}] AS DOUBLE))) AS w FROM embeddings GROUP BY label" for a in range(1, _NODES + 1) for b in range(a + 1, _NODES + 1))
+_NODES = 64
+_NODE_PAIRS = [(a, b) for a in range(1, _NODES + 1) for b in range(a + 1, _NODES + 1)]
+_EDGE = "SELECT label AS g, " + ", ".join(f"unnest([{', '.join(v)}]) AS {k}" for k, v in {"a": [str(a) for a, _ in _NODE_PAIRS], "b": [str(b) for _, b in _NODE_PAIRS], "w": [f"abs(corr(CAST(embedding[{a}] AS DOUBLE), CAST(embedding[{b}] AS DOUBLE)))" for a, b in _NODE_PAIRS]}.items()) + " FROM embeddings GROUP BY label"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph for each group: the absolute correlations of the first components."""
-    x = lambda i: F.col("embedding")[i - 1].cast("double")
-    pairs = [(a, b) for a in range(1, _NODES + 1) for b in range(a + 1, _NODES + 1)]
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(x(a), x(b))).alias("w")) for a, b in pairs])
-    return readers.table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("g")).agg(cells.alias("e")).select("g", F.inline("e"))
+    """A graph for each group: the absolute correlations of all components."""
+    return graph.correlation_edges(readers.table(spark, sf_dir, "embeddings"), "label", "embedding").withColumnRenamed("label", "g")
 
 
 @query(f"WITH e AS ({_EDGE}), s AS (SELECT g, n, sum(w) AS s FROM (SELECT g, a AS n, w FROM e UNION ALL SELECT g, b, w FROM e) GROUP BY 1, 2) SELECT g, {sql.r('avg(s)')} AS mean_degree, {sql.r('stddev_pop(s) / (avg(s) + 1e-12)')} AS degree_cv FROM s GROUP BY g")
@@ -442,6 +569,47 @@ def window_changes(spark, sf_dir):
     return graph.changes(e, ["g"], "day").select("day", r("delta").alias("delta"))
 
 
+_CHANGES = "e AS (SELECT CAST(dayofyear(ts) AS INTEGER) AS day, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS b, avg(value) AS w FROM events GROUP BY 1, 2), p AS (SELECT *, lag(w) OVER (PARTITION BY b ORDER BY day) AS q FROM e), d AS (SELECT day, sqrt(sum((w - q) * (w - q))) / sqrt(sum(q * q)) AS delta FROM p WHERE q IS NOT NULL GROUP BY day)"
+
+
+@query(f"WITH {_CHANGES} SELECT 0 AS g, count(*) AS n_transitions, {sql.r('avg(delta)')} AS mean_delta, {sql.r('stddev_pop(delta)')} AS std_delta, {sql.r('stddev_pop(delta) / (avg(delta) + 1e-12)')} AS cv_delta, {sql.r('max(delta)')} AS max_delta FROM d")
+def transition_summary(spark, sf_dir):
+    b = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    e = readers.table(spark, sf_dir, "events").groupBy(F.dayofyear("ts").alias("day"), b.alias("b")).agg(F.avg("value").alias("w")).withColumns({"g": F.lit(0), "a": F.lit(0)})
+    out = graph.change_summary(graph.changes(e, ["g"], "day"), ["g"])
+    return out.select("g", "n_transitions", *[r(c).alias(c) for c in ("mean_delta", "std_delta", "cv_delta", "max_delta")])
+
+
+_SERIES = "s AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS t FROM embeddings), w AS (SELECT *, lead(v) OVER o AS v1, lead(v, 2) OVER o AS v2 FROM s WINDOW o AS (PARTITION BY vec_id ORDER BY t))"
+
+
+@query(f"WITH {_SERIES}, k AS (SELECT vec_id, v <= v1 AS a, v1 <= v2 AS b, v <= v2 AS c, count(*) AS n FROM w WHERE v2 IS NOT NULL GROUP BY ALL), p AS (SELECT vec_id, n / sum(n) OVER (PARTITION BY vec_id) AS p FROM k) SELECT vec_id, {sql.r('-sum(p * log2(p)) / log2(6)')} AS entropy FROM p GROUP BY 1")
+def permutation_entropy(spark, sf_dir):
+    registry.register(spark)
+    return readers.table(spark, sf_dir, "embeddings").select("vec_id", r(F.expr("permutation_entropy(cast(embedding as array<double>))")).alias("entropy"))
+
+
+_NEAR = "abs(x.v - y.v) <= tol AND abs(x.v1 - y.v1) <= tol"
+
+
+@query(f"WITH {_SERIES}, d AS (SELECT vec_id, 0.2 * stddev_pop(v) AS tol, count(*) AS len FROM s GROUP BY 1), m AS (SELECT x.vec_id, count(*) FILTER ({_NEAR}) AS b, count(*) FILTER ({_NEAR} AND abs(x.v2 - y.v2) <= tol AND x.t < len - 2 AND y.t < len - 2) AS a FROM w x JOIN w y ON x.vec_id = y.vec_id AND x.t < y.t JOIN d ON d.vec_id = x.vec_id WHERE x.t <= len - 2 AND y.t <= len - 2 GROUP BY 1) SELECT vec_id, CASE WHEN a > 0 AND b > 0 THEN {sql.r('-ln(a / b)')} END AS entropy FROM m")
+def sample_entropy(spark, sf_dir):
+    registry.register(spark)
+    return readers.table(spark, sf_dir, "embeddings").select("vec_id", r(F.expr("sample_entropy(cast(embedding as array<double>))")).alias("entropy"))
+
+
+@query(f"WITH s AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, vec_id, stddev_pop(v) AS sd FROM s GROUP BY 1, 2), a AS (SELECT label, count(*) AS n_samples, count(*) FILTER (abs(v) > 0.3) AS extreme, {sql.r('min(v)')} AS low, {sql.r('max(v)')} AS high, {sql.r('avg(abs(v))')} AS mean_abs, {sql.r('quantile_cont(abs(v), 0.99)')} AS p99_abs FROM s GROUP BY 1), b AS (SELECT label, count(*) AS n_channels, {sql.r('avg(sd)')} AS std_mean, count(*) FILTER (sd <= 1e-12) AS flat_channels FROM c GROUP BY 1) SELECT a.*, n_channels, std_mean, flat_channels, 0 AS n_bad FROM a JOIN b USING (label)")
+def sample_audit(spark, sf_dir):
+    e = readers.table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("samples"))
+    return aggregate.sample_audit(e, ["label"], limit=0.3).withColumns({c: r(c) for c in ("low", "high", "mean_abs", "p99_abs", "std_mean")})
+
+
+@query(f"WITH s AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), p AS (SELECT label, vec_id, count(*) AS n, count(*) FILTER (abs(v - 0.25) <= 1e-2) AS h, count(*) FILTER (abs(v + 0.25) <= 1e-2) AS l FROM s GROUP BY 1, 2) SELECT label, count(*) AS n_channels, {sql.r('sum(h) / sum(n)')} AS share_high, {sql.r('sum(l) / sum(n)')} AS share_low, count(*) FILTER (h > 0.01 * n) AS saturated FROM p GROUP BY 1")
+def scale_audit(spark, sf_dir):
+    e = readers.table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("samples"), F.lit(-0.25).alias("pmin"), F.lit(0.25).alias("pmax"))
+    return aggregate.scale_audit(e, ["label"], tolerance=1e-2).withColumns({c: r(c) for c in ("share_high", "share_low")})
+
+
 @query(f"SELECT vec_id, {sql.r('len(list_filter(embedding, lambda x: abs(x) > 0.2)) / len(embedding)')} AS share FROM embeddings")
 def extreme_samples(spark, sf_dir):
     return readers.table(spark, sf_dir, "embeddings").select("vec_id", r(C.extreme_share(F.col("embedding"), 0.2)).alias("share"))
@@ -456,11 +624,14 @@ def amplitude_triage(spark, sf_dir):
 # text, checks and reports
 
 
-@query("SELECT page_id, CASE WHEN regexp_extract(url, '/([a-z]{2})/', 1) = '' THEN 'none' ELSE regexp_extract(url, '/([a-z]{2})/', 1) END AS lang, lpad(CAST(TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS INTEGER) % 100 AS VARCHAR), 2, '0') AS run FROM pages")
+@query("SELECT page_id, 'sub-' || page_id AS subject, CASE WHEN page_id % 3 = 0 THEN '01' ELSE lpad(CAST(page_id % 12 AS VARCHAR), 2, '0') END AS run, CAST(page_id % 100 AS INTEGER) AS participant, CASE WHEN page_id % 100 = 99 THEN -1 ELSE CAST(page_id % 100 AS INTEGER) END AS age, CASE WHEN page_id % 2 = 0 THEN 'ASD' ELSE 'TD' END AS grp, CASE WHEN page_id % 2 = 0 THEN 'ASD_' ELSE 'x_' END || 'sub-' || page_id || CASE WHEN page_id % 3 = 0 THEN '' ELSE '_run-' || page_id % 12 END || '_Part' || page_id % 100 || '_RestEO' AS stem FROM pages")
 def path_tokens(spark, sf_dir):
-    lang = F.regexp_extract("url", "/([a-z]{2})/", 1)
-    number = F.nullif(F.regexp_extract("url", "/([0-9]+)", 1), F.lit("")).try_cast("int") % 100
-    return readers.table(spark, sf_dir, "pages").select("page_id", F.when(lang == "", "none").otherwise(lang).alias("lang"), C.two_digits(number).alias("run"))
+    """Names of recordings made of the pages' ids, taken apart again."""
+    n = F.col("page_id")
+    run = F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("_run-"), n % 12))
+    pages = readers.table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("/data/"), F.when(n % 2 == 0, "ASD_").otherwise("x_"), F.lit("sub-"), n, run, F.lit("_Part"), n % 100, F.lit("_RestEO.bdf"))).withColumn("comment", F.concat(F.lit("Age: "), n % 100))
+    p = F.col("path")
+    return pages.select("page_id", C.subject_token(p).alias("subject"), C.run_token(p).alias("run"), C.participant_number(p).alias("participant"), F.coalesce(C.age_from_comment(F.col("comment")), F.lit(-1)).alias("age"), C.group_of(p, {"ASD": "ASD"}, "TD").alias("grp"), C.stem_of(p).alias("stem"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -468,9 +639,14 @@ def json_fields(spark, sf_dir):
     return readers.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-@query("SELECT vec_id AS participant_id, 'PASS' AS status, CASE WHEN embedding[55] BETWEEN -0.1 AND 0.1 THEN 0 ELSE 1 END AS n_warnings FROM embeddings")
+@query("SELECT vec_id AS participant_id, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0 THEN 'REJECT' ELSE 'PASS' END AS status, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN 'INVALID_AGE' WHEN vec_id % 13 = 0 THEN 'INVALID_FEATURES' END AS reason, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN 'age' WHEN vec_id % 13 = 0 THEN CASE WHEN vec_id % 2 = 0 THEN 'alpha_rel,beta_rel' ELSE 'beta_rel' END ELSE '' END AS bad, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0 OR embedding[55] BETWEEN -0.1 AND 0.1 THEN 0 ELSE 1 END AS n_warnings FROM embeddings")
 def validated_rows(spark, sf_dir):
-    return validate.validate_rows(subjects(spark, sf_dir), reference=(-0.1, 0.1)).select("participant_id", "status", F.size("warnings").alias("n_warnings"))
+    """Some rows are spoilt: no age, an infinite age, one or two features that are no numbers."""
+    n = F.col("participant_id")
+    rows = subjects(spark, sf_dir).withColumn("age", F.when(n % 7 == 0, None).when(n % 11 == 0, float("inf")).otherwise(F.col("age")))
+    rows = rows.withColumn("beta_rel", F.when(n % 13 == 0, float("nan")).otherwise(F.col("beta_rel"))).withColumn("alpha_rel", F.when((n % 13 == 0) & (n % 2 == 0), None).otherwise(F.col("alpha_rel")))
+    out = validate.validate_rows(rows, reference=(-0.1, 0.1))
+    return out.select("participant_id", "status", "reason", F.array_join("bad_features", ",").alias("bad"), F.size("warnings").alias("n_warnings"))
 
 
 @query(f"{WITH} SELECT participant_id, 'PASS' AS status, {sql.r('composite')} AS composite FROM scored")
@@ -485,11 +661,15 @@ def quality_audit(spark, sf_dir):
     return validate.audit(readers.table(spark, sf_dir, "orders"), {"positive_price": F.col("o_totalprice") > 0, "finished": F.col("o_orderstatus") == "F"})
 
 
-@query("SELECT 'c_acctbal' AS \"column\", count(*) FILTER (c_acctbal IS NULL) AS n_null, 0::BIGINT AS n_inf, coalesce(min(c_acctbal) < max(c_acctbal), false) AS varies FROM customer UNION ALL SELECT 'c_nationkey', count(*) FILTER (c_nationkey IS NULL), 0, coalesce(min(c_nationkey) < max(c_nationkey), false) FROM customer")
+@query("SELECT 'c_acctbal' AS \"column\", count(*) FILTER (c_acctbal IS NULL) AS n_null, 0::BIGINT AS n_inf, count(DISTINCT c_acctbal) AS n_distinct, coalesce(min(c_acctbal) < max(c_acctbal), false) AS varies FROM customer UNION ALL SELECT 'c_nationkey', count(*) FILTER (c_nationkey IS NULL), 0, count(DISTINCT c_nationkey), coalesce(min(c_nationkey) < max(c_nationkey), false) FROM customer")
 def column_audit(spark, sf_dir):
-    return aggregate.column_audit(readers.table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"]).drop("n_distinct")
+    return aggregate.column_audit(readers.table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'NO-GO' ELSE 'PASS_WITH_WARNINGS' END AS verdict FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'NO-GO' WHEN event_id % 4 = 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n_missing, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS n_unmet FROM events")
 def manifest_gate(spark, sf_dir):
-    return validate.manifest_gate(readers.table(spark, sf_dir, "events"), "props", ["k"], ["site"]).select("event_id", "verdict")
+    """Manifests made of the events, some without a required or a wished key."""
+    n = F.col("event_id")
+    body = F.to_json(F.struct(F.when(n % 3 != 0, n).alias("k"), F.when(n % 4 != 0, F.col("event_type")).alias("site")))
+    out = validate.manifest_gate(readers.table(spark, sf_dir, "events").withColumn("body", body), "body", ["k"], ["site"])
+    return out.select("event_id", "verdict", F.size("missing").alias("n_missing"), F.size("unmet").alias("n_unmet"))

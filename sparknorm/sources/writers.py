@@ -18,6 +18,19 @@ def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_n", last).where("_n = 1").drop("_n", "_batch")
 
 
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key, the first in order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def row_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
+    """The row at a place in an order, from 0; IndexError beyond the end."""
+    found = df.orderBy(*order).offset(position).limit(1)
+    if not 0 <= position or found.isEmpty():
+        raise IndexError(f"no row {position}")
+    return found
+
+
 def upsert(df: DataFrame, old_path: str, new_path: str, keys: list[str]) -> DataFrame:
     """Writes the merged table as a new version; the old one stays readable meanwhile."""
     merged = keep_last(df.sparkSession.read.parquet(old_path), df, keys)
@@ -37,3 +50,16 @@ def json_rows(reports: DataFrame, path: str, partition_by: str | None = None) ->
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.json(path)
+
+
+def subject_reports(reports: DataFrame, path: str, key: str = "participant_id") -> dict[str, int]:
+    """A folder with one JSON document for each subject, and how many passed or were rejected."""
+    reports.write.partitionBy(key).mode("overwrite").text(path) if reports.columns == [key, "report"] else json_rows(reports, path, key)
+    status = F.get_json_object("report", "$.status")
+    counts = {r["status"]: r["count"] for r in reports.groupBy(status.alias("status")).count().collect()}
+    return {"PASS": counts.get("PASS", 0), "REJECT": counts.get("REJECT", 0)}
+
+
+def summary_json(df: DataFrame, path: str) -> None:
+    """A table of a row or few as JSON documents in one file."""
+    df.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
