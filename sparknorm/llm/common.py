@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparknorm.operators.joins import spread_join
+
+__all__ = ["Scratch", "bound_batches", "components", "documents", "per_slice", "shuffle_partitions", "slices", "spread_join", "trimmed"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -113,26 +116,6 @@ def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None],
     return trimmed(run)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", parts: int = 4096) -> DataFrame:
-    """Joins ``rows`` with a table of one row a key, whose column ``weight`` counts the key's rows there.
-
-    A key with more than 1 / ``parts`` of all rows would fill a task. There are
-    fewer than ``parts`` of them, whatever the data, so they are broadcast;
-    all others are shuffled. Rows with a null key only stay in a left join, and
-    are not shuffled. ``rows`` is read twice and should be saved.
-    """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) > max(1000, total // parts)
-    few = F.broadcast(table.where(hot).drop(weight))
-    near = rows.join(few, keys, "left_semi" if how == "left_semi" else "inner")
-    null = F.lit(False)
-    for k in keys:
-        null = null | F.col(k).isNull()
-    far = rows.where(~null).join(few.select(*keys), keys, "left_anti").join(table.where(~hot).drop(weight), keys, how)
-    both = near.unionByName(far)
-    return both.unionByName(rows.where(null), allowMissingColumns=True) if how == "left" else both
-
-
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``.
 
