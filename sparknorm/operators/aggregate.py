@@ -73,7 +73,7 @@ def sample_audit(signals: DataFrame, keys: Sequence[str], samples: str = "sample
     mean = F.aggregate("_f", F.lit(0.0), lambda s, x: s + x) / F.size("_f")
     spread = F.aggregate("_f", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.size("_f")
     rows = signals.withColumn("_f", fine).withColumn("_m", F.when(F.size("_f") > 0, mean)).withColumn("_s", F.sqrt(F.when(F.size("_f") > 0, spread)))
-    one = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_channels"), F.sum(F.size(samples)).alias("n_samples"), F.sum(F.size(samples) - F.size("_f")).alias("n_bad"), F.avg("_s").alias("std_mean"), F.count_if(F.col("_s") <= flat).alias("flat_channels"), F.sum(F.size(F.filter("_f", lambda x: F.abs(x) > limit))).alias("extreme"), F.min(F.array_min("_f")).alias("low"), F.max(F.array_max("_f")).alias("high"), (F.sum(F.aggregate("_f", F.lit(0.0), lambda s, x: s + F.abs(x))) / F.sum(F.size("_f"))).alias("mean_abs"))
+    one = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_channels"), F.sum(F.size(samples)).alias("n_samples"), F.sum(F.size(samples) - F.size("_f")).alias("n_bad"), F.avg("_s").alias("std_mean"), F.count_if(F.col("_s") <= flat).alias("flat_channels"), F.sum(F.size(F.filter("_f", lambda x: F.abs(x) > limit))).alias("extreme"), F.min(F.array_min("_f")).alias("low"), F.max(F.array_max("_f")).alias("high"), F.try_divide(F.sum(F.aggregate("_f", F.lit(0.0), lambda s, x: s + F.abs(x))), F.sum(F.size("_f"))).alias("mean_abs"))
     p99 = stats.quantiles(rows.select(*keys, F.explode("_f").alias("_x")).withColumn("_x", F.abs("_x")), "_x", [0.99], keys)
     return one.join(p99.select(*keys, F.col("q")[0].alias("p99_abs")), list(keys), "left")
 
@@ -82,7 +82,7 @@ def scale_audit(signals: DataFrame, keys: Sequence[str], samples: str = "samples
     """By recording: share of samples at the physical ends, and channels with more than 1 % of them at the upper one."""
     near = lambda end: F.size(F.filter(samples, lambda x: F.abs(x - F.col(end)) <= tolerance * F.greatest(F.abs(F.col(end)), F.lit(1.0))))
     rows = signals.withColumn("_n", F.size(samples)).withColumn("_h", near(high)).withColumn("_l", near(low))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_channels"), (F.sum("_h") / F.sum("_n")).alias("share_high"), (F.sum("_l") / F.sum("_n")).alias("share_low"), F.count_if(F.col("_h") > 0.01 * F.col("_n")).alias("saturated"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_channels"), F.try_divide(F.sum("_h"), F.sum("_n")).alias("share_high"), F.try_divide(F.sum("_l"), F.sum("_n")).alias("share_low"), F.count_if(F.col("_h") > 0.01 * F.col("_n")).alias("saturated"))
 
 
 def counts_table(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:

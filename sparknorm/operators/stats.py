@@ -67,7 +67,7 @@ def quantiles(df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str]
     at = [(F.col("_all") - 1) * float(x) for x in q]
     holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
     ends = [f(F.when(holds(g(p)), F.col("value"))).alias(f"{n}{i}") for i, p in enumerate(at) for n, f, g in (("low", F.max, F.floor), ("high", F.max, F.ceil))]
-    found = sized.groupBy(*own).agg(F.max("_all").alias("_all"), *ends)
+    found = sized.groupBy(*own).agg(F.max("_all").alias("_all"), *ends).where("_all is not null")
     part = lambda i, p: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (p - F.floor(p))
     return found.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.array(*[part(i, p) for i, p in enumerate(at)]).alias("q"))
 
