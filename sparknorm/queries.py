@@ -673,3 +673,74 @@ def manifest_gate(spark, sf_dir):
     body = F.to_json(F.struct(F.when(n % 3 != 0, n).alias("k"), F.when(n % 4 != 0, F.col("event_type")).alias("site")))
     out = validate.manifest_gate(readers.table(spark, sf_dir, "events").withColumn("body", body), "body", ["k"], ["site"])
     return out.select("event_id", "verdict", F.size("missing").alias("n_missing"), F.size("unmet").alias("n_unmet"))
+
+
+# smaller operators
+
+
+@query(_fitted_sql() + " UNION ALL ".join("SELECT participant_id, '" + name + "' AS block, " + ", ".join(f"unnest([{', '.join(v)}]) AS {k}" for k, v in {"feature": sql.quoted(features), "z": [sql.r(f"r{i} / (sqrt(v_{i}_{i}) + 1e-12)") for i in range(1, len(features) + 1)]}.items()) + f" FROM r_{name}, v_{name}" for name, features in BLOCKS.items()))
+def unshrunk_profile(spark, sf_dir):
+    return _model(spark, sf_dir).profile(subjects(spark, sf_dir), ["participant_id"], unshrunk=True).select("participant_id", "block", "feature", r("z").alias("z"))
+
+
+@query(f"SELECT * FROM ({sql.leave_one_out()} SELECT participant_id, {sql.r('(' + ' + '.join(_LOO) + f') / {len(_LOO)}')} AS score FROM d_SE " + " ".join(f"JOIN d_{b} USING (participant_id)" for b in list(BLOCKS)[1:]) + f") UNION ALL SELECT * FROM ({WITH} SELECT participant_id, {sql.r('composite')} AS score FROM scored WHERE grp <> 0)")
+def mixed_scores(spark, sf_dir):
+    return normative.exact_mixed(subjects(spark, sf_dir), reference(), ["participant_id"]).select("participant_id", r("score").alias("score"))
+
+
+@query(f"{WITH}, g AS (SELECT abs(D_SE - composite) AS g FROM scored) SELECT count(*) AS n, {sql.r('max(g)')} AS max_abs, {sql.r('avg(g)')} AS mean_abs, {sql.r('median(g)')} AS median_abs FROM g")
+def score_comparison(spark, sf_dir):
+    rows = _scored(spark, sf_dir).persist()
+    out = cohort.compare(rows.select("participant_id", F.col("D_SE").alias("v")), rows.select("participant_id", F.col("composite").alias("v")), "participant_id", "v")
+    return out.withColumns({c: r(c) for c in ("max_abs", "mean_abs", "median_abs")})
+
+
+@query(f"WITH e AS ({_EDGE}) SELECT g, count(*) AS n, {sql.r('avg(w)')} AS mean, {sql.r('median(w)')} AS median FROM e GROUP BY g")
+def edge_summary(spark, sf_dir):
+    e = edges(spark, sf_dir).persist()
+    mid = stats.quantiles(e, "w", [0.5], ["g"]).select("g", r(F.col("q")[0]).alias("median"))
+    return e.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r(F.avg("w")).alias("mean")).join(mid, "g")
+
+
+@query(f"WITH e AS (SELECT c_nationkey AS g, s_nationkey % 7 AS a, c_custkey % 7 AS b, s_acctbal / 5000 AS w FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT g, least(a, b) AS a, greatest(a, b) AS b, {sql.r('least(greatest(avg(w), 0), 1)')} AS w FROM e WHERE a <> b GROUP BY 1, 2, 3")
+def clean_edges(spark, sf_dir):
+    c, s = readers.table(spark, sf_dir, "customer"), readers.table(spark, sf_dir, "supplier")
+    e = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_nationkey").alias("g"), (F.col("s_nationkey") % 7).alias("a"), (F.col("c_custkey") % 7).alias("b"), (F.col("s_acctbal") / 5000).alias("w"))
+    return graph.cleaned(e, ["g"]).withColumn("w", r("w"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'REJECT' WHEN vec_id % 7 = 0 THEN 'REJECT' WHEN vec_id % 11 = 0 THEN 'REJECT' WHEN vec_id % 13 = 0 THEN 'REJECT' ELSE 'PASS' END AS status, CASE WHEN vec_id % 5 = 0 THEN 'UNSUPPORTED_FORMAT' WHEN vec_id % 7 = 0 THEN 'BAD_SFREQ' WHEN vec_id % 11 = 0 THEN 'TOO_SHORT' WHEN vec_id % 13 = 0 THEN 'TOO_FEW_CHANNELS' END AS reason, CASE WHEN vec_id % 5 > 0 AND vec_id % 7 > 0 AND vec_id % 11 > 0 AND vec_id % 13 > 0 AND vec_id % 3 = 0 THEN 1 ELSE 0 END AS n_warnings FROM embeddings")
+def validated_recordings(spark, sf_dir):
+    """Metadata of recordings made of the vectors' ids, with every kind of fault."""
+    n = F.col("vec_id")
+    rows = readers.table(spark, sf_dir, "embeddings").select("vec_id", F.when(n % 5 == 0, "x.txt").otherwise("x.BDF").alias("path"), F.when(n % 7 == 0, 256.0).otherwise(512.2).alias("sfreq"), F.when(n % 11 == 0, 29.9).otherwise(30.0).alias("duration_s"), F.when(n % 13 == 0, 63).when(n % 3 == 0, 65).otherwise(64).alias("n_channels"))
+    return validate.validate_recordings(rows).select("vec_id", "status", "reason", F.size("warnings").alias("n_warnings"))
+
+
+@query(f"SELECT o_custkey, o_orderstatus AS band, {sql.r('avg(o_totalprice)')} AS mean, count(DISTINCT o_orderpriority) AS n_distinct, max(o_orderkey) AS latest FROM orders GROUP BY 1, 2")
+def band_summary(spark, sf_dir):
+    o = readers.table(spark, sf_dir, "orders")
+    return o.groupBy("o_custkey", F.col("o_orderstatus").alias("band")).agg(r(F.avg("o_totalprice")).alias("mean"), F.count_distinct("o_orderpriority").alias("n_distinct"), F.max("o_orderkey").alias("latest"))
+
+
+@query("SELECT nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS n FROM customer GROUP BY 1")
+def groups_with_null(spark, sf_dir):
+    return readers.table(spark, sf_dir, "customer").groupBy(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union(spark, sf_dir):
+    return readers.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(readers.table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {sql.r('l_discount / greatest(abs(l_tax), 1e-8)')} AS relative_width, {sql.r('l_quantity - l_tax')} AS bias, l_tax >= 0.02 AND l_tax <= 0.02 + l_discount AS inside, abs(l_tax - l_discount) <= 1e-5 + 1e-4 * abs(l_discount) AS close FROM lineitem")
+def interval_checks(spark, sf_dir):
+    rows = readers.table(spark, sf_dir, "lineitem").withColumns({c: F.col(c).cast("double") for c in ("l_tax", "l_discount", "l_quantity")})
+    i = C.interval(F.col("l_tax"), F.lit(0.02), F.lit(0.02) + F.col("l_discount"), F.col("l_quantity"))
+    return rows.select("l_orderkey", "l_linenumber", r(i["relative_width"]).alias("relative_width"), r(i["bias"]).alias("bias"), i["inside"].alias("inside"), C.is_close(F.col("l_tax"), F.col("l_discount")).alias("close"))
+
+
+@query("SELECT c_custkey, CASE upper(trim(' ' || lower(c_mktsegment) || ' ')) WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE -1 END AS code FROM customer WHERE isfinite(CAST(c_acctbal AS DOUBLE))")
+def label_codes(spark, sf_dir):
+    c = readers.table(spark, sf_dir, "customer").where(C.finite(F.col("c_acctbal").cast("double")))
+    return c.select("c_custkey", F.coalesce(C.label_code(F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit(" ")), {"building": 0, "machinery": 1}), F.lit(-1)).alias("code"))
