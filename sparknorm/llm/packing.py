@@ -201,7 +201,10 @@ def _crcs(ids: pd.Series, wide: pd.Series, starts: pd.Series, lengths: pd.Series
 
 
 def with_checksums(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
-    """One row a piece, with its document, the document's tokens and the crc32 of the piece's ids as unsigned 32-bit integers."""
+    """One row a piece, with its document, the document's tokens and the crc32 of the piece's ids as unsigned 32-bit integers.
+
+    ``pieces`` and ``tokens`` meet by row, so documents of one id, or of none, are told apart. No pieces: no rows.
+    """
     by_row = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("p"))
     found = tokens.select("row", "doc_id", "n", "wide", "ids").join(by_row, "row")
     found = found.select("doc_id", "n", F.arrays_zip("p", _crcs("ids", "wide", F.col("p.start"), F.col("p.length")).alias("crc")).alias("z"))
