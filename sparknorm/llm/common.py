@@ -90,7 +90,7 @@ def trimmed(fn: Callable) -> Callable:
     return run
 
 
-def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of about ``chars`` characters, with their texts (null: empty)."""
     texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
     start = held = 0
@@ -103,7 +103,7 @@ def slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 19) -> Iterat
         yield batch.slice(start), texts[start:]
 
 
-def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], text_col: str, chars: int = 1 << 19) -> Callable:
+def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], text_col: str, chars: int = 1 << 18) -> Callable:
     """A mapInArrow function that calls ``fn`` on slices of bounded text size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ from .common import Scratch, components, shuffle_partitions, slices, spread_join
 from .shingles import mix, shingle_sets
 
 SMALL = 32  # shingles from which sets are cut into parts
-FLUSH = 1_000_000  # signatures that a task holds before it sends them
+FLUSH = 500_000  # signatures that a task holds before it sends them
 BLOCK = 256  # members of a hub compared at once
 SAMPLE = 32  # one in so many texts is sampled for common signatures
 COMMON = 64  # sampled texts with a signature that make it common; no more than MOST_COMMON are
@@ -258,6 +258,7 @@ def _sign(lanes: int, shared):
                         at = np.minimum(np.searchsorted(known, name), len(known) - 1)
                         hit = known[at] == name
                         common.append((keys[which][record[hit]], slack[record[hit]], often[at[hit]], name[hit]))
+                        n += int(hit.sum())
                         record, sig = record[~hit], sig[~hit]
                     held.append((keys[which], slack, record + records, sig))
                     records += len(which)

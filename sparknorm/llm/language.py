@@ -29,7 +29,7 @@ SAMPLE = 3000  # labelled rows a language, about
 GRAMS = 100_000  # n-grams kept a language
 PROBES = 3
 LEAST_HITS = 0.25  # of a text's n-grams that its language has; random letters reach about 0.2, prose of the language 0.65 or more
-CHARS = 1 << 18  # of texts looked at together
+CHARS = 1 << 17  # of texts looked at together
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 

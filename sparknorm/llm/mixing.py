@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 MAX_REPEATS = 3
-ROUNDS = 4  # cuts of a pattern, each with shorter documents
+ROUNDS = 2  # cuts of a pattern, each with shorter documents
 MAX_PATTERNS = 200_000  # membership patterns that the flow accepts; more raise ValueError
 NULL = "\0null"  # the null source
 
