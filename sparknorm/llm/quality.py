@@ -171,7 +171,7 @@ def evidence(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(model.words) and len(p.words):
         at = np.minimum(np.searchsorted(model.words, p.words), len(model.words) - 1)
         hit = model.words[at] == p.words
-        toxic = np.bincount(np.repeat(np.arange(len(texts)), p.n_words)[hit], model.odds[at[hit]], len(texts))
+        toxic = np.bincount(np.repeat(np.arange(len(texts)), p.n_words)[hit], model.odds[at[hit]], len(texts)).astype(float)  # without hits it counts in integers
     return np.clip(fit_, -20, 20), np.clip(toxic, -20, 20)
 
 

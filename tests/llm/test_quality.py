@@ -72,3 +72,9 @@ def test_no_rows_and_no_labels(spark):
     assert row["evidence"] == 0 and row["quality"] == 0.5
     assert ql.score(docs.limit(0), model, Scratch(spark), F.col("host"), F.col("site")).count() == 0
     assert ql.fit(docs.limit(0), none.limit(0)).prior == 0.5
+
+
+def test_evidence_without_marks_is_a_number():
+    model = ql.Model(np.zeros(1 << ql.BITS), np.zeros(9), np.ones(9), np.zeros(10), 0.5, np.array([5], np.uint64), np.array([1.0]), 0.5)
+    for texts in (["none of them"], [""], ["a", "b"]):
+        assert [x.dtype for x in ql.evidence(model, texts)] == [np.float64, np.float64]
