@@ -79,5 +79,13 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.store(documents(spark, sf_dir), Scratch(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_language, op5_binary_tokens, op6_sentence_dedup, op7_embedding_dedup, op8_quality, op9_mixing, op10_matroska)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie, turns
+
+    scratch = Scratch(spark)
+    rebuilt = prefix_trie.rebuild(*turns.by_turn(spark.read.parquet(f"{sf_dir}/conversations.parquet"), scratch), scratch)
+    return prefix_trie.build(*rebuilt, scratch)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_language, op5_binary_tokens, op6_sentence_dedup, op7_embedding_dedup, op8_quality, op9_mixing, op10_matroska, op11_prefix_trie)}
 ORACLES: dict[str, str] = {}
