@@ -87,5 +87,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build(*rebuilt, scratch)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_language, op5_binary_tokens, op6_sentence_dedup, op7_embedding_dedup, op8_quality, op9_mixing, op10_matroska, op11_prefix_trie)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation_repair as repair
+
+    rows, scratch = spark.read.parquet(f"{sf_dir}/conversations.parquet"), Scratch(spark)
+    found = repair.summaries(*repair.repair(repair.damage(rows), scratch))
+    zero, digest = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    numbers = ["gaps", *repair.COUNTS, "cost"]
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id is not null").distinct().join(found, "conv_id", "left")
+    return every.select("conv_id", *[F.coalesce(c, zero).alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", digest).alias("repaired_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, Scratch(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_jaccard_join, op4_language, op5_binary_tokens, op6_sentence_dedup, op7_embedding_dedup, op8_quality, op9_mixing, op10_matroska, op11_prefix_trie, op12_conversation_repair, op13_neighbours)}
 ORACLES: dict[str, str] = {}
