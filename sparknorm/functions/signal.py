@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
 from .contract import BANDS, EPS
 
 
-def butterworth(low: float, high: float, sfreq: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Band-pass coefficients (b, a) by the bilinear transform."""
+def poles_of(low: float, high: float, sfreq: float, order: int = 4) -> tuple[np.ndarray, float]:
+    """Poles and gain of a Butterworth band-pass by the bilinear transform; its zeros are ``order`` times 1 and -1."""
     nyq = sfreq / 2
     warp = 2 * sfreq * np.tan(np.pi * np.array([low, min(high, 0.999 * nyq)]) / sfreq)
     width, center = warp[1] - warp[0], math.sqrt(warp[0] * warp[1])
@@ -18,54 +20,120 @@ def butterworth(low: float, high: float, sfreq: float, order: int = 4) -> tuple[
     half = proto * width / 2
     root = np.sqrt(half**2 - center**2)
     poles = np.concatenate([half + root, half - root])
-    gain = width**order
-    z = np.concatenate([np.ones(order), -np.ones(order)])
     fs2 = 2 * sfreq
-    gain = gain * np.real(fs2**order / np.prod(fs2 - poles))
-    return gain * np.real(np.poly(z)), np.real(np.poly((fs2 + poles) / (fs2 - poles)))
+    return (fs2 + poles) / (fs2 - poles), width**order * float(np.real(fs2**order / np.prod(fs2 - poles)))
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II transposed along the last axis, all channels at once."""
-    y = np.empty_like(x)
-    z = state.copy()
-    for t in range(x.shape[1]):
-        v = x[:, t]
-        y[:, t] = b[0] * v + z[:, 0]
-        z[:, :-1] = z[:, 1:]
-        z[:, -1] = 0
-        z += v[:, None] * b[1:] - y[:, t][:, None] * a[1:]
-    return y
+def butterworth(low: float, high: float, sfreq: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Band-pass coefficients (b, a)."""
+    poles, gain = poles_of(low, high, sfreq, order)
+    return gain * np.real(np.poly(np.concatenate([np.ones(order), -np.ones(order)]))), np.real(np.poly(poles))
+
+
+@dataclass(frozen=True)
+class System:
+    """A linear filter: state' = a state + b x, y = c state + d x."""
+
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    d: float
+
+    def settled(self) -> np.ndarray:
+        """The state of a constant input of 1."""
+        return np.linalg.solve(np.eye(len(self.b)) - self.a, self.b)
+
+    def run(self, x: np.ndarray, state: np.ndarray, block: int = 64) -> np.ndarray:
+        """Filters rows of x from a state for each. Inside a block output and next state are products with powers of ``a``; only the states between blocks follow one another."""
+        n, count = x.shape[1], len(self.b)
+        powers = [np.eye(count)]
+        for _ in range(block):
+            powers.append(powers[-1] @ self.a)
+        seen = np.array([self.c @ p for p in powers[:block]])  # of the state, at each place of a block
+        into = np.array([p @ self.b for p in powers[:block]])[::-1]  # of each place, in the next state
+        answer = np.concatenate([[self.d], (np.array([p @ self.b for p in powers[: block - 1]]) @ self.c)])
+        lag = np.subtract.outer(np.arange(block), np.arange(block))
+        within = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0)
+        parts = np.pad(x, ((0, 0), (0, -n % block))).reshape(len(x), -1, block)
+        add = parts @ into
+        states = np.empty_like(add)
+        step = powers[block].T
+        for k in range(add.shape[1]):
+            states[:, k] = state
+            state = state @ step + add[:, k]
+        return (parts @ within.T + states @ seen.T).reshape(len(x), -1)[:, :n]
+
+
+@lru_cache(maxsize=64)
+def band_system(low: float, high: float, sfreq: float, order: int = 4) -> System:
+    """The band-pass as a chain of second-order sections in one state; a chain keeps close poles apart, so powers of its matrix stay exact."""
+    poles, gain = poles_of(low, high, sfreq, order)
+    upper, real = poles[poles.imag > 1e-12], np.sort(poles[np.abs(poles.imag) <= 1e-12].real)
+    pairs = [(2 * p.real, abs(p) ** 2) for p in upper[np.argsort(np.abs(upper))]] + [(u + v, u * v) for u, v in zip(real[::2], real[1::2], strict=True)]
+    n = 2 * len(pairs)
+    rows, signal = np.zeros((n, n + 1)), np.eye(n + 1)[n]  # linear in the states and, last, the input
+    each = gain ** (1 / len(pairs))
+    for k, (total, product) in enumerate(pairs):
+        first, second = np.eye(n + 1)[2 * k], np.eye(n + 1)[2 * k + 1]
+        out = each * signal + first  # the section's zeros are 1 and -1
+        rows[2 * k] = second + total * out
+        rows[2 * k + 1] = -each * signal - product * out
+        signal = out
+    return System(rows[:, :n], rows[:, n], signal[:n], float(signal[n]))
+
+
+def settle(low: float, high: float, sfreq: float, order: int = 4, left: float = 1e-14) -> int:
+    """Samples after which less than a share of any start remains in the band-pass."""
+    system, n = band_system(low, high, sfreq, order), 64
+    step = np.linalg.matrix_power(system.a, n)
+    power = step
+    while np.abs(power).max() > left:
+        power, n = power @ step, n + 64
+    return n
+
+
+def both_ways(x: np.ndarray, low: float, high: float, sfreq: float, order: int = 4, first: bool = True, last: bool = True) -> np.ndarray:
+    """The band-pass forward and backward. Ends of the recording are extended oddly and start from steady state; at other ends the transient stays in the result."""
+    system = band_system(low, high, sfreq, order)
+    pad = min(3 * (2 * order + 1), x.shape[1] - 1)
+    head = [2 * x[:, :1] - x[:, pad:0:-1]] if first else []
+    tail = [2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]] if last else []
+    y = np.concatenate([*head, x, *tail], axis=1)
+    y = system.run(y, y[:, :1] * system.settled())[:, ::-1]
+    y = system.run(y, y[:, :1] * system.settled())[:, ::-1]
+    return y[:, pad * first : pad * first + x.shape[1]]
 
 
 def band_pass(x: np.ndarray, low: float, high: float, sfreq: float, order: int = 4) -> np.ndarray:
     """Zero phase: forward and backward over an odd extension, from steady state."""
-    b, a = butterworth(low, high, sfreq, order)
-    b, a = b / a[0], a / a[0]
-    pad = min(3 * max(len(a), len(b)), x.shape[1] - 1)
-    ext = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
-    n = len(a) - 1
-    companion = np.eye(n) - np.column_stack([-a[1:], np.eye(n)[:, :-1]])
-    zi = np.linalg.solve(companion, b[1:] - a[1:] * b[0])
-    y = _filter(b, a, ext, ext[:, :1] * zi)[:, ::-1]
-    y = _filter(b, a, y, y[:, :1] * zi)[:, ::-1]
-    return y[:, pad : pad + x.shape[1]]
-
-
-def fir(x: np.ndarray, low: float, high: float, sfreq: float, stop: bool = False) -> np.ndarray:
-    """Zero-phase windowed-sinc band-pass, or band-stop, with reflected ends."""
-    taps = int(3.3 * sfreq / max(min(low, 2.0), 0.5)) | 1
-    taps = min(taps, (x.shape[1] - 1) | 1)
+    return both_ways(x, low, high, sfreq, order)
+
+
+def taps_of(low: float, sfreq: float, n: int) -> int:
+    """Length of the FIR filter of a recording of n samples."""
+    return min(int(3.3 * sfreq / max(min(low, 2.0), 0.5)) | 1, (n - 1) | 1)
+
+
+def fir(x: np.ndarray, low: float, high: float, sfreq: float, stop: bool = False, taps: int | None = None, first: bool = True, last: bool = True) -> np.ndarray:
+    """Zero-phase windowed-sinc band-pass, or band-stop, with ends of the recording reflected; at other ends half the filter is lost."""
+    taps = taps or taps_of(low, sfreq, x.shape[1])
     t = np.arange(taps) - taps // 2
     kernel = (2 * high / sfreq * np.sinc(2 * high * t / sfreq) - 2 * low / sfreq * np.sinc(2 * low * t / sfreq)) * np.hamming(taps)
     if stop:
         kernel = -kernel
         kernel[taps // 2] += 1
-    pad = taps // 2
-    ext = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1) if pad else x
-    size = 1 << (ext.shape[1] + taps - 2).bit_length()
+    return convolved(x, kernel, [2 * x[:, :1] - x[:, taps // 2 : 0 : -1]] if first else [], [2 * x[:, -1:] - x[:, -2 : -(taps // 2) - 2 : -1]] if last else [])
+
+
+def convolved(x: np.ndarray, kernel: np.ndarray, head: list[np.ndarray], tail: list[np.ndarray]) -> np.ndarray:
+    """Where an odd kernel lies within head, x and tail."""
+    pad = len(kernel) // 2
+    if not pad:
+        return x * kernel[0]
+    ext = np.concatenate([*head, x, *tail], axis=1)
+    size = 1 << (ext.shape[1] + len(kernel) - 2).bit_length()
     y = np.fft.irfft(np.fft.rfft(ext, size) * np.fft.rfft(kernel, size), size)
-    return y[:, 2 * pad : 2 * pad + x.shape[1]]
+    return y[:, 2 * pad : ext.shape[1]]
 
 
 def preprocess(x: np.ndarray, sfreq: float, low: float = 1.0, high: float = 45.0, notch: float | None = 60.0) -> np.ndarray:
