@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,10 @@ from sparknorm.functions import columns as C
 from sparknorm.functions import registry
 from sparknorm.functions import signal as S
 from sparknorm.functions.contract import BLOCKS, FEATURES
-from sparknorm.operators import aggregate, cohort, extract, graph, ml, normative, stats, validate
+from sparknorm.operators import aggregate, cohort, extract, graph, ml, normative, recordings, stats, validate
 from sparknorm.plans import sql
 from sparknorm.plans.sql import AT
-from sparknorm.sources import readers, writers
+from sparknorm.sources import biosignal, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -545,6 +546,52 @@ def signal_features(spark, sf_dir):
     return extract.subject_features(runs)
 
 
+ORDERS = 1 << 16  # of a run
+
+
+def order_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines' sums of each order as four channels at 128 Hz, an order a sample: blocks of 4096 samples, and runs. An order without lines is 0."""
+    key, block = F.col("l_orderkey"), 4096
+    sums = [F.sum(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    orders = readers.table(spark, sf_dir, "lineitem").groupBy(key).agg(*sums).withColumns({"run": F.expr(f"l_orderkey div {ORDERS}").cast("string"), "i": key % ORDERS})
+    runs = orders.groupBy("run").agg((F.max("i") + 1).alias("n")).select(F.lit("orders").alias("subject"), "run", "n", F.lit(128.0).alias("sfreq"), F.lit(None).cast("string").alias("error"))
+    scale = {"l_quantity": 1e-7, "l_extendedprice": 1e-10, "l_discount": 1e-4, "l_tax": 1e-4}  # to volts of a usual size
+    held = orders.groupBy("run", F.expr(f"i div {block}").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") % block, F.struct(*scale)))).alias("m"))
+    held = held.join(runs, "run").withColumn("start", F.col("b") * block)
+    places = F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), F.col("n") - F.col("start")) - 1)
+
+    def channel(k: int, c: str) -> Column:
+        return F.struct(F.lit(k).alias("ch_idx"), F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i)[c], F.lit(0.0)) * scale[c]).alias("samples"))
+
+    channels = [channel(k, c) for k, c in enumerate(scale)]
+    return held.select("subject", "run", "sfreq", "start", F.inline(F.array(*channels))), runs
+
+
+@query()
+def long_recordings(spark, sf_dir):
+    """Features of runs of 65,536 samples from minute blocks. Filters and phases have no SQL; tests compare with whole runs in NumPy."""
+    blocks, runs = order_blocks(spark, sf_dir)
+    return recordings.run_features(runs, 60.0, blocks=blocks)
+
+
+_EDF = "floor((least(greatest(CAST(v AS DOUBLE), -1), 1) + 1) / 2 * 65535 + 0.5) * 2 / 65535 - 1"
+
+
+@query(f"WITH s AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings), d AS (SELECT vec_id, {_EDF} AS d FROM s) SELECT vec_id, count(*) AS n, {sql.r('avg(d)')} AS mean, {sql.r('min(d)')} AS low, {sql.r('max(d)')} AS high FROM d GROUP BY vec_id")
+def edf_round_trip(spark, sf_dir):
+    """Each group's run as an EDF file of 16-bit samples in -1 .. 1, read again."""
+
+    def encode(key, pdf):
+        x = extract.matrix(pdf)
+        names = pdf.sort_values("ch_idx")["channel"].tolist()
+        return pd.DataFrame({"path": ["/".join(key)], "content": [biosignal.edf_bytes(x, 128.0, names, -1, 1, per_record=x.shape[1])]})
+
+    files = signals(spark, sf_dir).groupBy("subject", "run").applyInPandas(encode, "path string, content binary")
+    v = biosignal.from_content(files)
+    mean = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples")
+    return v.select(F.col("channel").cast("long").alias("vec_id"), "n", r(mean).alias("mean"), r(F.array_min("samples")).alias("low"), r(F.array_max("samples")).alias("high"))
+
+
 @query("WITH s AS (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS t FROM embeddings) SELECT vec_id, CAST(t AS INTEGER) AS t, " + sql.r("v - avg(CAST(v AS DOUBLE)) OVER (PARTITION BY label, t)", 5) + " AS v FROM s")
 def average_reference(spark, sf_dir):
     e = readers.table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("t", "v"))

@@ -123,3 +123,18 @@ def test_runs_that_cannot_be_read(spark):
     assert got.pop("s0") == ("ok", None)
     assert len(got) == 7 and all(s == "error" and e for s, e in got.values())
     assert recordings.run_features(spark.createDataFrame([], SIGNALS)).count() == 0
+
+
+def test_the_query(spark):
+    from sparknorm import queries
+
+    sf = "/root/testdata/sf0.001"
+    blocks, runs = queries.order_blocks(spark, sf)
+    found = {}
+    for r in blocks.orderBy("run", "ch_idx", "start").collect():
+        found.setdefault(r["run"], {}).setdefault(r["ch_idx"], []).extend(r["samples"])
+    got = {r["run"]: r for r in queries.long_recordings(spark, sf).collect()}
+    assert set(got) == set(found) == {r["run"] for r in runs.collect()}
+    for run, channels in found.items():
+        x = np.array([channels[c] for c in range(4)])
+        same(got[run], whole(x, window_s=10.0, step_s=5.0), 1e-9)
