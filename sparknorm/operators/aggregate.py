@@ -34,11 +34,12 @@ def band_pivot(rows: DataFrame, key: str, band: str, bands: Sequence, metrics: S
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = (), q: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """n, mean, sample deviation, least, quantiles (linear interpolation), greatest, and the quartiles' distance if both are asked for.
+    """n, mean, sample deviation, least, quantiles (linear interpolation), greatest, and the quartiles' distance if both are asked for. Null and NaN are missing.
 
     Quantiles come from counts of distinct values in ranges, so no group is held by one task.
     """
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    v = F.when(stats.present(value), F.col(value))
+    out = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
     found = stats.quantiles(df, value, q, by).withColumnsRenamed({k: f"_q{i}" for i, k in enumerate(by)})
     match = F.lit(True)
     for i, k in enumerate(by):

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sparknorm.functions.contract import EPS
 
 from . import stats
+from .joins import salted_join
 
 
 def both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,7 +91,8 @@ def densest(edges: DataFrame, keys: Sequence[str], density: float) -> DataFrame:
         raise ValueError("density lies in (0, 1]")
     w = Window.partitionBy(*keys)
     limit = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * density))
-    return edges.withColumn("_k", limit).withColumn("_r", F.rank().over(w.orderBy(F.desc("w")))).where("_r <= _k").drop("_k", "_r")
+    most, rank = stats._free(edges, "_most"), stats._free(edges, "_rank")
+    return edges.withColumn(most, limit).withColumn(rank, F.rank().over(w.orderBy(F.desc("w")))).where(F.col(rank) <= F.col(most)).drop(most, rank)
 
 
 def changes(edges: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -109,21 +111,29 @@ def average_reference(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def robust_outliers(channels: DataFrame, keys: Sequence[str], value: str, limit: float = 5.0) -> DataFrame:
-    """Channels with their robust z of a spread; an outlier lies above the limit.
+    """Channels with their robust z of a spread; an outlier lies above the limit. Where the spread is missing, so are both.
 
-    Medians come from counts of distinct values and are joined back, so a large group is sorted in no single task.
+    The spreads are counted once; the distances from the medians are those of
+    the distinct values, so the second medians need no reading of the channels.
     """
-
-    def with_median(df: DataFrame, column: str, name: str) -> DataFrame:
-        found = stats.quantiles(df, column, [0.5], keys).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("q")[0].alias(name))
-        match = F.lit(True)
-        for i, k in enumerate(keys):
-            match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return df.join(found, match, "left").drop(*[f"_k{i}" for i in range(len(keys))])
-
-    out = with_median(channels, value, "_m").withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    out = with_median(out, "_d", "_mad").withColumn("robust_z", 0.6745 * (F.col(value) - F.col("_m")) / (F.col("_mad") + EPS))
-    return out.withColumn("bad", F.col("robust_z") > limit).drop("_m", "_d", "_mad")
+    own = [f"_k{i}" for i in range(len(keys))]
+    named = channels.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("v"))
+    scratch = stats.scratch_of(channels.sparkSession)
+    same = lambda: [F.col(o).eqNullSafe(F.col(f"g{o}")) for o in own]
+    grouped = lambda df, name: df.select(*[F.col(o).alias(f"g{o}") for o in own], F.col("q")[0].alias(name), F.col("total").alias("_all"))
+    counts = stats.value_counts(named, "v", keys=own)
+    middle = scratch.save(grouped(stats.of_counts(counts, [0.5], own), "_m"), "medians")
+    apart = counts.join(middle, same() or F.lit(True)).select(*own, F.abs(F.col("value") - F.col("_m")).alias("d"), "n")
+    mad = grouped(stats.of_counts(stats.value_counts(apart, "d", keys=own, weight=F.col("n")), [0.5], own), "_mad")
+    both = middle.join(mad.drop("_all").withColumnsRenamed({f"g{o}": f"h{o}" for o in own}), [F.col(f"g{o}").eqNullSafe(F.col(f"h{o}")) for o in own] or F.lit(True)).drop(*[f"h{o}" for o in own])
+    # null is a group of its own: a struct is never null and equals another of null fields
+    pair = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("key"))
+    seats = own or ["_k"]
+    group = lambda cs: {o: pair(c) for o, c in zip(own, cs, strict=True)} or {"_k": F.lit(0)}
+    table = scratch.save(both.withColumns(group([f"g{o}" for o in own])).select(*seats, "_m", "_mad", "_all"), "robust")
+    out = salted_join(channels.withColumns(group(keys)), table, seats, "_all")
+    z = 0.6745 * (F.col(value) - F.col("_m")) / (F.col("_mad") + EPS)
+    return out.select(*channels.columns, z.alias("robust_z"), (z > limit).alias("bad"))
 
 
 def window_means(events: DataFrame, time: str, value: str, length: str, step: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -184,7 +184,8 @@ def partial_sums(blocks: DataFrame, runs: DataFrame, seconds: float, notch: floa
         out.insert(1, "run", key[1])
         return out
 
-    return rows.groupBy(*KEYS, "block").applyInPandas(work, f"subject string, run string, {PARTS}")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a block is small and its work is not: tasks are not merged by size
+    return rows.repartition(tasks, *KEYS, "block").groupBy(*KEYS, "block").applyInPandas(work, f"subject string, run string, {PARTS}")
 
 
 def summed(parts: DataFrame, runs: DataFrame) -> DataFrame:

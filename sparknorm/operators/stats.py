@@ -1,26 +1,25 @@
 """Ranks, percentiles and two-sample statistics without a global sort.
 
 Values are counted once each, so ties and repeated values cost nothing; the
-distinct values are dealt to ranges by approximate quantiles, counted up inside
-each range, and the ranges' totals (a row for each range) are added.
+distinct values are dealt to ranges, counted up inside each range, and the
+ranges' totals are added.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparknorm.functions.columns import finite
 from sparknorm.functions.contract import EPS
 
-from .joins import spread_join
-from .normative import moments
-
-RANGES = 64
+from .joins import salted_join
+from .scratch import scratch_of
 
 
 def _free(df: DataFrame, name: str) -> str:
@@ -30,71 +29,94 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
-def value_counts(df: DataFrame, value: str, flags: dict[str, Column] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Each distinct value, of each group where there are keys, with its count and the counts before it; the same for rows with each flag.
+def present(value: str) -> Column:
+    """Neither null nor NaN, which both count as missing here."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def value_counts(df: DataFrame, value: str, flags: dict[str, Column] | None = None, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """Each distinct value, of each group where there are keys, with its count, the counts before it and of all; the same for rows with each flag.
+
+    Columns: the keys, value, n, below, total, and n_, below_ and total_ of each
+    flag. Nulls and NaN are left out; with a weight, a row counts so often.
 
-    Columns: the keys, value, n, below, and n_<flag>, below_<flag>. Null values are left out.
+    The rows are read once. Their counts are saved, dealt by ranges of group and
+    value, and counted up inside a range; a range's share of the counts is even,
+    so a large group has many and small ones share one. Only groups that cross
+    a border of ranges, two a range at most, need the counts of earlier ranges.
     """
-    flags = flags or {}
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    flags, one = flags or {}, F.lit(1).cast("long") if weight is None else weight
+    scratch = scratch_of(df.sparkSession)
     own = [f"_k{i}" for i in range(len(keys))]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*named, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in flags.items()])
-    cuts = sorted(set(counted.approxQuantile("value", [i / RANGES for i in range(1, RANGES)], 0.002)))
-    span = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda x: x <= F.col("value")))
-    counted = counted.withColumn("span", span)
     names = ["n", *[f"n_{k}" for k in flags]]
-    inside = Window.partitionBy(*own, "span").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*own).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
-    totals = counted.groupBy(*own, "span").agg(*[F.sum(c).alias(f"t_{c}") for c in names])
-    totals = totals.select(*[F.col(k).alias(f"t{k}") for k in own], F.col("span").alias("t_span"), *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"t_{c}") for c in names])
-    below = {c: c.replace("n", "below", 1) for c in names}
-    match = F.col("span") == F.col("t_span")
-    for k in own:
-        match = match & F.col(k).eqNullSafe(F.col(f"t{k}"))
-    joined = counted.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"i_{c}") for c in names]).join(totals, match)
-    return joined.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "value", *names, *[(F.col(f"i_{c}") + F.col(f"t_{c}")).alias(b) for c, b in below.items()])
+    sums = [F.sum(one).alias("n"), *[F.sum(F.when(c, one).otherwise(0)).alias(f"n_{k}") for k, c in flags.items()]]
+    named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
+    counted = scratch.save(df.where(present(value)).groupBy(*named, F.col(value).cast("double").alias("value")).agg(*sums), "counts")
+    dealt = counted.repartitionByRange(*own, "value").withColumn("span", F.spark_partition_id())
+    part = Window.partitionBy(*own, "span")
+    before = part.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"i_{c}") for c in names], *[F.sum(c).over(part).alias(f"t_{c}") for c in names])
+    inside = scratch.save(inside, "ranges")
+    spans = inside.groupBy(*own, "span").agg(*[F.first(f"t_{c}").alias(c) for c in names])
+    lists = spans.groupBy(*own).agg(F.collect_list(F.struct("span", *names)).alias("spans")).where(F.size("spans") > 1)
+    zero = F.lit(0).cast("long")
+
+    def up_to(c: str, limit: Column | None) -> Column:
+        return F.aggregate("spans", zero, lambda s, x: s + (x[c] if limit is None else F.when(x["span"] < limit, x[c]).otherwise(zero)))
+
+    borders = lists.withColumn("at", F.explode("spans.span"))
+    borders = borders.select(*[F.col(o).alias(f"b{o}") for o in own], "at", *[up_to(c, F.col("at")).alias(f"b_{c}") for c in names], *[up_to(c, None).alias(f"a_{c}") for c in names])
+    match = F.col("span") == F.col("at")
+    for o in own:
+        match = match & F.col(o).eqNullSafe(F.col(f"b{o}"))
+    joined = inside.join(F.broadcast(borders), match, "left")
+    below = [(F.col(f"i_{c}") + F.coalesce(f"b_{c}", zero)).alias(c.replace("n", "below", 1)) for c in names]
+    total = [F.coalesce(f"a_{c}", f"t_{c}").alias(c.replace("n", "total", 1)) for c in names]
+    return joined.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "value", *names, *below, *total)
+
+
+def of_counts(counts: DataFrame, q: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Quantiles by group from ``value_counts``: the keys, column q and the group's total."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    counts = counts.withColumnsRenamed(dict(zip(keys, own, strict=True)))
+    at = [(F.col("total") - 1) * float(x) for x in q]
+    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+    ends = [F.max(F.when(holds(g(p)), F.col("value"))).alias(f"{n}{i}") for i, p in enumerate(at) for n, g in (("low", F.floor), ("high", F.ceil))]
+    found = counts.groupBy(*own).agg(F.max("total").alias("total"), *ends).where("total is not null")
+    part = lambda i, p: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (p - F.floor(p))
+    return found.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.array(*[part(i, p) for i, p in enumerate(at)]).alias("q"), "total")
 
 
 def quantiles(df: DataFrame, value: str, q: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """By group: the keys, and column q, the exact quantiles by linear interpolation, from counts of distinct values; no group is gathered."""
-    own = [f"_k{i}" for i in range(len(keys))]
-    counts = value_counts(df, value, keys=keys).withColumnsRenamed(dict(zip(keys, own, strict=True)))
-    sizes = counts.groupBy(*[F.col(k).alias(f"s{k}") for k in own]).agg(F.sum("n").alias("_all"))
-    match = F.lit(True)
-    for k in own:
-        match = match & F.col(k).eqNullSafe(F.col(f"s{k}"))
-    sized = counts.join(sizes, match) if own else counts.crossJoin(F.broadcast(sizes))  # one row
-    at = [(F.col("_all") - 1) * float(x) for x in q]
-    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-    ends = [f(F.when(holds(g(p)), F.col("value"))).alias(f"{n}{i}") for i, p in enumerate(at) for n, f, g in (("low", F.max, F.floor), ("high", F.max, F.ceil))]
-    found = sized.groupBy(*own).agg(F.max("_all").alias("_all"), *ends).where("_all is not null")
-    part = lambda i, p: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (p - F.floor(p))
-    return found.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.array(*[part(i, p) for i, p in enumerate(at)]).alias("q"))
+    return of_counts(value_counts(df, value, keys=keys), q, keys).drop("total")
 
 
-def average_rank(df: DataFrame, value: str, descending: bool = False, name: str = "rank") -> DataFrame:
-    """Rows with their rank, equal values sharing the mean of theirs; null where the value is."""
-    counts = value_counts(df, value)
-    if descending:
-        total = df.where(F.col(value).isNotNull()).count()
-        counts = counts.withColumn("below", F.lit(total) - F.col("below") - F.col("n"))
-    key = _free(df, "_v")
-    ranks = counts.select(F.col("value").alias(key), (F.col("below") + (F.col("n") + 1) / 2).alias(name), F.col("n").alias("_n"))
-    return spread_join(df.withColumn(key, F.col(value).cast("double")), ranks, [key], "_n", "left").select(*df.columns, name)
+def _mean_rank(descending: bool = False) -> Column:
+    first = F.col("total") - F.col("below") - F.col("n") if descending else F.col("below")
+    return first + (F.col("n") + 1) / 2
 
 
-def rank_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The average ranks of several columns, one row a row, all found in one pass over the long form. Other columns are left out."""
-    rows = df.select(F.monotonically_increasing_id().alias("_id"), *[F.col(c).cast("double").alias(c) for c in names]).persist()
-    long = rows.select("_id", F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(names)])))
-    counts = value_counts(long, "v", keys=["f"]).select("f", F.col("value").alias("v"), (F.col("below") + (F.col("n") + 1) / 2).alias("r"), F.col("n").alias("_n"))
-    ranked = spread_join(long, counts, ["f", "v"], "_n")
-    return ranked.groupBy("_id").agg(*[F.max(F.when(F.col("f") == i, F.col("r"))).alias(c) for i, c in enumerate(names)]).drop("_id")
+def average_rank(df: DataFrame, value: str, descending: bool = False, name: str = "rank") -> DataFrame:
+    """Rows with their rank, equal values sharing the mean of theirs; null where the value is missing. A column of that name is replaced."""
+    key, rank, weight = _free(df, "_v"), _free(df, "_rank"), _free(df, "_weight")
+    ranks = value_counts(df, value).select(F.col("value").alias(key), _mean_rank(descending).alias(rank), F.col("n").alias(weight))
+    keyed = df.withColumn(key, F.when(present(value), F.col(value).cast("double")))
+    return salted_join(keyed, scratch_of(df.sparkSession).save(ranks, "ranks"), [key], weight).select(*[c for c in df.columns if c != name], F.col(rank).alias(name))
 
 
 def rank_shift(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Rows with both columns' descending ranks and the distance between them."""
-    out = average_rank(average_rank(df, first, True, "rank_first"), second, True, "rank_second")
+    """Rows with both columns' descending ranks and the distance between them. Both columns are counted in one pass."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate((first, second))])))
+    ranks = value_counts(long, "v", keys=["f"]).select("f", "value", _mean_rank(True).alias("r"), "n")
+    ranks = scratch_of(df.sparkSession).save(ranks, "ranks")
+    out, columns = df, df.columns
+    for i, (c, name) in enumerate(((first, "rank_first"), (second, "rank_second"))):
+        key, weight = _free(df, f"_v{i}"), _free(df, f"_weight{i}")
+        own = ranks.where(F.col("f") == i).select(F.col("value").alias(key), F.col("r").alias(name), F.col("n").alias(weight))
+        out = salted_join(out.withColumn(key, F.when(present(c), F.col(c).cast("double"))), own, [key], weight)
+        columns = [*columns, name]
+        out = out.select(*columns)
     return out.withColumn("shift", F.abs(F.col("rank_first") - F.col("rank_second")))
 
 
@@ -107,18 +129,16 @@ def top_share(df: DataFrame, value: str, q: float = 0.75) -> DataFrame:
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Each distinct value and the share of rows up to it."""
-    total = df.where(F.col(value).isNotNull()).count()
-    return value_counts(df, value).select("value", ((F.col("below") + F.col("n")) / F.lit(max(total, 1))).alias("share"))
+    return value_counts(df, value).select("value", ((F.col("below") + F.col("n")) / F.col("total")).alias("share"))
 
 
 def percentile_of(df: DataFrame, value: str, reference: Column) -> DataFrame:
-    """Rows with their percentile among reference rows: the mean-rank form and the strict one."""
-    counts = value_counts(df, value, {"ref": reference})
-    n = df.where(reference & F.col(value).isNotNull()).count()
-    left, same = F.col("below_ref"), F.col("n_ref")
-    key = _free(df, "_v")
-    scores = counts.select(F.col("value").alias(key), ((2 * left + same + (same > 0).cast("int")) * 50.0 / max(n, 1)).alias("percentile_rank"), (100.0 * left / max(n, 1)).alias("percentile_strict"), F.col("n").alias("_n"))
-    return spread_join(df.withColumn(key, F.col(value).cast("double")), scores, [key], "_n", "left").select(*df.columns, "percentile_rank", "percentile_strict")
+    """Rows with their percentile among reference rows: the mean-rank form and the strict one; 0 without reference rows."""
+    left, same, n = F.col("below_ref"), F.col("n_ref"), F.greatest("total_ref", F.lit(1))
+    key, weight = _free(df, "_v"), _free(df, "_weight")
+    scores = value_counts(df, value, {"ref": reference}).select(F.col("value").alias(key), ((2 * left + same + (same > 0).cast("int")) * 50.0 / n).alias("percentile_rank"), (100.0 * left / n).alias("percentile_strict"), F.col("n").alias(weight))
+    keyed = df.withColumn(key, F.when(present(value), F.col(value).cast("double")))
+    return salted_join(keyed, scratch_of(df.sparkSession).save(scores, "scores"), [key], weight).select(*df.columns, "percentile_rank", "percentile_strict")
 
 
 def rank_sum(df: DataFrame, value: str, positive: Column) -> DataFrame:
@@ -197,34 +217,115 @@ def chi_square_quantile(p: float, dof: int) -> float:
     return (low + high) / 2
 
 
-def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson correlations of all pairs of columns over complete rows: a, b, r with a before b in order, their n, t, and two-sided p.
+SUMS = ("n", "sx", "sxx", "sxy")
+
 
-    From one pass of second moments, so the pairs cost no aggregates of their own. r is null where a column does not vary.
+def _pair_sums(rows: DataFrame, width: int, matrices: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
+    """Sums over rows for all pairs of columns, each task's added up before they are shuffled; columns squared come to the driver.
+
+    ``matrices`` gives of a batch the pairs' n, and x, x * x and x * y where both are present.
     """
-    zero = _free(df, "_zero")
-    m = moments(df.select(*names).withColumn(zero, F.lit(0.0)), list(names), zero)
-    n = m.n
-    mean = m.total[0, 2:] / max(n, 1)
-    cov = m.total[2:, 2:] - n * np.outer(mean, mean)
-    dev = np.sqrt(np.maximum(np.diag(cov), 0))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, width, width))
+        for batch in batches:
+            if batch.num_rows:
+                sums += np.stack(matrices(batch))
+        i, j = np.indices((width, width)).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(m.ravel()) for m in sums)], ["i", "j", *SUMS])
+
+    parts = rows.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in SUMS))
+    out = {c: np.zeros((width, width)) for c in SUMS}
+    for r in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS]).collect():
+        for c in SUMS:
+            out[c][r["i"], r["j"]] = r[c]
+    return out
+
+
+def _correlated(df: DataFrame, names: Sequence[str], s: dict[str, np.ndarray]) -> DataFrame:
+    """The table of pairs from sums about any centre: s[i, j] is that of column i over rows where j is present as well."""
+    n = np.maximum(s["n"], 1)
+    cov = s["sxy"] - s["sx"] * s["sx"].T / n
+    var = np.maximum(s["sxx"] - s["sx"] ** 2 / n, 0)
+    var[var <= 1e-14 * s["sxx"]] = 0  # what rounding leaves of a column that does not vary
     out = []
     for i, a in enumerate(names):
         for j in range(i + 1, len(names)):
-            r = float(np.clip(cov[i, j] / (dev[i] * dev[j]), -1, 1)) if dev[i] > 0 and dev[j] > 0 else None
-            t = r * math.sqrt((n - 2) / (1 - r * r)) if r is not None and n > 2 and abs(r) < 1 else None
-            out.append((a, names[j], r, int(n), t, t_tail(t, n - 2) if t is not None else None))
+            d = math.sqrt(var[i, j] * var[j, i])
+            r = float(np.clip(cov[i, j] / d, -1, 1)) if d > 0 else None
+            count = int(s["n"][i, j])
+            t = r * math.sqrt((count - 2) / (1 - r * r)) if r is not None and count > 2 and abs(r) < 1 else None
+            out.append((a, names[j], r, count, t, t_tail(t, count - 2) if t is not None else None))
     return df.sparkSession.createDataFrame(out, "a string, b string, r double, n long, t double, p double")
 
 
+def _missing(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns as doubles c0, c1 and so on, NaN where missing."""
+    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(names)])
+
+
+def correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pearson correlations of all pairs of columns, each over the rows that have both: a, b, r with a before b in order, their n, t, and two-sided p.
+
+    One pass for a centre, one for products of values, squares and masks, so the
+    pairs cost no aggregates of their own. Null and NaN are missing. r is null
+    where a column does not vary over a pair's rows.
+    """
+    rows = _missing(df, names)
+    centre = np.array([v or 0.0 for v in rows.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in rows.columns]).first()])
+
+    def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+        m = ~np.isnan(x)
+        x, m = np.where(m, x, 0.0), m.astype(float)
+        return m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+
+    return _correlated(df, names, _pair_sums(rows, len(names), matrices))
+
+
 def strong_pairs(df: DataFrame, names: Sequence[str], least: float = 0.85) -> DataFrame:
     """Pairs of columns whose absolute correlation exceeds a limit."""
     return correlations(df, names).where(F.abs("r") > least)
 
 
 def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rank correlations of all pairs of columns without nulls."""
-    return correlations(rank_columns(df, names), names)
+    """Rank correlations of all pairs of columns: the Pearson table of ranks within each pair's rows.
+
+    A value's rank among the rows where another column is present differs from
+    that among all only where that column misses some, so values are counted
+    once, with a count beside it for each such column. A row then carries its
+    values' ranks, one more for each of those columns.
+    """
+    rows = _missing(df, names)
+    missing = rows.agg(*[F.count_if(F.isnan(c)) for c in rows.columns]).first()
+    gaps = [i for i, n in enumerate(missing) if n]
+    seen = {f"{i}": ~F.isnan(F.col(f"c{i}")) for i in gaps}
+    keyed = rows.withColumn("_id", F.monotonically_increasing_id())
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"c{i}").alias("v")) for i in range(len(names))])
+    long = keyed.select("_id", *[c.alias(f"p{i}") for i, c in seen.items()], F.inline(cells)).where(~F.isnan("v"))
+    counts = value_counts(long, "v", {i: F.col(f"p{i}") for i in seen}, ["f"])
+    ranks = [F.col("below") + (F.col("n") + 1) / 2, *[F.col(f"below_{i}") + (F.col(f"n_{i}") + 1) / 2 for i in seen]]
+    table = scratch_of(df.sparkSession).save(counts.select("f", F.col("value").alias("v"), *[r.alias(f"r{k}") for k, r in enumerate(ranks)], F.col("n").alias("_n")), "ranks")
+    ranked = salted_join(long.select("_id", "f", "v"), table, ["f", "v"], "_n", "inner")
+    cells = [F.max(F.when(F.col("f") == i, F.col(f"r{k}"))).alias(f"r{i}_{k}") for i in range(len(names)) for k in range(len(ranks))]
+    wide = ranked.groupBy("_id").agg(*cells).drop("_id")
+    depth, width = 1 + len(gaps), len(names)
+    use = np.array([1 + gaps.index(j) if j in gaps else 0 for j in range(width)])  # which rank counts beside column j
+    middle = (df.count() + 1) / 2
+
+    def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        r = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).reshape(-1, width, depth)
+        sums = [np.zeros((width, width)) for _ in SUMS]
+        for k in range(0, len(r), 256):
+            x = r[k : k + 256][:, :, use] - middle
+            x = np.where(np.isnan(x) | np.isnan(x).transpose(0, 2, 1), np.nan, x)
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            for total, part in zip(sums, (m, x, x * x, x * x.transpose(0, 2, 1)), strict=True):
+                total += part.sum(axis=0)
+        return tuple(sums)
+
+    return _correlated(df, names, _pair_sums(wide, width, matrices))
 
 
 def collinearity(df: DataFrame, names: Sequence[str]) -> dict[str, float]:

@@ -19,6 +19,7 @@ from sparknorm.functions import registry
 from sparknorm.functions import signal as S
 from sparknorm.functions.contract import BLOCKS, FEATURES
 from sparknorm.operators import aggregate, cohort, extract, graph, ml, normative, recordings, stats, validate
+from sparknorm.operators.scratch import scratch_of
 from sparknorm.plans import sql
 from sparknorm.plans.sql import AT
 from sparknorm.sources import biosignal, readers, writers
@@ -47,6 +48,11 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("participant_id"), F.col("label").alias("group"), at(54).alias("age"), *[at(i).alias(f) for i, f in enumerate(FEATURES)])
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """A table for several passes."""
+    return scratch_of(df.sparkSession).save(df, "query")
+
+
 def reference() -> Column:
     return F.col("group") == 0
 
@@ -171,26 +177,26 @@ def contributions(spark, sf_dir):
 
 @query(f"{WITH}, ref AS (SELECT composite AS c FROM scored WHERE grp = 0) SELECT participant_id, {sql.r('100.0 * (SELECT count(*) FROM ref WHERE c < composite) / (SELECT count(*) FROM ref)')} AS percentile_strict, {sql.r('50.0 * ((SELECT count(*) FROM ref WHERE c < composite) + (SELECT count(*) FROM ref WHERE c <= composite) + (CASE WHEN (SELECT count(*) FROM ref WHERE c = composite) > 0 THEN 1 ELSE 0 END)) / (SELECT count(*) FROM ref)')} AS percentile_rank FROM scored")
 def reference_percentiles(spark, sf_dir):
-    rows = _scored(spark, sf_dir).select("participant_id", "group", "composite").persist()  # several passes over the scores
+    rows = saved(_scored(spark, sf_dir).select("participant_id", "group", "composite"))
     return stats.percentile_of(rows, "composite", reference()).select("participant_id", r("percentile_strict").alias("percentile_strict"), r("percentile_rank").alias("percentile_rank"))
 
 
 @query(f"{WITH}, cut AS (SELECT quantile_cont(composite, 0.95) AS p95 FROM scored WHERE grp = 0) SELECT grp AS \"group\", count(*) AS n, count(*) FILTER (composite > p95) AS n_above, {sql.r('avg(CASE WHEN composite > p95 THEN 1.0 ELSE 0.0 END)')} AS share_above FROM scored, cut GROUP BY grp")
 def exceedance(spark, sf_dir):
-    rows = _scored(spark, sf_dir).select("group", "composite").persist()
+    rows = saved(_scored(spark, sf_dir).select("group", "composite"))
     p95 = stats.quantiles(rows.where(reference()), "composite", [0.95]).first()["q"][0]
     return aggregate.above(rows, "composite", F.lit(p95), ["group"]).withColumn("share_above", r("share_above"))
 
 
 @query(f"{WITH}, q AS (SELECT quantile_cont(composite, 0.75) AS l FROM scored) SELECT participant_id, {sql.r('composite')} AS composite, {sql.r('l')} AS \"limit\" FROM scored, q WHERE composite >= l")
 def top_quartile(spark, sf_dir):
-    rows = _scored(spark, sf_dir).select("participant_id", "composite").persist()
+    rows = saved(_scored(spark, sf_dir).select("participant_id", "composite"))
     return stats.top_share(rows, "composite").select("participant_id", r("composite").alias("composite"), r("limit").alias("limit"))
 
 
 @query(f"{WITH}, k AS (SELECT participant_id, rank() OVER (ORDER BY D_SE DESC) AS a, rank() OVER (ORDER BY composite DESC) AS b FROM scored) SELECT participant_id, CAST(a AS DOUBLE) AS rank_first, CAST(b AS DOUBLE) AS rank_second, CAST(abs(a - b) AS DOUBLE) AS shift FROM k")
 def rank_shift(spark, sf_dir):
-    rows = _scored(spark, sf_dir).select("participant_id", "D_SE", "composite").persist()
+    rows = saved(_scored(spark, sf_dir).select("participant_id", "D_SE", "composite"))
     return stats.rank_shift(rows, "D_SE", "composite").select("participant_id", "rank_first", "rank_second", "shift")
 
 
@@ -256,14 +262,14 @@ def quadratic_age(spark, sf_dir):
 
 @query(f"{WITH}, f AS (SELECT regr_intercept(composite, age) AS a, regr_slope(composite, age) AS b FROM scored WHERE grp = 0), j AS (SELECT composite - (a + b * age) AS v, grp FROM scored, f WHERE grp IN (0, 1)), k AS (SELECT grp, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM j), s AS (SELECT count(*) FILTER (grp = 1) AS n_pos, count(*) FILTER (grp = 0) AS n_neg, sum(k) FILTER (grp = 1) AS rs FROM k) SELECT n_pos, n_neg, {sql.r('(rs - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)')} AS auc FROM s")
 def age_adjusted_auc(spark, sf_dir):
-    rows = _scored(spark, sf_dir).where("group in (0, 1)").select("group", "age", "composite").persist()
+    rows = saved(_scored(spark, sf_dir).where("group in (0, 1)").select("group", "age", "composite"))
     out = stats.rank_sum(stats.adjusted(rows, "composite", "age", reference()), "adjusted", F.col("group") == 1)
     return out.select("n_pos", "n_neg", r("auc").alias("auc"))
 
 
 @query(f"{WITH}, j AS (SELECT composite AS v, grp FROM scored WHERE grp IN (0, 1)), m AS (SELECT quantile_cont(v, 0.5) AS m FROM j), c AS (SELECT max(m) AS m, count(*) FILTER (v > m AND grp = 1) AS tp, count(*) FILTER (v > m AND grp = 0) AS fp, count(*) FILTER (v <= m AND grp = 1) AS fn, count(*) FILTER (v <= m AND grp = 0) AS tn FROM j, m) SELECT {sql.r('m')} AS median, tp, fp, fn, tn, {sql.r('(tp / (tp + fn) + tn / (tn + fp)) / 2')} AS balanced_accuracy FROM c")
 def median_cut(spark, sf_dir):
-    rows = _scored(spark, sf_dir).where("group in (0, 1)").select("group", "composite").persist()
+    rows = saved(_scored(spark, sf_dir).where("group in (0, 1)").select("group", "composite"))
     return stats.median_cut(rows, "composite", F.col("group") == 1).withColumns({c: r(c) for c in ("median", "balanced_accuracy")})
 
 
@@ -443,6 +449,34 @@ def spearman(spark, sf_dir):
     return stats.spearman(subjects(spark, sf_dir), FEATURES).select("a", "b", r("r").alias("r"))
 
 
+_GAPS = list(FEATURES)[:8]
+
+
+def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight features, rounded so that they tie, of which all but the first two are missing in every 5th, 6th and so on subject."""
+    gap = lambda i, f: F.when((F.col("participant_id") % (i + 3) != 0) | F.lit(i < 2), F.round(f, 2)).alias(f)
+    return subjects(spark, sf_dir).select("participant_id", *[gap(i, f) for i, f in enumerate(_GAPS)])
+
+
+def _gaps_sql() -> str:
+    columns = ", ".join((f"round(x{AT[f]}, 2)" if i < 2 else f"CASE WHEN participant_id % {i + 3} <> 0 THEN round(x{AT[f]}, 2) END") + f" AS v{i}" for i, f in enumerate(_GAPS))
+    out = []
+    for i, a in enumerate(_GAPS):
+        for j in range(i + 1, len(_GAPS)):
+            rank = lambda k: f"rank() OVER (ORDER BY v{k}) + (count(*) OVER (PARTITION BY v{k}) - 1) / 2.0"
+            pair = f"SELECT v{i} AS a, v{j} AS b, {rank(i)} AS ra, {rank(j)} AS rb FROM g WHERE v{i} IS NOT NULL AND v{j} IS NOT NULL"
+            out.append(f"SELECT '{a}' AS a, '{_GAPS[j]}' AS b, count(*) AS n, {sql.r('corr(a, b)')} AS pearson, {sql.r('corr(ra, rb)')} AS spearman FROM ({pair})")
+    return f"WITH {sql.SUBJECTS}, g AS (SELECT {columns} FROM subjects) " + " UNION ALL ".join(out)
+
+
+@query(_gaps_sql())
+def correlations_with_gaps(spark, sf_dir):
+    """Each pair over the subjects that have both."""
+    rows = with_gaps(spark, sf_dir)
+    ranked = stats.spearman(rows, _GAPS).select("a", "b", r("r").alias("spearman"))
+    return stats.correlations(rows, _GAPS).select("a", "b", "n", r("r").alias("pearson")).join(ranked, ["a", "b"])
+
+
 _LABELLED = "SELECT quality, CAST(n_chars AS DOUBLE) AS v FROM labels JOIN documents USING (doc_id)"
 _RANKED = f"WITH j AS ({_LABELLED}), k AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM j), s AS (SELECT count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality = 0) AS n_neg, sum(k) FILTER (quality = 1) AS rs FROM k), u AS (SELECT n_pos, n_neg, rs - n_pos * (n_pos + 1) / 2.0 AS u FROM s)"
 
@@ -737,14 +771,14 @@ def mixed_scores(spark, sf_dir):
 
 @query(f"{WITH}, g AS (SELECT abs(D_SE - composite) AS g FROM scored) SELECT count(*) AS n, {sql.r('max(g)')} AS max_abs, {sql.r('avg(g)')} AS mean_abs, {sql.r('median(g)')} AS median_abs FROM g")
 def score_comparison(spark, sf_dir):
-    rows = _scored(spark, sf_dir).persist()
+    rows = saved(_scored(spark, sf_dir))
     out = cohort.compare(rows.select("participant_id", F.col("D_SE").alias("v")), rows.select("participant_id", F.col("composite").alias("v")), "participant_id", "v")
     return out.withColumns({c: r(c) for c in ("max_abs", "mean_abs", "median_abs")})
 
 
 @query(f"WITH e AS ({_EDGE}) SELECT g, count(*) AS n, {sql.r('avg(w)')} AS mean, {sql.r('median(w)')} AS median FROM e GROUP BY g")
 def edge_summary(spark, sf_dir):
-    e = edges(spark, sf_dir).persist()
+    e = saved(edges(spark, sf_dir))
     mid = stats.quantiles(e, "w", [0.5], ["g"]).select("g", r(F.col("q")[0]).alias("median"))
     return e.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r(F.avg("w")).alias("mean")).join(mid, "g")
 

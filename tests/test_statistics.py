@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from sparknorm.functions import columns as C
 from sparknorm.functions import registry
 from sparknorm.functions import signal as S
 from sparknorm.functions.contract import BANDS, BLOCKS, FEATURES
-from sparknorm.operators import aggregate, graph, ml, normative, stats
+from sparknorm.operators import aggregate, graph, joins, ml, normative, stats
 from sparknorm.sources import writers
 
 def ref():
@@ -245,3 +246,100 @@ def test_audits(spark):
     df = spark.createDataFrame([("r", [1.0, 5.0, 5.0], 0.0, 5.0)], "g string, samples array<double>, pmin double, pmax double")
     one = aggregate.scale_audit(df, ["g"]).first()
     assert math.isclose(one["share_high"], 2 / 3) and one["share_low"] == 0 and one["saturated"] == 1
+
+
+def test_correlations_are_pairwise(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((400, 6)) + rng.standard_normal((400, 1)), 1)
+    x[:, 3] = 2.5
+    x[rng.random((400, 6)) < [0, 0, 0.3, 0.1, 0.5, 0.9]] = np.nan
+    names = list("abcdef")
+    frame = pd.DataFrame(x, columns=names)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for i, v in enumerate(r)) for r in x], ", ".join(f"{c} double" for c in names)).repartition(5)
+    for found, method in ((stats.correlations(df, names), "pearson"), (stats.spearman(df, names), "spearman")):
+        for r in found.collect():
+            pair = frame[[r["a"], r["b"]]].dropna()
+            assert r["n"] == len(pair)
+            if "d" in (r["a"], r["b"]):
+                assert r["r"] is None
+            else:
+                assert math.isclose(r["r"], pair.corr(method=method).iloc[0, 1], abs_tol=1e-12)
+    none = stats.spearman(df.limit(0), names).collect()
+    assert len(none) == 15 and {(r["r"], r["n"]) for r in none} == {(None, 0)}
+
+
+def test_spearman_with_one_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (2.0, 1.0), (4.0, 9.0)], "a double, b double")
+    assert math.isclose(stats.spearman(df, ["a", "b"]).first()["r"], 0.5)
+
+
+def test_rank_shift_with_ties_and_gaps(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(rng.integers(0, 40)), None if i % 7 == 0 else math.nan if i % 11 == 0 else float(rng.integers(0, 5))) for i in range(3000)]
+    got = {r["k"]: r for r in stats.rank_shift(spark.createDataFrame(rows, "k long, x double, y double").repartition(6), "x", "y").collect()}
+    want = pd.DataFrame(rows, columns=["k", "x", "y"]).set_index("k").rank(ascending=False)
+    assert len(got) == 3000
+    for k, r in got.items():
+        assert r["rank_first"] == want.loc[k, "x"] and (r["rank_second"] == want.loc[k, "y"] if want.loc[k, "y"] == want.loc[k, "y"] else r["rank_second"] is None and r["shift"] is None)
+
+
+def test_counts_over_many_ranges_and_groups(spark):
+    """A hot group of a narrow scale beside many small ones of their own, with a null group and flags."""
+    rng = np.random.default_rng(10)
+    rows = [("hot", 1e-6 * float(v)) for v in rng.integers(0, 20000, 30000)] + [(f"g{i % 40}" if i % 41 else None, float(10 ** (i % 9)) * float(rng.integers(0, 9))) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = stats.value_counts(spark.createDataFrame(rows, "g string, v double"), "v", {"even": F.floor(F.col("v") * 1e6) % 2 == 0}, ["g"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    assert len(got) == sum(len(set(v)) for v in by.values())
+    ordered = {g: np.sort(v) for g, v in by.items()}
+    for r in got:
+        own = ordered[r["g"]]
+        assert (r["below"], r["n"], r["total"]) == (np.searchsorted(own, r["value"]), np.searchsorted(own, r["value"], "right") - np.searchsorted(own, r["value"]), len(own))
+    hot = [r for r in got if r["g"] == "hot"]
+    last = max(hot, key=lambda r: r["value"])
+    assert last["below_even"] + last["n_even"] == last["total_even"] == sum(r["n_even"] for r in hot)
+
+
+def test_robust_outliers_of_null_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = [([None, "a", "b"][i % 3], [1, None][i % 2], float(rng.standard_normal()) if i % 50 else None) for i in range(900)] + [("only", 1, None)]
+    got = graph.robust_outliers(spark.createDataFrame(rows, "g string, h int, v double"), ["g", "h"], "v", 2.0).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for g, h, v in rows:
+        by.setdefault((g, h), []).append(v)
+    for r in got:
+        own = np.array([v for v in by[r["g"], r["h"]] if v is not None])
+        if r["v"] is None:
+            assert r["robust_z"] is None and r["bad"] is None
+        else:
+            z = 0.6745 * (r["v"] - np.median(own)) / (np.median(np.abs(own - np.median(own))) + 1e-12)
+            assert math.isclose(r["robust_z"], z, rel_tol=1e-9, abs_tol=1e-12) and r["bad"] == (z > 2.0)
+    alone = graph.robust_outliers(spark.createDataFrame([(1.0,), (2.0,), (30.0,)], "v double"), [], "v", 2.0).collect()
+    assert sorted(r["bad"] for r in alone) == [False, False, True]
+
+
+def test_describe_skips_nan_and_densest_keeps_columns(spark):
+    row = aggregate.describe(spark.createDataFrame([(1.0,), (math.nan,), (3.0,), (None,)], "v double"), "v").first()
+    assert (row["n"], row["mean"], row["high"], row["p50"]) == (2, 2.0, 3.0, 2.0)
+    edges = spark.createDataFrame([(0, 1, 2, 0.5, "x", "y"), (0, 1, 3, 0.9, "x", "y")], "g int, a int, b int, w double, _k string, _rank string")
+    kept = graph.densest(edges, ["g"], 0.5)
+    assert kept.columns == edges.columns and [tuple(r) for r in kept.collect()] == [(0, 1, 3, 0.9, "x", "y")]
+
+
+def test_a_rank_column_is_replaced(spark):
+    got = stats.average_rank(spark.createDataFrame([(2.0, 7), (1.0, 8)], "v double, rank int"), "v").collect()
+    assert sorted(map(tuple, got)) == [(1.0, 1.0), (2.0, 2.0)]
+
+
+def test_salted_join_of_hot_and_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else 7 if i % 2 else i % 50) for i in range(20000)], "i int, k int").repartition(4)
+    table = spark.createDataFrame([(k, f"t{k}", 8000 if k == 7 else 160) for k in range(50)], "k int, t string, n int")
+    got = joins.salted_join(rows, table, ["k"], "n")
+    assert got.count() == 20000 and got.where("t = concat('t', k) or (t is null and k is null)").count() == 20000
+    assert joins.salted_join(rows, table, ["k"], "n", "inner").count() == 16000
