@@ -503,29 +503,57 @@ def two_group_tests(spark, sf_dir):
 
 
 _DRAWS = 1000
-_U = "('0x' || substr(md5(doc_id || '-' || b || '-42'), 1, 12))::BIGINT / 281474976710656.0"
-_DRAWN = f"WITH l AS (SELECT doc_id, quality, CAST(n_chars AS DOUBLE) AS v FROM labels JOIN documents USING (doc_id)), d AS (SELECT *, {_U} AS u FROM l, (SELECT CAST(unnest(range({_DRAWS})) AS INTEGER) AS b)), "
+
+
+def _mix(h: str, source: str, name: str, keep: str) -> str:
+    """The 32-bit mixing of ``ml.mixed`` as three steps of a WITH clause, column h to ``name``."""
+    return (
+        f"{name}1 AS (SELECT {keep}, xor({h}, {h} >> 16) * 2246822507 % 4294967296 AS h FROM {source}), "
+        f"{name}2 AS (SELECT {keep}, xor(h, h >> 13) * 3266489909 % 4294967296 AS h FROM {name}1), "
+        f"{name} AS (SELECT {keep}, xor(h, h >> 16) AS h FROM {name}2)"
+    )
+
+
+_SEEDS = "md5(doc_id || '-42')"
+_DRAWN = (
+    f"WITH l AS (SELECT quality, CAST(n_chars AS DOUBLE) AS v, ('0x' || substr({_SEEDS}, 1, 8))::UBIGINT AS s1, ('0x' || substr({_SEEDS}, 9, 8))::UBIGINT AS s2 FROM labels JOIN documents USING (doc_id)), "
+    f"d AS (SELECT quality, v, b, s1, (s2 + b::UBIGINT) % 4294967296 AS k FROM l, (SELECT CAST(unnest(range({_DRAWS})) AS INTEGER) AS b)), "
+    + _mix("k", "d", "m", "quality, v, b, s1")
+    + ", x AS (SELECT quality, v, b, xor(s1, h) AS k FROM m), "
+    + _mix("k", "x", "u", "quality, v, b")
+    + ", "
+)
 _DRAWN_AUC = "c AS (SELECT b, v, sum(w * y) AS p, sum(w * (1 - y)) AS n FROM e GROUP BY b, v), f AS (SELECT b, p, n, p * (coalesce(sum(n) OVER (PARTITION BY b ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0) AS u FROM c), g AS (SELECT b, sum(u) / nullif(sum(p) * sum(n), 0) AS auc FROM f GROUP BY b)"
-_WEIGHT = " + ".join(f"(u >= {x})::INTEGER" for x in ml.POISSON)
+_WEIGHT = " + ".join(f"(h / 4294967296.0 >= {x})::INTEGER" for x in ml.POISSON)
 
 
-@query(f"{_DRAWN} e AS (SELECT b, v, {_WEIGHT} AS w, quality AS y FROM d), {_DRAWN_AUC} SELECT b, {sql.r('auc')} AS auc FROM g")
+@query(f"{_DRAWN} e AS (SELECT b, v, {_WEIGHT} AS w, quality AS y FROM u), {_DRAWN_AUC} SELECT b, {sql.r('auc')} AS auc FROM g")
 def resampled_auc(spark, sf_dir):
     """1000 draws."""
     return ml.resampled_auc(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 1, "doc_id", draws=_DRAWS).select("b", r("auc").alias("auc"))
 
 
-@query(f"{_DRAWN} r AS (SELECT avg(quality) AS rate FROM l), e AS (SELECT b, v, 1 AS w, (u < rate)::INTEGER AS y FROM d, r), {_DRAWN_AUC}, k AS (SELECT quality, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM l), s AS (SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n, sum(k) FILTER (quality = 1) AS rs FROM k), o AS (SELECT (rs - p * (p + 1) / 2.0) / (p * n) AS seen FROM s) SELECT {sql.r('max(seen)')} AS auc, {sql.r('avg((auc >= seen)::INTEGER)')} AS p FROM g, o")
+@query()
 def permutation_p(spark, sf_dir):
-    """1000 draws of labels."""
-    return ml.permutation_p(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 1, "doc_id", draws=_DRAWS).select(r("auc").alias("auc"), r("p").alias("p"))
+    """1000 permutations of the labels, drawn as counts by value; tests compare with all permutations of few rows."""
+    return ml.permutation_p(_labelled(spark, sf_dir), "n_chars", F.col("quality") == 1, draws=_DRAWS).select(r("auc").alias("auc"), r("p").alias("p"))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects(spark, sf_dir).withColumn("label", (F.col("group") < 5).cast("int"))
 
 
 @query()
 def nested_cross_validation(spark, sf_dir):
-    """5 outer and 3 inner folds, 3 penalties. The solver's result has no SQL."""
-    rows = subjects(spark, sf_dir).withColumn("label", (F.col("group") < 5).cast("int"))
-    return ml.fold_metrics(ml.nested_cv(rows, BLOCKS["SE"], "label", "participant_id", inner=3))
+    """All features, 5 outer and 5 inner folds, 3 penalties: a solver's result, which has no SQL; tests compare with plain NumPy."""
+    return ml.fold_metrics(ml.nested_cv(_halves(spark, sf_dir), FEATURES, "label", "participant_id"))
+
+
+@query()
+def calibrated_svm(spark, sf_dir):
+    """Out-of-fold margins of linear support vectors as probabilities."""
+    scored = saved(ml.nested_cv(_halves(spark, sf_dir), FEATURES, "label", "participant_id", "svm"))
+    return ml.calibrated(scored).select(F.col("id").alias("participant_id"), "y", "fold", r("score").alias("score"), r("probability").alias("probability"))
 
 
 @query(f"WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 8 AS w, count(value) AS n FROM events), k AS (SELECT CAST(least(floor((value - lo) / w), 7) AS INTEGER) AS bin, n AS total, w FROM events, b) SELECT bin, count(*) AS n, {sql.r('count(*) / (max(total) * max(w))')} AS density FROM k GROUP BY bin")

@@ -145,9 +145,9 @@ def test_tests_of_two_groups(spark):
     df = spark.createDataFrame(rows, "k int, v double, y int, age double")
     one = stats.two_groups(df, "v", F.col("y") == 1).first()
     assert math.isclose(one["p"], stats.t_tail(one["t"], one["dof"]))
-    p = ml.permutation_p(df, "v", F.col("y") == 1, "k", draws=200).first()
+    p = ml.permutation_p(df, "v", F.col("y") == 1, draws=200).first()
     assert p["p"] < 0.01 and p["auc"] > 0.6
-    assert ml.permutation_p(df, "age", F.col("y") == 1, "k", draws=200).first()["p"] > 0.01
+    assert ml.permutation_p(df, "age", F.col("y") == 1, draws=200).first()["p"] > 0.01
     cut = stats.median_cut(df, "v", F.col("y") == 1).first()
     assert cut["tp"] + cut["fp"] == 50 and cut["balanced_accuracy"] > 0.5
     left = stats.adjusted(df, "v", "age", F.col("y") == 0)
@@ -343,3 +343,128 @@ def test_salted_join_of_hot_and_null_keys(spark):
     got = joins.salted_join(rows, table, ["k"], "n")
     assert got.count() == 20000 and got.where("t = concat('t', k) or (t is null and k is null)").count() == 20000
     assert joins.salted_join(rows, table, ["k"], "n", "inner").count() == 16000
+
+
+def folds_of(spark, n=240, width=4):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((n, width)) * [1, 5, 0.1, 1] + [0, 3, 0, 0]
+    y = (x @ [1.0, 0.1, 3.0, 0.0] + rng.standard_normal(n) > 0.8).astype(int)
+    x[:, 3] = 7.0  # does not vary
+    rows = [(i, int(y[i]), x[i].tolist(), int(rng.integers(0, 3)), rng.integers(0, 3, 3).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, y int, x array<double>, fold int, inner array<int>").repartition(4)
+
+
+@pytest.mark.parametrize("kind", ["logistic", "svm"])
+def test_many_models_equal_single_fits(spark, kind):
+    """Each model against gradient descent on its own rows, with the same loss."""
+    rows, df = folds_of(spark)
+    sets = [(0, -1), (1, 2), (2, 0)]
+    got = ml.fit_models(df, 4, kind, sets, (0.01, 1.0))
+    x, y, fold, inner = (np.array([r[k] for r in rows]) for k in (2, 1, 3, 4))
+    for m in range(6):
+        k, j = sets[m // 2]
+        at = (fold != k) & ((inner[:, k] != j) | (j < 0))
+        spread = x[at].std(axis=0)
+        z = np.column_stack([(x[at] - x[at].mean(axis=0)) / np.where(spread > 1e-9, spread, 1), np.ones(at.sum())])
+        t = y[at]
+        w = len(t) / (2 * np.bincount(t)[t])
+        w = w / w.sum()
+        b = np.zeros(5)
+        for _ in range(20000):
+            s = z @ b
+            g = 1 / (1 + np.exp(-s)) - t if kind == "logistic" else -2 * (2 * t - 1) * np.maximum(1 - (2 * t - 1) * s, 0)
+            step = z.T @ (w * g) + [0.01, 1.0][m % 2] * np.append(b[:4], 0)
+            b -= 0.2 * step
+        assert np.abs(step).max() < 1e-10 and np.allclose(got.weight[m], b, atol=1e-7)
+        assert np.allclose(got.margins(x[:5], np.array([m]))[:, 0], ((x[:5] - got.mean[m // 2]) / got.spread[m // 2]) @ b[:4] + b[4], atol=1e-6)
+
+
+def test_nested_folds_choose_by_auc(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, i % 3 == 0, *(rng.standard_normal(3) + (i % 3 == 0))) for i in range(300)] + [(300, True, None, 1.0, 1.0), (301, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame([(i, None if y is None else int(y), *(None if v is None else float(v) for v in f)) for i, y, *f in rows], "k int, y int, a double, b double, c double")
+    for kind in ("logistic", "svm"):
+        out = ml.nested_cv(df, ["a", "b", "c"], "y", "k", kind, outer=3, inner=3).collect()
+        assert sorted(r["id"] for r in out) == list(range(300)) and {r["value"] for r in out} <= {0.01, 0.1, 1.0}
+        metrics = ml.fold_metrics(spark.createDataFrame(out)).collect()
+        for r in metrics:
+            own = [(o["score"], o["y"]) for o in out if o["fold"] == r["fold"]]
+            pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+            auc = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+            precision = [np.mean([y for s, y in own if s >= p]) for p in pos]
+            assert math.isclose(r["auc"], auc) and math.isclose(r["average_precision"], np.mean(precision)) and r["auc"] > 0.75
+            assert abs(len(pos) - 100 / 3) < 14
+
+
+def test_calibration(spark):
+    rng = np.random.default_rng(14)
+    y = rng.integers(0, 2, 2000)
+    s = rng.standard_normal(2000) + 1.5 * y - 0.2
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y, strict=True)] + [(None, 1), (1.0, None)], "score double, y int")
+    a, b = ml.sigmoid(df)
+    pos = y.sum()
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (2000 - pos + 2))
+    v = np.zeros(2)
+    z = np.column_stack([s, np.ones(2000)])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(z @ v))
+        v -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z, z.T @ (t - p))
+    assert np.allclose([a, b], v, atol=1e-6)
+    found = ml.calibrated(df).where("score is not null and y is not null").toPandas()
+    assert ((found["probability"] - found["y"]) ** 2).mean() < ((1 / (1 + np.exp(-found["score"])) - found["y"]) ** 2).mean()
+    assert ml.calibrated(df).where("score is null").first()["probability"] is None
+
+
+def test_permutations_keep_the_positives(spark):
+    from itertools import combinations
+
+    values = [1.0, 2.0, 2.0, 3.0, 4.0, 4.0, 4.0, 6.0, 7.0, 9.0]
+    labels = [0, 0, 1, 0, 0, 1, 0, 1, 1, 0]
+    df = spark.createDataFrame([(v, y) for v, y in zip(values, labels, strict=True)] + [(None, 1), (5.0, None)], "v double, y int")
+
+    def auc(chosen):
+        return np.mean([(values[p] > values[q]) + 0.5 * (values[p] == values[q]) for p in chosen for q in range(10) if q not in chosen])
+
+    every = [auc(c) for c in combinations(range(10), 4)]
+    null, seen = ml.permuted_auc(df, "v", F.col("y") == 1, 20000)
+    got = np.array([r["auc"] for r in null.collect()])
+    assert len(got) == 20000 and math.isclose(seen, auc([2, 5, 7, 8]))
+    assert set(got.round(9)) <= set(np.round(every, 9))
+    assert abs(np.mean(got >= seen - 1e-12) - np.mean(np.array(every) >= seen - 1e-12)) < 0.015 and abs(got.mean() - 0.5) < 0.01 and abs(got.std() - np.std(every)) < 0.01
+    one = ml.permutation_p(df.where("y = 1"), "v", F.col("y") == 1, 10).first()
+    assert tuple(one) == (None, None)
+
+
+def test_permutations_over_several_ranges(spark):
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame([(float(v), int(y)) for v, y in zip(rng.normal(size=4000), rng.random(4000) < 0.3, strict=True)], "v double, y int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        null, _ = ml.permuted_auc(df, "v", F.col("y") == 1, 500)
+        got = np.array([r["auc"] for r in null.collect()])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pos = df.where("y = 1").count()
+    want = math.sqrt(4001 / (12 * pos * (4000 - pos)))
+    assert abs(got.mean() - 0.5) < 3 * want / math.sqrt(500) and 0.85 < got.std() / want < 1.15
+
+
+def test_draws_equal_a_draw_at_a_time(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, float(rng.integers(0, 12)) if i % 3 else 5.0, int(rng.random() < 0.4)) for i in range(700)] + [(700, None, 1), (701, 1.0, None), (702, math.nan, 1)]
+    df = spark.createDataFrame(rows, "k int, v double, y int")
+    for split in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", split)
+        got = {r["b"]: r["auc"] for r in ml.resampled_auc(df, "v", F.col("y") == 1, "k", 30).collect()}
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        import hashlib
+
+        keep = rows[:700]
+        seeds = [hashlib.md5(f"{k}-42".encode()).hexdigest() for k, *_ in keep]
+        w = ml.draw_weights(np.array([int(s[:8], 16) for s in seeds]), np.array([int(s[8:16], 16) for s in seeds]), 30)
+        assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+        v, y = np.array([r[1] for r in keep]), np.array([r[2] for r in keep])
+        for b in range(30):
+            p, n = w[:, b] * y, w[:, b] * (1 - y)
+            u = sum(p[i] * ((n[v < v[i]]).sum() + n[v == v[i]].sum() / 2) for i in np.flatnonzero(p))
+            assert math.isclose(got[b], u / (p.sum() * n.sum()))
