@@ -613,20 +613,17 @@ ORDERS = 1 << 16  # of a run
 
 def order_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The lines' sums of each order as four channels at 128 Hz, an order a sample: blocks of 4096 samples, and runs. An order without lines is 0."""
-    key, block = F.col("l_orderkey"), 4096
+    block = 4096
     sums = [F.sum(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    orders = readers.table(spark, sf_dir, "lineitem").groupBy(key).agg(*sums).withColumns({"run": F.expr(f"l_orderkey div {ORDERS}").cast("string"), "i": key % ORDERS})
+    lines = readers.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(*sums)
+    last = lines.agg(F.max("id")).first()[0]
+    every = spark.range(0 if last is None else last + 1).join(lines, "id", "left").na.fill(0.0)
+    orders = every.select(F.expr(f"id div {ORDERS}").cast("string").alias("run"), (F.col("id") % ORDERS).alias("i"), *[c for c in lines.columns if c != "id"])
     runs = orders.groupBy("run").agg((F.max("i") + 1).alias("n")).select(F.lit("orders").alias("subject"), "run", "n", F.lit(128.0).alias("sfreq"), F.lit(None).cast("string").alias("error"))
     scale = {"l_quantity": 1e-7, "l_extendedprice": 1e-10, "l_discount": 1e-4, "l_tax": 1e-4}  # to volts of a usual size
-    held = orders.groupBy("run", F.expr(f"i div {block}").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") % block, F.struct(*scale)))).alias("m"))
-    held = held.join(runs, "run").withColumn("start", F.col("b") * block)
-    places = F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), F.col("n") - F.col("start")) - 1)
-
-    def channel(k: int, c: str) -> Column:
-        return F.struct(F.lit(k).alias("ch_idx"), F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i)[c], F.lit(0.0)) * scale[c]).alias("samples"))
-
-    channels = [channel(k, c) for k, c in enumerate(scale)]
-    return held.select("subject", "run", "sfreq", "start", F.inline(F.array(*channels))), runs
+    held = orders.groupBy("run", F.expr(f"i div {block}").alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", *[(F.col(c) * v).alias(c) for c, v in scale.items()]))).alias("s"))
+    channels = F.array(*[F.struct(F.lit(k).alias("ch_idx"), F.col(f"s.{c}").alias("samples")) for k, c in enumerate(scale)])
+    return held.select(F.lit("orders").alias("subject"), "run", F.lit(128.0).alias("sfreq"), (F.col("b") * block).alias("start"), F.inline(channels)), runs
 
 
 @query()
