@@ -147,7 +147,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_grams: int = GRAMS, id_col: s
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), held_out(id_col).alias("held"))
     letter = F.col("t").rlike(r"\p{L}")
-    found = labelled.groupBy("lang").agg(F.count_if(~F.col("held")).alias("n"), F.max(letter).alias("letter")).collect()
+    found = labelled.groupBy("lang").agg(F.count_if(~F.col("held")).alias("n"), F.max(letter & ~F.col("held")).alias("letter")).collect()
     written = {r["lang"] for r in found if r["letter"]}
     rows, sizes = labelled.where("not held").drop("held"), {r["lang"]: r["n"] for r in found if r["n"]}
     if not sizes:
