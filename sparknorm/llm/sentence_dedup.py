@@ -5,16 +5,16 @@ a mark of another script, or up to a line end. One of more than ``LONGEST``
 words is cut further, behind the word of least hash of every ``LONGEST`` - 1
 neighbours, so that neither a long one nor a lack of marks hides a passage. In
 scripts without spaces each character is cut like a word. A span is a run of
-consecutive sentences, at least ``RUN`` of them and at least ``SPAN_WORDS``
-words; the shortest ones from every sentence on, and up to every sentence, are
-hashed. Spans that several documents have are first in the document of smallest
+``RUN`` consecutive sentences; where a least number of words is asked for, the
+shortest runs that hold it, from every sentence on and up to every sentence. All
+are hashed. Spans that several documents have are first in the document of smallest
 id, and in all others their sentences are removed. A later occurrence in the
 same document is removed as well.
 
 Of a repeated passage of n words with the same line ends, at most ``LONGEST``
 words at each end fuse with what surrounds it; all n - 2 * ``LONGEST`` words or
-more inside are cut alike everywhere, and are covered if they are ``SPAN_WORDS``
-(which take ``RUN`` sentences). So every passage of 49 words loses all but its
+more inside are cut alike everywhere, and are covered if they are 25 (which take
+``RUN`` sentences) or as many as are asked for. So every passage of 49 words loses all but its
 ends, but for stretches of one word ``LONGEST`` times over, which are not cut.
 """
 
@@ -32,7 +32,6 @@ from .common import Scratch, per_slice, slices, spread_join
 from .shingles import _SPACE, LOWER, PAD, mix, range_hashes
 
 RUN = 3
-SPAN_WORDS = 25
 LONGEST = 12  # words of a sentence
 PART = 4  # a word's weight; characters of scripts without spaces weigh less
 _END = np.zeros(256, bool)
@@ -138,9 +137,9 @@ def cut(texts: list[str]) -> Cut:
     return Cut(text, first[begins] - offset[text], last[ends] - offset[text], np.add.reduceat(weight, begins), mix(total + (ends - begins + 1).astype(np.uint64)))
 
 
-def spans(c: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, sentence behind the last, and hash of every span."""
-    n, least = len(c.hash), SPAN_WORDS * PART
+def spans(c: Cut, words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, sentence behind the last, and hash of every span: ``RUN`` sentences, or more until they hold so many words."""
+    n, least = len(c.hash), words * PART
     total = np.concatenate([[0], np.cumsum(c.words)])
     at = np.arange(n)
     stop = np.maximum(np.searchsorted(total, total[:-1] + least), at + RUN)
@@ -166,9 +165,12 @@ def _again(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, text) of every row.
 
+    A span is ``RUN`` sentences in a row, of any length; with ``words`` it goes
+    on until it holds so many (up to 63), so that short phrases stay.
+
     ``removed`` lists start:end of what went, in code points of the given text;
     ``text`` is what stays. A null text stays null, and an empty one empty. Rows
     of one id count as one document: none loses a run to another of them. Null
@@ -179,7 +181,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     def emit(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch | None:
         c = cut(texts)
-        start, stop, h = spans(c)
+        start, stop, h = spans(c, words)
         if not len(h):
             return None
         first = np.searchsorted(c.text, np.arange(len(texts)))
@@ -189,7 +191,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         keep = np.ones(len(h), bool)
         keep[order[1:]] = (h[order][1:] != h[order][:-1]) | (t[order][1:] != t[order][:-1])
         start, stop, h, t = start[keep], stop[keep], h[keep], t[keep]
-        place = (start - first[t]) << 8 | np.minimum(stop - start, 255)  # a span has at most SPAN_WORDS * PART sentences
+        place = (start - first[t]) << 8 | np.minimum(stop - start, 255)  # a span has at most words * PART sentences, or RUN
         return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "k": pa.array(key[t]), "x": pa.array(x[t]), "at": pa.array(place)})
 
     texts = rows.where("t is not null").select("k", "x", "t")
@@ -203,7 +205,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         for batch in batches:
             for part, texts in slices(batch, "t"):
                 c = cut(texts)
-                start, stop, h = spans(c)
+                start, stop, h = spans(c, words)
                 own = np.searchsorted(start, np.searchsorted(c.text, np.arange(len(texts) + 1))).tolist()
                 bound = np.searchsorted(c.text, np.arange(len(texts) + 1)).tolist()
                 null = part.column(1).is_null().to_pylist()

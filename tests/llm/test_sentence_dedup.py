@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from sparknorm.llm import sentence_dedup as sd
 from sparknorm.llm.common import Scratch
 
@@ -16,13 +18,13 @@ def sentences(text):
     return out
 
 
-def brute(docs):
+def brute(docs, least=0):
     first, occ = {}, []
     for i, t in sorted(docs.items()):
         s = sentences(t or "")
         words = [re.findall(r"[^\x20\x09-\x0D]+", t[a:b].lower()) for a, b in s]
         size = lambda a, b: sum(map(len, words[a:b]))  # noqa: E731, B023
-        ok = lambda a, b: b - a >= sd.RUN and size(a, b) >= sd.SPAN_WORDS  # noqa: E731, B023
+        ok = lambda a, b: b - a >= sd.RUN and size(a, b) >= least  # noqa: E731, B023
         spans = set()
         for a in range(len(s)):
             spans |= {(a, b) for b in range(a, len(s) + 1) if ok(a, b) and not ok(a, b - 1)}
@@ -50,7 +52,8 @@ def brute(docs):
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("words", [0, 25])
+def test_equals_brute_force(spark, words):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abéd", k=rng.randint(1, 4))) + rng.choice(["", "", ",", ".", "?", "!\n"])
     passages = [" ".join(word() for _ in range(60)) for _ in range(5)]
@@ -58,8 +61,8 @@ def test_equals_brute_force(spark):
     docs |= {100: None, 101: "", 102: docs[3], 103: docs[3] + " " + docs[3]}
     docs |= {200 + i: docs[5] for i in range(1100)}  # a hot group of copies
     frame = spark.createDataFrame([(*r, 1, 2) for r in docs.items()], "doc_id long, text string, k int, ats int")
-    got = {r["doc_id"]: r for r in sd.remove_repeats(frame, Scratch(spark)).collect()}
-    assert {i: (r["n_sentences"], r["n_removed"], r["removed"]) for i, r in got.items()} == brute(docs)
+    got = {r["doc_id"]: r for r in sd.remove_repeats(frame, Scratch(spark), words=words).collect()}
+    assert {i: (r["n_sentences"], r["n_removed"], r["removed"]) for i, r in got.items()} == brute(docs, words)
     assert got[100]["text"] is None and got[101]["text"] == ""
     assert sum(r["n_removed"] > 0 for r in got.values()) > 10
 
