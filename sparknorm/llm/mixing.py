@@ -6,7 +6,9 @@ of a pattern costs k - 1, so repetition is spread before it deepens. Within a
 pattern every document is used as often as the flow uses the whole pattern,
 and those before a cut in a seeded hash order once more. Where the cut stops at a
 long document, shorter ones behind it follow up to a second cut, and so on; in
-the end the largest of each octave of sizes fills what is left, where it fits. Only pattern
+the end the largest of each octave of sizes fills what is left, where it fits. Where
+more than ``NEAR`` of a pattern's words is left even so, since documents are longer
+than that, those that do fit are used more often, up to the most. Only pattern
 sums and cuts reach the driver; documents are decided where they lie, next to a
 broadcast of rows a pattern, so that a hot pattern is never gathered.
 """
@@ -23,16 +25,19 @@ from .common import WORD, Scratch
 
 MAX_REPEATS = 3
 ROUNDS = 2  # cuts of a pattern, each with shorter documents
+NEAR = 0.01  # of the words that a pattern owes: what may be left without using shorter documents again
 MAX_PATTERNS = 200_000  # membership patterns that the flow accepts; more raise ValueError
 NULL = "\0null"  # the null source
 
 
 class Mix(NamedTuple):
     rows: DataFrame  # doc_id, pattern, size, chars, place
-    plan: DataFrame  # pattern, base, cuts (of documents of at most so many characters), extra
+    plan: DataFrame  # pattern, base, cuts (of documents of at most so many characters), extra, again (of documents of at most so many words)
     routes: DataFrame  # pattern, source, until: a document before the first cut it does not exceed counts for that source
     sizes: dict[str, int]
     targets: dict[str, float]
+    most: int
+    short: bool  # whether any pattern has an ``again``
 
 
 def order(sources: list[str]) -> list[str]:
@@ -205,7 +210,7 @@ def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = Non
     best: dict[tuple[str, ...], list[tuple[int, int]]] = {}
     for r in fits.groupBy("pattern", F.floor(F.log2("size")).alias("octave")).agg(F.max(F.struct("size", "place")).alias("b")).collect():  # under 64 rows a pattern
         best.setdefault(tuple(r["pattern"]), []).append((r["b"]["size"], r["b"]["place"]))
-    filled = []
+    filled, owed = [], {}
     for p, (_, n) in state.items():
         taken = []
         for size, at in sorted(best.get(p, []), reverse=True):
@@ -213,20 +218,51 @@ def mix(docs: DataFrame, scratch: Scratch, weight: dict[str, float] | None = Non
                 n -= size
                 taken.append(at)
         filled.append((list(p), taken))
+        if n > NEAR * sum(routed[p].values()):
+            owed[p] = n
     extra = spark.createDataFrame(filled, "pattern array<string>, extra array<long>")
     taken_cuts = spark.createDataFrame([(list(p), c) for p, c in chosen.items()], "pattern array<string>, cuts array<struct<cut: long, chars: long>>")
     plan = spark.createDataFrame(base, "pattern array<string>, base int").join(taken_cuts, "pattern", "left").join(extra, "pattern", "left")
     plan = plan.withColumn("extra", F.coalesce("extra", F.array().cast("array<long>")))
+    repeats: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    kind = "pattern array<string>, again array<struct<size: long, cut: long>>"
+    none = plan.withColumn("again", F.array().cast("array<struct<size: long, cut: long>>"))
+    for _ in range(most):  # another use of the documents that fit: of all, or up to a cut, which ends it
+        if not owed:
+            break
+        so_far = none.drop("again").join(spark.createDataFrame([(list(p), repeats.get(p, [])) for p in capacity], kind), "pattern")
+        left = spark.createDataFrame([(list(p), float(n)) for p, n in owed.items()], "pattern array<string>, owed double")
+        near = _counted(rows.join(F.broadcast(left), "pattern").where("size > 0 and size <= owed"), so_far, most).where(F.col("copies") < most)
+        all_of = {tuple(r["pattern"]): r["n"] for r in near.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+        part = {p: n for p, n in owed.items() if p in all_of and all_of[p] > n}
+        ends = {}
+        if part:
+            found = _cuts(near.drop("copies", "owed"), spark.createDataFrame([(list(p), 0, n) for p, n in part.items()], "pattern array<string>, mark int, upto double"), bits)
+            ends = {tuple(r["pattern"]): r["cut"] for r in found.collect()}
+        new = {}
+        for p, n in owed.items():
+            if p in all_of:
+                repeats.setdefault(p, []).append((int(n), ends.get(p, -1) if p in part else 2**63 - 1))
+                if p not in part and n - all_of[p] > NEAR * sum(routed[p].values()):
+                    new[p] = n - all_of[p]
+        owed = new
+    plan = none.drop("again").join(spark.createDataFrame([(list(p), repeats.get(p, [])) for p in capacity], kind), "pattern")
     routes = spark.createDataFrame(names, "pattern array<string>, mark int, source string").join(cuts, ["pattern", "mark"]).select("pattern", "source", F.col("cut").alias("until"))
-    return Mix(rows, plan, routes, sizes, targets)
+    return Mix(rows, plan, routes, sizes, targets, most, bool(repeats))
 
 
-def copies(mixed: Mix, rows: DataFrame | None = None) -> DataFrame:
-    """``rows`` (by default the planned ones; they need pattern, chars and place) with the number of copies to take."""
-    rows = mixed.rows if rows is None else rows
-    plan = F.broadcast(mixed.plan)  # a row a pattern, at most max_patterns, with ROUNDS cuts and under 64 numbers each
+def _counted(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """Rows (pattern, size, chars, place) with the number of copies that a plan takes."""
     more = F.exists("cuts", lambda c: (F.col("place") <= c["cut"]) & (F.col("chars") <= c["chars"])) | F.array_contains("extra", F.col("place"))
-    return rows.join(plan, "pattern", "left").withColumn("copies", F.coalesce(F.col("base") + more.cast("int"), F.lit(0))).drop("base", "cuts", "extra")
+    again = F.size(F.filter("again", lambda a: (F.col("size") > 0) & (F.col("size") <= a["size"]) & (F.col("place") <= a["cut"])))
+    taken = F.least(F.col("base") + more.cast("int") + again, F.lit(most))
+    # a row a pattern, at most max_patterns, with ROUNDS cuts, under 64 places and at most ``most`` repeats each
+    return rows.join(F.broadcast(plan), "pattern", "left").withColumn("copies", F.coalesce(taken, F.lit(0))).drop("base", "cuts", "extra", "again")
+
+
+def copies(mixed: Mix, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` (by default the planned ones; they need pattern, size, chars and place) with the number of copies to take."""
+    return _counted(mixed.rows if rows is None else rows, mixed.plan, mixed.most)
 
 
 def source_table(mixed: Mix) -> DataFrame:
@@ -238,6 +274,6 @@ def repeat_rows(docs: DataFrame, mixed: Mix, seed: int = 17, id_col: str = "doc_
     """The documents themselves, each as often as the mix takes it, with their own columns."""
     names = docs.columns
     member = pattern(F.array(F.col("source")) if sources is None else sources)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), member.alias("pattern"), characters(F.col(text_col)).alias("chars"), place(id_col, text_col, seed).alias("place"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), member.alias("pattern"), characters(F.col(text_col)).alias("chars"), (word_count(F.col(text_col)) if mixed.short else F.lit(0).cast("long")).alias("size"), place(id_col, text_col, seed).alias("place"))
     taken = copies(mixed, whole).where("copies > 0")
     return taken.select("d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("d.*")

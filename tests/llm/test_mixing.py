@@ -124,3 +124,24 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source").collect()]
     check([r.asDict() for r in queries.op9_mixing(spark, d).collect()], docs, 0.25)  # ten documents a source
+
+
+def test_short_documents_stand_in_for_a_long_one(spark):
+    """The source's target lies between its short documents and its long one, which does not fit: they are used as often as they may."""
+    docs = [(0, "w " * 30_000, "a"), *[(i, "w " * (i % 7 + 1), "a") for i in range(1, 300)], *[(1000 + i, "w " * 50, s) for i in range(300) for s in ("b", "c")]]
+    df = spark.createDataFrame([(*r, "p", 1, 1) for r in docs], SCHEMA)
+    mixed = mx.mix(df, Scratch(spark), weight={"a": 1.0, "b": 3.0, "c": 3.0})
+    got = {r["doc_id"]: (r["copies"], r["size"]) for r in mx.copies(mixed).collect()}
+    short = sum(i % 7 + 1 for i in range(1, 300))
+    assert 3 * short < mixed.targets["a"] < 30_000
+    assert got[0][0] == 0 and sum(c * n for i, (c, n) in got.items() if 0 < i < 1000) == 3 * short
+    again = mx.repeat_rows(df, mixed)
+    assert again.where("source = 'a'").count() == 3 * 299
+    # with enough of them the target is met, and none goes beyond the most
+    docs += [(5000 + i, "w " * 9, "a") for i in range(200)]
+    df = spark.createDataFrame([(*r, "p", 1, 1) for r in docs], SCHEMA)
+    mixed = mx.mix(df, Scratch(spark), weight={"a": 0.5, "b": 3.0, "c": 3.0})
+    rows = mx.copies(mixed).collect()
+    taken = sum(r["copies"] * r["size"] for r in rows if r["pattern"] == ["a"])
+    assert max(r["copies"] for r in rows) <= 3 and abs(taken - mixed.targets["a"]) <= 0.02 * mixed.targets["a"]
+    assert mx.repeat_rows(df, mixed).where("source = 'a'").count() == sum(r["copies"] for r in rows if r["pattern"] == ["a"])
