@@ -72,6 +72,9 @@ def schedule(queues: dict[str, list[tuple[int, int]]], given: Callable[[list[str
     """Deficit round-robin over queues of (row, tokens), from a position in the stream: (row, start, length, window, offset).
 
     ``given`` says what sources are due up to a position, ``had`` what they had before this one.
+    A piece has at least ``least`` tokens, fewer where many sources are open: a
+    window then still has room for a piece of each, and no source is further
+    from its due than its share of a window and one such piece.
     """
     names = sorted(queues)
     due = given(names, position)
@@ -87,10 +90,11 @@ def schedule(queues: dict[str, list[tuple[int, int]]], given: Callable[[list[str
         window, offset, ahead = position // length, position % length, room
         order = [(-deficit[k], k) for k in live]
         heapq.heapify(order)
+        smallest = max(1, min(least, length // max(1, len(live))))
         while room:
             d, k = order[0]
             row, n = own[k][head[k]]
-            take = min(room, n - used[k], max(least, math.ceil(-d)))
+            take = min(room, n - used[k], max(smallest, math.ceil(-d)))
             out.append((row, used[k], take, window, offset))
             room, offset = room - take, offset + take
             deficit[k] -= take
@@ -144,6 +148,16 @@ class Fluid:
         return out
 
 
+def _before(cells: DataFrame, keys: list[str], n: str, name: str, wide: int = 4096) -> DataFrame:
+    """Cells (keys, block, n) with the sum of all earlier blocks of the key, counted up by stretches of ``wide`` blocks, so that no task has all blocks of a key."""
+    cells = cells.withColumn("stretch", F.floor(F.col("block") / wide))
+    ahead = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = cells.groupBy(*keys, "stretch").agg(F.sum(n).alias("_n"))
+    whole = whole.select(*keys, "stretch", F.coalesce(F.sum("_n").over(ahead("stretch", *keys)), F.lit(0)).alias("_at"))
+    inside = cells.withColumn("_in", F.coalesce(F.sum(n).over(ahead("block", *keys, "stretch")), F.lit(0)))
+    return inside.join(whole, [*keys, "stretch"]).withColumn(name, F.col("_at") + F.col("_in")).drop("stretch", "_at", "_in")
+
+
 def pack(tokens: DataFrame, scratch: Scratch, length: int = 1024, targets: dict[str | None, float] | None = None, block_tokens: int = 1 << 20, least: int = LEAST) -> DataFrame:
     """Pieces of ``tokenise``'s rows: (row, start, length, sequence_id, offset).
 
@@ -174,10 +188,8 @@ def pack(tokens: DataFrame, scratch: Scratch, length: int = 1024, targets: dict[
     # what stands before each block, over all sources and of each source
     cells = placed.groupBy("block", "s").agg(F.sum("n").alias("cell_n"))
     sizes = cells.groupBy("block").agg(F.sum("cell_n").alias("block_n"))
-    starts = sizes.select("block", F.coalesce(F.sum("block_n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("block_at"))
-    own = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("had", F.coalesce(F.sum("cell_n").over(own), F.lit(0))).join(starts, "block")
-    cells = cells.select("block", "s", "block_at", "had")
+    starts = _before(sizes, [], "block_n", "block_at").select("block", "block_at")
+    cells = _before(scratch.save(cells, "cells"), ["s"], "cell_n", "had").join(starts, "block").select("block", "s", "block_at", "had")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "at", "row"])

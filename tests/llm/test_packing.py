@@ -97,3 +97,17 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     check(queries.op2_packing(spark, d).collect(), rows)
+
+
+def test_windows_of_many_sources(spark):
+    """26 sources, one of which has a third of all tokens: in nearly every window each is within its share and a small piece of its due."""
+    rng = random.Random(5)
+    rows = [(i, "land of the " * rng.choice([30, 300, 700]), "hot" if i % 3 == 0 else f"s{rng.randrange(25)}") for i in range(1500)]
+    scratch = Scratch(spark)
+    tokens = pk.tokenise(spark.createDataFrame(rows, "doc_id long, text string, source string"), scratch)
+    names = [r[0] for r in tokens.select("source").distinct().collect()]
+    total = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    pieces = pk.pack(tokens, scratch).join(tokens.select("row", "source"), "row")
+    cells = pieces.groupBy("sequence_id").pivot("source", names).agg(F.sum("length")).na.fill(0).orderBy("sequence_id").collect()
+    off = sorted(max(abs(r[s] - 1024 * total[s] / sum(total.values())) for s in names) for r in cells[:-1])
+    assert off[len(off) // 2] <= 80 and off[int(0.9 * len(off))] <= 160 and len(names) == 26
