@@ -222,34 +222,59 @@ def spectral_entropy(psd: np.ndarray) -> np.ndarray:
     return -(p * np.log(p)).sum(axis=1) / math.log(psd.shape[1])
 
 
+def permutation_entropies(x: np.ndarray, order: int = 3, delay: int = 1) -> np.ndarray:
+    """Of rows of equal length: the entropy of the patterns of ``order`` samples, in shares of the most that it can be; NaN without ``order`` * ``delay`` samples."""
+    if x.shape[1] < order * delay:
+        return np.full(len(x), math.nan)
+    parts = np.lib.stride_tricks.sliding_window_view(x, (order - 1) * delay + 1, axis=1)[:, :, ::delay]
+    code = np.argsort(parts, axis=2, kind="stable") @ order ** np.arange(order)
+    most = order**order
+    p = np.bincount((code + most * np.arange(len(x))[:, None]).ravel(), minlength=most * len(x)).reshape(len(x), -1) / code.shape[1]
+    return -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1) / math.log2(math.factorial(order))
+
+
 def permutation_entropy(x: np.ndarray, order: int = 3, delay: int = 1) -> float:
-    """Of the patterns of ``order`` samples, in shares of the most that it can be; NaN for a series without ``order`` * ``delay`` samples."""
-    if len(x) < order * delay:
-        return math.nan
-    parts = np.lib.stride_tricks.sliding_window_view(x, (order - 1) * delay + 1)[:, ::delay]
-    rank = np.argsort(parts, axis=1, kind="stable")
-    _, n = np.unique(rank @ order ** np.arange(order), return_counts=True)
-    p = n / n.sum()
-    return float(-(p * np.log2(p)).sum() / math.log2(math.factorial(order)))
-
-
-def sample_entropy(x: np.ndarray, m: int = 2, r: float | None = None, chunk: int = 512) -> float:
-    """Templates within a tolerance r (Chebyshev; 0.2 deviations by default), without self matches; NaN without matches or for m + 1 samples or fewer."""
-    if len(x) <= m + 1:
-        return math.nan
-    tol = 0.2 * x.std() if r is None else r
-
-    def matches(k: int) -> int:
-        t = np.lib.stride_tricks.sliding_window_view(x, k)[: len(x) - k]
-        return sum(int((np.abs(t[i : i + chunk, None] - t[None]).max(axis=2) <= tol).sum()) for i in range(0, len(t), chunk)) - len(t)
+    """``permutation_entropies`` of one series."""
+    return float(permutation_entropies(x[None], order, delay)[0])
+
+
+def sample_entropies(x: np.ndarray, m: int = 2, r: float | None = None, cells: int = 1 << 20) -> np.ndarray:
+    """Of rows of equal length: templates within a tolerance r (Chebyshev; 0.2 deviations by default), without self matches; NaN without matches or for m + 1 samples or fewer.
+
+    Rows are compared together in parts of about ``cells`` distances.
+    """
+    n = x.shape[1]
+    if n <= m + 1:
+        return np.full(len(x), math.nan)
+    tol = 0.2 * x.std(axis=1) if r is None else np.full(len(x), r)
+
+    def matches(k: int) -> np.ndarray:
+        count = n - k
+        t = np.lib.stride_tricks.sliding_window_view(x, k, axis=1)[:, :count]
+        found = np.zeros(len(x), np.int64)
+        rows = max(1, cells // (count * min(count, 512)))
+        for i in range(0, len(x), rows):
+            part, limit = t[i : i + rows], tol[i : i + rows, None, None]
+            for j in range(0, count, 512):
+                near = np.ones((len(part), min(512, count - j), count), bool)
+                for d in range(k):
+                    near &= np.abs(part[:, j : j + 512, None, d] - part[:, None, :, d]) <= limit
+                found[i : i + rows] += near.sum(axis=(1, 2))
+        return found - count
 
     b, a = matches(m), matches(m + 1)
-    return -math.log(a / b) if a > 0 and b > 0 else math.nan
+    fine = (a > 0) & (b > 0)
+    return np.where(fine, -np.log(np.where(fine, a, 1) / np.where(fine, b, 1)), math.nan)
+
+
+def sample_entropy(x: np.ndarray, m: int = 2, r: float | None = None) -> float:
+    """``sample_entropies`` of one series."""
+    return float(sample_entropies(x[None], m, r)[0])
 
 
 def complexity(x: np.ndarray) -> dict[str, float]:
     """Permutation and sample entropy, means over channels that have one."""
-    each = {"permutation_entropy": [permutation_entropy(c) for c in x], "sample_entropy": [sample_entropy(c) for c in x]}
+    each = {"permutation_entropy": permutation_entropies(x), "sample_entropy": sample_entropies(x)}
     return {k: float(np.nanmean(v)) if np.isfinite(v).any() else math.nan for k, v in each.items()}
 
 

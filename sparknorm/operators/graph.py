@@ -21,6 +21,9 @@ from . import stats
 from .joins import salted_join
 
 
+HELD = 256  # groups whose moments a task holds
+
+
 def both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "w"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "w"))).alias("e")).select(*keys, "e.*")
 
@@ -33,23 +36,47 @@ def cleaned(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def correlation_edges(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """A graph for each group: the absolute correlations of an array's components over its rows, (group, a, b, w), components from 1.
 
-    A task sends one row of second moments a group; vectors are never gathered. Rows with nulls or other lengths than the group's first raise.
+    A task sends rows of second moments of its groups, at most ``HELD`` of which
+    it holds at a time; vectors are never gathered. Null vectors and those with
+    a null or non-finite component are left out; lengths that differ raise
+    ValueError.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+
+        def moments() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["g", "m"])
+
         for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), object)
-            x = np.array(batch.column(1).to_pylist(), float)
-            z = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 1))
-            for k in dict.fromkeys(keys.tolist()):
-                own = z[np.array([g == k for g in keys])]
-                sums[k] = sums.get(k, 0) + own.T @ own
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            if len(set(sizes.tolist())) > 1:
+                raise ValueError(f"vectors of {sorted(set(sizes.tolist()))} components")
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+            code, keys = pd.factorize(batch.column(0).to_pandas(), use_na_sentinel=False)
+            order = np.argsort(code, kind="stable")
+            z = np.column_stack([np.ones(len(x)), x])[order]
+            bounds = np.searchsorted(code[order], np.arange(len(keys) + 1))
+            for k, start, stop in zip(batch.column(0).take(pa.array(order[bounds[:-1]])).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                own = z[start:stop].T @ z[start:stop]
+                old = sums.get(k)
+                if old is not None and old.shape != own.shape:
+                    raise ValueError(f"vectors of {sorted({old.shape[0] - 1, own.shape[0] - 1})} components")
+                sums[k] = own if old is None else old + own
+                if len(sums) > HELD:
+                    yield moments()
+                    sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["g", "m"])
+            yield moments()
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.sum([np.frombuffer(b) for b in pdf["m"]], axis=0)
+        parts = [np.frombuffer(b) for b in pdf["m"]]
+        if len(sizes := {math.isqrt(len(p)) - 1 for p in parts}) > 1:
+            raise ValueError(f"vectors of {sorted(sizes)} components")
+        m = np.sum(parts, axis=0)
         m = m.reshape(math.isqrt(len(m)), -1)
         mean = m[0, 1:] / m[0, 0]
         cov = m[1:, 1:] - m[0, 0] * np.outer(mean, mean)
@@ -61,7 +88,9 @@ def correlation_edges(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
     kind = to_arrow_type(rows.schema[group].dataType)
     name = rows.schema[group].dataType.simpleString()
-    summed = rows.select(F.col(group).alias("g"), F.col(vector).cast("array<double>")).mapInArrow(run, f"g {name}, m binary")
+    v = F.col(vector).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    summed = rows.where(fine & (F.size(v) > 0)).select(F.col(group).alias("g"), v).mapInArrow(run, f"g {name}, m binary")
     return summed.groupBy("g").applyInPandas(edges, f"{group} {name}, a int, b int, w double")
 
 

@@ -18,7 +18,7 @@ from sparknorm.functions import columns as C
 from sparknorm.functions import registry
 from sparknorm.functions import signal as S
 from sparknorm.functions.contract import BLOCKS, FEATURES
-from sparknorm.operators import aggregate, cohort, extract, graph, ml, normative, recordings, stats, validate
+from sparknorm.operators import aggregate, channels, cohort, extract, graph, ml, normative, recordings, stats, validate
 from sparknorm.operators.scratch import scratch_of
 from sparknorm.plans import sql
 from sparknorm.plans.sql import AT
@@ -384,9 +384,9 @@ def set_intersection(spark, sf_dir):
     return readers.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(readers.table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark, sf_dir):
-    return readers.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(readers.table(spark, sf_dir, "orders").select("o_custkey"))
+    return readers.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(readers.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("SELECT 'customer' AS kind, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_acctbal FROM supplier")
@@ -602,6 +602,29 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("string").alias("subject"), run.alias("run"), F.col("vec_id").cast("string").alias("channel"), F.col("vec_id").cast("int").alias("ch_idx"), F.lit(128.0).alias("sfreq"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
+@query()
+def recording_quality(spark, sf_dir):
+    """Densities have no SQL; tests compare each run with the kernel, here and in the two below."""
+    return channels.quality(signals(spark, sf_dir)).select("subject", "run", *[r(c).alias(c) for c in channels.QUALITY])
+
+
+@query()
+def recording_complexity(spark, sf_dir):
+    return channels.complexity(signals(spark, sf_dir)).select("subject", "run", *[r(c).alias(c) for c in channels.COMPLEXITY])
+
+
+@query()
+def coherence_edges(spark, sf_dir):
+    return channels.coherence_edges(signals(spark, sf_dir), 8.0, 30.0, 32).withColumn("w", r("w"))
+
+
+@query(f"WITH s AS (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) * CASE WHEN vec_id % 17 = 0 THEN 5 ELSE 1 END AS v FROM embeddings), c AS (SELECT CAST(label AS VARCHAR) AS subject, lpad(CAST(vec_id // 400 AS VARCHAR), 6, '0') AS run, CAST(vec_id AS VARCHAR) AS channel, stddev_pop(v) AS sd FROM s GROUP BY ALL), m AS (SELECT *, median(sd) OVER (PARTITION BY subject, run) AS m FROM c), d AS (SELECT *, median(abs(sd - m)) OVER (PARTITION BY subject, run) + 1e-12 AS mad FROM m) SELECT subject, run, channel FROM d WHERE 0.6745 * (sd - m) / mad > 5")
+def bad_channels(spark, sf_dir):
+    """Every 17th channel is five times as loud."""
+    loud = F.transform("samples", lambda v: v * F.when(F.col("ch_idx") % 17 == 0, 5.0).otherwise(1.0))
+    return channels.bad_channels(signals(spark, sf_dir).withColumn("samples", loud))
+
+
 @query()
 def signal_features(spark, sf_dir):
     runs = extract.extract_runs(signals(spark, sf_dir), notch=None, window_s=0.25, step_s=0.125)
@@ -755,9 +778,11 @@ def validated_rows(spark, sf_dir):
     return out.select("participant_id", "status", "reason", F.array_join("bad_features", ",").alias("bad"), F.size("warnings").alias("n_warnings"))
 
 
-@query(f"{WITH} SELECT participant_id, 'PASS' AS status, {sql.r('composite')} AS composite FROM scored")
+@query(f"{WITH}, a AS (SELECT *, age BETWEEN -1 AND 1 AND participant_id % 9 <> 0 AS fine FROM scored) SELECT participant_id, CASE WHEN fine THEN 'PASS' ELSE 'REJECT' END AS status, CASE WHEN fine THEN {sql.r('composite')} END AS composite FROM a")
 def json_reports(spark, sf_dir):
-    checked = validate.validate_rows(subjects(spark, sf_dir))
+    """Every ninth row has no age and is rejected."""
+    spoilt = subjects(spark, sf_dir).withColumn("age", F.when(F.col("participant_id") % 9 != 0, F.col("age")))
+    checked = validate.validate_rows(spoilt)
     out = validate.reports(normative.fit(subjects(spark, sf_dir), reference()).score(checked), "1", normative.LAMBDA)
     return out.select("participant_id", F.get_json_object("report", "$.status").alias("status"), r(F.get_json_object("report", "$.scores.composite").cast("double")).alias("composite"))
 
