@@ -90,7 +90,7 @@ def schedule(queues: dict[str, list[tuple[int, int]]], given: Callable[[list[str
         window, offset, ahead = position // length, position % length, room
         order = [(-deficit[k], k) for k in live]
         heapq.heapify(order)
-        smallest = max(1, min(least, length // max(1, len(live))))
+        smallest = max(1, min(least, max(64, length // max(1, len(live)))))
         while room:
             d, k = order[0]
             row, n = own[k][head[k]]
