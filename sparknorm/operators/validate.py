@@ -55,6 +55,40 @@ def audit(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.agg(cells.alias("c")).select(F.inline("c")).withColumn("passed", F.col("broken") == 0)
 
 
+def dataset_audit(df: DataFrame, features: Sequence[str], key: str, label: str, labels: Sequence, age: str, sizes: dict | None = None, allowed: Sequence[str] = ()) -> DataFrame:
+    """The audit of a training table by section: ids, labels, age, features, columns. One row a check: section, check, n, status.
+
+    n counts what breaks the check: ids that stand more than once, rows with a
+    label that is not allowed, with no age (null or NaN), cells that are
+    missing or infinite, features that are absent or do not vary, columns
+    beside those named. Surplus columns and group sizes other than ``sizes``
+    warn, anything else fails. An absent key, label or age counts as one broken
+    check, and a null id as an id.
+    """
+    here = [f for f in features if f in df.columns]
+    lacks = {c: c not in df.columns for c in (key, label, age)}
+    number = lambda c: F.col(c).cast("double")
+    gone = lambda c: number(c).isNull() | F.isnan(number(c))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    total = lambda f: sum([F.count_if(f(c)) for c in here], none)
+    fixed = sum([(~F.coalesce(F.min(F.when(~gone(c), number(c))) < F.max(F.when(~gone(c), number(c))), F.lit(False))).cast("long") for c in here], none)
+    cells = [
+        ("labels", "allowed", one if lacks[label] else F.count_if(~F.coalesce(F.col(label).isin(list(labels)), F.lit(False)))),
+        *[("labels", f"size of {k}", none if lacks[label] else F.abs(F.count_if(F.col(label) == k) - n)) for k, n in (sizes or {}).items()],
+        ("age", "complete", one if lacks[age] else F.count_if(gone(age))),
+        ("features", "present", F.lit(len(features) - len(here)).cast("long")),
+        ("features", "no missing values", total(gone)),
+        ("features", "finite", total(lambda c: F.abs(number(c)) == float("inf"))),
+        ("features", "vary", fixed),
+        ("columns", "expected", F.lit(len(set(df.columns) - {key, label, age, *features, *allowed})).cast("long")),
+    ]
+    kind = F.when(F.col("check").startswith("size of ") | (F.col("section") == "columns"), "WARN").otherwise("FAIL")
+    rows = df.agg(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("check"), c.alias("n")) for a, b, c in cells]).alias("c")).select(F.inline("c"))
+    again = df.sparkSession.createDataFrame([(1,)], "n long") if lacks[key] else df.groupBy(key).count().agg(F.count_if(F.col("count") > 1).alias("n"))
+    rows = rows.union(again.select(F.lit("ids"), F.lit("unique"), "n"))
+    return rows.withColumn("status", F.when(F.col("n") == 0, "PASS").otherwise(kind))
+
+
 def manifest_gate(manifests: DataFrame, body: str, required: Sequence[str], wished: Sequence[str] = ()) -> DataFrame:
     """JSON manifests with a verdict: NO-GO without a required key, PASS_WITH_WARNINGS without a wished one."""
     lacks = lambda keys: F.filter(F.array(*[F.when(F.get_json_object(F.col(body), f"$.{k}").isNull(), F.lit(k)) for k in keys]).cast("array<string>"), lambda x: x.isNotNull())

@@ -797,6 +797,34 @@ def column_audit(spark, sf_dir):
     return aggregate.column_audit(readers.table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"])
 
 
+def _audit_sql() -> str:
+    gone = lambda c: f"({c} IS NULL OR isnan({c}))"
+    spoilt = "spoilt AS (SELECT *, CASE WHEN participant_id % 13 = 0 THEN 'nan'::DOUBLE WHEN participant_id % 17 = 0 THEN 'inf'::DOUBLE ELSE x1 END AS y1, CASE WHEN participant_id % 7 <> 0 THEN age END AS years FROM subjects)"
+    x = ["y1", *[f"x{i}" for i in list(AT.values())[1:]]]
+    checks = [
+        ("labels", "allowed", "count(*) FILTER (NOT coalesce(grp IN (0, 1, 2, 3, 4, 5, 6, 7, 8), false))", "FAIL"),
+        ("labels", "size of 0", "abs(count(*) FILTER (grp = 0) - 39)", "WARN"),
+        ("age", "complete", f"count(*) FILTER ({gone('years')})", "FAIL"),
+        ("features", "present", "0 * count(*)", "FAIL"),
+        ("features", "no missing values", " + ".join(f"count(*) FILTER ({gone(c)})" for c in x), "FAIL"),
+        ("features", "finite", " + ".join(f"count(*) FILTER (isinf({c}))" for c in x), "FAIL"),
+        ("features", "vary", " + ".join(f"(NOT coalesce(min({c}) FILTER (NOT {gone(c)}) < max({c}) FILTER (NOT {gone(c)}), false))::BIGINT" for c in x), "FAIL"),
+        ("columns", "expected", "1 + 0 * count(*)", "WARN"),
+        ("ids", "unique", "count(*) - count(DISTINCT participant_id)", "FAIL"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS section, '{b}' AS \"check\", CAST({n} AS BIGINT) AS n, '{bad}' AS bad FROM spoilt" for a, b, n, bad in checks)
+    return f"WITH {sql.SUBJECTS}, {spoilt} SELECT section, \"check\", n, CASE WHEN n = 0 THEN 'PASS' ELSE bad END AS status FROM ({rows})"
+
+
+@query(_audit_sql())
+def dataset_audit(spark, sf_dir):
+    """Some values of the first feature are missing or infinite, some ages missing, one column is not expected."""
+    n, f = F.col("participant_id"), FEATURES[0]
+    rows = subjects(spark, sf_dir).withColumn(f, F.when(n % 13 == 0, float("nan")).when(n % 17 == 0, float("inf")).otherwise(F.col(f)))
+    rows = rows.withColumn("age", F.when(n % 7 != 0, F.col("age"))).withColumn("site", F.lit("one"))
+    return validate.dataset_audit(rows, FEATURES, "participant_id", "group", list(range(9)), "age", {0: 39})
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'NO-GO' WHEN event_id % 4 = 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n_missing, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS n_unmet FROM events")
 def manifest_gate(spark, sf_dir):
     """Manifests made of the events, some without a required or a wished key."""

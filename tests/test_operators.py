@@ -190,3 +190,11 @@ def test_streaming_scores(spark, tmp_path):
     q = scoring.to_parquet(scoring.scored(scoring.rows(spark, str(tmp_path / "in"), df.schema), model), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("composite > 0").count() == 60
+
+
+def test_dataset_audit_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, 2.0, 5.0), (1, "b", None, 2.0, math.inf), (None, None, math.nan, 2.0, None)], "id int, g string, age double, x double, y double")
+    got = {(r["section"], r["check"]): (r["n"], r["status"]) for r in validate.dataset_audit(rows, ["x", "y", "z"], "id", "g", ["a"], "age", {"a": 2}, ["other"]).collect()}
+    assert got == {("ids", "unique"): (1, "FAIL"), ("labels", "allowed"): (2, "FAIL"), ("labels", "size of a"): (1, "WARN"), ("age", "complete"): (2, "FAIL"), ("features", "present"): (1, "FAIL"), ("features", "no missing values"): (1, "FAIL"), ("features", "finite"): (1, "FAIL"), ("features", "vary"): (1, "FAIL"), ("columns", "expected"): (0, "PASS")}
+    bare = {(r["section"], r["check"]): r["n"] for r in validate.dataset_audit(rows.select("x").limit(0), ["x"], "id", "g", ["a"], "age").collect()}
+    assert bare["ids", "unique"] == bare["labels", "allowed"] == bare["age", "complete"] == bare["features", "vary"] == 1
