@@ -113,17 +113,81 @@ class ChunkEncoder:
                 break
         return found
 
-    def _add(self, first: int, key: list[int], size: int, ids: list[int]) -> None:
-        slots = [(first + step) & ((1 << self.bits) - 1) for step in range(PROBES)]
-        slot = next((s for s in slots if not self.size[s]), first)
+    def _add(self, first: np.ndarray, key: list[np.ndarray], size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Pieces of up to ``KEY`` bytes, each in the first free one of its slots; one that has none takes the place of another."""
         if self.used + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32))
         self.pool[self.used : self.used + len(ids)] = ids
-        for mine, k in zip(self.keys, key, strict=True):
-            mine[slot] = k
-        self.size[slot], self.place[slot], self.count[slot] = size, self.used, len(ids)
+        place = self.used + np.cumsum(count) - count
+        left = np.arange(len(first))
+        for step in [*range(PROBES), 0]:
+            slot = (first[left] + step) & ((1 << self.bits) - 1)
+            if step or len(left) == len(first):
+                at = np.flatnonzero(self.size[slot] == 0)
+                at = at[np.unique(slot[at], return_index=True)[1]]  # one a slot
+            else:
+                at = np.unique(slot, return_index=True)[1]
+            own, slot = left[at], slot[at]
+            for mine, k in zip(self.keys, key, strict=True):
+                mine[slot] = k[own]
+            self.size[slot], self.place[slot], self.count[slot] = size[own], place[own], count[own]
+            left = np.delete(left, at)
+            if not len(left):
+                break
         self.used += len(ids)
-        self.entries += 1
+        self.entries += len(first)
+
+    def pieces(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces, one behind the other, and how many each has.
+
+        Pieces that surely begin and end a pre-token also next to others of
+        their kind go to the library many at once, as one text: Latin letters
+        are one word each, which it tells apart, with a space before or a line
+        end between; other pieces with a space before are told by their
+        characters' places. What is left goes to it one by one.
+        """
+        kinds: tuple[list[int], ...] = ([], [], [])
+        texts = [b.decode("utf-8", "surrogatepass") for b in raw]
+        for i, t in enumerate(texts):
+            spaced = t[0] == " "
+            core = t[1:] if spaced else t
+            if core.isalpha() and max(core) <= "ɏ":
+                kinds[spaced].append(i)
+            elif spaced and core and not core[0].isspace() and not core[-1].isspace():
+                kinds[2].append(i)
+        count = np.full(len(raw), -1, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # pieces and their ids, in order
+        for kind, members in enumerate(kinds):
+            for k in range(0, len(members), 4096):
+                some = members[k : k + 4096]
+                text = ("" if kind else "\n").join([texts[i] for i in some])
+                if any(a in text for a in self.added):
+                    continue
+                e = self.tok.encode(text, add_special_tokens=False)
+                ids = np.array(e.ids, np.uint32)
+                if kind == 2:
+                    ends = np.cumsum([len(texts[i]) for i in some])
+                    word = np.searchsorted(ends, np.array([a for a, _ in e.offsets], np.int64), "right")
+                else:
+                    word = np.array(e.word_ids, np.int64)
+                if not kind:  # every second word is the line end between two
+                    ids, word = ids[word % 2 == 0], word[word % 2 == 0] // 2
+                n = np.bincount(word, minlength=len(some))
+                if len(n) == len(some) and n.all():
+                    at = np.array(some)
+                    count[at] = n
+                    parts.append((at, ids))
+        for i in np.flatnonzero(count < 0).tolist():
+            ids = np.array(self.piece(raw[i]), np.uint32)
+            count[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.uint32)
+        if parts:
+            at = np.concatenate([a for a, _ in parts])
+            n = count[at]
+            out[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate([x for _, x in parts])
+        return out, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as unsigned 32-bit integers, and where each text's end."""
@@ -159,28 +223,34 @@ class ChunkEncoder:
         if self.entries > self.most:
             self._clear()
         slot = self._find(slot0, key, size)
-        own: dict[bytes, list[int]] = {}
+        own: dict[bytes, int] = {}
         lost = np.flatnonzero(slot < 0)
+        new, many = np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(lost):
             lost = lost[np.unique(h[lost], return_index=True)[1]]
-            for a, b, first, *ks in zip(*(x.tolist() for x in (start[lost], stop[lost], slot0[lost], *(k[lost] for k in key))), strict=True):
-                own[joined[a:b]] = ids = self.piece(joined[a:b])
-                if b - a <= KEY:
-                    self._add(first, ks, b - a, ids)
+            raw_pieces = [joined[a:b] for a, b in zip(start[lost].tolist(), stop[lost].tolist(), strict=True)]
+            own = {b: i for i, b in enumerate(raw_pieces)}
+            new, many = self.pieces(raw_pieces)
+            short = size[lost] <= KEY
+            at = lost[short]
+            self._add(slot0[at], [k[at] for k in key], size[at], new[np.repeat(short, many)], many[short])
             slot = self._find(slot0, key, size)
         place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
         rest = np.flatnonzero(slot < 0)  # long pieces and those that the table had no room for
         pool = self.pool
         if len(rest):
-            more, at = [], self.used
+            begin, more = self.used + np.cumsum(many) - many, []
+            at = self.used + len(new)
             for i in rest.tolist():
-                if (b := joined[start[i] : stop[i]]) not in own:
-                    own[b] = self.piece(b)
-                ids = own[b]
-                place[i], count[i] = at, len(ids)
-                more += ids
-                at += len(ids)
-            pool = np.append(pool[: self.used], np.array(more, np.uint32))
+                b = joined[start[i] : stop[i]]
+                if (j := own.get(b)) is not None:
+                    place[i], count[i] = begin[j], many[j]
+                else:  # known, but its slot was taken
+                    ids = self.piece(b)
+                    place[i], count[i] = at, len(ids)
+                    more += ids
+                    at += len(ids)
+            pool = np.concatenate([pool[: self.used], new, np.array(more, np.uint32)])
         last = np.cumsum(count)
         ids = pool[np.repeat(place - (last - count), count) + np.arange(last[-1])]
         upto = np.searchsorted(start, ends)  # pieces before each text's end
