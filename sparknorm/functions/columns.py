@@ -155,6 +155,11 @@ def named_vector(values: Column, features: Sequence[str]) -> Column:
     return F.when(fits, F.map_from_arrays(F.array(*map(F.lit, features)), values)).otherwise(F.raise_error(F.lit(f"a vector does not have {len(features)} values")).cast("map<string,double>"))
 
 
+def merged(base: Column, extra: Column) -> Column:
+    """Two maps as one, where the second's values count for keys of both; null if either is."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(extra), k)), extra)
+
+
 def interval(point: Column, low: Column, high: Column, mean: Column) -> Column:
     """Struct of an interval's relative width, the mean's bias, and whether it holds the point."""
     return F.struct(((high - low) / F.greatest(F.abs(point), F.lit(1e-8))).alias("relative_width"), (mean - point).alias("bias"), within(low, high, point).alias("inside"))

@@ -180,6 +180,12 @@ class Model:
         cov = [(n, i, j, float(b.raw[i, j]), float(b.cov[i, j])) for n, b in self.blocks.items() for i in range(len(b.features)) for j in range(len(b.features))]
         return spark.createDataFrame(coef, "block string, feature string, ord int, intercept double, slope double"), spark.createDataFrame(cov, "block string, i int, j int, raw double, cov double")
 
+    def age_lines(self, least: int = 39) -> dict[str, dict[str, float]]:
+        """Intercept and slope by feature, for export; ValueError where fewer reference rows than ``least`` were fitted."""
+        if self.n < least:
+            raise ValueError(f"{self.n} reference rows, {least} are needed")
+        return {f: {"intercept": float(b0), "slope": float(b1)} for b in self.blocks.values() for f, b0, b1 in zip(b.features, b.intercept, b.slope, strict=True)}
+
     def save(self, spark: SparkSession, path: str) -> None:
         coef, cov = self.tables(spark)
         coef.coalesce(1).write.parquet(f"{path}/coefficients")

@@ -339,14 +339,14 @@ def collinearity(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
 
 
 def zscore(df: DataFrame, names: Sequence[str], eps: float = EPS) -> DataFrame:
-    """Columns less their mean, by their population deviation; NaN counts as null and stays null."""
+    """Columns less their mean, by their population deviation; NaN counts as null and stays null, and so is a column without a value."""
     clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     s = df.agg(*[f(clean(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return df.withColumns({c: (clean(c) - F.lit(s[f"m{i}"])) / (F.lit(s[f"s{i}"]) + eps) for i, c in enumerate(names)})
 
 
 def adjusted(df: DataFrame, value: str, age: str, controls: Column, name: str = "adjusted") -> DataFrame:
-    """Rows with what a line through the controls' ages leaves of a value."""
+    """Rows with what a line through the controls' ages leaves of a value; null throughout where the controls have no two ages."""
     r = df.where(controls).agg(F.regr_intercept(value, age).alias("a"), F.regr_slope(value, age).alias("b")).first()
     return df.withColumn(name, F.col(value) - (F.lit(r["a"]) + F.lit(r["b"]) * F.col(age)))
 

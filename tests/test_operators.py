@@ -198,3 +198,14 @@ def test_dataset_audit_of_odd_tables(spark):
     assert got == {("ids", "unique"): (1, "FAIL"), ("labels", "allowed"): (2, "FAIL"), ("labels", "size of a"): (1, "WARN"), ("age", "complete"): (2, "FAIL"), ("features", "present"): (1, "FAIL"), ("features", "no missing values"): (1, "FAIL"), ("features", "finite"): (1, "FAIL"), ("features", "vary"): (1, "FAIL"), ("columns", "expected"): (0, "PASS")}
     bare = {(r["section"], r["check"]): r["n"] for r in validate.dataset_audit(rows.select("x").limit(0), ["x"], "id", "g", ["a"], "age").collect()}
     assert bare["ids", "unique"] == bare["labels", "allowed"] == bare["age", "complete"] == bare["features", "vary"] == 1
+
+
+def test_merged_maps_and_exported_lines(spark):
+    one = spark.createDataFrame([({"a": 1.0, "b": 2.0}, {"b": 3.0, "c": 4.0}), ({"a": 1.0}, {}), (None, {"a": 1.0})], "x map<string,double>, y map<string,double>")
+    assert [r[0] for r in one.select(C.merged(F.col("x"), F.col("y"))).collect()] == [{"a": 1.0, "b": 3.0, "c": 4.0}, {"a": 1.0}, None]
+    rows = spark.createDataFrame([(float(i), 2.0 * i + 1, float(i % 3)) for i in range(10)], "age double, f double, g double")
+    model = normative.fit(rows, F.lit(True), blocks={"A": ("f", "g")})
+    lines = model.age_lines(10)
+    assert math.isclose(lines["f"]["slope"], 2.0) and math.isclose(lines["f"]["intercept"], 1.0) and set(lines) == {"f", "g"}
+    with pytest.raises(ValueError, match="39"):
+        model.age_lines()
