@@ -28,9 +28,16 @@ def both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "w"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "w"))).alias("e")).select(*keys, "e.*")
 
 
-def cleaned(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One undirected edge a pair: the mean of what is given, within 0 and 1, no loops."""
-    return edges.where("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.least(F.greatest(F.avg("w"), F.lit(0.0)), F.lit(1.0)).alias("w"))
+def cleaned(edges: DataFrame, keys: Sequence[str], times: str | None = None) -> DataFrame:
+    """One undirected edge a pair: the mean of what is given, within 0 and 1, no loops.
+
+    With ``times``, a row's w is the mean of as many weights as that column says.
+    """
+    mean = F.avg("w")
+    if times is not None:
+        n = F.when(F.col("w").isNotNull(), F.nullif(F.col(times), F.lit(0)))
+        mean = F.sum(F.col("w") * n) / F.sum(n)
+    return edges.where("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)).alias("w"))
 
 
 def correlation_edges(rows: DataFrame, group: str, vector: str) -> DataFrame:

@@ -863,9 +863,12 @@ def edge_summary(spark, sf_dir):
 
 @query(f"WITH e AS (SELECT c_nationkey AS g, s_nationkey % 7 AS a, c_custkey % 7 AS b, s_acctbal / 5000 AS w FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT g, least(a, b) AS a, greatest(a, b) AS b, {sql.r('least(greatest(avg(w), 0), 1)')} AS w FROM e WHERE a <> b GROUP BY 1, 2, 3")
 def clean_edges(spark, sf_dir):
+    """Equal ends are counted before the join, whose rows would else be all pairs of a nation's customers and suppliers."""
     c, s = readers.table(spark, sf_dir, "customer"), readers.table(spark, sf_dir, "supplier")
-    e = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_nationkey").alias("g"), (F.col("s_nationkey") % 7).alias("a"), (F.col("c_custkey") % 7).alias("b"), (F.col("s_acctbal") / 5000).alias("w"))
-    return graph.cleaned(e, ["g"]).withColumn("w", r("w"))
+    c = c.groupBy(F.col("c_nationkey").alias("g"), (F.col("c_custkey") % 7).alias("b")).agg(F.count(F.lit(1)).alias("n_b"))
+    s = s.groupBy(F.col("s_nationkey").alias("g"), (F.col("s_nationkey") % 7).alias("a")).agg(F.avg(F.col("s_acctbal") / 5000).alias("w"), F.count("s_acctbal").alias("n_a"))
+    e = c.join(s, "g").select("g", "a", "b", "w", (F.col("n_a") * F.col("n_b")).alias("n"))
+    return graph.cleaned(e, ["g"], "n").withColumn("w", r("w"))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'REJECT' WHEN vec_id % 7 = 0 THEN 'REJECT' WHEN vec_id % 11 = 0 THEN 'REJECT' WHEN vec_id % 13 = 0 THEN 'REJECT' ELSE 'PASS' END AS status, CASE WHEN vec_id % 5 = 0 THEN 'UNSUPPORTED_FORMAT' WHEN vec_id % 7 = 0 THEN 'BAD_SFREQ' WHEN vec_id % 11 = 0 THEN 'TOO_SHORT' WHEN vec_id % 13 = 0 THEN 'TOO_FEW_CHANNELS' END AS reason, CASE WHEN vec_id % 5 > 0 AND vec_id % 7 > 0 AND vec_id % 11 > 0 AND vec_id % 13 > 0 AND vec_id % 3 = 0 THEN 1 ELSE 0 END AS n_warnings FROM embeddings")

@@ -332,6 +332,15 @@ def test_describe_skips_nan_and_densest_keeps_columns(spark):
     assert kept.columns == edges.columns and [tuple(r) for r in kept.collect()] == [(0, 1, 3, 0.9, "x", "y")]
 
 
+def test_cleaned_edges_that_stand_for_several(spark):
+    rows = [(g, a, b, w, n) for g in (1, None) for a, b, w, n in [(1, 2, 0.25, 3), (2, 1, 0.5, 1), (2, 2, 0.9, 4), (1, 3, None, 5), (3, 1, 0.75, 2), (2, 3, None, 0), (4, 5, 9.0, 2), (5, 6, -1.0, 2), (None, 1, 0.5, 2)]]
+    edges = spark.createDataFrame(rows, "g int, a int, b int, w double, n int")
+    each = spark.createDataFrame([row[:4] for row in rows for _ in range(max(1, row[4]))], "g int, a int, b int, w double")
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = order(graph.cleaned(edges, ["g"], "n"))
+    assert got == order(graph.cleaned(each, ["g"])) and (1, 1, 2, 0.3125) in got and (1, 2, 3, 0.0) in got and len(got) == 10
+
+
 def test_a_rank_column_is_replaced(spark):
     got = stats.average_rank(spark.createDataFrame([(2.0, 7), (1.0, 8)], "v double, rank int"), "v").collect()
     assert sorted(map(tuple, got)) == [(1.0, 1.0), (2.0, 2.0)]
